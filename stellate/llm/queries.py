@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from stellate.llm import counts, packing, token_output
+from stellate.llm import counts, packing, quality, sql, token_output, urls
 from stellate.llm.common import fresh_path
 
 
@@ -18,20 +17,28 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def op1_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_output.write_tokens(_read(spark, sf_dir, "documents"), fresh_path(spark, "tokens"), end_id=0)
     table = token_output.read_tokens(spark, out)
-    return token_output.with_starts(token_output.with_crc(table)).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return token_output.with_starts(token_output.with_crc(table), table).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_rules(_read(spark, sf_dir, "documents"))
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"))
 
 
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge_urls(_read(spark, sf_dir, "pages"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op3_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_packing, op4_url_filters, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_quality_rules": sql.OP2, "op4_url_filters": sql.OP4}
