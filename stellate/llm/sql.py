@@ -10,7 +10,7 @@ def _q2_parts() -> str:
     low = f"translate(line, '{quality.UPPER}', '{quality.LOWER}')"
     return rf"""
  d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(source, '') AS host, coalesce(text, '') AS text, text IS NULL AS absent FROM documents),
- w AS (SELECT rid, list_filter(regexp_split_to_array(text, '{_WS}'), x -> x <> '') AS words FROM d),
+ w AS (SELECT rid, list_filter(regexp_split_to_array(text, '{_WS}'), lambda x: x <> '') AS words FROM d),
  grams AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
  again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
  rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid),
@@ -22,7 +22,7 @@ def _q2_parts() -> str:
  nl AS (SELECT DISTINCT d.rid, d.host, trim(regexp_replace({low}, '{_WS}', ' ', 'g'), ' ') AS line FROM l JOIN d USING (rid)),
  hl AS (SELECT rid, host, line, length(line)::BIGINT AS chars, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h FROM nl),
  low AS (SELECT rid, list_sort(list(h)) AS hs, sum(chars) AS total FROM hl GROUP BY rid),
- ctx AS (SELECT hl.*, total, list_filter(hs[1:3], x -> x <> h) AS o FROM hl JOIN low USING (rid)),
+ ctx AS (SELECT hl.*, total, list_filter(hs[1:3], lambda x: x <> h) AS o FROM hl JOIN low USING (rid)),
  freq AS (SELECT host, h FROM (SELECT host, h, count(*) AS n FROM (SELECT DISTINCT host, h, coalesce(o[1], -1) AS c1, coalesce(o[2], -1) AS c2 FROM ctx) GROUP BY host, h)
    JOIN (SELECT host, count(*) AS m FROM d GROUP BY host) USING (host) WHERE n > {quality.LINE_MIN_DOCS} AND n > {quality.LINE_MAX_SHARE} * m),
  lost AS (SELECT rid, sum(chars)::BIGINT AS gone, max(total) AS total FROM ctx JOIN freq USING (host, h) GROUP BY rid),
