@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellate.llm import counts, packing, quality, simhash, sql, token_output, urls
+from stellate.llm import counts, packing, quality, simhash, sql, suffix, token_output, urls
 from stellate.llm.common import fresh_path
 
 
@@ -38,12 +38,16 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"), digest=True)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.count_tokens(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_packing, op4_url_filters, op5_simhash_near_dedup, op7_token_counts)}
+    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_packing, op4_url_filters, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
