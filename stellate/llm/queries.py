@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellate.llm import counts, decontam, langid, packing, quality, simhash, sql, suffix, token_output, urls
+from stellate.llm import counts, decontam, html, langid, packing, quality, simhash, sql, suffix, token_output, urls
 from stellate.llm.common import fresh_path
 
 
@@ -50,12 +50,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_read(spark, sf_dir, "documents"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_packing, op4_url_filters, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_token_counts, op8_language_id, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_packing, op4_url_filters, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_token_counts, op8_language_id, op9_html_extraction, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
