@@ -7,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import by_bytes, texts_of
+from stellate.llm.common import bounded_batches, by_bytes
 from stellate.llm.tokens import encoder, tokenizer_path
 
 
@@ -23,12 +23,11 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches):
         enc = encoder(path, counts=True)
         for b in by_bytes(batches, "text"):
-            texts = texts_of(b.column(1))
-            n = enc.encode(texts)
+            n = enc.encode(b.column(1))
             size = pc.fill_null(pc.binary_length(b.column(1)), 0)
             yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(size, pa.int64()), pa.array(n, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    out = src.mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
+    out = bounded_batches(src).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long")
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))

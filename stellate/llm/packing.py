@@ -24,10 +24,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import by_bytes, int_lists, texts_of
+from stellate.llm.common import bounded_batches, by_bytes, int_lists
 from stellate.llm.tokens import encoder, tokenizer_path
 
-BLOCK_SEQUENCES = 256  # a block is packed when it holds the tokens of so many sequences, or so many times 64 examples
+BLOCK_SEQUENCES = 64  # a block is packed when it holds the tokens of so many sequences, or so many times 64 examples
 
 
 class Packer:
@@ -200,12 +200,12 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
         def items():
             for b in by_bytes(chain([first], batches), "text"):
-                for key, raw in zip(b.column(0).to_pylist(), enc.encode(texts_of(b.column(1))), strict=True):
+                for key, raw in zip(b.column(0).to_pylist(), enc.encode(b.column(1)), strict=True):
                     yield key, raw + tail, None
 
         yield from _packed(items(), first.column(0).type, ids_too, capacity=capacity, max_segments=max_segments, max_loss=max_loss, splittable=True)
 
-    return src.mapInArrow(run, _schema(kind, id_col, ids_too))
+    return bounded_batches(src).mapInArrow(run, _schema(kind, id_col, ids_too))
 
 
 def pack_examples(examples: DataFrame, id_col: str, ids_col: str, loss_col: str | None = None, capacity: int = 4096, max_segments: int = 64, max_loss: int | None = None, splittable: bool = False) -> DataFrame:
@@ -229,5 +229,5 @@ def pack_examples(examples: DataFrame, id_col: str, ids_col: str, loss_col: str
 
         yield from _packed(items(), first.column(0).type, True, capacity=capacity, max_segments=max_segments, max_loss=max_loss, splittable=splittable)
 
-    return src.mapInArrow(run, _schema(kind, id_col, True))
+    return bounded_batches(src).mapInArrow(run, _schema(kind, id_col, True))
 

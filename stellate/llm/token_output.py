@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stellate.llm.common import by_bytes, int_lists, texts_of
+from stellate.llm.common import bounded_batches, by_bytes
 from stellate.llm.tokens import encoder, tokenizer_path
 
 ROW_GROUP_BYTES = 16 << 20
@@ -31,23 +31,25 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
     a null id comes first. Extra columns are not read.
     """
     path = path or tokenizer_path(tokenizer)
-    tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
 
     def run(batches):
         enc, part, start = encoder(path), TaskContext.get().partitionId(), 0
         for b in by_bytes(batches, "text"):
-            ids = [x + tail for x in enc.encode(texts_of(b.column(1)))]
-            n = np.array([len(x) // 4 for x in ids], np.int64)
-            starts = start + np.cumsum(n) - n
-            start += int(n.sum())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), int_lists(ids)], ["id", "part", "local_start", "n_tokens", "token_ids"])
+            ids, at = enc.arrays(b.column(1))
+            if end_id is not None:
+                ids, at = np.insert(ids, at[1:], end_id), at + np.arange(len(at))
+            n = np.diff(at)
+            starts = start + at[:-1]
+            start += int(at[-1])
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids.view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), part, np.int32)), pa.array(starts), pa.array(n), lists], ["id", "part", "local_start", "n_tokens", "token_ids"])
 
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    coded = src.repartitionByRange("id").sortWithinPartitions("id", "text").mapInArrow(run, f"id {kind}, part int, local_start long, n_tokens long, token_ids array<int>")
+    coded = src.repartitionByRange("id").sortWithinPartitions("id", "text").transform(bounded_batches).mapInArrow(run, f"id {kind}, part int, local_start long, n_tokens long, token_ids array<int>")
     (
         coded.withColumnRenamed("id", id_col)
-        .write.option("compression", "zstd")
+        .write.option("compression", "snappy")
         .option("parquet.block.size", str(ROW_GROUP_BYTES))
         .option("parquet.page.size", str(PAGE_BYTES))
         .option("parquet.page.row.count.limit", "20000")
@@ -66,11 +68,12 @@ def read_tokens(spark: SparkSession, path: str, columns: list[str] | None = None
     return df.select(*columns) if columns else df
 
 
-def with_starts(table: DataFrame) -> DataFrame:
-    """Adds start: the number of ids of all documents before this one. Only one row for each part is gathered."""
+def with_starts(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Adds start to rows made from `table`: the number of ids of all documents before. Gathers one row for each part,
+    from the metadata columns."""
     parts = table.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = parts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return table.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
+    return rows.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("local_start")).drop("before")
 
 
 def with_crc(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -86,4 +89,4 @@ def with_crc(table: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
     kind = table.schema[id_col].dataType.simpleString()
     src = table.select(F.col(id_col).alias("id"), "part", "local_start", "token_ids")
-    return src.mapInArrow(run, f"id {kind}, part int, local_start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)
+    return bounded_batches(src).mapInArrow(run, f"id {kind}, part int, local_start long, n_tokens long, ids_crc32 long").withColumnRenamed("id", id_col)

@@ -2,25 +2,32 @@
 
 A space between two characters that are not white space is a safe boundary for both kinds of vocabulary here: the
 byte-level pattern starts a new piece at such a space, the word pattern drops it, and normalisation does not reach
-across it. What stands between two such spaces is a unit. The library encodes units; ids of a text are the
-concatenation of the ids of its units. A worker keeps the ids of short units in a table of bounded size.
+across it. What stands between two such spaces is a unit. Arrow cuts a batch into units and numbers the distinct ones;
+the library encodes those that the worker doesn't know, many at a time, joined by spaces, and the ids are told apart
+by the marks that the vocabulary puts at word starts or ends (where the marks don't add up, one by one); the ids of the
+texts are then gathered from those of the units. A worker keeps the ids of short units in a table of bounded size, the
+older half of which is dropped when it is full.
 """
 
 from __future__ import annotations
 
+import gc
+import json
 import os
 import re
-from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-SEGMENT_CHARS = 1 << 20
-CACHED_UNITS = 200_000
+CACHED_UNITS = 500_000
 CACHED_CHARS = 48
+JOINED_UNITS = 500
 
 _SAFE = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"[^\S \n]")
-
+#: A space that is not safe, or white space besides the space and the newline.
+_UNSAFE = r"[ \n] | \n|\A[ \n]|[ \n]\z|[\t\r\x0b\x0c\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -28,20 +35,17 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
-def segments(text: str, limit: int = SEGMENT_CHARS) -> Iterator[str]:
-    """Cut a long text at safe spaces, which are left out, into parts of about `limit` characters."""
-    at = 0
-    while len(text) - at > limit and (m := _SAFE.search(text, at + limit)):
-        yield text[at : m.start()]
-        at = m.end()
-    yield text[at:] if at else text
-
-
-def units(text: str) -> list[str]:
-    """The parts between safe spaces."""
-    if "  " in text or " \n" in text or "\n " in text or text[:1].isspace() or text[-1:].isspace() or _ODD.search(text):
-        return _SAFE.split(text)
-    return text.split(" ")
+def _words(unit: str) -> int:
+    """How many words and marks the word pattern finds at least in a plain unit; 0 where that is not plain to see."""
+    n = 0
+    for part in unit.split("\n"):
+        if part.isalpha():
+            n += 1
+        elif part[-1:] in (".", ",") and part[:-1].isalpha():
+            n += 2
+        else:
+            return 0
+    return n
 
 
 class UnitEncoder:
@@ -55,57 +59,112 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.counts = Tokenizer.from_file(path), counts
-        self.first: dict[str, bytes | int] = {}  # units at the start of a text
-        self.inner: dict[str, bytes | int] = {}  # units after a space
-
-    def _learn(self, table: dict, wanted: set[str], lead: str) -> dict:
-        """A table that has all of `wanted`; long units are kept for this call only."""
-        new = sorted(wanted.difference(table))
-        if not new:
-            return table
-        found = self.tokenizer.encode_batch_fast([lead + u for u in new], add_special_tokens=False)
-        values = [len(e) for e in found] if self.counts else [np.array(e.ids, "<u4").tobytes() for e in found]
-        if len(table) + len(new) > CACHED_UNITS:
-            table.clear()
-            new, values = self._again(wanted, lead) if len(wanted) > len(new) else (new, values)
-        short = {u: v for u, v in zip(new, values, strict=True) if len(u) <= CACHED_CHARS}
-        table.update(short)
-        if len(short) == len(new):
-            return table
-        return Chained(table, dict(zip(new, values, strict=True)))
-
-    def _again(self, wanted: set[str], lead: str) -> tuple[list[str], list]:
-        new = sorted(wanted)
-        found = self.tokenizer.encode_batch_fast([lead + u for u in new], add_special_tokens=False)
-        return new, [len(e) for e in found] if self.counts else [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: Iterable[str]) -> list:
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        suffix, vocab = model.get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.by_ends = bool(suffix)
+        self.mark = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.mark[[i for t, i in vocab.items() if (t.endswith(suffix) if suffix else t.startswith("\u0120"))]] = True
+        self.known: dict[str, bytes | int] = {}
+
+    def _singly(self, texts: list[str]) -> list:
+        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [len(e) for e in found] if self.counts else [np.array(e.ids, "<u4").tobytes() for e in found]
+
+    def _joined(self, todo: list[str]) -> list:
+        """The values of units that follow a space."""
+        words = np.array(list(map(_words, todo)) if self.by_ends else [" " not in u for u in todo], np.int64)
+        place = np.flatnonzero(words)
+        plain = todo if len(place) == len(todo) else [todo[i] for i in place]
+        rest, words, out = np.flatnonzero(words == 0).tolist(), words[place], []
+        parts = [plain[i : i + JOINED_UNITS] for i in range(0, len(plain), JOINED_UNITS)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
+        for k, (part, e) in enumerate(zip(parts, found, strict=True)):
+            ids = np.array(e.ids, "<u4")
+            marks = np.flatnonzero(self.mark[ids])
+            upto = np.cumsum(words[k * JOINED_UNITS : k * JOINED_UNITS + len(part)])
+            if len(marks) != upto[-1] or not self.by_ends and marks[0]:
+                rest += place[k * JOINED_UNITS : k * JOINED_UNITS + len(part)].tolist()
+                out += [None] * len(part)
+                continue
+            cuts = np.concatenate([[0], marks[upto - 1] + 1] if self.by_ends else [marks, [len(ids)]])
+            if self.counts:
+                out += np.diff(cuts).tolist()
+            else:
+                raw, at = ids.tobytes(), (4 * cuts).tolist()
+                out += [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
+        if not rest:
+            return out
+        all_: list = [None] * len(todo)
+        for i, v in zip(place.tolist(), out, strict=True):
+            all_[i] = v
+        for i, v in zip(rest, self._singly([" " + todo[i] for i in rest]), strict=True):
+            all_[i] = v
+        return all_
+
+    def _values(self, units: list[str]) -> list:
+        """The values of distinct units that follow a space, from the table or the library."""
+        values = list(map(self.known.get, units))
+        missing = [i for i, v in enumerate(values) if v is None]
+        if missing:
+            todo = [units[i] for i in missing]
+            found = self._joined(todo)
+            for i, v in zip(missing, found, strict=True):
+                values[i] = v
+            if len(self.known) + len(todo) > CACHED_UNITS:
+                self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+            if max(map(len, todo)) <= CACHED_CHARS:
+                self.known.update(zip(todo, found, strict=True))
+            else:
+                self.known.update((u, v) for u, v in zip(todo, found, strict=True) if len(u) <= CACHED_CHARS)
+        return values
+
+    def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """All units of the texts, in order, and where each text's begin (with the end)."""
+        unsafe = pc.match_substring_regex(texts, _UNSAFE)
+        if not pc.any(unsafe).as_py():
+            lists = pc.split_pattern(texts, " ")
+            return lists.values, lists.offsets.to_numpy()
+        parts = [_SAFE.split(t) if bad else t.split(" ") for t, bad in zip(texts.to_pylist(), unsafe.to_pylist(), strict=True)]
+        return pa.array([u for p in parts for u in p], pa.string()), np.cumsum([0, *map(len, parts)])
+
+    def arrays(self, texts: pa.Array) -> tuple[np.ndarray | None, np.ndarray]:
+        """Ids of all texts in a row and where each text's begin (with the end); without ids if only counts are kept.
+        A null is an empty text."""
+        gc.disable()  # many small objects, none in cycles
+        try:
+            return self._arrays(texts)
+        finally:
+            gc.enable()
+
+    def _arrays(self, texts: pa.Array) -> tuple[np.ndarray | None, np.ndarray]:
+        texts = pa.array(pc.fill_null(texts, "").to_pylist(), pa.string()) if texts.offset else pc.fill_null(texts, "")
+        if not len(texts):
+            return np.empty(0, "<u4"), np.zeros(1, np.int64)
+        units, at = self._units(texts)
+        coded = units.dictionary_encode()
+        index = coded.indices.to_numpy().copy()
+        values = self._values(coded.dictionary.to_pylist()) + self._singly(units.take(pa.array(at[:-1])).to_pylist())
+        index[at[:-1]] = np.arange(len(values) - len(texts), len(values))  # a text's first unit follows no space
+        if self.counts:
+            return None, np.concatenate([[0], np.cumsum(np.array(values, np.int64)[index])[at[1:] - 1]])
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        kind = np.int32 if sizes.sum() < 1 << 31 else np.int64
+        starts = (np.cumsum(sizes) - sizes).astype(kind)
+        lengths = sizes.astype(np.int32)[index]
+        ends = np.cumsum(lengths, dtype=np.int64)
+        kind = kind if ends[-1] < 1 << 31 else np.int64
+        pick = np.repeat((starts[index] - (ends - lengths)).astype(kind), lengths)
+        pick += np.arange(len(pick), dtype=kind)
+        return np.frombuffer(b"".join(values), "<u4")[pick], np.concatenate([[0], ends[at[1:] - 1]])
+
+    def encode(self, texts: pa.Array | list[str]) -> list:
         """For each text its ids as little-endian unsigned 32-bit integers, or their number."""
-        return [self._one(t) for t in texts]
-
-    def _one(self, text: str):
-        parts = []
-        for k, segment in enumerate(segments(text)):
-            us = units(segment)
-            if k == 0:
-                head = us[:1]
-                parts.append(self._learn(self.first, set(head), "")[head[0]])
-                us = us[1:]
-            if us:
-                table = self._learn(self.inner, set(us), " ")
-                parts.append(sum(map(table.__getitem__, us)) if self.counts else b"".join(map(table.__getitem__, us)))
-        return sum(parts) if self.counts else b"".join(parts)
-
-
-class Chained:
-    """Looks a unit up in two tables."""
-
-    def __init__(self, table: dict, more: dict):
-        self.table, self.more = table, more
-
-    def __getitem__(self, unit: str):
-        found = self.more.get(unit)
-        return self.table[unit] if found is None else found
+        ids, at = self.arrays(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        if self.counts:
+            return np.diff(at).tolist()
+        raw, at = ids.tobytes(), (4 * at).tolist()
+        return [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
 
 
 _ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
