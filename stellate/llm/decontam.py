@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import by_bytes
+from stellate.llm.common import bounded_batches, by_bytes
 
 #: Word positions of the masks.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
@@ -155,7 +155,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     text, item, *rest = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array([ids[i] for i in item]), *(pa.array(x, pa.int64()) for x in rest)], ["id", "item", "start", "n_words", "n_equal"])
 
-        part = src.mapInArrow(run, schema)
+        part = bounded_batches(src).mapInArrow(run, schema)
         out = part if out is None else out.union(part)
     if out is None:
         out = src.limit(0).select("id", F.lit(None).cast(item_kind).alias("item"), *(F.lit(0).cast("long").alias(c) for c in ("start", "n_words", "n_equal")))
@@ -176,5 +176,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 keep[[r[0] for r in sent.value.overlaps(*words_of(b.column(place)))]] = False
                 yield b if keep.all() else b.filter(pa.array(keep))
 
-        out = out.mapInArrow(run, schema)
+        out = bounded_batches(out).mapInArrow(run, schema)
     return out

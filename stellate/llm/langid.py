@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import by_bytes
+from stellate.llm.common import bounded_batches, by_bytes
 
 WINDOW = 256
 WIDTHS = (2, 3, 4, 5)
@@ -146,7 +146,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["lang", "h", "row"])
 
-    sample = known.filter(F.col("h") / F.lit(float(1 << 63)) <= least).mapInArrow(run, "lang string, h long, row binary")
+    sample = bounded_batches(known).filter(F.col("h") / F.lit(float(1 << 63)) <= least).mapInArrow(run, "lang string, h long, row binary")
     by: dict[str, dict[int, list[bytes]]] = {lang: {} for lang in labels}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["row"])):
         by[r["lang"]].setdefault(r["h"], []).append(bytes(r["row"]))
@@ -186,4 +186,4 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
                     langs[i] = lang
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(langs, pa.string()), pa.array(scores)], ["id", "held_out", "lang_pred", "score"])
 
-    return src.mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return bounded_batches(src).mapInArrow(run, f"id {kind}, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellate.llm import golay
-from stellate.llm.common import by_bytes, cut, row_key
+from stellate.llm.common import bounded_batches, by_bytes, cut, row_key
 from stellate.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -52,7 +52,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["id", "key", "fp"])
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, key long, fp long")
+    return bounded_batches(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, key long, fp long")
 
 
 def _stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,10 +146,9 @@ def links(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
     def keyed(batches):
         for b in batches:
             f = b.column(0).to_numpy()
-            for i in range(0, len(f), 20_000):
-                rows, keys = golay.keys(f[i : i + 20_000].view(np.uint64))
-                order = np.unique(np.stack([keys, rows]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(order[0]), pa.array(f[i + order[1]])], ["key", "fp"])
+            for i in range(0, len(f), 2_000):
+                rows, keys = golay.keys(f[i : i + 2_000].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(f[i + rows])], ["key", "fp"])
 
     def solved(df, limit):
         return df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda batches: bucket_links(batches, limit), _LINKS)

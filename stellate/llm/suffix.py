@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import by_bytes, cut, fresh_path, remove_path, row_key
+from stellate.llm.common import bounded_batches, by_bytes, cut, fresh_path, remove_path, row_key
 
 LENGTH, WINDOW, GRAM = 400, 256, 8
 HOT = 20_000
@@ -268,7 +268,7 @@ def repeated_intervals(keyed: DataFrame, length: int = LENGTH, window: int = WIN
         raise ValueError("a window and a gram must fit into the length")
     spark = keyed.sparkSession
     path = fresh_path(spark, "families")
-    keyed.select("key", "text").mapInArrow(_find(length, window), _FAMILY).write.parquet(path)
+    bounded_batches(keyed).select("key", "text").mapInArrow(_find(length, window), _FAMILY).write.parquet(path)
     all_ = spark.read.parquet(path)
     twice = all_.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
     some = fresh_path(spark, "repeats")
@@ -358,9 +358,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     kind = keyed.schema["id"].dataType.simpleString()
     src = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
     if digest:
-        out = src.mapInArrow(_hashed, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        out = bounded_batches(src).mapInArrow(_hashed, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     else:
-        out = src.mapInArrow(_removal, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+        out = bounded_batches(src).mapInArrow(_removal, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
