@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import row_key
+from stellate.llm.common import cut, row_key
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -108,9 +108,10 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
     """The rows that quality_rules keeps, without the lines above the limit; the columns are those of `docs`."""
     lost = removed_lines(docs, id_col, text_col, host_col, min_docs, max_share).groupBy("key").agg(F.sum("chars").alias("_lost"), F.max("total").alias("_total"), F.collect_set("line").alias("_gone"))
-    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
-    passed = base_counts(whole, "text").filter(~F.col("base_failed")).select("row", row_key(f"row.{id_col}", f"row.{text_col}").alias("_key"))
-    both = passed.join(lost.withColumnRenamed("key", "_key"), "_key", "left").filter(~F.coalesce(2 * F.col("_lost") > F.col("_total"), F.lit(False))).select("row.*", "_gone")
+    base = base_counts(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text").select(row_key("id", "text").alias("key"), "base_failed")
+    # cut here, as a filter on base_failed would be pushed below the steps that it is made of and evaluated anew for each word
+    passed = cut(base.distinct()).filter(~F.col("base_failed")).join(lost, "key", "left").filter(~F.coalesce(2 * F.col("_lost") > F.col("_total"), F.lit(False)))
+    both = docs.withColumn("_key", row_key(id_col, text_col)).join(passed.select(F.col("key").alias("_key"), "_gone"), "_key")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains(F.col("_gone"), line_hash(normalised(x)))), "\n")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
     return both.withColumn(text_col, text).select(*[F.length(text_col).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
