@@ -44,10 +44,16 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
+def settled(df: DataFrame, per_core: int = 4) -> DataFrame:
+    """At most so many tasks, and so files, for each core of the cluster: small results of wide shuffles don't become
+    thousands of tiny files."""
+    return df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return settled(df).checkpoint(eager=True)
 
 
 def row_key(id_col: str, text_col: str) -> Column:

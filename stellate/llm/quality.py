@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import cut, row_key
+from stellate.llm.common import cut, row_key, settled
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -47,20 +47,29 @@ def line_hash(line: Column) -> Column:
 def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and base_failed; a null text has no words.
 
-    n_repeat_words: positions of each text's 3-word windows are sorted by window hash, windows equal to a neighbour
-    keep their positions, and the words that these cover are counted.
+    n_repeat_words: a long for each 3-word window, its hash with the low bits replaced by its position, is sorted;
+    neighbours with one hash keep their positions, and the words that these cover are counted. 52 bits of the hash are
+    left in texts of up to 4,096 words, 48 up to 65,536; longer ones sort whole hashes beside the positions.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words, lines, sorted_, at = (F.col(c) for c in ("_words", "_lines", "_sorted", "_at"))
+    words, lines, keys, at = (F.col(c) for c in ("_words", "_lines", "_keys", "_at"))
     one = docs.withColumns({"_words": words_of(text), "_lines": lines_of(text), "word_chars": F.length(F.translate(text, WHITE, "")).cast("long"), "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long")})
-    grams = F.transform(F.slice(words, F.lit(1), F.greatest(F.size(words) - 2, F.lit(0))), lambda w, i: F.struct(F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("p")))
-    two = one.withColumns({"n_words": F.size(words).cast("long"), "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"), "_sorted": F.sort_array(grams)})
-    same = lambda g, i: F.coalesce(F.get(sorted_, i)["h"] == g["h"], F.lit(False))
-    three = two.withColumn("_at", F.sort_array(F.transform(F.filter(sorted_, lambda g, i: same(g, i - 1) | same(g, i + 1)), lambda g: g["p"])))
+    n = F.size(words)
+    mask = F.when(n <= 1 << 12, F.lit(-(1 << 12))).otherwise(F.lit(-(1 << 16))).cast("long")
+    starts = F.slice(words, F.lit(1), F.greatest(n - 2, F.lit(0)))
+    gram = lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))
+    packed = F.when(n <= 1 << 16, F.sort_array(F.transform(starts, lambda w, i: gram(w, i).bitwiseAND(F.col("_mask")).bitwiseOR(i.cast("long")))))
+    pairs = F.when(n > 1 << 16, F.sort_array(F.transform(starts, lambda w, i: F.struct(gram(w, i).alias("h"), i.alias("p")))))
+    two = one.withColumns({"_mask": mask, "n_words": n.cast("long"), "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")}).withColumns({"_keys": packed, "_pairs": pairs})
+    same = lambda x, y: x.bitwiseXOR(y).bitwiseAND(F.col("_mask")) == 0
+    short = F.transform(F.filter(keys, lambda x, i: same(x, F.get(keys, i + 1)) | same(x, F.get(keys, i - 1))), lambda x: x.bitwiseAND(F.bitwise_not("_mask")).cast("int"))
+    whole = F.col("_pairs")
+    long = F.transform(F.filter(whole, lambda x, i: (x["h"] == F.get(whole, i + 1)["h"]) | (x["h"] == F.get(whole, i - 1)["h"])), lambda x: x["p"])
+    three = two.withColumn("_at", F.sort_array(F.when(n <= 1 << 16, short).otherwise(long)))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-3).alias("last"))
     four = three.withColumn("n_repeat_words", F.aggregate(at, start, lambda acc, p: F.struct((acc["n"] + F.least(F.lit(3), p - acc["last"])).alias("n"), p.alias("last")), lambda acc: acc["n"]))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return four.withColumn("base_failed", failed).drop("_words", "_lines", "_sorted", "_at")
+    return four.withColumn("base_failed", failed).drop("_words", "_lines", "_mask", "_keys", "_pairs", "_at")
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
@@ -84,7 +93,7 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int = LINE_MIN_
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
     """(key, line, chars, total): the lines that each document loses. A common line is dealt over salted keys."""
-    lines = document_lines(docs, id_col, text_col, host_col)
+    lines = cut(document_lines(docs, id_col, text_col, host_col))  # read twice, and far smaller than the texts
     hosts = docs.groupBy(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
     frequent = frequent_lines(lines, hosts, min_docs, max_share).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = lines.select("key", "host", "line", "chars", "total", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
@@ -102,7 +111,7 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     lost = removed_lines(docs, id_col, text_col, host_col, min_docs, max_share).groupBy("key").agg(F.sum("chars").alias("removed_chars"), F.max("total").alias("line_chars"))
     both = base.join(lost, "key", "left").withColumn("removed_chars", F.coalesce("removed_chars", F.lit(0).cast("long")))
     depleted = F.coalesce(2 * F.col("removed_chars") > F.col("line_chars"), F.lit(False))
-    return both.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"))
+    return settled(both).select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_chars", (~F.col("base_failed") & ~depleted).alias("kept"))
 
 
 def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
@@ -114,4 +123,4 @@ def apply_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     both = docs.withColumn("_key", row_key(id_col, text_col)).join(passed.select(F.col("key").alias("_key"), "_gone"), "_key")
     left = F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains(F.col("_gone"), line_hash(normalised(x)))), "\n")
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(left)
-    return both.withColumn(text_col, text).select(*[F.length(text_col).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])
+    return settled(both).withColumn(text_col, text).select(*[F.length(text_col).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes])

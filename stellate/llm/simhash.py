@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellate.llm import golay
-from stellate.llm.common import bounded_batches, by_bytes, cut, row_key
+from stellate.llm.common import bounded_batches, by_bytes, cut, row_key, settled
 from stellate.llm.components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = distinct.join(near, "fp").select("fp", "component", "first")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     named = distinct.join(linked.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("rep"))
-    return rows.join(named, "fp").select("id", "key", "fp", F.col("rep.id").alias("component_id"), F.col("rep.key").alias("rep_key"))
+    return settled(rows.join(named, "fp")).select("id", "key", "fp", F.col("rep.id").alias("component_id"), F.col("rep.key").alias("rep_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -186,4 +186,4 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = docs.withColumn("_key", row_key(id_col, text_col)).join(keep.select("_key"), "_key", "left_semi")
     if not keep.filter("_n > 1").isEmpty():
         kept = kept.dropDuplicates(["_key"])
-    return kept.select(*docs.columns)
+    return settled(kept).select(*docs.columns)

@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, by_bytes, cut, fresh_path, remove_path, row_key
+from stellate.llm.common import bounded_batches, by_bytes, cut, fresh_path, remove_path, row_key, settled
 
 LENGTH, WINDOW, GRAM = 400, 256, 8
 HOT = 20_000
@@ -268,11 +268,11 @@ def repeated_intervals(keyed: DataFrame, length: int = LENGTH, window: int = WIN
         raise ValueError("a window and a gram must fit into the length")
     spark = keyed.sparkSession
     path = fresh_path(spark, "families")
-    bounded_batches(keyed).select("key", "text").mapInArrow(_find(length, window), _FAMILY).write.parquet(path)
+    bounded_batches(keyed).select("key", "text").mapInArrow(_find(length, window), _FAMILY).transform(settled).write.parquet(path)
     all_ = spark.read.parquet(path)
     twice = all_.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
     some = fresh_path(spark, "repeats")
-    all_.join(twice, "core", "left_semi").write.parquet(some)
+    all_.join(twice, "core", "left_semi").transform(settled).write.parquet(some)
     remove_path(spark, path)
     release(spark)
     cand = spark.read.parquet(some)
@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_intervals(keyed, length, **limits)
     kind = keyed.schema["id"].dataType.simpleString()
-    src = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
+    src = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans").transform(settled)
     if digest:
         out = bounded_batches(src).mapInArrow(_hashed, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     else:
@@ -370,7 +370,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_intervals(keyed, length, **limits)
     rest = [c for c in docs.columns if c != text_col]
-    src = docs.withColumn("_key", row_key(id_col, text_col)).join(spans.withColumnRenamed("key", "_key").hint("shuffle_hash"), "_key", "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col), "spans")
+    src = docs.withColumn("_key", row_key(id_col, text_col)).join(spans.withColumnRenamed("key", "_key").hint("shuffle_hash"), "_key", "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col), "spans").transform(settled)
     kind = src.schema["rest"].dataType.simpleString()
 
     def run(batches):
