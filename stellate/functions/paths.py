@@ -7,8 +7,8 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Extensions of C and C++ sources and headers.
-SOURCE_EXTENSIONS = (".c", ".cc", ".cpp", ".cxx", ".c++", ".h", ".hh", ".hpp", ".hxx", ".h++", ".inl", ".ipp")
+#: Extensions of the sources that a graph is built from.
+SOURCE_EXTENSIONS = (".cpp", ".cc", ".cxx", ".c", ".cu", ".h", ".hpp", ".hh", ".hxx", ".ipp", ".inl", ".cuh")
 
 
 def slashed(path: Column) -> Column:
