@@ -370,7 +370,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_intervals(keyed, length, **limits)
     rest = [c for c in docs.columns if c != text_col]
-    src = docs.withColumn("_key", row_key(id_col, text_col)).join(spans.withColumnRenamed("key", "_key").hint("shuffle_hash"), "_key", "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col), "spans").transform(settled)
+    src = docs.withColumn("_key", row_key(id_col, text_col)).join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).hint("shuffle_hash"), "_key", "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col), "_spans").transform(settled)
     kind = src.schema["rest"].dataType.simpleString()
 
     def run(batches):
@@ -380,7 +380,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             live = [not h or bool(t.split()) for h, t in zip(hit, kept, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(hit)], ["rest", "text", "hit"]).filter(pa.array(live))
 
-    out = src.select(F.col("rest").alias("id"), F.col(text_col).cast("binary").alias("text"), "spans").mapInArrow(run, f"rest {kind}, text string, hit boolean")
+    out = src.select(F.col("rest").alias("id"), F.col(text_col).cast("binary").alias("text"), "_spans").mapInArrow(run, f"rest {kind}, text string, hit boolean")
     new = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("hit"), F.length("text")).otherwise(F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType)
