@@ -115,7 +115,7 @@ class CodeGraph:
         d = self.degrees(kind, exclude_tests, include_paths, exclude_paths)
         total = d.agg(F.count(F.lit(1)).alias("total"))
         named = d.join(self.symbols.select("id", "symbol"), "id").select("symbol", "n")
-        return named.orderBy(F.desc("n"), "symbol").limit(limit).crossJoin(F.broadcast(total))  # total is one row
+        return named.orderBy(F.desc("n"), "symbol").limit(limit).crossJoin(F.broadcast(total)).orderBy(F.desc("n"), "symbol")  # total is one row
 
 
 def filtered(edges: DataFrame, exclude_tests: bool = False, include_paths=None, exclude_paths=None) -> DataFrame:
