@@ -15,13 +15,12 @@ import gc
 import json
 import os
 import re
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHED_UNITS = 500_000
+CACHED_UNITS = 1_000_000
 CACHED_CHARS = 48
 JOINED_UNITS = 500
 
@@ -65,59 +64,67 @@ class UnitEncoder:
         self.by_ends = bool(suffix)
         self.mark = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.mark[[i for t, i in vocab.items() if (t.endswith(suffix) if suffix else t.startswith("\u0120"))]] = True
-        self.known: dict[str, bytes | int] = {}
+        self.known = pa.array([], pa.string())  # cached units, their numbers of ids, and these in a row
+        self.sizes = np.empty(0, np.int64)
+        self.flat = np.empty(0, "<u4")
 
-    def _singly(self, texts: list[str]) -> list:
+    def _singly(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of ids, ids in a row) of texts by themselves."""
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [len(e) for e in found] if self.counts else [np.array(e.ids, "<u4").tobytes() for e in found]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return sizes, self.flat[:0] if self.counts else np.array([i for e in found for i in e.ids], "<u4")
 
-    def _joined(self, todo: list[str]) -> list:
-        """The values of units that follow a space."""
+    def _joined(self, todo: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(units, numbers of ids, ids in a row) of units that follow a space, perhaps in another order."""
         words = np.array(list(map(_words, todo)) if self.by_ends else [" " not in u for u in todo], np.int64)
-        place = np.flatnonzero(words)
-        plain = todo if len(place) == len(todo) else [todo[i] for i in place]
-        rest, words, out = np.flatnonzero(words == 0).tolist(), words[place], []
+        plain = todo if words.all() else [todo[i] for i in np.flatnonzero(words)]
+        rest, words = [todo[i] for i in np.flatnonzero(words == 0)], words[words > 0]
         parts = [plain[i : i + JOINED_UNITS] for i in range(0, len(plain), JOINED_UNITS)]
         found = self.tokenizer.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False)
+        done, sizes, flat = [], [], []
         for k, (part, e) in enumerate(zip(parts, found, strict=True)):
             ids = np.array(e.ids, "<u4")
             marks = np.flatnonzero(self.mark[ids])
             upto = np.cumsum(words[k * JOINED_UNITS : k * JOINED_UNITS + len(part)])
             if len(marks) != upto[-1] or not self.by_ends and marks[0]:
-                rest += place[k * JOINED_UNITS : k * JOINED_UNITS + len(part)].tolist()
-                out += [None] * len(part)
+                rest += part
                 continue
-            cuts = np.concatenate([[0], marks[upto - 1] + 1] if self.by_ends else [marks, [len(ids)]])
-            if self.counts:
-                out += np.diff(cuts).tolist()
-            else:
-                raw, at = ids.tobytes(), (4 * cuts).tolist()
-                out += [raw[i:j] for i, j in zip(at, at[1:], strict=False)]
-        if not rest:
-            return out
-        all_: list = [None] * len(todo)
-        for i, v in zip(place.tolist(), out, strict=True):
-            all_[i] = v
-        for i, v in zip(rest, self._singly([" " + todo[i] for i in rest]), strict=True):
-            all_[i] = v
-        return all_
-
-    def _values(self, units: list[str]) -> list:
-        """The values of distinct units that follow a space, from the table or the library."""
-        values = list(map(self.known.get, units))
-        missing = [i for i, v in enumerate(values) if v is None]
-        if missing:
-            todo = [units[i] for i in missing]
-            found = self._joined(todo)
-            for i, v in zip(missing, found, strict=True):
-                values[i] = v
-            if len(self.known) + len(todo) > CACHED_UNITS:
-                self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-            if max(map(len, todo)) <= CACHED_CHARS:
-                self.known.update(zip(todo, found, strict=True))
-            else:
-                self.known.update((u, v) for u, v in zip(todo, found, strict=True) if len(u) <= CACHED_CHARS)
-        return values
+            done += part
+            sizes.append(np.diff(np.concatenate([[0], marks[upto - 1] + 1] if self.by_ends else [marks, [len(ids)]])))
+            flat.append(ids)
+        if rest:
+            more, ids = self._singly([" " + u for u in rest])
+            done += rest
+            sizes.append(more)
+            flat.append(ids)
+        return done, np.concatenate(sizes), self.flat[:0] if self.counts else np.concatenate(flat)
+
+    def _values(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of ids, where they begin, ids) of distinct units that follow a space."""
+        at = pc.fill_null(pc.index_in(units, value_set=self.known), -1).to_numpy().astype(np.int64)
+        sizes, flat = self.sizes, self.flat
+        if (at < 0).any():
+            done, new, ids = self._joined(units.filter(pa.array(at < 0)).to_pylist())
+            added = pa.array(done, pa.string())
+            fresh = pc.index_in(units, value_set=added) if len(done) else None
+            at = np.where(at < 0, pc.fill_null(fresh, 0).to_numpy() + len(sizes), at)
+            sizes, flat = np.concatenate([sizes, new]), np.concatenate([flat, ids])
+            self._keep(added, new, ids)
+        starts = np.cumsum(sizes) - sizes
+        return sizes[at], starts[at], flat
+
+    def _keep(self, units: pa.Array, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """Add short units to the table; drop its older half when it is full."""
+        short = pc.less_equal(pc.utf8_length(units), CACHED_CHARS)
+        if not pc.all(short, min_count=0).as_py():
+            mask = short.to_numpy(zero_copy_only=False)
+            units, ids = units.filter(short), ids if self.counts else ids[np.repeat(mask, sizes)]
+            sizes = sizes[mask]
+        drop = len(self.known) // 2 if len(self.known) + len(units) > CACHED_UNITS else 0
+        gone = 0 if self.counts else int(self.sizes[:drop].sum())
+        self.known = pa.concat_arrays([self.known[drop:], units])
+        self.sizes = np.concatenate([self.sizes[drop:], sizes])
+        self.flat = np.concatenate([self.flat[gone:], ids])
 
     def _units(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         """All units of the texts, in order, and where each text's begin (with the end)."""
@@ -144,19 +151,20 @@ class UnitEncoder:
         units, at = self._units(texts)
         coded = units.dictionary_encode()
         index = coded.indices.to_numpy().copy()
-        values = self._values(coded.dictionary.to_pylist()) + self._singly(units.take(pa.array(at[:-1])).to_pylist())
-        index[at[:-1]] = np.arange(len(values) - len(texts), len(values))  # a text's first unit follows no space
-        if self.counts:
-            return None, np.concatenate([[0], np.cumsum(np.array(values, np.int64)[index])[at[1:] - 1]])
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        kind = np.int32 if sizes.sum() < 1 << 31 else np.int64
-        starts = (np.cumsum(sizes) - sizes).astype(kind)
+        sizes, starts, flat = self._values(coded.dictionary)
+        first, ids = self._singly(units.take(pa.array(at[:-1])).to_pylist())
+        index[at[:-1]] = np.arange(len(sizes), len(sizes) + len(first))  # a text's first unit follows no space
+        starts = np.concatenate([starts, len(flat) + np.cumsum(first) - first])
+        sizes, flat = np.concatenate([sizes, first]), np.concatenate([flat, ids])
         lengths = sizes.astype(np.int32)[index]
         ends = np.cumsum(lengths, dtype=np.int64)
-        kind = kind if ends[-1] < 1 << 31 else np.int64
+        upto = np.concatenate([[0], ends[at[1:] - 1]])
+        if self.counts:
+            return None, upto
+        kind = np.int32 if max(len(flat), ends[-1]) < 1 << 31 else np.int64
         pick = np.repeat((starts[index] - (ends - lengths)).astype(kind), lengths)
         pick += np.arange(len(pick), dtype=kind)
-        return np.frombuffer(b"".join(values), "<u4")[pick], np.concatenate([[0], ends[at[1:] - 1]])
+        return flat[pick], upto
 
     def encode(self, texts: pa.Array | list[str]) -> list:
         """For each text its ids as little-endian unsigned 32-bit integers, or their number."""
