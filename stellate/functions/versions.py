@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
+import time
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +36,18 @@ def version_tuple(text: str | None) -> tuple[int, ...]:
     return tuple(out)
 
 
+def read_registry(path: str, max_age: float | None = 86_400) -> dict | None:
+    """A version registry that was saved as JSON, or None if it is missing, unreadable or older than max_age seconds."""
+    p = Path(path)
+    try:
+        if max_age is not None and time.time() - p.stat().st_mtime > max_age:
+            return None
+        found = json.loads(p.read_text())
+    except (OSError, ValueError):
+        return None
+    return found if isinstance(found, dict) else None
+
+
 def level_rank(level: Column) -> Column:
     return F.coalesce(F.array_position(F.array(*map(F.lit, LEVELS)), level) - 1, F.lit(0)).cast("long")
 

@@ -12,6 +12,7 @@ import datetime
 import json
 import uuid
 from dataclasses import dataclass
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -157,6 +158,16 @@ def load(spark: SparkSession, path: str, version: str | None = None, by: str = "
     return graph
 
 
+def discover(start: str = ".") -> str | None:
+    """The newest store in a .stellate folder of the folder or of one above it; a driver-side search."""
+    here = Path(start).resolve()
+    for d in (here, *here.parents):
+        found = sorted((d / ".stellate").glob("*/CURRENT"), key=lambda p: p.stat().st_mtime)
+        if found:
+            return str(found[-1].parent)
+    return None
+
+
 class ReloadingStore:
     """Gives the graph of the current version, read anew when that has moved."""
 

@@ -10,6 +10,7 @@ from stellate.functions.symbols import display_label, is_noise, is_trivial_calle
 from stellate.plans import traverse
 from stellate.plans.graph import HOTSPOT_KINDS, CodeGraph, filtered
 from stellate.schema import CALLS, INHERITS
+from stellate.sources import snippets
 
 DEFAULT_LIMIT, EXPLAIN_LIMIT = 40, 10
 
@@ -37,10 +38,10 @@ def ambiguity(graph: CodeGraph, query: str, limit: int = 10) -> tuple[str | None
     return None, reply(found, limit, ["file", "line", "symbol"], ambiguous=many, query=query, hint=hint)
 
 
-def find(graph: CodeGraph, query: str, limit: int = DEFAULT_LIMIT, hide_trivial: bool = False, include_paths=None, exclude_paths=None) -> DataFrame:
+def find(graph: CodeGraph, query: str, limit: int = DEFAULT_LIMIT, hide_trivial: bool = False, include_paths=None, exclude_paths=None, root: str | None = None) -> DataFrame:
     """Groups of overloads: total (matches), groups, truncated, relaxed (null, fuzzy or leaf), trivial_hidden, results.
 
-    Where nothing matches exactly, fuzzy matches are shown, else matches of the last name of a qualified query. The cap is
+    With a root, members of groups in the first `limit` files carry the signature at their definition. Where nothing matches exactly, fuzzy matches are shown, else matches of the last name of a qualified query. The cap is
     on groups; groups come in the order of their first match."""
     leaf = loosen_to_leaf(query)
     tries = [(query, False, None), (query, True, "fuzzy"), *([(leaf, False, "leaf"), (leaf, True, "leaf")] if leaf else [])]
@@ -56,6 +57,10 @@ def find(graph: CodeGraph, query: str, limit: int = DEFAULT_LIMIT, hide_trivial:
         found = found.filter(~is_noise(F.col("symbol")))
     if include_paths or exclude_paths:
         found = found.filter(path_ok(F.col("file"), include_paths, exclude_paths))
+    if root is not None:
+        spark = graph.symbols.sparkSession
+        shown = [r["file"] for r in found.filter("file is not null").select("file").distinct().orderBy("file").limit(limit).collect()]
+        found = snippets.signatures(snippets.source_lines(spark, root, shown), found)
     groups = overload_groups(found)
     total = found.agg(F.count(F.lit(1)).alias("matches"))
     out = reply(groups, limit, ["first"], query=query, relaxed=relaxed, relaxed_query=leaf if relaxed == "leaf" else None, trivial_hidden=hidden)
@@ -64,7 +69,18 @@ def find(graph: CodeGraph, query: str, limit: int = DEFAULT_LIMIT, hide_trivial:
 
 def overload_groups(nodes: DataFrame) -> DataFrame:
     """(qualified, overloads, first, signatures): symbols that share a qualified name."""
-    return nodes.groupBy(qualified_name(F.col("symbol")).alias("qualified")).agg(F.count(F.lit(1)).alias("overloads"), F.min("symbol").alias("first"), F.sort_array(F.collect_list(F.struct("symbol", "file", "line"))).alias("signatures"))
+    return nodes.groupBy(qualified_name(F.col("symbol")).alias("qualified")).agg(F.count(F.lit(1)).alias("overloads"), F.min("symbol").alias("first"), F.sort_array(F.collect_list(F.struct("symbol", "file", "line", *(c for c in ("signature",) if c in nodes.columns)))).alias("signatures"))
+
+
+def _source(graph: CodeGraph, sites: DataFrame, root: str, context: int, limit: int) -> DataFrame:
+    """One row, source: the merged windows around the first `limit` sites (file, line), grouped by file."""
+    few = sites.filter("file is not null and line is not null").orderBy("file", "line").limit(limit)
+    rows = few.select("file", "line").collect()  # bounded by limit
+    spark = graph.symbols.sparkSession
+    lines = snippets.source_lines(spark, root, sorted({r["file"] for r in rows}))
+    found = snippets.merged_source(lines, spark.createDataFrame([tuple(r) for r in rows], "file string, line int"), context)
+    per = found.groupBy("file").agg(F.sort_array(F.collect_list(F.struct("line1", "text", "is_use"))).alias("lines"))
+    return per.agg(F.sort_array(F.collect_list(F.struct("file", "lines"))).alias("source"))
 
 
 def _edges(graph: CodeGraph, query: str, near: str, limit: int, full_symbols: bool, exclude_tests: bool, hide_trivial: bool, include_paths, exclude_paths) -> DataFrame:
@@ -105,13 +121,15 @@ def subtypes(graph: CodeGraph, query: str, limit: int = DEFAULT_LIMIT, full_symb
     return _types(graph, query, False, limit, full_symbols)
 
 
-def references(graph: CodeGraph, query: str, limit: int = DEFAULT_LIMIT, exclude_tests: bool = True, include_paths=None, exclude_paths=None) -> DataFrame:
+def references(graph: CodeGraph, query: str, limit: int = DEFAULT_LIMIT, exclude_tests: bool = True, include_paths=None, exclude_paths=None, root: str | None = None, context: int = 0) -> DataFrame:
+    """Use sites; with a root also source, the lines around those that are shown."""
     symbol, other = ambiguity(graph, query)
     if symbol is None:
         return other
     available = graph.refs is not None and not graph.refs.isEmpty()
     r = graph.references(symbol, exclude_tests, include_paths, exclude_paths)
-    return reply(r.select("file", line1(F.col("line")).alias("line"), short_label(F.col("enclosing")).alias("used_by")), limit, ["file", "line"], symbol=symbol, available=available)
+    out = reply(r.select("file", line1(F.col("line")).alias("line"), short_label(F.col("enclosing")).alias("used_by")), limit, ["file", "line"], symbol=symbol, available=available)
+    return out if root is None else out.crossJoin(_source(graph, r, root, context, limit))  # one row each
 
 
 def call_path(graph: CodeGraph, src: str, dst: str) -> DataFrame:
@@ -161,12 +179,13 @@ def hotspots(graph: CodeGraph, limit: int = DEFAULT_LIMIT, kind: str = "fan_in",
     return reply(d.select(F.col("symbol").alias("key"), name.alias("symbol"), "file", line1(F.col("line")).alias("line"), "n"), limit, [F.desc("n"), "key"], kind=kind)
 
 
-def explain(graph: CodeGraph, symbol: str, limit: int = EXPLAIN_LIMIT, full_symbols: bool = False, exclude_tests: bool = True, hide_trivial: bool = False) -> DataFrame:
-    """One row: the node's site, callers and callees, each capped."""
+def explain(graph: CodeGraph, symbol: str, limit: int = EXPLAIN_LIMIT, full_symbols: bool = False, exclude_tests: bool = True, hide_trivial: bool = False, root: str | None = None, context: int = 3) -> DataFrame:
+    """One row: the node's site, callers and callees, each capped; with a root also the source around the site."""
     node = graph.get_node(symbol).select(F.struct("symbol", "display_name", "file", line1(F.col("line")).alias("line")).alias("node"))
     one = _edges(graph, symbol, "dst_id", limit, full_symbols, exclude_tests, False, None, None)
     two = _edges(graph, symbol, "src_id", limit, full_symbols, exclude_tests, hide_trivial, None, None)
-    return node.crossJoin(one.select(F.struct(*one.columns).alias("callers"))).crossJoin(two.select(F.struct(*two.columns).alias("callees")))  # one row each
+    out = node.crossJoin(one.select(F.struct(*one.columns).alias("callers"))).crossJoin(two.select(F.struct(*two.columns).alias("callees")))  # one row each
+    return out if root is None else out.crossJoin(_source(graph, graph.get_node(symbol), root, context, 1))
 
 
 def usage_by_file(graph: CodeGraph, symbol: str) -> DataFrame:

@@ -83,3 +83,20 @@ def summarize(entries: DataFrame, src_filter: str | None = None, depth: int = 2,
         m = f.filter(F.col("file").contains(src_filter))
         out["matched"], out["matched_tests"] = m.agg(F.count(F.lit(1)), F.count_if("test")).first()
     return out
+
+
+def write_compdb(entries: DataFrame, path: str) -> None:
+    """The entries as JSON lines, for the front-end's wrapper to join."""
+    entries.write.mode("overwrite").json(path)
+
+
+def format_summary(s: dict) -> str:
+    """The summary as text."""
+    share = f", {round(100 * s['tests'] / s['total'])}%" if s["total"] else ""
+    lines = [f"{s['total']} translation unit(s), {s['tests']} test(s){share}"]
+    if s["common_prefix"]:
+        lines.append(f"under {s['common_prefix']}/")
+    lines += [f"{n:>6} {t:>6}  {key}" for key, n, t in s["groups"]]
+    if "matched" in s:
+        lines.append(f"the filter keeps {s['matched']} ({s['matched_tests']} test(s))")
+    return "\n".join(lines)
