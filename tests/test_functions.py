@@ -34,11 +34,11 @@ def test_path_prefixes(spark, include, exclude, want):
 
 
 def test_labels(spark):
-    anonymous = "cxx . . $ `$anonymous_namespace_src/mongo/x.cpp`/mongo/SomeCase_Test#~SomeCase_Test(0a1b2c3d)."
-    plain = "cxx . . $ mongo/Foo#bar(abc)."
-    assert over(spark, [anonymous, plain, "odd"], symbols.short_label) == ["mongo/SomeCase_Test#~SomeCase_Test.", "mongo/Foo#bar(abc).", "odd"]
-    assert over(spark, [anonymous, plain], symbols.qualified_name) == ["mongo/SomeCase_Test#~SomeCase_Test", "mongo/Foo#bar"]
-    assert over(spark, [anonymous, plain, "cxx . . $ a/b/c()."], symbols.leaf_name) == ["~SomeCase_Test", "bar", "c"]
+    anonymous = "cxx . . $ `$anonymous_namespace_src/acme/x.cpp`/acme/Odd_Case#~Odd_Case(0a1b2c3d)."
+    plain = "cxx . . $ acme/Foo#bar(abc)."
+    assert over(spark, [anonymous, plain, "odd"], symbols.short_label) == ["acme/Odd_Case#~Odd_Case.", "acme/Foo#bar(abc).", "odd"]
+    assert over(spark, [anonymous, plain], symbols.qualified_name) == ["acme/Odd_Case#~Odd_Case", "acme/Foo#bar"]
+    assert over(spark, [anonymous, plain, "cxx . . $ a/b/c()."], symbols.leaf_name) == ["~Odd_Case", "bar", "c"]
     assert over(spark, ["x $ a/tassert(1234567).", "x $ N#operator==(aaaaaa).", "x $ domainWork().", "x $ a/Status#Status(bbbbbb)."], symbols.is_trivial_callee) == [True, True, False, True]
     assert over(spark, ["x $ $anonymous_type_7#", "x $ y()."], symbols.is_noise) == [True, False]
     assert over(spark, ["a().", "T#", "T# ", "local 3", "n/"], symbols.symbol_kind) == ["callable", "type", "other", "local", "other"]

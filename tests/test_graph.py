@@ -274,14 +274,14 @@ def test_freshness(spark):
 
 
 def test_compdb(spark, tmp_path):
-    files = ["/repo/src/mongo/db/a.cpp", "/repo/src/mongo/db/a_test.cpp", "/repo/src/mongo/s/b.cpp", "/repo/src/third_party/x.c", "/repo/src/top.cpp"]
+    files = ["/repo/src/acme/db/a.cpp", "/repo/src/acme/db/a_test.cpp", "/repo/src/acme/s/b.cpp", "/repo/src/third_party/x.c", "/repo/src/top.cpp"]
     p = tmp_path / "compile_commands.json"
     p.write_text(json.dumps([{"directory": "/b", "file": f} for f in files]))
     df = compdb.load_compdb(spark, str(p))
-    got = compdb.summarize(df, "src/mongo")
+    got = compdb.summarize(df, "src/acme")
     assert (got["total"], got["tests"], got["common_prefix"], got["matched"], got["matched_tests"]) == (5, 1, "/repo/src", 3, 1)
-    assert got["groups"][0] == ("mongo/db", 2, 1) and ("top.cpp", 1, 0) in got["groups"]
-    kept, n = compdb.filter_compdb(df, "mongo", True)
+    assert got["groups"][0] == ("acme/db", 2, 1) and ("top.cpp", 1, 0) in got["groups"]
+    kept, n = compdb.filter_compdb(df, "acme", True)
     assert kept.count() == 2 and n == {"kept": 2, "total": 5, "dropped_tests": 1}
     with pytest.raises(compdb.PipelineError):
         compdb.filter_compdb(df, "nowhere")
