@@ -103,19 +103,17 @@ class SeedIndex:
 
 
 def longest(same: np.ndarray) -> tuple[int, int, int]:
-    """(start, length, equal) of the longest stretch, first of its length, with 80 % or more equal that ends in equals."""
-    score = np.where(same, 5 - SAME_OF_FIVE, -SAME_OF_FIVE)
-    total = np.concatenate([[0], np.cumsum(score)])
-    low = np.minimum.accumulate(total)
-    first = np.searchsorted(-low, -total, "left")
-    length = np.arange(len(total)) - first
+    """(start, length, equal) of the longest stretch, first of its length, that begins and ends with equal words and has
+    80 % or more of them."""
+    if not same.any():
+        return 0, 0, 0
+    total = np.concatenate([[0], np.cumsum(np.where(same, 5 - SAME_OF_FIVE, -SAME_OF_FIVE))])
+    low = np.minimum.accumulate(np.where(same, total[:-1], len(same) + 1))  # over starts at equal words
+    first = np.searchsorted(-low, -total[1:], "left")
+    length = np.where(same, np.arange(1, len(total)) - first, 0)
     k = int(length.argmax())
-    i, j = int(first[k]), k
-    while i < j and not same[i]:
-        i += 1
-    while j > i and not same[j - 1]:
-        j -= 1
-    return i, j - i, int(same[i:j].sum())
+    i = int(first[k])
+    return i, k + 1 - i, int(same[i : k + 1].sum())
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):

@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op4_url_filters": sql.OP4}
+    return {"op2_quality_rules": sql.OP2, "op4_url_filters": sql.OP4, "op6_suffix_array_dedup": sql.OP6, "op10_decontamination": sql.OP10}

@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from stellate.llm import quality, urls
+from stellate.llm import decontam, quality, suffix, urls
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -55,3 +55,28 @@ def _q4() -> str:
 
 
 OP4 = _q4()
+
+
+_N = suffix.LENGTH
+OP6 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+ w AS (SELECT rid, i, md5(substr(h, 2 * i + 1, {2 * _N})) AS m FROM (SELECT rid, h, unnest(range(0, greatest(length(h) // 2 - {_N - 1}, 0))) AS i FROM d)),
+ again AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
+ hit AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM w WHERE m IN (SELECT m FROM again)),
+ run AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + {_N} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS g FROM hit),
+ span AS (SELECT rid, g, min(i) AS s, max(i) + {_N} AS e FROM run GROUP BY rid, g),
+ part AS (SELECT rid, lag(e, 1, 0) OVER (PARTITION BY rid ORDER BY s) AS a, s AS b FROM span UNION ALL SELECT rid, max(e), NULL FROM span GROUP BY rid),
+ kept AS (SELECT rid, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS k FROM part JOIN d USING (rid) GROUP BY rid),
+ sums AS (SELECT rid, sum(e - s) AS n, count(*) AS c FROM span GROUP BY rid)
+ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+ FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)"""
+
+OP10 = f"""WITH dw AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM (SELECT row_number() OVER () AS rid, * FROM documents)),
+ bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
+ dt AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS p FROM dw), bt AS (SELECT item_id, unnest(w) AS x, unnest(range(len(w))) AS j FROM bw WHERE len(w) >= {decontam.MIN_ITEM}),
+ met AS (SELECT rid, item_id, p - j AS o FROM dt JOIN bt USING (x) GROUP BY ALL HAVING count(*) >= {decontam.MIN_ITEM}),
+ al AS (SELECT rid, doc_id, item_id, o, len(bw.w) AS want, unnest(range(greatest(0, -o), least(len(bw.w), len(dw.w) - o))) AS j, dw.w AS d, bw.w AS b FROM met JOIN dw USING (rid) JOIN bw USING (item_id)),
+ sc AS (SELECT rid, doc_id, item_id, o, want, j, d[o + j + 1] = b[j + 1] AS same FROM al),
+ cu AS (SELECT *, sum(CASE WHEN same THEN {5 - decontam.SAME_OF_FIVE} ELSE -{decontam.SAME_OF_FIVE} END) OVER w AS total, sum(same::INT) OVER w AS eq FROM sc WINDOW w AS (PARTITION BY rid, item_id, o ORDER BY j)),
+ wi AS (SELECT a.rid, a.doc_id, a.item_id, a.o, a.want, a.j AS s, b.j - a.j + 1 AS n, b.eq - a.eq + 1 AS q FROM cu a JOIN cu b ON a.rid = b.rid AND a.item_id = b.item_id AND a.o = b.o AND a.j <= b.j WHERE a.same AND b.same AND b.total >= a.total - {5 - decontam.SAME_OF_FIVE}),
+ be AS (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY rid, item_id ORDER BY n DESC, q DESC, o, s) = 1)
+ SELECT doc_id, item_id, (o + s)::BIGINT AS start, n::BIGINT AS n_words, q::BIGINT AS n_equal, true AS contaminated FROM be WHERE n >= least(want, {decontam.MIN_OVERLAP})"""

@@ -61,7 +61,7 @@ def test_empty(spark, docs_of):
     assert quality.apply_quality(docs_of([(1, None)])).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op2_quality_rules", "op4_url_filters"])
+@pytest.mark.parametrize("name", ["op2_quality_rules", "op4_url_filters", "op6_suffix_array_dedup", "op10_decontamination"])
 def test_sql_agrees(spark, name):
     d = "/root/testdata/sf0.001"
     c = duckdb.connect()
