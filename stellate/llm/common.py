@@ -1,9 +1,7 @@
-"""What the text operators share: the shared folder, batches bounded by bytes, and small Arrow helpers."""
+"""What the text operators share: cuts, batches bounded by bytes, and small Arrow helpers."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,18 +9,11 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH_BYTES = 8 << 20
+from stellate.session import fresh_path, shared_root
 
+__all__ = ["bounded_batches", "by_bytes", "cut", "fresh_path", "int_lists", "remove_path", "row_key", "settled", "shared_root"]
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="stellate-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+BATCH_BYTES = 8 << 20
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
@@ -35,10 +26,6 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
@@ -61,11 +48,6 @@ def row_key(id_col: str, text_col: str) -> Column:
     return F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
 
 
-def texts_of(column: pa.Array | pa.ChunkedArray) -> list[str]:
-    """Python strings, null as empty."""
-    return [x or "" for x in column.to_pylist()]
-
-
 def by_bytes(batches: Iterable[pa.RecordBatch], column: str, limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut each batch so that a piece holds about `limit` bytes of `column`, or one row."""
     for batch in batches:

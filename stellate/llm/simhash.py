@@ -1,8 +1,14 @@
-"""SimHash near-duplicates: fingerprints of word shingles, Golay buckets, exact links of at most 3 bits, components."""
+"""SimHash near-duplicates: fingerprints of word shingles, Golay buckets, exact links within a radius, components.
+
+Two modes. NARROW: 64 bits (XXH64), links of at most 3 bits, all of which are found. WIDE: 128 bits (XXH3), links of at
+most 22 bits, about the distance of texts that share 0.8 of their shingles; buckets are made of the first 64 bits, and
+hold all links of which these differ in 6 bits or fewer and many others.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,69 +19,89 @@ from stellate.llm import golay
 from stellate.llm.common import bounded_batches, by_bytes, cut, row_key, settled
 from stellate.llm.components import components
 
-SHINGLE, SEED, RADIUS = 3, 42, 3
+SHINGLE, SEED = 3, 42
 MAX_BUCKET = 32_768
 SMALL_RUN = 16
 SHINGLE_BLOCK = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
-    """64-bit SimHash of UTF-8 bytes: ASCII lower case, words by ASCII white space, shingles of words with repeats.
+@dataclass(frozen=True)
+class Mode:
+    words: int  # of 64 bits
+    radius: int
+
+
+NARROW, WIDE = Mode(1, 3), Mode(2, 22)
+
+
+def fingerprint(text: bytes, shingle: int = SHINGLE, mode: Mode = NARROW) -> np.ndarray:
+    """SimHash of UTF-8 bytes, as 64-bit words: ASCII lower case, words by ASCII white space, shingles of words with
+    repeats.
 
     A text of fewer words has one shingle of all of them; one without words has the fingerprint 0. A bit is set if more
-    than half of the shingles' XXH64 have it.
+    than half of the shingles' hashes have it.
     """
-    from xxhash import xxh64_intdigest
+    from xxhash import xxh3_128_digest, xxh64_intdigest
 
     words = text.lower().split()
     if not words:
-        return 0
+        return np.zeros(mode.words, np.uint64)
     n = max(1, len(words) - shingle + 1)
     line = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
-    ones = np.zeros(64, np.int64)
+    ones = np.zeros(64 * mode.words, np.int64)
     for k in range(0, n, SHINGLE_BLOCK):
         spans = zip(starts[k : min(k + SHINGLE_BLOCK, n)].tolist(), ends[min(len(words), shingle) - 1 + k :].tolist(), strict=False)
-        h = np.array([xxh64_intdigest(line[i:j], SEED) for i, j in spans], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
+        if mode.words == 1:
+            raw = np.array([xxh64_intdigest(line[i:j], SEED) for i, j in spans], "<u8").view(np.uint8)
+        else:
+            raw = np.frombuffer(b"".join([xxh3_128_digest(line[i:j], SEED) for i, j in spans]), np.uint8)
+        ones += np.unpackbits(raw.reshape(-1, 8 * mode.words), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").view("<u8")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, key, fp) of each row; a null text has no words. key tells rows with one id but different texts apart."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW) -> DataFrame:
+    """(id, key, fp, fp2) of each row; a null text has no words; fp2 is 0 in narrow mode. key tells rows with one id but
+    different texts apart."""
     src = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
     def run(batches):
         for b in by_bytes(batches, "text"):
-            fps = np.array([fingerprint(t, shingle) for t in b.column(2).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps.view(np.int64))], ["id", "key", "fp"])
+            fps = np.zeros((b.num_rows, 2), np.uint64)
+            fps[:, : mode.words] = [fingerprint(t, shingle, mode) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(fps[:, i].copy().view(np.int64)) for i in (0, 1))], ["id", "key", "fp", "fp2"])
+
+    return bounded_batches(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, key long, fp long, fp2 long")
 
-    return bounded_batches(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, key long, fp long")
 
+def _near(a: np.ndarray, b: np.ndarray, mode: Mode) -> np.ndarray:
+    bits = np.bitwise_count(a[..., 0] ^ b[..., 0])
+    return (bits if mode.words == 1 else bits + np.bitwise_count(a[..., 1] ^ b[..., 1])) <= mode.radius
 
-def _stars(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links (fp, least fp of its component) among sorted distinct fingerprints, by search from one to its neighbours."""
+
+def _stars(fps: np.ndarray, mode: Mode) -> tuple[np.ndarray, np.ndarray]:
+    """Links (fingerprint, first one of its component) among distinct fingerprints, by search from one to its neighbours."""
     us, vs, rest = [], [], fps
     while len(rest):
         root, rest, todo = rest[0], rest[1:], [rest[0]]
         while todo and len(rest):
-            near = np.bitwise_count(rest ^ todo.pop()) <= RADIUS
+            near = _near(rest, todo.pop(), mode)
             if near.any():
                 found = rest[near]
                 us.append(found)
-                vs.append(np.full(len(found), root))
+                vs.append(np.broadcast_to(root, found.shape))
                 rest = rest[~near]
                 todo.extend(found)
-    none = np.empty(0, np.uint64)
+    none = np.empty((0, 2), np.uint64)
     return np.concatenate(us or [none]), np.concatenate(vs or [none])
 
 
-def _small_stars(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _small_stars(rows: np.ndarray, mode: Mode) -> tuple[np.ndarray, np.ndarray]:
     """The same for many buckets of one size, a row each."""
-    n, m = rows.shape
-    near = np.bitwise_count(rows[:, :, None] ^ rows[:, None, :]) <= RADIUS
+    n, m = rows.shape[:2]
+    near = _near(rows[:, :, None], rows[:, None, :], mode)
     label = np.broadcast_to(np.arange(m), (n, m))
     while True:
         better = np.where(near, label[:, None, :], m).min(axis=2)
@@ -86,35 +112,51 @@ def _small_stars(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[r, c], rows[r, label[r, c]]
 
 
-def bucket_links(batches: Iterator[pa.RecordBatch], limit: int | None = MAX_BUCKET) -> Iterator[pa.RecordBatch]:
-    """(key, fp) sorted by both -> (u, v, key): links as stars within each bucket, with a null key; the fingerprints of
-    a bucket of more than `limit` are handed on instead, as (fp, null, key)."""
-    none = np.empty(0, np.int64)
-    held_k, held_f, over = none, none, None
+def _node(fps: np.ndarray) -> pa.Array:
+    """Both words, big-endian, as 16 bytes."""
+    raw = pa.py_buffer(fps.astype(">u8").tobytes())
+    return pa.Array.from_buffers(pa.binary(16), len(fps), [None, raw]).cast(pa.binary())
+
+
+def node():
+    """The same as a column of fp and fp2."""
+    word = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
+    return F.concat(word("fp"), word("fp2"))
+
+
+_LINKS = "u binary, v binary, key long, fp long, fp2 long"
+
+
+def bucket_links(batches: Iterator[pa.RecordBatch], mode: Mode = NARROW, limit: int | None = MAX_BUCKET) -> Iterator[pa.RecordBatch]:
+    """(key, fp, fp2) sorted by key -> (u, v, null, null, null): links of nodes as stars within each bucket; a bucket of
+    more than `limit` is handed on instead, as (null, null, key, fp, fp2)."""
+    none = np.empty(0, np.int64), np.empty((0, 2), np.uint64)
+    (held_k, held_f), over = none, None
 
     def out(u, v):
-        return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64)), pa.nulls(len(u), pa.int64())], ["u", "v", "key"])
+        return pa.RecordBatch.from_arrays([_node(u), _node(v), *(pa.nulls(len(u), pa.int64()) for _ in range(3))], ["u", "v", "key", "fp", "fp2"])
 
     def hand_on(key, fps):
-        return pa.RecordBatch.from_arrays([pa.array(fps), pa.nulls(len(fps), pa.int64()), pa.array(np.full(len(fps), key))], ["u", "v", "key"])
+        n = len(fps)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(np.full(n, key)), *(pa.array(fps[:, i].copy().view(np.int64)) for i in (0, 1))], ["u", "v", "key", "fp", "fp2"])
 
     def solve(k, f):
         starts = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
         sizes = np.diff(np.concatenate([starts, [len(k)]]))
-        f = f.view(np.uint64)
         for m in np.unique(sizes):
             if m < 2:
                 continue
             at = starts[sizes == m]
             if m <= SMALL_RUN:
-                for i in range(0, len(at), 8192):
-                    yield out(*_small_stars(np.sort(f[at[i : i + 8192, None] + np.arange(m)], axis=1)))
+                for i in range(0, len(at), 4096):
+                    yield out(*_small_stars(f[at[i : i + 4096, None] + np.arange(m)], mode))
             else:
                 for i in at:
-                    yield out(*_stars(np.unique(f[i : i + m])))
+                    yield out(*_stars(f[i : i + m], mode))
 
     for b in batches:
-        k, f = (b.column(i).to_numpy() for i in (0, 1))
+        k = b.column(0).to_numpy()
+        f = np.stack([b.column(i).to_numpy().view(np.uint64) for i in (1, 2)], axis=1)
         if over is not None:
             same = k == over
             if same.any():
@@ -131,58 +173,55 @@ def bucket_links(batches: Iterator[pa.RecordBatch], limit: int | None = MAX_BUCK
         if limit is not None and len(held_k) > limit:
             over = int(held_k[0])
             yield hand_on(over, held_f)
-            held_k = held_f = none
+            held_k, held_f = none
     if len(held_k):
         yield from solve(held_k, held_f)
 
 
-_LINKS = "u long, v long, key long"
-
-
-def links(fps: DataFrame, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """(u, v) between distinct fingerprints (column fp) so that their components are those of all links of 3 bits or
-    fewer. A bucket of more than max_bucket is dealt out in blocks, each pair of which is one smaller bucket."""
+def links(fps: DataFrame, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """(u, v), nodes of distinct fingerprints (fp, fp2), so that their components are those of all links that share a
+    bucket. A bucket of more than max_bucket is dealt out in blocks, each pair of which is one smaller bucket."""
+    keys_of = golay.keys if mode.words == 1 else golay.wide_keys
 
     def keyed(batches):
         for b in batches:
-            f = b.column(0).to_numpy()
-            for i in range(0, len(f), 2_000):
-                rows, keys = golay.keys(f[i : i + 2_000].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(f[i + rows])], ["key", "fp"])
+            f = [b.column(i).to_numpy() for i in (0, 1)]
+            for i in range(0, len(f[0]), 2_000):
+                rows, keys = keys_of(f[0][i : i + 2_000].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x[i + rows]) for x in f)], ["key", "fp", "fp2"])
 
     def solved(df, limit):
-        return df.repartition("key").sortWithinPartitions("key", "fp").mapInArrow(lambda batches: bucket_links(batches, limit), _LINKS)
+        return df.repartition("key").sortWithinPartitions("key", "fp", "fp2").mapInArrow(lambda batches: bucket_links(batches, mode, limit), _LINKS)
 
-    first = cut(solved(fps.select("fp").mapInArrow(keyed, "key long, fp long"), max_bucket))
+    first = cut(solved(fps.select("fp", "fp2").mapInArrow(keyed, "key long, fp long, fp2 long"), max_bucket))
     found = first.filter("v is not null").select("u", "v")
-    over = first.filter("v is null").select("key", F.col("u").alias("fp"))
+    over = first.filter("v is null").select("key", "fp", "fp2")
     if over.isEmpty():
         return found
-    blocks = over.join(over.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / max_bucket).cast("int").alias("n")), "key").withColumn("b", F.pmod(F.xxhash64("fp"), F.col("n")).cast("int"))
-    dealt = blocks.select("key", "fp", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("key"), "fp")
+    blocks = over.join(over.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / max_bucket).cast("int").alias("n")), "key").withColumn("b", F.pmod(F.xxhash64("fp", "fp2"), F.col("n")).cast("int"))
+    dealt = blocks.select("key", "fp", "fp2", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("key"), "fp", "fp2").distinct()
     return found.union(solved(dealt, None).select("u", "v"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """One row for each row of `docs`: id, key, fp (long), component_id (the least id that can be reached over links of
-    3 bits or fewer) and rep_key (the key of that document).
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET) -> DataFrame:
+    """One row for each row of `docs`: id, key, fp (long), component_id (the least id that can be reached over links
+    within the mode's radius) and rep_key (the key of that document).
 
     A null or wordless text has the fingerprint 0 and is linked like any other; equal rows share a component; an empty
     table gives no rows; a null id never names a component that has another id. Extra columns are not read.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, shingle))
+    rows = cut(fingerprints(docs, id_col, text_col, shingle, mode))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))).alias("first")
-    distinct = cut(rows.groupBy("fp").agg(first))
-    near = components(links(distinct, max_bucket)).withColumnRenamed("node", "fp")
-    linked = distinct.join(near, "fp").select("fp", "component", "first")
+    distinct = cut(rows.groupBy("fp", "fp2").agg(first).withColumn("node", node()))
+    linked = distinct.join(components(links(distinct, mode, max_bucket)), "node").select("node", "component", "first")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    named = distinct.join(linked.join(least, "component").select("fp", "least"), "fp", "left").select("fp", F.coalesce("least", "first").alias("rep"))
-    return settled(rows.join(named, "fp")).select("id", "key", "fp", F.col("rep.id").alias("component_id"), F.col("rep.key").alias("rep_key"))
+    named = distinct.join(linked.join(least, "component").select("node", "least"), "node", "left").select("fp", "fp2", F.coalesce("least", "first").alias("rep"))
+    return settled(rows.join(named, ["fp", "fp2"])).select("id", "key", "fp", F.col("rep.id").alias("component_id"), F.col("rep.key").alias("rep_key"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW) -> DataFrame:
     """One row of `docs` for each component: that of the least id. Columns stay as they are."""
-    keep = cut(near_duplicates(docs, id_col, text_col, shingle).groupBy(F.col("rep_key").alias("_key")).agg(F.count_if(F.col("key") == F.col("rep_key")).alias("_n")))
+    keep = cut(near_duplicates(docs, id_col, text_col, shingle, mode).groupBy(F.col("rep_key").alias("_key")).agg(F.count_if(F.col("key") == F.col("rep_key")).alias("_n")))
     kept = docs.withColumn("_key", row_key(id_col, text_col)).join(keep.select("_key"), "_key", "left_semi")
     if not keep.filter("_n > 1").isEmpty():
         kept = kept.dropDuplicates(["_key"])

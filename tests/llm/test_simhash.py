@@ -39,12 +39,54 @@ def slow_fingerprint(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def slow_wide(text, n):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    sh = [" ".join(w[i : i + n]) for i in range(len(w) - n + 1)] if len(w) >= n else [" ".join(w)] if w else []
+    hs = [int.from_bytes(xxhash.xxh3_128_digest(s.encode(), 42), "little") for s in sh]
+    f = sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    return [f & (1 << 64) - 1, f >> 64]
+
+
+def test_wide_keys_meet_within_six_bits():
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    y = x.copy()
+    for _ in range(6):
+        y ^= np.uint64(1) << rng.integers(0, 64, len(x)).astype(np.uint64)
+    sets = []
+    for v in (x, y):
+        held = [set() for _ in v]
+        for r, k in zip(*(a.tolist() for a in golay.wide_keys(v)), strict=True):
+            held[r].add(k)
+        sets.append(held)
+    assert all(a & b for a, b in zip(*sets, strict=True))
+
+
+def test_wide_links_of_changed_texts(spark, docs_of, words):
+    """Texts with some words changed are found, also where buckets are dealt in blocks; unrelated ones are left alone."""
+    rng = random.Random(8)
+    data = []
+    for i in range(40):
+        w = words(200 + i, i).split()
+        data.append((10 * i, " ".join(w)))
+        for k in range(1, 4):
+            v = list(w)
+            for p in rng.sample(range(len(v)), k):
+                v[p] = "changed"
+            data.append((10 * i + k, " ".join(v)))
+    for limit in (simhash.MAX_BUCKET, 2):
+        got = simhash.near_duplicates(docs_of(data), shingle=5, mode=simhash.WIDE, max_bucket=limit).collect()
+        assert all(r["component_id"] // 10 == r["id"] // 10 for r in got)
+        assert sum(r["component_id"] == r["id"] // 10 * 10 for r in got) > 0.97 * len(got)
+
+
 def test_fingerprints(monkeypatch, words):
     for block in (1 << 16, 7):
         monkeypatch.setattr(simhash, "SHINGLE_BLOCK", block)
         for t in ["", " \n", "One", "one TWO", "Ünïcode É\xa0x y", words(100, 1), "a b c a b c a b c"]:
             for n in (3, 5):
-                assert simhash.fingerprint(t.encode(), n) == slow_fingerprint(t, n)
+                assert simhash.fingerprint(t.encode(), n).tolist() == [slow_fingerprint(t, n)]
+                assert simhash.fingerprint(t.encode(), n, simhash.WIDE).tolist() == slow_wide(t, n)
 
 
 def groups(fps):
@@ -77,11 +119,13 @@ def test_links_of_dense_groups(spark, limit):
             fps.append(f)
     fps = sorted(set(fps), key=lambda f: f - (1 << 64) if f >> 63 else f)
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), limit))
-    got = {r["node"]: r["component"] for r in found.collect()}
-    want = {signed[i]: signed[r] for i, r in enumerate(groups(fps))}
-    linked = {v for k, v in want.items() if k != v}
-    assert got == {k: v for k, v in want.items() if k != v or v in linked}
+    found = components(simhash.links(spark.createDataFrame([(f, 0) for f in signed], "fp long, fp2 long"), max_bucket=limit))
+    name = lambda f: f.to_bytes(8, "big") + bytes(8)
+    got = {bytes(r["node"]): bytes(r["component"]) for r in found.collect()}
+    of = {}
+    for f, r in zip(fps, groups(fps), strict=True):
+        of.setdefault(r, []).append(name(f))
+    assert got == {k: min(v) for v in of.values() if len(v) > 1 for k in v}
 
 
 def test_near_duplicates(spark, docs_of, words):
