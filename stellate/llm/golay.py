@@ -83,17 +83,18 @@ def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def wide_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def wide_keys(fps: np.ndarray, word: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(row, key): buckets for larger distances. Words that differ in two bits or fewer share a nearby key (that of a word
     between them), so that two fingerprints meet if two of their segments differ in two bits or fewer each, or if one
-    segment is equal; one of both holds for all that differ in 6 bits or fewer, and for many that differ in more."""
+    segment is equal; one of both holds for all that differ in 6 bits or fewer, and for many that differ in more. `word` keeps the keys of
+    different words of a longer fingerprint apart."""
     fps = np.asarray(fps, np.uint64)
     parts = segments(fps)
     near = [nearby(p, w) for p, w in zip(parts, WIDTHS, strict=True)]
     rows = [np.arange(len(fps))] * 3
-    out = [(np.int64(10 + i) << 34) | p.astype(np.int64) for i, p in enumerate(parts)]
+    out = [(np.int64(10 + 8 * word + i) << 34) | p.astype(np.int64) for i, p in enumerate(parts)]
     for k, (i, j) in enumerate(((0, 1), (0, 2), (1, 2))):
         r, a, b = np.nonzero((near[i] >= 0)[:, :, None] & (near[j] >= 0)[:, None, :])
         rows.append(r)
-        out.append((np.int64(13 + k) << 34) | (near[i][r, a] << 12) | near[j][r, b])
+        out.append((np.int64(13 + 8 * word + k) << 34) | (near[i][r, a] << 12) | near[j][r, b])
     return np.concatenate(rows), np.concatenate(out)

@@ -1,8 +1,8 @@
 """SimHash near-duplicates: fingerprints of word shingles, Golay buckets, exact links within a radius, components.
 
 Two modes. NARROW: 64 bits (XXH64), links of at most 3 bits, all of which are found. WIDE: 128 bits (XXH3), links of at
-most 22 bits, about the distance of texts that share 0.8 of their shingles; buckets are made of the first 64 bits, and
-hold all links of which these differ in 6 bits or fewer and many others.
+most 22 bits, about the distance of texts that share 0.8 of their shingles; buckets are made of each half, and hold all links
+of which one half differs in 6 bits or fewer and many others.
 """
 
 from __future__ import annotations
@@ -181,14 +181,13 @@ def bucket_links(batches: Iterator[pa.RecordBatch], mode: Mode = NARROW, limit:
 def links(fps: DataFrame, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(u, v), nodes of distinct fingerprints (fp, fp2), so that their components are those of all links that share a
     bucket. A bucket of more than max_bucket is dealt out in blocks, each pair of which is one smaller bucket."""
-    keys_of = golay.keys if mode.words == 1 else golay.wide_keys
-
     def keyed(batches):
         for b in batches:
             f = [b.column(i).to_numpy() for i in (0, 1)]
             for i in range(0, len(f[0]), 2_000):
-                rows, keys = keys_of(f[0][i : i + 2_000].view(np.uint64))
-                yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x[i + rows]) for x in f)], ["key", "fp", "fp2"])
+                half = [x[i : i + 2_000].view(np.uint64) for x in f]
+                for rows, keys in [golay.keys(half[0])] if mode.words == 1 else (golay.wide_keys(x, w) for w, x in enumerate(half)):
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x[i + rows]) for x in f)], ["key", "fp", "fp2"])
 
     def solved(df, limit):
         return df.repartition("key").sortWithinPartitions("key", "fp", "fp2").mapInArrow(lambda batches: bucket_links(batches, mode, limit), _LINKS)
