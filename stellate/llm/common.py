@@ -31,9 +31,9 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def settled(df: DataFrame, per_core: int = 4) -> DataFrame:
+def settled(df: DataFrame, per_core: int = 8) -> DataFrame:
     """At most so many tasks, and so files, for each core of the cluster: small results of wide shuffles don't become
-    thousands of tiny files."""
+    thousands of tiny files. Not for rows that carry texts, whose tasks would grow with the input."""
     return df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism))
 
 

@@ -356,7 +356,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_intervals(keyed, length, **limits)
     kind = keyed.schema["id"].dataType.simpleString()
-    src = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans").transform(settled)
+    src = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
     if digest:
         out = bounded_batches(src).mapInArrow(_hashed, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     else:
@@ -370,7 +370,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_intervals(keyed, length, **limits)
     rest = [c for c in docs.columns if c != text_col]
-    src = docs.withColumn("_key", row_key(id_col, text_col)).join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).hint("shuffle_hash"), "_key", "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col), "_spans").transform(settled)
+    src = docs.withColumn("_key", row_key(id_col, text_col)).join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).hint("shuffle_hash"), "_key", "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col), "_spans")
     kind = src.schema["rest"].dataType.simpleString()
 
     def run(batches):
