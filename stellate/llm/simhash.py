@@ -178,6 +178,14 @@ def bucket_links(batches: Iterator[pa.RecordBatch], mode: Mode = NARROW, limit:
         yield from solve(held_k, held_f)
 
 
+def _collapsed(found: DataFrame) -> DataFrame:
+    """The same components with fewer links: each node keeps its least root, its other roots are linked to that one. A
+    node has at most as many roots as it has buckets; in a dense group most nodes share theirs."""
+    per = found.groupBy("u").agg(F.min("v").alias("m"), F.collect_set("v").alias("roots"))
+    between = per.select(F.explode("roots").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    return per.select("u", F.col("m").alias("v")).union(between)
+
+
 def links(fps: DataFrame, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET) -> DataFrame:
     """(u, v), nodes of distinct fingerprints (fp, fp2), so that their components are those of all links that share a
     bucket. A bucket of more than max_bucket is dealt out in blocks, each pair of which is one smaller bucket."""
@@ -196,10 +204,10 @@ def links(fps: DataFrame, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET) ->
     found = first.filter("v is not null").select("u", "v")
     over = first.filter("v is null").select("key", "fp", "fp2")
     if over.isEmpty():
-        return found
+        return _collapsed(found)
     blocks = over.join(over.groupBy("key").agg(F.ceil(2 * F.count(F.lit(1)) / max_bucket).cast("int").alias("n")), "key").withColumn("b", F.pmod(F.xxhash64("fp", "fp2"), F.col("n")).cast("int"))
     dealt = blocks.select("key", "fp", "fp2", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select(F.xxhash64("key", F.least("b", "o"), F.greatest("b", "o")).alias("key"), "fp", "fp2").distinct()
-    return found.union(solved(dealt, None).select("u", "v"))
+    return _collapsed(found.union(solved(dealt, None).select("u", "v")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET) -> DataFrame:
