@@ -4,9 +4,9 @@ Line frequency: lines are normalised (ASCII lower case, runs of white space to o
 host (the source column) the documents that hold a line are counted; lines above the limit are removed, and a document
 that loses more than half of its line characters is depleted and rejected.
 
-Documents that hold a line are told apart by their context, the two smallest line hashes of the document besides that
-line. Copies of one document, however many, have one context and count once: a line is boilerplate where many different
-texts hold it, not where one text has many copies, which near-duplicate removal handles.
+Documents that hold a line are told apart by a hash of all their normalised lines. Exact copies of one text, however
+many, count once: a line is boilerplate where many different texts hold it, not where one text has many copies. Near
+copies are different texts and count each.
 """
 
 from __future__ import annotations
@@ -73,21 +73,20 @@ def base_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row for each distinct normalised line of a document: key, host, line, chars, total (of all its lines), context."""
+    """A row for each distinct normalised line of a document: key, host, line, chars, total (of all its lines), content (a
+    hash of all its normalised lines in order, repeats included)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    distinct = F.array_distinct(F.transform(lines_of(text), normalised))
-    one = docs.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.transform(distinct, lambda x: F.struct(line_hash(x).alias("line"), F.length(x).cast("long").alias("chars"))).alias("lines"))
-    lines = F.col("lines")
-    two = one.withColumns({"low": F.slice(F.sort_array(F.transform(lines, lambda x: x["line"])), 1, 3), "total": F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + x["chars"])})
-    three = two.select("key", "host", "low", "total", F.explode("lines").alias("x")).select("key", "host", "low", "total", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"))
-    rest = F.slice(F.array_remove(F.col("low"), F.col("line")), 1, 2)
-    none = F.lit(-1).cast("long")
-    return three.select("key", "host", "line", "chars", "total", F.coalesce(F.get(rest, F.lit(0)), none).alias("c1"), F.coalesce(F.get(rest, F.lit(1)), none).alias("c2"))
+    every = F.transform(F.transform(lines_of(text), normalised), lambda x: F.struct(line_hash(x).alias("line"), F.length(x).cast("long").alias("chars")))
+    one = docs.select(row_key(id_col, text_col).alias("key"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), every.alias("every"))
+    two = one.withColumns({"lines": F.array_distinct("every"), "content": F.xxhash64(F.transform("every", lambda x: x["line"]))})
+    three = two.select("key", "host", "content", "lines", F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"]).alias("total"))
+    return three.select("key", "host", "content", "total", F.explode("lines").alias("x")).select("key", "host", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"), "total", "content")
 
 
 def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
-    """(host, line) of the lines that more than max(min_docs, max_share of the host's documents) different documents hold."""
-    held = lines.select("host", "line", "c1", "c2").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
+    """(host, line) of the lines that more than max(min_docs, max_share of the host's documents) different documents hold, told
+    apart by their content."""
+    held = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     return held.filter(F.col("n_docs") > min_docs).join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "n_docs")
 
 

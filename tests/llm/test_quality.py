@@ -56,6 +56,16 @@ def test_lines_copies_and_depletion(spark, docs_of, words):
     assert quality.apply_quality(df).dtypes == df.dtypes
 
 
+def test_templated_documents_are_counted_apart(spark, docs_of, words):
+    """Many shared lines and one own line: all are different documents, and all are depleted."""
+    shared = "\n".join(words(6, 7000 + k) for k in range(12))
+    data = [(i, f"{shared}\n{words(6, 8000 + i)}") for i in range(60)]
+    got = quality.quality_rules(docs_of(data)).collect()
+    assert not any(r["kept"] or r["base_failed"] for r in got)
+    held = quality.document_lines(docs_of(data + data)).groupBy("line").agg({"content": "approx_count_distinct"}).collect()
+    assert max(r[1] for r in held) > 40
+
+
 def test_empty(spark, docs_of):
     assert quality.quality_rules(docs_of([])).count() == 0
     assert quality.apply_quality(docs_of([(1, None)])).count() == 0
