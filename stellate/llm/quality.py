@@ -83,9 +83,10 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return three.select("key", "host", "content", "total", F.explode("lines").alias("x")).select("key", "host", F.col("x.line").alias("line"), F.col("x.chars").alias("chars"), "total", "content")
 
 
-def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
-    """(host, line) of the lines that more than max(min_docs, max_share of the host's documents) different documents hold, told
-    apart by their content."""
+def frequent_lines(lines: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
+    """(host, line) of the lines that more than max(min_docs, max_share of the host's different documents) different documents
+    hold. Both numbers count documents by their content."""
+    hosts = lines.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("host_docs"))
     held = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_docs"))
     return held.filter(F.col("n_docs") > min_docs).join(hosts, "host").filter(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "n_docs")
 
@@ -93,8 +94,7 @@ def frequent_lines(lines: DataFrame, hosts: DataFrame, min_docs: int = LINE_MIN_
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:
     """(key, line, chars, total): the lines that each document loses. A common line is dealt over salted keys."""
     lines = cut(document_lines(docs, id_col, text_col, host_col))  # read twice, and far smaller than the texts
-    hosts = docs.groupBy(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("host_docs"))
-    frequent = frequent_lines(lines, hosts, min_docs, max_share).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    frequent = frequent_lines(lines, min_docs, max_share).select("host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     salted = lines.select("key", "host", "line", "chars", "total", F.pmod("key", F.lit(SALTS)).cast("int").alias("salt"))
     return salted.join(frequent, ["host", "line", "salt"]).select("key", "line", "chars", "total").distinct()
 

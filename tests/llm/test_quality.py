@@ -66,6 +66,15 @@ def test_templated_documents_are_counted_apart(spark, docs_of, words):
     assert max(r[1] for r in held) > 40
 
 
+def test_share_is_of_different_documents(spark, docs_of, words):
+    """Copies on a host don't raise the limit for its other documents."""
+    body = lambda s: "\n".join(words(12, 100 * s + k) for k in range(6))
+    line = words(9, 9999)
+    data = [(i, f"{body(i)}\n{line}" if i < 10 else body(i)) for i in range(50)] + [(100 + i, body(900)) for i in range(100)]
+    got = {r["doc_id"]: r["removed_chars"] for r in quality.quality_rules(docs_of(data), min_docs=5, max_share=0.1).collect()}
+    assert {i for i, n in got.items() if n} == set(range(10))
+
+
 def test_empty(spark, docs_of):
     assert quality.quality_rules(docs_of([])).count() == 0
     assert quality.apply_quality(docs_of([(1, None)])).count() == 0
