@@ -19,9 +19,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the least id of each group of near copies, by wide fingerprints of five-word shingles; their
-    radius is about the distance of texts that share 0.8 of their shingles."""
-    return simhash.drop_near_duplicates(docs, shingle=SHINGLE_WORDS, mode=simhash.WIDE)
+    """Keeps the document of the least id of each group of near copies: wide fingerprints of five-word shingles give
+    candidates, of which those that share 0.8 of their shingles are linked."""
+    return simhash.drop_near_duplicates(docs, shingle=SHINGLE_WORDS, mode=simhash.WIDE, similarity=simhash.SIMILARITY)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,6 +21,8 @@ from stellate.llm.components import components
 
 SHINGLE, SEED = 3, 42
 MAX_BUCKET = 32_768
+MAX_GROUP = 4_096
+SIMILARITY = 0.8
 SMALL_RUN = 16
 SHINGLE_BLOCK = 1 << 16
 
@@ -210,25 +212,100 @@ def links(fps: DataFrame, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET) ->
     return _collapsed(found.union(solved(dealt, None).select("u", "v")))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET) -> DataFrame:
+def shingle_set(text: bytes, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, sorted; words and short texts as in fingerprint."""
+    from xxhash import xxh3_64_intdigest
+
+    words = text.lower().split()
+    n = max(1, len(words) - shingle + 1) if words else 0
+    return np.unique(np.fromiter((xxh3_64_intdigest(b" ".join(words[i : i + shingle]), SEED) for i in range(n)), np.uint64, n))
+
+
+def _similar(units: list[int], sets: list[np.ndarray], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links (unit, a similar unit) with the components of all pairs whose Jaccard similarity is at least `similarity`."""
+    names, sizes = np.array(units, np.int64), np.array([len(s) for s in sets])
+    us, vs, rest = [], [], np.arange(len(units))
+    while len(rest):
+        todo, rest = [rest[0]], rest[1:]
+        while todo and len(rest):
+            x = todo.pop()
+            fit = rest[np.minimum(sizes[rest], sizes[x]) + 1e-9 >= similarity * np.maximum(sizes[rest], sizes[x])]
+            if not len(fit):
+                continue
+            shared = np.array([len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for y in fit])
+            found = fit[shared + 1e-9 >= similarity * (sizes[fit] + sizes[x] - shared)]
+            us.append(names[found])
+            vs.append(np.full(len(found), names[x]))
+            rest = np.setdiff1d(rest, found, assume_unique=True)
+            todo.extend(found)
+    if us:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+
+def verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, max_group: int = MAX_GROUP) -> DataFrame:
+    """groups (unit, group), unit the key of a row of `docs` -> (node, component): the components of the pairs within a group
+    whose shingle sets have a Jaccard similarity of at least `similarity`. A group of more than max_group is dealt out in
+    blocks, each pair of which is compared in one task."""
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("n", F.when(F.col("n") > max_group, F.ceil(2 * F.col("n") / max_group)).otherwise(1).cast("int"))
+    blocks = groups.join(sizes, "group").withColumn("b", F.pmod(F.xxhash64("unit"), F.col("n")).cast("int"))
+    dealt = cut(blocks.select("unit", "group", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("unit", F.xxhash64("group", F.least("b", "o"), F.greatest("b", "o")).alias("group")))
+    texts = docs.select(row_key(id_col, text_col).alias("unit"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(dealt.select("unit").distinct(), "unit", "left_semi")
+
+    def sets(batches):
+        for b in by_bytes(batches, "text"):
+            found = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["unit", "shingles"])
+
+    def solve(batches):
+        at, units, held = None, [], []
+        for b in batches:
+            for g, u, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                if g != at and units:
+                    yield from _similar(units, held, similarity)
+                    units, held = [], []
+                at = g
+                units.append(u)
+                held.append(x.values.to_numpy(zero_copy_only=False))
+        if units:
+            yield from _similar(units, held, similarity)
+
+    hashed = bounded_batches(texts).mapInArrow(sets, "unit long, shingles array<long>")
+    pairs = bounded_batches(hashed.join(dealt, "unit").select("group", "unit", "shingles").repartition("group").sortWithinPartitions("group", "unit")).mapInArrow(solve, "u long, v long")
+    return components(pairs)
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET, similarity: float | None = None) -> DataFrame:
     """One row for each row of `docs`: id, key, fp (long), component_id (the least id that can be reached over links
     within the mode's radius) and rep_key (the key of that document).
 
     A null or wordless text has the fingerprint 0 and is linked like any other; equal rows share a component; an empty
     table gives no rows; a null id never names a component that has another id. Extra columns are not read.
+
+    With `similarity`, links within the radius give candidates only: components are then those of the pairs within a group
+    of linked candidates whose shingle sets have at least that Jaccard similarity.
     """
     rows = cut(fingerprints(docs, id_col, text_col, shingle, mode))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))).alias("first")
     distinct = cut(rows.groupBy("fp", "fp2").agg(first).withColumn("node", node()))
+    if similarity is not None:
+        candidates = components(links(distinct, mode, max_bucket)).withColumnRenamed("component", "group")
+        text = docs.select(row_key(id_col, text_col).alias("key"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("content")).distinct()
+        units = rows.join(text, "key").groupBy("fp", "fp2", "content").agg(F.min("key").alias("unit"), first).withColumn("node", node())
+        grouped = cut(units.join(candidates, "node", "left").select("fp", "fp2", "content", "unit", "first", F.coalesce("group", "node").alias("group")))
+        same = verified(docs, grouped.select("unit", "group"), id_col, text_col, shingle, similarity).withColumnRenamed("node", "unit")
+        labelled = cut(grouped.join(same, "unit", "left").select("fp", "fp2", "content", "first", F.coalesce("component", "unit").alias("label")))
+        best = labelled.join(labelled.groupBy("label").agg(F.min("first").alias("rep")), "label").select("fp", "fp2", "content", "rep")
+        named = rows.join(text, "key").join(best, ["fp", "fp2", "content"])
+        return settled(named).select("id", "key", "fp", F.col("rep.id").alias("component_id"), F.col("rep.key").alias("rep_key"))
     linked = distinct.join(components(links(distinct, mode, max_bucket)), "node").select("node", "component", "first")
     least = linked.groupBy("component").agg(F.min("first").alias("least"))
     named = distinct.join(linked.join(least, "component").select("node", "least"), "node", "left").select("fp", "fp2", F.coalesce("least", "first").alias("rep"))
     return settled(rows.join(named, ["fp", "fp2"])).select("id", "key", "fp", F.col("rep.id").alias("component_id"), F.col("rep.key").alias("rep_key"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW, similarity: float | None = None) -> DataFrame:
     """One row of `docs` for each component: that of the least id. Columns stay as they are."""
-    keep = cut(near_duplicates(docs, id_col, text_col, shingle, mode).groupBy(F.col("rep_key").alias("_key")).agg(F.count_if(F.col("key") == F.col("rep_key")).alias("_n")))
+    keep = cut(near_duplicates(docs, id_col, text_col, shingle, mode, similarity=similarity).groupBy(F.col("rep_key").alias("_key")).agg(F.count_if(F.col("key") == F.col("rep_key")).alias("_n")))
     kept = docs.withColumn("_key", row_key(id_col, text_col)).join(keep.select("_key"), "_key", "left_semi")
     if not keep.filter("_n > 1").isEmpty():
         kept = kept.dropDuplicates(["_key"])

@@ -146,6 +146,39 @@ def test_near_duplicates(spark, docs_of, words):
     assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [simhash.MAX_GROUP, 3])
+def test_links_are_verified(spark, docs_of, words, monkeypatch, limit):
+    """Only pairs that share 0.8 of their shingles are linked, also where a group is dealt in blocks."""
+    rng, data = random.Random(9), []
+    for i in range(15):
+        w = words(150 + i, i).split()
+        for k in (0, 0, 1, 2, 4, 5, 6, 7):
+            v = list(w)
+            for p in rng.sample(range(len(v)), k):
+                v[p] = "changed"
+            data.append((len(data), " ".join(v)))
+    data += [(900, None), (901, ""), (902, "one two"), (903, "One  two")]
+    sets = []
+    for _, t in data:
+        w = (t or "").lower().split()
+        sets.append({" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    similar = [{j for j, b in enumerate(sets) if 5 * len(a & b) >= 4 * len(a | b)} for a in sets]
+    monkeypatch.setattr(simhash.verified, "__defaults__", (limit,))
+    mode = {"shingle": 5, "mode": simhash.WIDE}
+    near = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(data), **mode).collect()}
+    got = {r["id"]: r["component_id"] for r in simhash.near_duplicates(docs_of(data), **mode, similarity=simhash.SIMILARITY).collect()}
+    split = 0
+    for i, (a, _) in enumerate(data):
+        seen, todo = {i}, [i]
+        while todo:
+            new = {j for j in similar[todo.pop()] - seen if near[data[j][0]] == near[a]}
+            seen |= new
+            todo += new
+        assert {j for j, (b, _) in enumerate(data) if got[b] == got[a]} == seen
+        split += len({got[b] for b, _ in data if near[b] == near[a]}) > 1
+    assert split and got[900] == got[901] and got[902] == got[903]
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(70)] + [(200, 201), (201, 200), (300, 300)]
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
