@@ -80,6 +80,22 @@ def test_wide_links_of_changed_texts(spark, docs_of, words):
         assert sum(r["component_id"] == r["id"] // 10 * 10 for r in got) > 0.97 * len(got)
 
 
+def test_wide_recall_of_similar_texts(words):
+    """Of isolated pairs that by brute force share 0.8 to 0.85 of their shingles, nearly all are candidates."""
+    rng, found = random.Random(6), []
+    for i in range(200):
+        w = words(200, 4000 + i).split()
+        v = list(w)
+        for p in rng.sample(range(10, 190, 10), 4):
+            v[p] = "changed"
+        a, b = ({" ".join(x[k : k + 5]) for k in range(196)} for x in (w, v))
+        assert 0.8 <= len(a & b) / len(a | b) < 0.85
+        x, y = (simhash.fingerprint(" ".join(t).encode(), 5, simhash.WIDE) for t in (w, v))
+        share = any(set(golay.wide_keys(x[k : k + 1])[1].tolist()) & set(golay.wide_keys(y[k : k + 1])[1].tolist()) for k in (0, 1))
+        found.append(share and bool(simhash._near(x, y, simhash.WIDE)))
+    assert np.mean(found) > 0.95, np.mean(found)
+
+
 def test_fingerprints(monkeypatch, words):
     for block in (1 << 16, 7):
         monkeypatch.setattr(simhash, "SHINGLE_BLOCK", block)
