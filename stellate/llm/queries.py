@@ -39,7 +39,7 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.remove_repeats(_read(spark, sf_dir, "documents"), digest=True)
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"), floor=suffix.FLOOR, digest=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -57,18 +57,24 @@ def _q4() -> str:
 OP4 = _q4()
 
 
-_N = suffix.LENGTH
+def _covered(n: int, p: str) -> str:
+    """CTEs from d: {p}span, the maximal runs of bytes that strings of n bytes cover which start twice or more."""
+    return f""" {p}w AS (SELECT rid, i, md5(substr(h, 2 * i + 1, {2 * n})) AS m FROM (SELECT rid, h, unnest(range(0, greatest(length(h) // 2 - {n - 1}, 0))) AS i FROM d)),
+ {p}again AS (SELECT m FROM {p}w GROUP BY m HAVING count(*) > 1),
+ {p}hit AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM {p}w WHERE m IN (SELECT m FROM {p}again)),
+ {p}run AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + {n} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS g FROM {p}hit),
+ {p}span AS (SELECT rid, g, min(i) AS s, max(i) + {n} AS e FROM {p}run GROUP BY rid, g)"""
+
+
 OP6 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
- w AS (SELECT rid, i, md5(substr(h, 2 * i + 1, {2 * _N})) AS m FROM (SELECT rid, h, unnest(range(0, greatest(length(h) // 2 - {_N - 1}, 0))) AS i FROM d)),
- again AS (SELECT m FROM w GROUP BY m HAVING count(*) > 1),
- hit AS (SELECT rid, i, lag(i) OVER (PARTITION BY rid ORDER BY i) AS before FROM w WHERE m IN (SELECT m FROM again)),
- run AS (SELECT rid, i, sum(CASE WHEN before IS NULL OR i > before + {_N} THEN 1 ELSE 0 END) OVER (PARTITION BY rid ORDER BY i) AS g FROM hit),
- span AS (SELECT rid, g, min(i) AS s, max(i) + {_N} AS e FROM run GROUP BY rid, g),
- part AS (SELECT rid, lag(e, 1, 0) OVER (PARTITION BY rid ORDER BY s) AS a, s AS b FROM span UNION ALL SELECT rid, max(e), NULL FROM span GROUP BY rid),
+{_covered(suffix.LENGTH, "a")},
+{_covered(suffix.FLOOR, "b")},
+ part AS (SELECT rid, lag(e, 1, 0) OVER (PARTITION BY rid ORDER BY s) AS a, s AS b FROM aspan UNION ALL SELECT rid, max(e), NULL FROM aspan GROUP BY rid),
  kept AS (SELECT rid, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a) AS k FROM part JOIN d USING (rid) GROUP BY rid),
- sums AS (SELECT rid, sum(e - s) AS n, count(*) AS c FROM span GROUP BY rid)
- SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
- FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid)"""
+ sums AS (SELECT rid, sum(e - s) AS n, count(*) AS c FROM aspan GROUP BY rid),
+ more AS (SELECT rid, sum(e - s) AS r FROM bspan GROUP BY rid)
+ SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(c, 0)::BIGINT AS n_spans, coalesce(r, 0)::BIGINT AS n_repeated, sha256(unhex(coalesce(k, h))) AS kept_sha256
+ FROM d LEFT JOIN sums USING (rid) LEFT JOIN kept USING (rid) LEFT JOIN more USING (rid)"""
 
 OP10 = f"""WITH dw AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM (SELECT row_number() OVER () AS rid, * FROM documents)),
  bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),

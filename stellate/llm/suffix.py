@@ -1,27 +1,24 @@
 """Suffix-array dedup: removal of every byte that a repeated string of `length` bytes covers.
 
 Suffixes are induced, not sorted one by one. Anchors are positions that hold the least hash of some `window` grams (the
-last of equal ones), so that equal windows of text have equal anchors at equal places; each string of `length` bytes
+last of equal ones), so that equal windows of text have equal anchors at equal places; each string of `floor` bytes
 belongs to the anchor among its first `window` positions. The strings of one anchor form a family: a span of text
 around the anchor, whose core all of them hold. Only families whose core occurs twice can hold a repeat; of those, equal
-families are repeated as a whole, and different families of one core are compared in shards, a core never being divided:
+families are repeated as a whole, and different families of one core are compared in a shard by external induced sorting
+(see induced.py): the suffixes at the anchors are sorted in runs on disk, merged by a heap, and from these the suffixes to
+the left are induced byte by byte by tuples that pass a queue and carry common prefixes along.
 
-1. the suffixes at the anchors are sorted by the text after them, with the common-prefix length of neighbours;
-2. step by step to the left, the order of suffixes at distance o is induced from that at distance o - 1: all suffix
-   tuples (preceding byte, rank) pass a queue by byte, stable in rank; the common prefix of new neighbours is one more
-   than the least one between their old ranks, or 0 where the bytes differ;
-3. a string at distance o is repeated exactly where a neighbour shares `length` bytes or more.
+A core with more than `hot` different families would be one task's work. Its families are divided by recursion: into
+families of an eighth of the window, whose cores are longer, grouped and compared in the same way, down to a window
+of one, where a family is one string.
 
-Spark's external sort brings a shard together from disk, and a shard's bytes lie in memory-mapped files where they
-are many, so that a shard needs memory for ranks and common prefixes only. A core with more than `hot` different
-families isn't sorted in one task: its strings are dealt out one by one by their hash.
+`floor` may be less than `length`: strings of `length` bytes are found among those whose first `floor` bytes repeat, and
+the bytes that the shorter strings cover are known as well.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,12 +28,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellate.llm.common import bounded_batches, by_bytes, cut, fresh_path, remove_path, row_key, settled
+from stellate.llm.induced import MEMORY, Shard
 
-LENGTH, WINDOW, GRAM = 400, 256, 8
-HOT = 20_000
+#: FLOOR: passages of over 50 words; fewer than one in a thousand are shorter in the test data.
+LENGTH, FLOOR, WINDOW, GRAM = 400, 200, 96, 8
+HOT = 1_000
+DIVIDE = 8
 SHARD_ROWS = 20_000
 BLOCK = 4 << 20
-MAPPED_BYTES = 64 << 20
 
 
 def _least(buf: np.ndarray, window: int) -> np.ndarray:
@@ -88,132 +87,98 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-_FAMILY = "core long, f1 long, f2 long, key long, lo long, left int, span int"
+_CORE = "core long, n long"
+_FAMILY = "core long, fam long, key long, lo int, left short, span short, size short"
 
 
-def _find(length: int, window: int):
-    core = length - window + 1
+def _located(floor: int, window: int):
+    """For the batches of (key, text): keys, bytes, and of each family the text, anchor, first and last start and core."""
+    core = floor - window + 1
 
     def run(batches):
-        from xxhash import xxh3_64_intdigest, xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
         for b in by_bytes(batches, "text", BLOCK):
             buf, offsets = _flat(b.column(1))
-            text, anchor, lo, hi = families(buf, offsets, length, window)
-            if not len(text):
-                continue
-            raw = memoryview(buf)
-            spans = list(zip(anchor.tolist(), lo.tolist(), hi.tolist(), strict=True))
-            cores = np.array([xxh3_64_intdigest(raw[a : a + core]) for a, _, _ in spans], np.uint64).view(np.int64)
-            whole = np.frombuffer(b"".join([xxh3_128_digest(raw[i : j + length], (a - i) << 20 | (j - i)) for a, i, j in spans]), "<i8").reshape(-1, 2)
-            keys = b.column(0).to_numpy()[text]
-            cols = [cores, np.ascontiguousarray(whole[:, 0]), np.ascontiguousarray(whole[:, 1]), keys, lo - offsets[text], (anchor - lo).astype(np.int32), (hi - lo).astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["core", "f1", "f2", "key", "lo", "left", "span"])
+            text, anchor, lo, hi = families(buf, offsets, floor, window)
+            if len(text):
+                raw = memoryview(buf)
+                cores = np.array([xxh3_64_intdigest(raw[a : a + core]) for a in anchor.tolist()], np.uint64).view(np.int64)
+                yield b.column(0).to_numpy(), raw, offsets, text, anchor, lo, hi, cores
 
     return run
 
 
-def _store(rows: int, width: int) -> np.ndarray:
-    """A byte matrix, in a file without a name where it is large."""
-    if rows * width <= MAPPED_BYTES:
-        return np.zeros((rows, width), np.uint8)
-    return np.memmap(tempfile.TemporaryFile(), np.uint8, "w+", shape=(rows, width))  # noqa: SIM115
-
-
-def _range_min(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """The least of values[lo..hi], both included, for each pair."""
-    if not len(lo):
-        return np.empty(0, values.dtype)
-    span = hi - lo + 1
-    level = np.frexp(span.astype(np.float64))[1] - 1
-    out, table, k = np.empty(len(lo), values.dtype), values, 0
-    while True:
-        at = np.flatnonzero(level == k)
-        if len(at):
-            out[at] = np.minimum(table[lo[at]], table[hi[at] - (1 << k) + 1])
-        k += 1
-        if k > level.max():
-            return out
-        table = np.minimum(table[: -(1 << (k - 1))], table[1 << (k - 1) :])
-
-
-def repeated(texts: list[bytes], left: np.ndarray, span: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """texts: families' spans, left: where their anchor lies, span: last start - first start. Returns a matrix
-    (family, o), true where the string that starts o before the anchor also starts elsewhere among the families."""
-    n, far = len(texts), int(left.max()) if len(left) else 0
-    found = np.zeros((n, far + 1), bool)
-    if n < 2:
-        return found
-    sizes = np.minimum(length - (left - span), length)
-    after, before = _store(n, length), _store(far, n)
-    for i, t in enumerate(texts):
-        a = int(left[i])
-        after[i, : sizes[i]] = np.frombuffer(t, np.uint8, int(sizes[i]), a)
-        if a:
-            before[:a, i] = np.frombuffer(t, np.uint8, a)[::-1]
-    order = np.argsort(sizes, kind="stable")
-    order = order[np.argsort(np.ascontiguousarray(after[order]).view(f"S{length}").ravel(), kind="stable")]
-    differ = after[order[1:]] != after[order[:-1]]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), length)
-    common = np.concatenate([[0], np.minimum(common, np.minimum(sizes[order[1:]], sizes[order[:-1]]))]).astype(np.int16)
-    for o in range(far + 1):
-        if o:
-            stay = left[order] >= o
-            if not stay.all():
-                p = np.flatnonzero(stay)
-                if not len(p):
-                    break
-                common = np.minimum.reduceat(common[: p[-1] + 1], np.concatenate([[0], p[:-1] + 1]))
-                common[0] = 0
-                order = order[p]
-            byte = before[o - 1][order]
-            queue = np.argsort(byte, kind="stable")
-            byte, order = byte[queue], order[queue]
-            same = np.flatnonzero(byte[1:] == byte[:-1]) + 1
-            new = np.zeros(len(order), np.int16)
-            new[same] = _range_min(common, queue[same - 1] + 1, queue[same]) + 1
-            common = new
-        hit = common >= length
-        hit[:-1] |= common[1:] >= length
-        found[order[hit], o] = True
-    return found & (np.arange(far + 1) >= (left - span)[:, None]) & (np.arange(far + 1) <= left[:, None])
-
-
-_RANGES = ["core", "f1", "f2", "o1", "o2"]
-
-
-def _sort_shards(length: int, rows: int):
-    """(core, f1, f2, left, span, m, bytes) sorted by core -> (core, f1, f2, o1, o2): the repeated strings."""
-
-    def solve(parts: list[pa.RecordBatch]):
-        t = pa.Table.from_batches(parts)
-        core, f1, f2, left, span, m = (t.column(c).to_numpy() for c in ("core", "f1", "f2", "left", "span", "m"))
-        left, span = left.astype(np.int64), span.astype(np.int64)
-        found = repeated(t.column("bytes").to_pylist(), left, span, length)
-        o = np.arange(found.shape[1])
-        found |= (m >= 2)[:, None] & (o >= (left - span)[:, None]) & (o <= left[:, None])
-        edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
-        r, a = np.nonzero(edge == 1)
-        b = np.nonzero(edge == -1)[1] - 1
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (core[r], f1[r], f2[r], a.astype(np.int32), b.astype(np.int32))], _RANGES)
+def _count(floor: int, window: int):
+    def run(batches):
+        for *_, cores in _located(floor, window)(batches):
+            known, n = np.unique(cores, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(known), pa.array(n.astype(np.int64))], ["core", "n"])
+
+    return run
+
+
+def _find(floor: int, length: int, window: int):
+    def run(batches):
+        from xxhash import xxh3_64_intdigest
+
+        for keys, raw, offsets, text, anchor, lo, hi, cores in _located(floor, window)(batches):
+            ends = np.minimum(hi + length, offsets[text + 1])
+            seeds = ((anchor - lo) << 20 | (hi - lo)).tolist()
+            whole = np.array([xxh3_64_intdigest(raw[i:j], s) for i, j, s in zip(lo.tolist(), ends.tolist(), seeds, strict=True)], np.uint64).view(np.int64)
+            short = lambda x: pa.array(x.astype(np.int16))
+            cols = [pa.array(cores), pa.array(whole), pa.array(keys[text]), pa.array((lo - offsets[text]).astype(np.int32)), short(anchor - lo), short(hi - lo), short(ends - lo)]
+            yield pa.RecordBatch.from_arrays(cols, ["core", "fam", "key", "lo", "left", "span", "size"])
+
+    return run
+
+
+_BODY = "core long, fam long, left short, span short, m long, bytes binary"
+_RANGE = "core long, fam long, j1 int, j2 int, level int"
+
+
+def _runs(classes: np.ndarray, core: np.ndarray, fam: np.ndarray) -> pa.RecordBatch:
+    """Runs of starts of one class, other than 0, of each family."""
+    change = np.diff(np.pad(classes, ((0, 0), (1, 1))).astype(np.int16), axis=1) != 0
+    r, a = np.nonzero(change[:, :-1] & (classes > 0))
+    b = np.nonzero(change[:, 1:] & (classes > 0))[1]
+    return pa.RecordBatch.from_arrays([pa.array(core[r]), pa.array(fam[r]), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(classes[r, a].astype(np.int32))], ["core", "fam", "j1", "j2", "level"])
+
+
+def _own(size: np.ndarray, span: np.ndarray, length: int, wide: int) -> np.ndarray:
+    """The classes of a family that occurs twice: 2 where `length` bytes follow, else 1; 0 beyond its starts."""
+    j = np.arange(wide)
+    return np.where(j <= span[:, None], 1 + (j + length <= size[:, None]), 0).astype(np.uint8)
+
+
+def _sort_shards(floor: int, length: int, rows: int, memory: int):
+    """Bodies sorted by core -> ranges: the repeated strings. A core is never divided between shards."""
+
+    def solve(shard, core, fam, m):
+        core, fam, m = (np.concatenate(x) for x in (core, fam, m))
+        for a, classes in shard.classes():
+            k = slice(a, a + len(classes))
+            own = _own(shard.size[k], shard.span[k], length, classes.shape[1])
+            yield _runs(np.where(m[k, None] > 1, own, classes), core[k], fam[k])
 
     def run(batches: Iterator[pa.RecordBatch]):
-        held: list[pa.RecordBatch] = []
-        count = 0
+        shard, parts = Shard(floor, length, memory), ([], [], [])
         for b in batches:
-            if not b.num_rows:
-                continue
-            core = b.column(0).to_numpy()
-            if count >= rows:
-                first = held[-1].column(0)[-1].as_py()
-                k = int(np.searchsorted(core, first, "right"))
-                if k < len(core):
-                    yield solve([*held, b.slice(0, k)])
-                    held, count, b, core = [], 0, b.slice(k), core[k:]
-            held.append(b)
-            count += len(core)
-        if held:
-            yield solve(held)
+            core, fam, left, span, m = (b.column(i).to_numpy() for i in range(5))
+            data, offsets = _flat(b.column(5))
+            at = 0
+            if shard.rows >= rows and len(core):
+                at = int(np.searchsorted(core, parts[0][-1][-1], "right"))
+            for i, j in ((0, at), (at, len(core))):
+                if i < j:
+                    if i == at and shard.rows >= rows:
+                        yield from solve(shard, *parts)
+                        shard, parts = Shard(floor, length, memory), ([], [], [])
+                    shard.add(data[offsets[i] : offsets[j]], np.diff(offsets[i : j + 1]), left[i:j], span[i:j])
+                    for x, y in zip(parts, (core, fam, m), strict=True):
+                        x.append(y[i:j].copy())
+        if shard.rows:
+            yield from solve(shard, *parts)
 
     return run
 
@@ -228,83 +193,117 @@ def _contents(length: int):
                 lists = part.column(1)
                 of = np.repeat(np.arange(len(part)), np.diff(lists.offsets.to_numpy()))
                 s = lists.flatten()
-                lo, span = s.field("lo").to_numpy(), s.field("span").to_numpy()
+                lo, size = s.field("lo").to_numpy(), s.field("size").to_numpy()
                 texts = part.column(0).to_pylist()
-                raw = [texts[d][x : x + w + length] for d, x, w in zip(of.tolist(), lo.tolist(), span.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([*(s.field(c) for c in ("core", "f1", "f2", "left", "span", "m", "k")), pa.array(raw, pa.binary())], ["core", "f1", "f2", "left", "span", "m", "k", "bytes"])
+                raw = [texts[d][x : x + n] for d, x, n in zip(of.tolist(), lo.tolist(), size.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([*(s.field(c) for c in ("core", "fam", "left", "span", "m", "k")), pa.array(raw, pa.binary())], ["core", "fam", "left", "span", "m", "k", "bytes"])
 
     return run
 
 
-def _windows(length: int):
-    """Each string of the families of hot cores by its hash."""
+_PART = "core long, fam long, left short, span short, m long, bytes binary, of_core long, of_fam long, shift int"
+
+
+def _divide(floor: int, length: int, step: int):
+    """Bodies -> the families of `step` starts that they consist of, with longer cores, and where they belong."""
 
     def run(batches):
-        from xxhash import xxh3_128_digest
+        from xxhash import xxh3_64_intdigest
 
         for b in batches:
-            for i in range(b.num_rows):
-                r = {c: b.column(b.schema.get_field_index(c))[i].as_py() for c in ("core", "f1", "f2", "left", "span", "m", "bytes")}
-                raw, n = memoryview(r["bytes"]), r["span"] + 1
-                h = np.frombuffer(b"".join([xxh3_128_digest(raw[j : j + length]) for j in range(n)]), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.ascontiguousarray(h[:, 0])), pa.array(np.ascontiguousarray(h[:, 1])), *(pa.array(np.full(n, r[c])) for c in ("core", "f1", "f2")), pa.array((r["left"] - np.arange(n)).astype(np.int32)), pa.array(np.full(n, r["m"]))],
-                    ["w1", "w2", "core", "f1", "f2", "o", "m"],
-                )
+            out = []
+            for core, fam, left, span, m, raw in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                for block in range((left - span) // step, left // step + 1):
+                    near, far = left - block * step, left - block * step - step + 1  # the starts at the block's ends; the first is the new anchor
+                    first, last = max(0, far), min(span, near)
+                    inner = xxh3_64_intdigest(raw[near : far + floor], (core + 31 * block) & 0xFFFFFFFFFFFFFFFF)
+                    body = raw[first : last + length]
+                    whole = xxh3_64_intdigest(body, (near - first) << 20 | (last - first))
+                    out.append((inner, whole, near - first, last - first, m, body, core, fam, first))
+                if len(out) >= 4096:
+                    yield _parts(out)
+                    out = []
+            if out:
+                yield _parts(out)
 
     return run
 
 
-def release(spark) -> None:
-    """Let the context cleaner drop the shuffles and checkpoints that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def repeated_intervals(keyed: DataFrame, length: int = LENGTH, window: int = WINDOW, hot: int = HOT, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """keyed (key, text binary) -> (key, spans: array of (start, end)), the byte ranges that repeated strings cover; a
-    document without any is absent. Ranges of one document may overlap; their number is bounded by its size."""
-    if window + GRAM - 1 > length or window < 1:
-        raise ValueError("a window and a gram must fit into the length")
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    c = list(zip(*rows, strict=True))
+    signed = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
+    cols = [signed(c[0]), signed(c[1]), pa.array(c[2], pa.int16()), pa.array(c[3], pa.int16()), pa.array(c[4], pa.int64()), pa.array(c[5], pa.binary()), pa.array(c[6], pa.int64()), pa.array(c[7], pa.int64()), pa.array(c[8], pa.int32())]
+    return pa.RecordBatch.from_arrays(cols, ["core", "fam", "left", "span", "m", "bytes", "of_core", "of_fam", "shift"])
+
+
+def _counted(group: DataFrame) -> DataFrame:
+    """Families with k, the number of different ones of their core. Both sides are read from the shared folder, so that
+    the partitions of a core with many can be split."""
+    several = cut(group.groupBy("core").agg(F.count(F.lit(1)).alias("k")).filter("k > 1"))
+    return cut(group.join(several, "core", "left").withColumn("k", F.coalesce("k", F.lit(1).cast("long"))))
+
+
+def _alone(group: DataFrame, length: int) -> DataFrame:
+    """The ranges of families that occur twice and have their core to themselves."""
+    own = group.filter("k = 1 and m > 1")
+    full = F.least(F.col("span").cast("int"), F.col("size") - length)  # the last start with `length` bytes
+    at = lambda a, b, level: F.struct(a.cast("int").alias("j1"), b.cast("int").alias("j2"), F.lit(level).alias("level"))
+    both = F.array(at(F.lit(0), full, 2), at(F.greatest(full + 1, F.lit(0)), F.col("span"), 1))
+    return own.select("core", "fam", F.explode(F.filter(both, lambda x: x["j1"] <= x["j2"])).alias("r")).select("core", "fam", "r.*")
+
+
+def _compared(bodies: DataFrame, floor: int, length: int, window: int, hot: int, rows: int, memory: int, made: list[str]) -> DataFrame:
+    """bodies with k > 1 -> ranges. Paths of tables that are still read are added to `made`."""
+    spark = bodies.sparkSession
+    if window == 1:  # a family is a string: the core is its first `floor` bytes, which another family shares
+        level = F.when((F.col("m") > 1) & (F.length("bytes") >= length), 2).otherwise(1 if floor < length else 2)
+        return bodies.select("core", "fam", F.lit(0).alias("j1"), F.lit(0).alias("j2"), level.alias("level"))
+    path = fresh_path(spark, "bodies")
+    made.append(path)
+    bodies.write.parquet(path)
+    bodies = spark.read.parquet(path)
+    easy, many = bodies.filter(F.col("k") <= hot).drop("k"), bodies.filter(F.col("k") > hot).drop("k")
+    ranges = bounded_batches(easy.repartition("core").sortWithinPartitions("core")).mapInArrow(_sort_shards(floor, length, rows, memory), _RANGE)
+    if many.isEmpty():
+        return ranges
+    step = max(1, window // DIVIDE)
+    path = fresh_path(spark, "parts")
+    made.append(path)
+    bounded_batches(many.select("core", "fam", "left", "span", "m", "bytes")).mapInArrow(_divide(floor, length, step), _PART).write.parquet(path)
+    parts = spark.read.parquet(path)
+    group = parts.groupBy("core", "fam").agg(F.sum("m").alias("m"), F.first("left").alias("left"), F.first("span").alias("span"), F.first("bytes").alias("bytes"))
+    group = _counted(cut(group.withColumn("size", F.length("bytes"))))
+    inner = _compared(group.filter("k > 1").select("core", "fam", "left", "span", "m", "k", "bytes"), floor, length, step, hot, rows, memory, made)
+    found = cut(_alone(group, length).union(inner))
+    back = parts.select("core", "fam", "of_core", "of_fam", "shift").join(found, ["core", "fam"])
+    return ranges.union(back.select(F.col("of_core").alias("core"), F.col("of_fam").alias("fam"), (F.col("j1") + F.col("shift")).alias("j1"), (F.col("j2") + F.col("shift")).alias("j2"), "level"))
+
+
+def repeated_intervals(keyed: DataFrame, length: int = LENGTH, floor: int | None = None, window: int | None = None, hot: int = HOT, shard_rows: int = SHARD_ROWS, memory: int = MEMORY) -> DataFrame:
+    """keyed (key, text binary) -> (key, spans: array of (start, end, level)), the byte ranges that repeated strings cover:
+    level 2 those of `length` bytes, level 1 those of `floor` bytes (`length` if it isn't given) beside them. A document
+    without any is absent. Ranges of one document may overlap; their number is bounded by its size."""
+    floor = length if floor is None else floor
+    window = max(1, min(WINDOW, floor // 2)) if window is None else window
+    if window + GRAM - 1 > floor or window < 1 or floor > length:
+        raise ValueError("a window and a gram must fit into the floor, and the floor into the length")
     spark = keyed.sparkSession
-    path = fresh_path(spark, "families")
-    bounded_batches(keyed).select("key", "text").mapInArrow(_find(length, window), _FAMILY).transform(settled).write.parquet(path)
-    all_ = spark.read.parquet(path)
-    twice = all_.groupBy("core").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("core")
+    src = bounded_batches(keyed.select("key", "text"))
+    twice = cut(src.mapInArrow(_count(floor, window), _CORE).groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select("core"))
     some = fresh_path(spark, "repeats")
-    all_.join(twice, "core", "left_semi").transform(settled).write.parquet(some)
-    remove_path(spark, path)
-    release(spark)
-    cand = spark.read.parquet(some)
-    group = cand.groupBy("core", "f1", "f2").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "lo", "left", "span")).alias("rep"))
-    group = cut(group)
-    cores = group.groupBy("core").agg(F.count(F.lit(1)).alias("k"))
-    group = cut(group.join(cores, "core").select("core", "f1", "f2", "m", "k", "rep.*"))
-    alone = group.filter("k = 1 and m > 1").select("core", "f1", "f2", (F.col("left") - F.col("span")).alias("o1"), F.col("left").alias("o2"))
-    wanted = group.filter("k > 1").groupBy("key").agg(F.collect_list(F.struct("core", "f1", "f2", "m", "k", "lo", "left", "span")).alias("wanted"))
-    bodies = keyed.join(wanted.hint("shuffle_hash"), "key").select("text", "wanted").mapInArrow(_contents(length), "core long, f1 long, f2 long, left int, span int, m long, k long, bytes binary")
-    if group.filter(F.col("k") > hot).isEmpty():
-        dealt = None
-    else:
-        body_path = fresh_path(spark, "bodies")
-        bodies.write.parquet(body_path)
-        bodies = spark.read.parquet(body_path)
-        each = bodies.filter(F.col("k") > hot).mapInArrow(_windows(length), "w1 long, w2 long, core long, f1 long, f2 long, o int, m long")
-        again = each.groupBy("w1", "w2").agg(F.sum("m").alias("n")).filter("n > 1").select("w1", "w2")
-        dealt = each.join(again, ["w1", "w2"], "left_semi").select("core", "f1", "f2", F.col("o").alias("o1"), F.col("o").alias("o2")).distinct()
-        bodies = bodies.filter(F.col("k") <= hot)
-    sorted_ = bodies.drop("k").repartition("core").sortWithinPartitions("core").mapInArrow(_sort_shards(length, shard_rows), "core long, f1 long, f2 long, o1 int, o2 int")
-    ranges = alone.union(sorted_)
-    if dealt is not None:
-        ranges = ranges.union(dealt)
-    ranges = cut(ranges)
-    release(spark)
-    anchor = F.col("lo") + F.col("left")
-    hits = cand.join(ranges, ["core", "f1", "f2"]).select("key", F.struct((anchor - F.col("o2")).alias("start"), (anchor - F.col("o1") + length).alias("end")).alias("span"))
+    src.mapInArrow(_find(floor, length, window), _FAMILY).join(twice, "core", "left_semi").transform(settled).write.parquet(some)
+    made, cand = [some], spark.read.parquet(some)
+    group = cut(cand.groupBy("core", "fam").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "lo", "left", "span", "size")).alias("rep")))
+    group = _counted(group.select("core", "fam", "m", "rep.*"))
+    wanted = group.filter("k > 1").groupBy("key").agg(F.collect_list(F.struct("core", "fam", "left", "span", "m", "k", "lo", "size")).alias("wanted"))
+    bodies = bounded_batches(keyed.join(wanted.hint("shuffle_hash"), "key").select("text", "wanted")).mapInArrow(_contents(length), "core long, fam long, left short, span short, m long, k long, bytes binary")
+    ranges = cut(_alone(group, length).union(_compared(bodies, floor, length, window, hot, shard_rows, memory, made)))
+    start = F.col("lo") + F.col("j1")
+    end = F.col("lo") + F.col("j2") + F.when(F.col("level") == 2, length).otherwise(floor)
+    hits = cand.join(ranges, ["core", "fam"]).select("key", F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), F.col("level").cast("long").alias("level")).alias("span"))
     found = cut(hits.groupBy("key").agg(F.collect_list("span").alias("spans")))
-    remove_path(spark, some)
-    if dealt is not None:
-        remove_path(spark, body_path)
+    for path in made:
+        remove_path(spark, path)
     return found
 
 
@@ -317,70 +316,76 @@ def _merged(spans: np.ndarray) -> np.ndarray:
 
 
 def _removal(batches):
-    """(id, text, spans) -> (id, n_bytes, n_removed, n_spans, kept)"""
+    """(id, text, spans) -> (id, n_bytes, n_removed, n_spans, n_repeated, kept)"""
     for whole in batches:
         for b in by_bytes([whole], "text"):
             lists = b.column(2)
             rows = []
             flat = lists.flatten()
-            pairs = np.stack([flat.field("start").to_numpy(), flat.field("end").to_numpy()], axis=1) if len(flat) else np.empty((0, 2), np.int64)
+            triples = np.stack([flat.field(c).to_numpy() for c in ("start", "end", "level")], axis=1) if len(flat) else np.empty((0, 3), np.int64)
             at = np.concatenate([[0], np.cumsum([n or 0 for n in pc.list_value_length(lists).to_pylist()])]).astype(int)
             for i, t in enumerate(b.column(1).to_pylist()):
-                if at[i] == at[i + 1]:
-                    rows.append((len(t or b""), 0, 0, t))
+                mine = triples[at[i] : at[i + 1]]
+                if not len(mine):
+                    rows.append((len(t or b""), 0, 0, 0, t))
                     continue
-                spans = _merged(pairs[at[i] : at[i + 1]]).tolist()
+                covered = int(np.diff(_merged(mine[:, :2]), axis=1).sum())
+                mine = mine[mine[:, 2] == 2]
+                spans = _merged(mine[:, :2]).tolist() if len(mine) else []
                 ends = [0, *(e for _, e in spans)]
-                kept = b"".join(t[x:y] for x, y in zip(ends, [*(s for s, _ in spans), len(t)], strict=True))
-                rows.append((len(t), len(t) - len(kept), len(spans), kept))
+                kept = b"".join(t[x:y] for x, y in zip(ends, [*(s for s, _ in spans), len(t)], strict=True)) if spans else t
+                rows.append((len(t), len(t) - len(kept), len(spans), covered, kept))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], ["id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept"])
 
 
 def _hashed(batches):
     for b in _removal(batches):
-        yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array([hashlib.sha256(t).hexdigest() for t in b.column(4).to_pylist()])], ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+        yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array([hashlib.sha256(t).hexdigest() for t in b.column(5).to_pylist()])], ["id", "n_bytes", "n_removed", "n_spans", "n_repeated", "kept_sha256"])
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False, **limits) -> DataFrame:
-    """One row for each row of `docs`: the id, n_bytes, n_removed, n_spans (maximal removed runs) and kept, the bytes
-    that are left, or with `digest` their kept_sha256.
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, floor: int | None = None, digest: bool = False, **limits) -> DataFrame:
+    """One row for each row of `docs`: the id, n_bytes, n_removed, n_spans (maximal removed runs), n_repeated (the bytes
+    that repeated strings of `floor` bytes cover; `length` if it isn't given) and kept, the bytes that are left, or with
+    `digest` their kept_sha256.
 
     Texts are UTF-8 bytes; a null text is empty and matches nothing. Repeated rows repeat each other, so that all their
     strings go. A text shorter than `length` loses nothing. Extra columns are not read.
     """
     keyed = _keyed(docs, id_col, text_col)
-    spans = repeated_intervals(keyed, length, **limits)
+    spans = repeated_intervals(keyed, length, floor, **limits)
     kind = keyed.schema["id"].dataType.simpleString()
     src = keyed.join(spans.hint("shuffle_hash"), "key", "left").select("id", "text", "spans")
     if digest:
-        out = bounded_batches(src).mapInArrow(_hashed, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+        out = bounded_batches(src).mapInArrow(_hashed, f"id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept_sha256 string")
     else:
-        out = bounded_batches(src).mapInArrow(_removal, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+        out = bounded_batches(src).mapInArrow(_removal, f"id {kind}, n_bytes long, n_removed long, n_spans long, n_repeated long, kept binary")
     return out.withColumnRenamed("id", id_col)
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, **limits) -> DataFrame:
     """`docs` with repeated strings cut out of the texts (characters cut in part go too) and n_chars, if it is there,
-    counted anew; documents of which only white space is left are dropped. The columns stay as they are."""
+    counted anew; documents of which only white space is left are dropped. The columns stay as they are, whatever their
+    names. A null text stays null; repeated rows repeat each other; of an empty table nothing is left."""
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_intervals(keyed, length, **limits)
     rest = [c for c in docs.columns if c != text_col]
-    src = docs.withColumn("_key", row_key(id_col, text_col)).join(spans.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")).hint("shuffle_hash"), "_key", "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col), "_spans")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("rest"), F.col(text_col).cast("binary").alias("text"), row_key(id_col, text_col).alias("key"))
+    src = rows.join(spans.hint("shuffle_hash"), "key", "left").select("rest", "text", "spans")
     kind = src.schema["rest"].dataType.simpleString()
 
     def run(batches):
         for b in _removal(batches):
-            kept = [None if t is None else t.decode("utf-8", "ignore") for t in b.column(4).to_pylist()]
+            kept = [None if t is None else t.decode("utf-8", "ignore") for t in b.column(5).to_pylist()]
             hit = [n > 0 for n in b.column(2).to_pylist()]
             live = [not h or bool(t.split()) for h, t in zip(hit, kept, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.string()), pa.array(hit)], ["rest", "text", "hit"]).filter(pa.array(live))
 
-    out = src.select(F.col("rest").alias("id"), F.col(text_col).cast("binary").alias("text"), "_spans").mapInArrow(run, f"rest {kind}, text string, hit boolean")
+    out = bounded_batches(src).mapInArrow(run, f"rest {kind}, text string, hit boolean")
     new = {text_col: F.col("text")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(F.col("hit"), F.length("text")).otherwise(F.col("rest.n_chars")).cast(docs.schema["n_chars"].dataType)

@@ -14,7 +14,7 @@ def docs_of(spark):
         full = [(r[0], r[1], "en", r[2] if len(r) > 2 else "s", None if r[1] is None else len(r[1])) for r in rows]
         df = spark.createDataFrame(full, DOCS)
         if clash:
-            for c in ("id", "key", "fp", "spans", "start", "n_words", "item", "host", "line", "part"):
+            for c in ("id", "key", "fp", "spans", "start", "n_words", "item", "host", "line", "part", "_key", "_gone", "_spans", "rest"):
                 df = df.withColumn(c, F.lit("x"))
         return df
 

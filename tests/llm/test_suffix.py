@@ -1,10 +1,11 @@
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
 
-from stellate.llm import suffix
+from stellate.llm import induced, suffix
 
 
 def brute(texts, length):
@@ -30,16 +31,16 @@ def hard_texts(n=150, seed=3):
     return [*out, (n, out[1][1]), (2, out[2][1]), (2, "another text of one id")]
 
 
-@pytest.mark.parametrize("limits", [{"window": 24}, {"window": 24, "shard_rows": 10}, {"window": 24, "hot": 3}, {"window": 9}])
+@pytest.mark.parametrize("limits", [{"window": 24}, {"window": 24, "shard_rows": 10, "memory": 4096}, {"window": 24, "hot": 3}, {"window": 9}, {"window": 11, "floor": 25}, {"window": 17, "floor": 25, "hot": 2, "memory": 4096}])
 def test_against_all_strings(spark, docs_of, limits):
     rows = hard_texts()
     df = docs_of(rows, clash=True)
     got = suffix.remove_repeats(df, length=40, digest=True, **limits).collect()
-    want = []
-    for (i, t), c in zip(rows, brute([(t or "").encode() for _, t in rows], 40), strict=True):
+    want, texts = [], [(t or "").encode() for _, t in rows]
+    for (i, t), c, f in zip(rows, brute(texts, 40), brute(texts, limits.get("floor", 40)), strict=True):
         raw = (t or "").encode()
         kept = bytes(np.frombuffer(raw, np.uint8)[~c]) if raw else b""
-        want.append((i, len(raw), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+        want.append((i, len(raw), int(c.sum()), int((np.diff(np.concatenate([[0], c.astype(int)])) == 1).sum()), int(f.sum()), hashlib.sha256(kept).hexdigest()))
     assert sorted(map(tuple, got)) == sorted(want)
 
 
@@ -65,12 +66,37 @@ def test_long_texts_are_read_in_blocks(monkeypatch, words):
         assert (a == b).all()
 
 
-def test_induced_order_in_files(monkeypatch):
-    monkeypatch.setattr(suffix, "MAPPED_BYTES", 0)
+@pytest.mark.parametrize("memory", [1 << 26, 4096])
+def test_induced_order(memory):
+    """With 4,096 bytes of memory for a shard of 60,000 bytes everything lies in files and runs are merged."""
     rng = random.Random(1)
-    texts = [bytes(rng.choice(b"ab") for _ in range(60)) for _ in range(40)]
-    left, span = np.full(40, 10), np.full(40, 10)
-    found = suffix.repeated(texts, left, span, 12)
-    for o in range(11):
-        all_ = [t[10 - o : 22 - o] for t in texts]
-        assert found[:, o].tolist() == [all_.count(x) > 1 for x in all_]
+    n, floor, length = 1000, 8, 12
+    texts = [bytes(rng.choice(b"\0ab") for _ in range(rng.randint(floor + 10, 60))) for _ in range(n)]
+    left = np.array([rng.randint(10, 14) for _ in texts])
+    span = np.array([rng.randint(0, min(10, len(t) - floor)) for t in texts])
+    shard = induced.Shard(floor, length, memory)
+    for i in range(0, n, 100):
+        k = slice(i, i + 100)
+        shard.add(np.frombuffer(b"".join(texts[k]), np.uint8), np.array([len(t) for t in texts[k]]), left[k], span[k])
+    got = [row for _, block in shard.classes() for row in block]
+    assert (shard.file is not None) == (memory == 4096)
+    for o in range(15):
+        at = [(i, int(left[i]) - o) for i in range(n)]
+        here = [(i, s) for i, s in at if 0 <= s]
+        count = {m: Counter(texts[i][s : s + m] for i, s in here) for m in (floor, length)}
+        for i, s in here:
+            if s <= span[i]:
+                again = lambda m: s + m <= len(texts[i]) and count[m][texts[i][s : s + m]] > 1  # noqa: B023, E731
+                assert got[i][s] == again(floor) + again(length)
+
+
+def test_order_of_runs():
+    rng = random.Random(2)
+    texts = [bytes(rng.choice(b"\0ab") for _ in range(rng.randint(5, 30))) for _ in range(500)]
+    orders = []
+    for memory in (1 << 26, 2048):
+        shard = induced.Shard(5, 20, memory)
+        shard.add(np.frombuffer(b"".join(texts), np.uint8), np.array([len(t) for t in texts]), np.zeros(500), np.zeros(500))
+        shard._finish()
+        orders.append([texts[i][:20] for i in shard._first_order()])
+    assert orders[0] == orders[1] == sorted(t[:20] for t in texts)
