@@ -31,10 +31,12 @@ def remove_path(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def settled(df: DataFrame, per_core: int = 8) -> DataFrame:
-    """At most so many tasks, and so files, for each core of the cluster: small results of wide shuffles don't become
-    thousands of tiny files. Not for rows that carry texts, whose tasks would grow with the input."""
-    return df.coalesce(max(1, per_core * df.sparkSession.sparkContext.defaultParallelism))
+def settled(df: DataFrame, per_core: int = 8, merged: int = 4) -> DataFrame:
+    """At most `per_core` tasks, and so files, for each core of the cluster, but never more than `merged` partitions of a
+    shuffle in a task: small results of wide shuffles don't become thousands of tiny files, and tasks don't grow with
+    the input. Not for rows that carry texts."""
+    spark = df.sparkSession
+    return df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // merged))
 
 
 def cut(df: DataFrame) -> DataFrame:

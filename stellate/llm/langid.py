@@ -124,11 +124,11 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_docs: int = TRAIN_DOCS, train_windows: int = TRAIN_WINDOWS) -> ByteCNN | None:
-    """A network from documents that are not held out and have a language: of each language the `train_docs` with the
-    least hash of their text, of each of those `train_windows` windows spread over all of it. None without any."""
+    """A network from documents that are not held out and have a language: of each language the `train_docs` different
+    texts with the least hashes, of each of those `train_windows` windows spread over all of it. None without any."""
     usable = docs.filter(~held_out(id_col) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     known = usable.select(F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in known.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return None
     labels = sorted(sizes)
@@ -146,7 +146,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())], ["lang", "h", "row"])
 
-    sample = bounded_batches(known).filter(F.col("h") / F.lit(float(1 << 63)) <= least).mapInArrow(run, "lang string, h long, row binary")
+    sample = bounded_batches(known).filter(F.col("h") / F.lit(float(1 << 63)) <= least).mapInArrow(run, "lang string, h long, row binary").distinct()  # copies of a text are one before anything is gathered
     by: dict[str, dict[int, list[bytes]]] = {lang: {} for lang in labels}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["h"], r["row"])):
         by[r["lang"]].setdefault(r["h"], []).append(bytes(r["row"]))
@@ -166,7 +166,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     lang_pred is `und` with score 0 where the text is null or has no letter, and everywhere if there is nothing to
     learn from. Whole texts are read; the language, the source and the id are no inputs. A null id is not held out and
-    not learned from. Equal texts get equal predictions.
+    not learned from. Equal texts get equal predictions; of equally probable languages the first by name is given.
     """
     net = train(docs, id_col, text_col, lang_col, train_docs)
     src = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))

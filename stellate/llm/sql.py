@@ -78,8 +78,8 @@ OP6 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coal
 
 OP10 = f"""WITH dw AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM (SELECT row_number() OVER () AS rid, * FROM documents)),
  bw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w FROM benchmark),
- dt AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS p FROM dw), bt AS (SELECT item_id, unnest(w) AS x, unnest(range(len(w))) AS j FROM bw WHERE len(w) >= {decontam.MIN_ITEM}),
- met AS (SELECT rid, item_id, p - j AS o FROM dt JOIN bt USING (x) GROUP BY ALL HAVING count(*) >= {decontam.MIN_ITEM}),
+ dt AS (SELECT rid, unnest(w) AS x, unnest(range(len(w))) AS p FROM dw), bt AS (SELECT item_id, unnest(w) AS x, unnest(range(len(w))) AS j FROM bw),
+ met AS (SELECT rid, item_id, p - j AS o FROM dt JOIN bt USING (x) JOIN bw USING (item_id) GROUP BY rid, item_id, o, len(bw.w) HAVING count(*) >= least(4, len(bw.w))),
  al AS (SELECT rid, doc_id, item_id, o, len(bw.w) AS want, unnest(range(greatest(0, -o), least(len(bw.w), len(dw.w) - o))) AS j, dw.w AS d, bw.w AS b FROM met JOIN dw USING (rid) JOIN bw USING (item_id)),
  sc AS (SELECT rid, doc_id, item_id, o, want, j, d[o + j + 1] = b[j + 1] AS same FROM al),
  cu AS (SELECT *, sum(CASE WHEN same THEN {5 - decontam.SAME_OF_FIVE} ELSE -{decontam.SAME_OF_FIVE} END) OVER w AS total, sum(same::INT) OVER w AS eq FROM sc WINDOW w AS (PARTITION BY rid, item_id, o ORDER BY j)),

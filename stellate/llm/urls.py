@@ -15,6 +15,8 @@ from stellate.llm.common import cut
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+SALTS = 8
+BROADCAST_HOSTS = 100_000
 LINK = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?(?:https?:)?//([^/\"'?#\\s>]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -46,15 +48,19 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     """edges (src, dst, links), seeds (host, trust, distrust) -> (host, trust, distrust) after `rounds` steps.
 
     Ranks and edges carry a kind: 't' follows links, 'd' follows them backwards. Without edges the seeds are the fixed
-    point. Lineage is cut every third round.
+    point. The number of rounds is fixed: what a further round moves is at most damping ** rounds (0.2) of the seeds' mass.
+    Mass at a host without links is not dealt out again, for either kind alike. The edges of a host with many lie under
+    salted keys. Lineage is cut every third round.
     """
     both = edges.select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), "src", "dst", "links"), F.struct(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))).alias("e")).select("e.*")
     total = both.groupBy("kind", "src").agg(F.sum("links").alias("total"))
-    share = cut(both.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("links") / F.col("total")).alias("w")))
+    salt = F.pmod(F.xxhash64("dst"), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    share = cut(both.select("*", salt).join(total.select("*", salts), ["kind", "src", "salt"]).select("kind", "src", "salt", "dst", (F.col("links") / F.col("total")).alias("w")))
     seed = cut(seeds.select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("host"), F.col("trust").cast("double").alias("p")), F.struct(F.lit("d").alias("kind"), F.col("host"), F.col("distrust").cast("double").alias("p")))).alias("s")).select("s.*").filter("p > 0"))
     rank = seed.select("kind", "host", F.col("p").alias("r"))
     for k in range(0 if share.isEmpty() else rounds):
-        given = share.join(rank.withColumnRenamed("host", "src"), ["kind", "src"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("w") * F.col("r"))).alias("g"))
+        given = share.join(rank.select("kind", F.col("host").alias("src"), "r", salts), ["kind", "src", "salt"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("w") * F.col("r"))).alias("g"))
         rank = seed.join(given, ["kind", "host"], "full").select("kind", "host", ((1 - damping) * F.coalesce("p", F.lit(0.0)) + F.coalesce("g", F.lit(0.0))).alias("r"))
         rank = cut(rank) if k % 3 == 2 else rank
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("r")).otherwise(0.0))
@@ -65,12 +71,19 @@ def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     """One row for each row of `pages`: the id, host, path, rule (null where none fits), verdict (allow or block).
 
     The verdict is the rule's, else the host's by propagation. A null url, or one without ://, has an empty host, fits
-    no rule and is allowed. Repeated rows are judged alike, and each counts as a page of its host.
+    no rule and is allowed. Repeated rows are judged alike, and each counts as a page of its host. A host with as much
+    trust as distrust is allowed. Pages are never dealt out by host: blocked hosts are broadcast up to BROADCAST_HOSTS of
+    them (counted first), and joined under salted keys beyond.
     """
     host, path = host_and_path(F.col(url_col))
     rule, action = rule_verdict(F.col("host"), F.col("path"), rules)
     judged = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).select("id", "host", "path", rule.alias("rule"), action.alias("action"))
     seeds = judged.filter("host <> '' and action is not null").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("trust"), F.count_if(F.col("action") == "block").alias("distrust"))
     ranks = propagate(host_edges(pages, url_col, html_col), seeds, damping, rounds)
-    bad = ranks.filter(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("spread"))
-    return judged.join(bad, "host", "left").select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", "spread", F.lit("allow")).alias("verdict"))
+    bad = cut(ranks.filter(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("spread")))
+    if bad.count() <= BROADCAST_HOSTS:
+        known = judged.join(F.broadcast(bad), "host", "left")
+    else:
+        salted = bad.select("host", "spread", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        known = judged.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int")).join(salted, ["host", "salt"], "left")
+    return known.select(F.col("id").alias(id_col), "host", "path", "rule", F.coalesce("action", "spread", F.lit("allow")).alias("verdict"))

@@ -131,11 +131,11 @@ def slow_overlaps(docs, items):
                 place[x].append(j)
             best = 0
             for at, n in Counter(p - j for p, x in enumerate(w) for j in place.get(x, ())).items():
-                if n >= 4:
+                if n >= min(4, len(b)):
                     same = np.array([w[at + j] == b[j] for j in range(max(0, -at), min(len(b), len(w) - at))])
                     total = np.concatenate([[0], np.cumsum(np.where(same, 1, -4))])
                     best = max([best, *(j - i + 0 for i in range(len(total)) for j in range(i + 1, len(total)) if total[j] >= total[i] and same[i] and same[j - 1])])
-            if len(b) >= 5 and best >= min(len(b), 13):
+            if b and best >= min(len(b), 13):
                 out[i, k] = max(best, out.get((i, k), 0))
     return out
 
@@ -148,18 +148,33 @@ def test_decontamination(spark, docs_of, words, block):
     for k in range(6):
         docs.append((100 + k, f"{words(20, 200 + k)}, {items[k][1].upper()}! {words(20, 300 + k)}"))
     docs += [(120, change(items[4][1], *range(4, 60, 5))), (121, change(items[3][1], 3, 9, 17)), (122, " ".join(items[4][1].split()[20:36])), (123, change(items[2][1], 1, 5, 9, 12)), (124, None), (125, ""), (126, items[2][1]), (126, items[2][1]), (127, words(20_000, 9) + " " + items[3][1])]
+    short = {n: " ".join(f"q{n}x{k}" for k in range(n)) for n in range(1, 9)}
+    items += [(20 + n, t) for n, t in short.items()]
+    docs += [(1000 + 10 * n + k, f"{words(5, n)} {change(t, k)} {words(5, k)}") for n, t in short.items() for k in range(n + 1)]
     df, bench = docs_of(docs, clash=True), spark.createDataFrame([(*r, 1) for r in items], "item_id long, text string, n_words int")
     got = decontam.find_overlaps(df, bench, block_words=block).collect()
     assert sum(r["doc_id"] == 126 for r in got) == 2
     want = slow_overlaps(docs, [x for x in items if x[1]])
     assert {(r["doc_id"], r["item_id"]): r["n_words"] for r in got} == want
-    assert {r["doc_id"] for r in got} == {100, 101, 102, 103, 104, 120, 121, 122, 126, 127}
+    assert {r["doc_id"] for r in got if r["doc_id"] < 1000} == {100, 101, 102, 103, 104, 105, 120, 121, 122, 126, 127}
+    for n in range(1, 9):  # one changed word leaves 80 % of five or more, and an overlap ends with equal words
+        assert [k for k in range(n + 1) if (1000 + 10 * n + k, 20 + n) in want] == [k for k in range(n + 1) if k == n or n >= 5 and 0 < k < n - 1]
     left = decontam.drop_contaminated(df, bench, block_words=block)
     assert sorted(r["doc_id"] for r in left.collect()) == sorted(i for i, _ in docs if i not in {r["doc_id"] for r in got})
     assert left.dtypes == df.dtypes
     assert decontam.find_overlaps(df, bench.limit(0)).count() == 0 and decontam.find_overlaps(df.limit(0), bench).count() == 0
 
 
+def test_repetitive_texts_are_laid_out_in_parts(monkeypatch):
+    index = decontam.SeedIndex([np.full(200, 7, np.uint64), np.array([3], np.uint64)])
+    words, ends = np.full(3000, 7, np.uint64), np.array([0, 3000])
+    want = index.overlaps(words, ends)
+    monkeypatch.setattr(decontam, "HITS", 1000)
+    assert index.overlaps(words, ends) == want == [(0, 0, 0, 200, 200)]
+    at = index.alignments(words, ends)
+    assert len(at[2]) == 3000 + 200 - 2 * 5 + 1 and at[2].min() == 5 - 200
+
+
 def test_masks_meet_all_patterns():
     from itertools import combinations
 
