@@ -14,18 +14,19 @@ def _q2_parts() -> str:
  grams AS (SELECT rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT rid, words, unnest(range(1, len(words) - 1)) AS i FROM w)),
  again AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM grams) WHERE n > 1),
  rep AS (SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid),
- l AS (SELECT rid, line FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+ l AS (SELECT rid, pos, line FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
  dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM l GROUP BY rid),
  counts AS (SELECT d.rid, d.doc_id, d.host, d.text, len(w.words)::BIGINT AS n_words, length(regexp_replace(text, '{_WS}', '', 'g'))::BIGINT AS word_chars,
    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
    FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
- nl AS (SELECT DISTINCT d.rid, d.host, trim(regexp_replace({low}, '{_WS}', ' ', 'g'), ' ') AS line FROM l JOIN d USING (rid)),
- hl AS (SELECT rid, host, line, length(line)::BIGINT AS chars, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h FROM nl),
- low AS (SELECT rid, list_sort(list(h)) AS hs, sum(chars) AS total FROM hl GROUP BY rid),
- ctx AS (SELECT hl.*, total, list_filter(hs[1:3], lambda x: x <> h) AS o FROM hl JOIN low USING (rid)),
- freq AS (SELECT host, h FROM (SELECT host, h, count(*) AS n FROM (SELECT DISTINCT host, h, coalesce(o[1], -1) AS c1, coalesce(o[2], -1) AS c2 FROM ctx) GROUP BY host, h)
-   JOIN (SELECT host, count(*) AS m FROM d GROUP BY host) USING (host) WHERE n > {quality.LINE_MIN_DOCS} AND n > {quality.LINE_MAX_SHARE} * m),
- lost AS (SELECT rid, sum(chars)::BIGINT AS gone, max(total) AS total FROM ctx JOIN freq USING (host, h) GROUP BY rid),
+ nl AS (SELECT rid, host, pos, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h, length(line)::BIGINT AS chars
+   FROM (SELECT d.rid, d.host, pos, trim(regexp_replace({low}, '{_WS}', ' ', 'g'), ' ') AS line FROM l JOIN d USING (rid))),
+ content AS (SELECT rid, any_value(host) AS host, list(h ORDER BY pos) AS c FROM nl GROUP BY rid),
+ own AS (SELECT host, c, min(rid) AS rid FROM content GROUP BY host, c),
+ hl AS (SELECT DISTINCT rid, host, h, chars FROM nl),
+ freq AS (SELECT host, h FROM (SELECT host, h, count(*) AS n FROM hl WHERE rid IN (SELECT rid FROM own) GROUP BY host, h) JOIN (SELECT host, count(*) AS m FROM own GROUP BY host) USING (host)
+   WHERE n > {quality.LINE_MIN_DOCS} AND n > {quality.LINE_MAX_SHARE} * m),
+ lost AS (SELECT rid, coalesce(sum(chars) FILTER (WHERE freq.h IS NOT NULL), 0)::BIGINT AS gone, sum(chars) AS total FROM hl LEFT JOIN freq USING (host, h) GROUP BY rid),
  judged AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed, coalesce(gone, 0)::BIGINT AS removed_chars, coalesce(2 * gone > total, false) AS depleted FROM counts LEFT JOIN lost USING (rid))"""
 
 

@@ -62,8 +62,8 @@ def test_templated_documents_are_counted_apart(spark, docs_of, words):
     data = [(i, f"{shared}\n{words(6, 8000 + i)}") for i in range(60)]
     got = quality.quality_rules(docs_of(data)).collect()
     assert not any(r["kept"] or r["base_failed"] for r in got)
-    held = quality.document_lines(docs_of(data + data)).groupBy("line").agg({"content": "approx_count_distinct"}).collect()
-    assert max(r[1] for r in held) > 40
+    held = quality.frequent_lines(quality.measured(docs_of(data + data))).collect()
+    assert len(held) == 12 and all(r["n_docs"] == 60 for r in held)
 
 
 def test_share_is_of_different_documents(spark, docs_of, words):
@@ -75,6 +75,52 @@ def test_share_is_of_different_documents(spark, docs_of, words):
     assert {i for i, n in got.items() if n} == set(range(10))
 
 
+def slow_lines(data, min_docs, max_share):
+    """(doc_id, removed_chars, depleted) by plain counting of the different documents that hold a line."""
+    norm = lambda x: " ".join(WORD.findall(x.lower()))
+    rows = [(i, (r[0] if r else "s") or "", [norm(x) for x in (t or "").split("\n") if WORD.search(x)]) for i, t, *r in data]
+    hosts, holders = {}, {}
+    for _, h, lines in rows:
+        if lines:
+            hosts.setdefault(h, set()).add(tuple(lines))
+            for x in lines:
+                holders.setdefault((h, x), set()).add(tuple(lines))
+    out = []
+    for i, h, lines in rows:
+        gone = sum(len(x) for x in set(lines) if len(holders[h, x]) > max(min_docs, max_share * len(hosts[h])))
+        out.append((i, gone, 2 * gone > sum(map(len, set(lines)))))
+    return out
+
+
+@pytest.mark.parametrize(("min_docs", "max_share"), [(3, 0.0), (2, 0.2), (0, 0.1)])
+def test_lines_against_plain_counting(spark, docs_of, min_docs, max_share):
+    """One-line documents, hosts of a dozen boilerplate lines, copies, null and empty texts, ties at the limit."""
+    rng = random.Random(11)
+    boiler = [f"menu item {k} of many" for k in range(12)]
+    data = []
+    for i in range(120):
+        host = rng.choice(["a", "b", None])
+        lines = rng.sample(boiler, rng.randint(0, 12)) + [rng.choice(["one line", f"own {rng.randint(0, 40)} words", " \t", "ONE  line "]) for _ in range(rng.randint(0, 3))]
+        data.append((i, rng.choice(["\n".join(lines)] * 9 + [None, ""]), host))
+    data += [(200 + i, "just one equal line", "c") for i in range(30)] + [(300 + i, f"just one equal line\n{i % 4}", "c") for i in range(8)] + [data[5]]
+    got = quality.quality_rules(docs_of(data), min_docs=min_docs, max_share=max_share).collect()
+    want = slow_lines(data, min_docs, max_share)
+    assert sorted((r["doc_id"], r["removed_chars"]) for r in got) == sorted(x[:2] for x in want)
+    depleted = dict((x[0], x[2]) for x in want)
+    assert all(r["kept"] == (not r["base_failed"] and not depleted[r["doc_id"]]) for r in got)
+
+
+def test_windows_of_one_hash_are_compared(spark, docs_of, words, monkeypatch):
+    """With two bits of the hash left nearly all windows collide, and the count stays exact."""
+    from pyspark.sql import functions as F
+
+    real = F.xxhash64
+    monkeypatch.setattr(quality.F, "xxhash64", lambda *c: real(*c).bitwiseAND(F.lit(3 << 60)) if len(c) == 3 else real(*c))
+    data = [(1, words(300, 1)), (2, "a b c d " * 30), (3, words(100, 2) + " " + words(100, 2)), (4, "x y z"), (5, None)]
+    frame = quality.base_counts(docs_of(data)).collect()
+    assert {r["doc_id"]: r["n_repeat_words"] for r in frame} == {i: brute(t)[4] for i, t in data}
+
+
 def test_empty(spark, docs_of):
     assert quality.quality_rules(docs_of([])).count() == 0
     assert quality.apply_quality(docs_of([(1, None)])).count() == 0
