@@ -246,7 +246,7 @@ def verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, shi
     """groups (unit, group), unit the key of a row of `docs` -> (node, component): the components of the pairs within a group
     whose shingle sets have a Jaccard similarity of at least `similarity`. A group of more than max_group is dealt out in
     blocks, each pair of which is compared in one task."""
-    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("n", F.when(F.col("n") > max_group, F.ceil(2 * F.col("n") / max_group)).otherwise(1).cast("int"))
+    sizes = cut(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("n", F.when(F.col("n") > max_group, F.ceil(2 * F.col("n") / max_group)).otherwise(1).cast("int")))
     blocks = groups.join(sizes, "group").withColumn("b", F.pmod(F.xxhash64("unit"), F.col("n")).cast("int"))
     dealt = cut(blocks.select("unit", "group", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("unit", F.xxhash64("group", F.least("b", "o"), F.greatest("b", "o")).alias("group")))
     texts = docs.select(row_key(id_col, text_col).alias("unit"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(dealt.select("unit").distinct(), "unit", "left_semi")
@@ -294,19 +294,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         grouped = cut(units.join(candidates, "node", "left").select("fp", "fp2", "content", "unit", "first", F.coalesce("group", "node").alias("group")))
         same = verified(docs, grouped.select("unit", "group"), id_col, text_col, shingle, similarity).withColumnRenamed("node", "unit")
         labelled = cut(grouped.join(same, "unit", "left").select("fp", "fp2", "content", "first", F.coalesce("component", "unit").alias("label")))
-        best = labelled.join(labelled.groupBy("label").agg(F.min("first").alias("rep")), "label").select("fp", "fp2", "content", "rep")
+        least = cut(labelled.groupBy("label").agg(F.min("first").alias("rep")))  # from the shared folder, so that a join can split a large group
+        best = cut(labelled.join(least, "label").select("fp", "fp2", "content", "rep"))
         named = rows.join(text, "key").join(best, ["fp", "fp2", "content"])
         return settled(named).select("id", "key", "fp", F.col("rep.id").alias("component_id"), F.col("rep.key").alias("rep_key"))
     linked = distinct.join(components(links(distinct, mode, max_bucket)), "node").select("node", "component", "first")
-    least = linked.groupBy("component").agg(F.min("first").alias("least"))
-    named = distinct.join(linked.join(least, "component").select("node", "least"), "node", "left").select("fp", "fp2", F.coalesce("least", "first").alias("rep"))
+    linked = cut(linked)
+    least = cut(linked.groupBy("component").agg(F.min("first").alias("least")))
+    named = cut(distinct.join(linked.join(least, "component").select("node", "least"), "node", "left").select("fp", "fp2", F.coalesce("least", "first").alias("rep")))
     return settled(rows.join(named, ["fp", "fp2"])).select("id", "key", "fp", F.col("rep.id").alias("component_id"), F.col("rep.key").alias("rep_key"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW, similarity: float | None = None) -> DataFrame:
-    """One row of `docs` for each component: that of the least id. Columns stay as they are."""
-    keep = cut(near_duplicates(docs, id_col, text_col, shingle, mode, similarity=similarity).groupBy(F.col("rep_key").alias("_key")).agg(F.count_if(F.col("key") == F.col("rep_key")).alias("_n")))
-    kept = docs.withColumn("_key", row_key(id_col, text_col)).join(keep.select("_key"), "_key", "left_semi")
-    if not keep.filter("_n > 1").isEmpty():
-        kept = kept.dropDuplicates(["_key"])
-    return kept.select(*docs.columns)
+    """One row of `docs` for each component: that of the least id. Columns stay as they are, whatever their names. Null and
+    wordless texts are copies of each other; of repeated rows one stays; a row with a null id stays only if its component
+    has no other; an empty table stays empty."""
+    keep = cut(near_duplicates(docs, id_col, text_col, shingle, mode, similarity=similarity).groupBy(F.col("rep_key").alias("key")).agg(F.count_if(F.col("key") == F.col("rep_key")).alias("n")))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), row_key(id_col, text_col).alias("key"))
+    kept = whole.join(keep.select("key"), "key", "left_semi")
+    if not keep.filter("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["key"])
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
