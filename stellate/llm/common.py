@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stellate.session import fresh_path, shared_root
 
-__all__ = ["bounded_batches", "by_bytes", "cut", "fresh_path", "int_lists", "remove_path", "row_key", "settled", "shared_root"]
+__all__ = ["bounded_batches", "by_bytes", "cut", "fresh_path", "int_lists", "remove_path", "row_key", "settled", "shared_root", "tidy", "written"]
 
 BATCH_BYTES = 8 << 20
 
@@ -39,10 +40,32 @@ def settled(df: DataFrame, per_core: int = 8, merged: int = 4) -> DataFrame:
     return df.coalesce(max(1, per_core * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // merged))
 
 
+@contextmanager
+def tidy(spark: SparkSession):
+    """Inside, the shuffle files of an action go when it ends, as its result lies in the shared folder. The setting of the
+    session is as before afterwards."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
-    return settled(df).checkpoint(eager=True)
+    with tidy(df.sparkSession):
+        return settled(df).checkpoint(eager=True)
+
+
+def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The rows of `df` from a new Parquet table in the shared folder, and its path."""
+    path = fresh_path(df.sparkSession, name)
+    with tidy(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
 def row_key(id_col: str, text_col: str) -> Column:

@@ -11,13 +11,13 @@ from stellate.llm.common import cut
 def _large(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut(edges.groupBy("u").agg(F.min("v").alias("m")))
     down = edges.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return down.union(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -25,8 +25,9 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (u, v), any order, repeats and loops allowed -> (node, component) with the smallest node of the component.
 
-    Only nodes with an edge to another node appear. Each round is a few shuffles of the edge table; the table is
-    written to the shared folder after each round, and rounds end when it no longer changes.
+    Only nodes with an edge to another node appear. Each round is a few shuffles of the edge table; the table and the
+    least neighbours are written to the shared folder, so that joins read both sides from there and can split the edges of
+    a node with many. Rounds end when the table no longer changes.
     """
     edges = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

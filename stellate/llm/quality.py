@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import cut, fresh_path, row_key, settled
+from stellate.llm.common import cut, row_key, settled, written
 
 WHITE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -92,9 +92,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ho
     one = base_counts(src).withColumn("_every", each)
     two = one.withColumns({"lines": F.array_distinct("_every"), "content": F.when(F.size("_every") > 0, F.xxhash64(F.transform("_every", lambda x: x["line"])))})
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda a, x: a + x["chars"])
-    path = fresh_path(docs.sparkSession, "measured")
-    two.select("id", "key", "host", *COUNTS, "lines", total.alias("total"), "content").write.parquet(path)
-    return docs.sparkSession.read.parquet(path)
+    return written(two.select("id", "key", "host", *COUNTS, "lines", total.alias("total"), "content"), "measured")[0]
 
 
 def frequent_lines(rows: DataFrame, min_docs: int = LINE_MIN_DOCS, max_share: float = LINE_MAX_SHARE) -> DataFrame:

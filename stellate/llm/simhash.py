@@ -249,12 +249,12 @@ def verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, shi
     sizes = cut(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("n", F.when(F.col("n") > max_group, F.ceil(2 * F.col("n") / max_group)).otherwise(1).cast("int")))
     blocks = groups.join(sizes, "group").withColumn("b", F.pmod(F.xxhash64("unit"), F.col("n")).cast("int"))
     dealt = cut(blocks.select("unit", "group", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("unit", F.xxhash64("group", F.least("b", "o"), F.greatest("b", "o")).alias("group")))
-    texts = docs.select(row_key(id_col, text_col).alias("unit"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(dealt.select("unit").distinct(), "unit", "left_semi")
+    texts = docs.select(row_key(id_col, text_col).alias("unit"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(dealt, "unit").select("group", "unit", "text")
 
     def sets(batches):
         for b in by_bytes(batches, "text"):
-            found = [shingle_set(t, shingle).view(np.int64) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["unit", "shingles"])
+            found = [shingle_set(t, shingle).view(np.int64) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["group", "unit", "shingles"])
 
     def solve(batches):
         at, units, held = None, [], []
@@ -263,14 +263,16 @@ def verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, shi
                 if g != at and units:
                     yield from _similar(units, held, similarity)
                     units, held = [], []
+                if g == at and units and units[-1] == u:
+                    continue  # another row of the same key
                 at = g
                 units.append(u)
                 held.append(x.values.to_numpy(zero_copy_only=False))
         if units:
             yield from _similar(units, held, similarity)
 
-    hashed = bounded_batches(texts).mapInArrow(sets, "unit long, shingles array<long>")
-    pairs = bounded_batches(hashed.join(dealt, "unit").select("group", "unit", "shingles").repartition("group").sortWithinPartitions("group", "unit")).mapInArrow(solve, "u long, v long")
+    hashed = bounded_batches(texts).mapInArrow(sets, "group long, unit long, shingles array<long>")
+    pairs = bounded_batches(hashed.repartition("group").sortWithinPartitions("group", "unit")).mapInArrow(solve, "u long, v long")
     return components(pairs)
 
 

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, by_bytes, cut, fresh_path, remove_path, row_key, settled
+from stellate.llm.common import bounded_batches, by_bytes, cut, remove_path, row_key, settled, written
 from stellate.llm.induced import MEMORY, Shard
 
 #: FLOOR: passages of over 50 words; fewer than one in a thousand are shorter in the test data.
@@ -254,23 +254,18 @@ def _alone(group: DataFrame, length: int) -> DataFrame:
 
 def _compared(bodies: DataFrame, floor: int, length: int, window: int, hot: int, rows: int, memory: int, made: list[str]) -> DataFrame:
     """bodies with k > 1 -> ranges. Paths of tables that are still read are added to `made`."""
-    spark = bodies.sparkSession
     if window == 1:  # a family is a string: the core is its first `floor` bytes, which another family shares
         level = F.when((F.col("m") > 1) & (F.length("bytes") >= length), 2).otherwise(1 if floor < length else 2)
         return bodies.select("core", "fam", F.lit(0).alias("j1"), F.lit(0).alias("j2"), level.alias("level"))
-    path = fresh_path(spark, "bodies")
+    bodies, path = written(bodies, "bodies")
     made.append(path)
-    bodies.write.parquet(path)
-    bodies = spark.read.parquet(path)
     easy, many = bodies.filter(F.col("k") <= hot).drop("k"), bodies.filter(F.col("k") > hot).drop("k")
     ranges = bounded_batches(easy.repartition("core").sortWithinPartitions("core")).mapInArrow(_sort_shards(floor, length, rows, memory), _RANGE)
     if many.isEmpty():
         return ranges
     step = max(1, window // DIVIDE)
-    path = fresh_path(spark, "parts")
+    parts, path = written(bounded_batches(many.select("core", "fam", "left", "span", "m", "bytes")).mapInArrow(_divide(floor, length, step), _PART), "parts")
     made.append(path)
-    bounded_batches(many.select("core", "fam", "left", "span", "m", "bytes")).mapInArrow(_divide(floor, length, step), _PART).write.parquet(path)
-    parts = spark.read.parquet(path)
     group = parts.groupBy("core", "fam").agg(F.sum("m").alias("m"), F.first("left").alias("left"), F.first("span").alias("span"), F.first("bytes").alias("bytes"))
     group = _counted(cut(group.withColumn("size", F.length("bytes"))))
     inner = _compared(group.filter("k > 1").select("core", "fam", "left", "span", "m", "k", "bytes"), floor, length, step, hot, rows, memory, made)
@@ -290,9 +285,8 @@ def repeated_intervals(keyed: DataFrame, length: int = LENGTH, floor: int | None
     spark = keyed.sparkSession
     src = bounded_batches(keyed.select("key", "text"))
     twice = cut(src.mapInArrow(_count(floor, window), _CORE).groupBy("core").agg(F.sum("n").alias("n")).filter("n > 1").select("core"))
-    some = fresh_path(spark, "repeats")
-    src.mapInArrow(_find(floor, length, window), _FAMILY).join(twice, "core", "left_semi").transform(settled).write.parquet(some)
-    made, cand = [some], spark.read.parquet(some)
+    cand, path = written(settled(src.mapInArrow(_find(floor, length, window), _FAMILY).join(twice, "core", "left_semi")), "repeats")
+    made = [path]
     group = cut(cand.groupBy("core", "fam").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "lo", "left", "span", "size")).alias("rep")))
     group = _counted(group.select("core", "fam", "m", "rep.*"))
     wanted = group.filter("k > 1").groupBy("key").agg(F.collect_list(F.struct("core", "fam", "left", "span", "m", "k", "lo", "size")).alias("wanted"))
