@@ -2,13 +2,20 @@
 
 A page becomes a stream of blocks, the text between block-level tags. Scripts, styles, forms, navigation, headers,
 footers, sidebars, notices, adverts and reader comments are left out by their tags, roles and class or id words. Where a
-page marks its article (an article or main element, or that role), the blocks inside it are the main text.
+page marks its article (an article or main element, or that role), the blocks inside it are candidates for the main text,
+else all of them.
 
-A page without such a mark is cleaned by a host suffix array: the word streams of the host's unmarked pages are taken
-together, suffixes are sorted to the depth of DEPTH words (Spark sorts them by host and prefix), and where DEPTH words
-or more repeat over at least MIN_PAGES different pages of the host, the words that such strings cover are boilerplate;
-the unique runs stay. Inside a marked article nothing is removed this way: articles quote and repeat each other, and
-what they repeat is still text.
+Then the host's pages are taken together and what repeats across its different pages goes; the unique runs stay. Each page
+is a stream of tokens, each token begins a suffix, and suffixes are grouped by host and the tokens that they begin with:
+
+* pages without a mark: tokens are the words of the whole page, over the borders of blocks, and a string of DEPTH words or
+  more that MIN_PAGES different pages hold is boilerplate;
+* pages with a mark: tokens are blocks, and a block that MIN_PAGES different pages and more than MARKED_SHARE of the host's
+  different pages hold is boilerplate. Articles quote each other, so that strings of words would take wanted text.
+
+The suffix array is cut at DEPTH tokens: suffixes with equal beginnings are brought together by aggregation, which a hot
+beginning doesn't bring into one task, and not in the order of the alphabet. Any longer repeated string is a chain of
+such beginnings, so that the words covered are those that the whole array would give.
 """
 
 from __future__ import annotations
@@ -21,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, by_bytes, cut
+from stellate.llm.common import bounded_batches, by_bytes, cut, written
 from stellate.llm.urls import host_and_path
 
-DEPTH, MIN_PAGES, SALTS = 8, 3, 16
+DEPTH, MIN_PAGES, MARKED_SHARE, SALTS = 8, 3, 0.3, 16
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[!?][^>]*+>", re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -104,72 +111,79 @@ def blocks(page: str) -> tuple[list[str], bool]:
     return ([t for t, inside in found if inside], True) if marked else ([t for t, _ in found], False)
 
 
-def _suffixes(texts: list[str]) -> tuple[int, list[int]]:
-    """A hash of the words of a page, and for each word that has DEPTH words from it in its block a hash of them, else 0."""
+def _suffixes(texts: list[str], marked: bool) -> tuple[int, list[int]]:
+    """A hash of the words of a page, and of each suffix that is long enough a hash of its first tokens."""
     from xxhash import xxh3_64_intdigest
 
-    out = []
-    for t in texts:
-        w = t.split(" ")
-        out += [xxh3_64_intdigest(" ".join(w[i : i + DEPTH])) >> 1 or 1 for i in range(len(w) - DEPTH + 1)] + [0] * min(len(w), DEPTH - 1)
-    return xxh3_64_intdigest("\n".join(texts)) >> 1, out
+    if marked:
+        found = [xxh3_64_intdigest(t, 1) >> 1 for t in texts]
+    else:
+        w = " ".join(texts).split(" ")
+        found = [xxh3_64_intdigest(" ".join(w[i : i + DEPTH])) >> 1 for i in range(len(w) - DEPTH + 1)]
+    return xxh3_64_intdigest("\n".join(texts)) >> 1, found
 
 
 def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id, url, key, host, texts, marked, content, suffixes); suffixes are null on pages that mark their article."""
+    """(id, url, key, host, texts, marked, content, suffixes), from a table in the shared folder."""
     src = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.xxhash64(id_col, url_col, html_col).alias("key"), host_and_path(F.col(url_col))[0].alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
 
     def run(batches):
         for b in by_bytes(batches, "html"):
             got = [blocks(t) for t in b.column(4).to_pylist()]
-            more = [(None, None) if marked else _suffixes(t) for t, marked in got]
+            more = [_suffixes(t, marked) for t, marked in got]
             cols = [pa.array([t for t, _ in got], pa.list_(pa.string())), pa.array([m for _, m in got]), pa.array([h for h, _ in more], pa.int64()), pa.array([s for _, s in more], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*b.columns[:4], *cols], ["id", "url", "key", "host", "texts", "marked", "content", "suffixes"])
 
-    return bounded_batches(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, url {src.schema['url'].dataType.simpleString()}, key long, host string, texts array<string>, marked boolean, content long, suffixes array<long>")
+    return written(bounded_batches(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, url {src.schema['url'].dataType.simpleString()}, key long, host string, texts array<string>, marked boolean, content long, suffixes array<long>"), "parsed")[0]
 
 
-def boilerplate(parsed: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(key, covered): for unmarked pages the places of the words at which a repeated string of DEPTH words begins."""
-    each = parsed.filter(~F.col("marked")).select("key", "host", "content", F.posexplode("suffixes").alias("at", "suffix")).filter("suffix <> 0")
-    often = each.select("host", "suffix", "content").distinct().groupBy("host", "suffix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
-    salted = often.select("host", "suffix", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    hits = each.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["host", "suffix", "salt"])
+def boilerplate(parsed: DataFrame, min_pages: int = MIN_PAGES, marked_share: float = MARKED_SHARE) -> DataFrame:
+    """(key, covered): the places of the suffixes whose beginning is boilerplate. Copies of a page count as one."""
+    each = parsed.select("key", "host", "marked", "content", F.posexplode("suffixes").alias("at", "suffix"))
+    hosts = cut(parsed.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
+    often = each.select("host", "marked", "suffix", "content").distinct().groupBy("host", "marked", "suffix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    common = cut(often.join(hosts, "host").filter(~F.col("marked") | (F.col("n") > marked_share * F.col("pages"))))
+    salted = common.select("host", "marked", "suffix", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    hits = each.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["host", "marked", "suffix", "salt"])
     return hits.groupBy("key").agg(F.collect_set("at").alias("covered"))
 
 
 def _unique_runs(batches):
-    """(texts, covered) -> text without the covered words"""
+    """(id, url, texts, marked, covered) -> text without what is covered"""
     for b in batches:
         out = []
-        for texts, covered in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if covered:
+        for texts, marked, covered in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+            if covered and marked:
+                gone = set(covered)
+                texts = [t for i, t in enumerate(texts) if i not in gone]
+            elif covered:
                 n = sum(t.count(" ") + 1 for t in texts)
-                gone = np.zeros(n + DEPTH, bool)
+                cover = np.zeros(n + DEPTH, bool)
                 for k in range(DEPTH):
-                    gone[np.array(covered) + k] = True
+                    cover[np.array(covered) + k] = True
                 at, left = 0, []
                 for t in texts:
                     w = t.split(" ")
-                    left.append(" ".join(x for x, g in zip(w, gone[at : at + len(w)].tolist(), strict=True) if not g))
+                    left.append(" ".join(x for x, g in zip(w, cover[at : at + len(w)].tolist(), strict=True) if not g))
                     at += len(w)
                 texts = [t for t in left if t]
             out.append("\n".join(texts))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], ["id", "url", "text"])
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES) -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_pages: int = MIN_PAGES, marked_share: float = MARKED_SHARE) -> DataFrame:
     """One row for each row of `pages`: the id, the url, text and n_chars.
 
     A null page is empty, as is one without text outside what is left out. A null url belongs to the host ''. Copies of
-    a page count as one when repeats are counted; equal rows get equal texts. Extra columns are not read.
+    a page count as one when repeats are counted; equal rows get equal texts; a block on exactly `marked_share` of a
+    host's pages stays. Extra columns are not read.
     """
     parsed = parse(pages, id_col, url_col, html_col)
-    covered = cut(boilerplate(parsed, min_pages))
-    src = parsed.select("id", "url", "texts", "key")
+    covered = cut(boilerplate(parsed, min_pages, marked_share))
+    src = parsed.select("id", "url", "texts", "marked", "key")
     if covered.isEmpty():
-        src = src.select("id", "url", "texts", F.lit(None).cast("array<int>").alias("covered"))
+        src = src.select("id", "url", "texts", "marked", F.lit(None).cast("array<int>").alias("covered"))
     else:
-        src = src.join(covered, "key", "left").select("id", "url", "texts", "covered")
+        src = src.join(covered, "key", "left").select("id", "url", "texts", "marked", "covered")
     out = bounded_batches(src).mapInArrow(_unique_runs, f"id {parsed.schema['id'].dataType.simpleString()}, url {parsed.schema['url'].dataType.simpleString()}, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

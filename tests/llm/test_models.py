@@ -95,6 +95,8 @@ def test_host_suffix_array(spark, words):
     rows = [(i, f"http://a.io/{i}", f"<p>{words(30, i)}</p><p>{words(12, 50 + i)} {line}</p>") for i in range(5)]
     rows += [(10 + i, "http://b.io/x", f"<p>{words(40, 77)}</p>") for i in range(6)]  # copies of one page
     rows += [(20 + i, f"http://c.io/{i}", f"<article><p>{line} {words(9, i)}</p></article>") for i in range(5)]
+    rows += [(40 + i, f"http://e.io/{i}", f"<article><p>{words(30, 300 + i)}</p><div>{line}</div></article>" if i < 4 else f"<article><p>{words(30, 300 + i)}</p></article>") for i in range(12)]
+    rows += [(60 + i, f"http://f.io/{i}", f"<ul><li>Home<li>News<li>Contact us<li>About<li>Jobs now</ul><p>{words(20, 400 + i)}</p><p>(c) 2024 Example</p>") for i in range(4)]
     rows += [(30, None, None), (31, "http://a.io/", ""), (30, None, None), (32, "http://d.io/", f"<p>{line}</p>")]
     got = {}
     for r in html.extract(spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, texts string, key string")).collect():
@@ -103,10 +105,49 @@ def test_host_suffix_array(spark, words):
     for i in range(5):
         assert got[i] == f"{words(30, i)}\n{words(12, 50 + i)}"
         assert got[20 + i] == f"{line} {words(9, i)}"
+    for i in range(12):  # a block on a third of the marked pages goes
+        assert got[40 + i] == words(30, 300 + i)
+    for i in range(4):  # words are counted over the borders of blocks, but a repeat of fewer than eight stays
+        assert got[60 + i] == f"Home\nNews\nContact us\nAbout\nJobs now\n{words(20, 400 + i)}\n(c) 2024 Example"
     assert got[10] == words(40, 77) and got[30] == got[31] == "" and got[32] == line
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def slow_extract(rows, min_pages, share):
+    """Covered words and blocks by comparing whole strings of all pages of a host."""
+    parsed = [(i, re.match(r"\w+://([^/]*)", u or "")[1] if u else "", *html.blocks(h or "")) for i, u, h in rows]
+    holders, pages = defaultdict(set), defaultdict(set)
+    for _, host, texts, marked in parsed:
+        w = " ".join(texts).split(" ")
+        pages[host].add(tuple(texts))
+        for x in texts if marked else [tuple(w[i : i + html.DEPTH]) for i in range(len(w) - html.DEPTH + 1)]:
+            holders[host, marked, x].add(tuple(texts))
+    out = []
+    for i, host, texts, marked in parsed:
+        if marked:
+            kept = [t for t in texts if len(holders[host, True, t]) < min_pages or len(holders[host, True, t]) <= share * len(pages[host])]
+        else:
+            flat = [(b, x) for b, t in enumerate(texts) for x in t.split(" ")]
+            gone = {k + j for k in range(len(flat) - html.DEPTH + 1) if len(holders[host, False, tuple(x for _, x in flat[k : k + html.DEPTH])]) >= min_pages for j in range(html.DEPTH)}
+            left = [" ".join(x for k, (c, x) in enumerate(flat) if c == b and k not in gone) for b in range(len(texts))]
+            kept = [t for t in left if t]
+        out.append((i, "\n".join(kept)))
+    return out
+
+
+def test_pages_against_whole_strings(spark, words):
+    rng = np.random.default_rng(5)
+    boiler = [words(int(n), 600 + k) for k, n in enumerate(rng.integers(1, 15, 12))]
+    rows = []
+    for i in range(150):
+        parts = [boiler[rng.integers(0, 12)] if rng.random() < 0.5 else words(int(rng.integers(1, 12)), 700 + int(rng.integers(0, 200))) for _ in range(rng.integers(0, 7))]
+        body = "".join(f"<p>{x}</p>" for x in parts)
+        rows.append((i, f"http://h{i % 3}.org/{i}" if i % 11 else None, f"<article>{body}</article>" if i % 2 else body or None))
+    rows += rows[:5]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), marked_share=0.1).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == sorted(slow_extract(rows, html.MIN_PAGES, 0.1))
+
+
 def test_pages_of_the_test_data(spark):
     d = "/root/testdata/sf0.01"
     got = {r["page_id"]: r["text"] for r in queries.op9_html_extraction(spark, d).collect()}
