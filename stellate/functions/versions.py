@@ -70,7 +70,11 @@ def update_advice(releases: dict[str, str], current: str | None, latest: str | N
     return {"current": current, "latest": latest, "update_available": bool(last) and last > have, "rebuild_now": level(made, have) if made else "none", "rebuild_after_update": level(made or have, last) if last else "none"}
 
 
-def indexer_advice(made_by: str | None, installed: str | None, pinned: str | None) -> dict:
-    """Whether the index was made by an older indexer than the installed or the pinned one."""
-    made, have, pin = map(version_tuple, (made_by, installed, pinned))
-    return {"index": made_by, "installed": installed, "pinned": pinned, "reindex": bool(made) and made < max(have, pin), "update_indexer": bool(pin) and have < pin}
+def indexer_advice(made_by: str | None, installed: str | None, pinned: str | None, rebuild: str = "none") -> dict:
+    """Whether the installed indexer is the pinned one, and whether to index again: where the index was made by another
+    version than the pinned one and that asks for a rebuild. Without a pin nothing is checked."""
+    made, have, pin = ((x or "").strip().lstrip("vV") for x in (made_by, installed, pinned))
+    if not pin:
+        return {"checked": False}
+    status = "unknown" if not have else "ok" if have == pin else "stale"
+    return {"checked": True, "index": made_by, "installed": installed, "pinned": pin, "installed_status": status, "reindex": bool(made) and made != pin and rebuild in LEVELS[1:]}

@@ -2,7 +2,7 @@
 
 Inputs are the tables of schema.py: occurrences, symbol_info, relationships. Everything is one lazy plan; attribution
 works inside documents, so that its shuffles are by document, and no document is gathered in one task: the containment
-join is on document and line bucket, and the nearest definition is a window over a document's occurrences.
+join and the search for the nearest definition are both by document and line bucket.
 """
 
 from __future__ import annotations
@@ -63,13 +63,22 @@ def innermost(sites: DataFrame, spans: DataFrame, bucket: int = BUCKET) -> DataF
     return sites.join(best, ["doc", "line"], "left")
 
 
-def preceding(sites: DataFrame, definitions: DataFrame) -> DataFrame:
+def preceding(sites: DataFrame, definitions: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Adds container to sites (doc, line, ...): the last definition (doc, line, symbol) at or before the line, the
-    greatest symbol of one line."""
+    greatest symbol of one line.
+
+    A window over a document's line buckets, of which each has a row, carries the last definition on from bucket to
+    bucket; one over the lines of a bucket finds the nearest in it. No task gathers a document.
+    """
+    at = F.floor(F.col("line") / bucket).alias("bucket")
     d = definitions.select("doc", "line", F.col("symbol").alias("name")).groupBy("doc", "line").agg(F.max("name").alias("name"))
-    both = d.select("doc", "line", "name", F.lit(0).alias("at")).unionByName(sites.select("doc", "line").distinct().select("doc", "line", F.lit(None).cast("string").alias("name"), F.lit(1).alias("at")))
-    w = Window.partitionBy("doc").orderBy("line", "at").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("container", F.last("name", ignorenulls=True).over(w)).filter("at = 1").select("doc", "line", "container")
+    both = d.select("doc", at, "line", "name", F.lit(0).alias("at")).unionByName(sites.select("doc", at, "line").distinct().select("doc", "bucket", "line", F.lit(None).cast("string").alias("name"), F.lit(1).alias("at")))
+    last = both.groupBy("doc", "bucket").agg(F.max_by("name", F.when(F.col("name").isNotNull(), F.col("line"))).alias("last"))
+    earlier = Window.partitionBy("doc").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.select("doc", "bucket", F.last("last", ignorenulls=True).over(earlier).alias("before"))
+    here = Window.partitionBy("doc", "bucket").orderBy("line", "at").rowsBetween(Window.unboundedPreceding, 0)
+    near = both.withColumn("near", F.last("name", ignorenulls=True).over(here)).filter("at = 1").select("doc", "bucket", "line", "near")
+    found = near.join(carried, ["doc", "bucket"]).select("doc", "line", F.coalesce("near", "before").alias("container"))
     return sites.join(found, ["doc", "line"], "left")
 
 

@@ -30,6 +30,10 @@ class CodeGraph:
         f = self.files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
         return self.symbols.join(f, "file_id", "left").select("id", "symbol", "display_name", "file", "line")
 
+    def ids(self, symbol: str) -> list[int]:
+        """The ids of a symbol, one at most in a store; as literals they reach the scan of a table sorted by them."""
+        return [r["id"] for r in self.symbols.filter(F.col("symbol") == symbol).select("id").collect()]
+
     def has_symbol(self, symbol: str) -> bool:
         return not self.symbols.filter(F.col("symbol") == symbol).limit(1).isEmpty()
 
@@ -57,8 +61,7 @@ class CodeGraph:
     def _near(self, symbol: str, kind: str, near: str) -> DataFrame:
         """Edges of a kind with `symbol` at their `near` end, with both symbols, the far end's site and the edge's."""
         far = "src_id" if near == "dst_id" else "dst_id"
-        here = self.symbols.filter(F.col("symbol") == symbol).select(F.col("id").alias(near), F.col("symbol").alias("near"))
-        e = self.edges.filter(F.col("kind") == kind).join(here, near)
+        e = self.edges.filter((F.col("kind") == kind) & F.col(near).isin(self.ids(symbol))).withColumn("near", F.lit(symbol))
         there = self.sites().select(F.col("id").alias(far), F.col("symbol").alias("far"), F.col("display_name").alias("far_name"), F.col("file").alias("far_file"), F.col("line").alias("far_line"))
         f = self.files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
         return e.join(there, far).join(f, "file_id", "left").select("near", "far", "far_name", "far_file", "far_line", "file", "line")
@@ -85,10 +88,10 @@ class CodeGraph:
         """Use sites: symbol, file, line, enclosing. Tests and paths are those of the use."""
         if self.refs is None:
             return self.symbols.limit(0).select("symbol", F.lit("").alias("file"), "line", F.lit("").alias("enclosing"))
-        here = self.symbols.filter(F.col("symbol") == symbol).select(F.col("id").alias("symbol_id"), "symbol")
         f = self.files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
         names = self.symbols.select(F.col("id").alias("enclosing_id"), F.col("symbol").alias("enclosing"))
-        r = self.refs.join(here, "symbol_id").join(f, "file_id", "left").join(names, "enclosing_id", "left").select("symbol", "file", "line", "enclosing")
+        here = self.refs.filter(F.col("symbol_id").isin(self.ids(symbol)))
+        r = here.join(f, "file_id", "left").join(names, "enclosing_id", "left").select(F.lit(symbol).alias("symbol"), "file", "line", "enclosing")
         if exclude_tests:
             r = r.filter(~is_test_file(F.col("file")))
         if include_paths or exclude_paths:

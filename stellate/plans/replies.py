@@ -23,7 +23,7 @@ def reply(rows: DataFrame, limit: int, order: list, **more) -> DataFrame:
     packed = shown.agg(F.transform(F.sort_array(F.collect_list(inner)), lambda x: x["row"]).alias("results"))
     total = rows.agg(F.count(F.lit(1)).alias("total"))
     out = total.crossJoin(packed).select("total", (F.col("total") > limit).alias("truncated"), "results")  # one row each
-    return out.withColumns({k: F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)) for k, v in more.items()})
+    return out.withColumns({k: F.lit(None).cast("string") if v is None else F.lit(v) if not isinstance(v, list) else F.array(*map(F.lit, v)) for k, v in more.items()})
 
 
 def ambiguity(graph: CodeGraph, query: str, limit: int = 10) -> tuple[str | None, DataFrame | None]:
@@ -180,12 +180,16 @@ def hotspots(graph: CodeGraph, limit: int = DEFAULT_LIMIT, kind: str = "fan_in",
 
 
 def explain(graph: CodeGraph, symbol: str, limit: int = EXPLAIN_LIMIT, full_symbols: bool = False, exclude_tests: bool = True, hide_trivial: bool = False, root: str | None = None, context: int = 3) -> DataFrame:
-    """One row: the node's site, callers and callees, each capped; with a root also the source around the site."""
-    node = graph.get_node(symbol).select(F.struct("symbol", "display_name", "file", line1(F.col("line")).alias("line")).alias("node"))
-    one = _edges(graph, symbol, "dst_id", limit, full_symbols, exclude_tests, False, None, None)
+    """One row: the node's site, callers and callees, each capped, excluded_tests; with a root also the source around the
+    site. A symbol that isn't known gives one row with an error."""
+    found = graph.get_node(symbol)
+    if found.isEmpty():
+        return graph.symbols.sparkSession.createDataFrame([(f"no symbol {symbol!r}; try find",)], "error string")
+    node = found.select(F.struct("symbol", "display_name", "file", line1(F.col("line")).alias("line")).alias("node"), F.lit(exclude_tests).alias("excluded_tests"))
+    one = _edges(graph, symbol, "dst_id", limit, full_symbols, exclude_tests, hide_trivial, None, None)
     two = _edges(graph, symbol, "src_id", limit, full_symbols, exclude_tests, hide_trivial, None, None)
     out = node.crossJoin(one.select(F.struct(*one.columns).alias("callers"))).crossJoin(two.select(F.struct(*two.columns).alias("callees")))  # one row each
-    return out if root is None else out.crossJoin(_source(graph, graph.get_node(symbol), root, context, 1))
+    return out if root is None else out.crossJoin(_source(graph, found, root, context, 1))
 
 
 def usage_by_file(graph: CodeGraph, symbol: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Traversals: impact, shortest paths and subgraphs by frontiers.
 
 A traversal that needs few pairs (counted first, at most `local_pairs`) is done on the driver over the adjacency, which
-one job brings in as Arrow; beyond that bound each round joins the frontier with the edges and drops what was seen, and
-the rounds' tables are cut in the shared folder.
+one job brings in as Arrow; beyond that bound each round joins the frontier with the edges and drops what was seen. The
+rounds' tables are cut in the shared folder, each on its own, and brought together every COMPACT rounds. Both ways give the
+same rows; `local_pairs` 0 always takes the second.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +18,7 @@ from stellate.plans.graph import CodeGraph
 from stellate.schema import CALLS
 from stellate.session import cut
 
-LOCAL_PAIRS = 200_000
+LOCAL_PAIRS, COMPACT = 200_000, 8
 
 
 def _pairs(graph: CodeGraph, kind: str | None) -> DataFrame:
@@ -59,18 +62,21 @@ def reach(graph: CodeGraph, start: int, kind: str | None, direction: str, max_de
             front = new
         return spark.createDataFrame(pa.table({"id": pa.array(depth.keys(), pa.int64()), "depth": pa.array(depth.values(), pa.int64())}))
     ways = [pairs.select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"))] * (direction in ("out", "both")) + [pairs.select(F.col("dst_id").alias("a"), F.col("src_id").alias("b"))] * (direction in ("in", "both"))
-    seen = front = cut(spark.createDataFrame([(start, 0)], "id long, depth long"))
+    front = cut(spark.createDataFrame([(start, 0)], "id long, depth long"))
     if not ways:
-        return seen
+        return front
     steps = cut(ways[0] if len(ways) == 1 else ways[0].union(ways[1]).distinct())
-    d = 0
+    rounds, d = [front], 0
     while max_depth is None or d < max_depth:
         d += 1
+        seen = reduce(DataFrame.union, rounds)
         new = cut(steps.join(front.select(F.col("id").alias("a")), "a").select(F.col("b").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d).cast("long")))
         if new.isEmpty():
             break
-        seen, front = cut(seen.union(new)), new
-    return seen
+        rounds, front = [*rounds, new], new
+        if len(rounds) > COMPACT:
+            rounds = [cut(reduce(DataFrame.union, rounds))]
+    return reduce(DataFrame.union, rounds)
 
 
 def impact(graph: CodeGraph, symbol: str, max_depth: int | None = None, kind: str = CALLS, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
@@ -93,18 +99,19 @@ def shortest_call_path(graph: CodeGraph, src: str, dst: str, local_pairs: int =
         return None
     if one == two:
         return spark.createDataFrame([], schema)
-    depth = reach(graph, one[0], CALLS, "out", None, local_pairs)
-    depth = cut(depth)
+    depth = cut(reach(graph, one[0], CALLS, "out", None, local_pairs))
     last = depth.filter(F.col("id") == two[0]).collect()
     if not last:
         return None
     names = graph.symbols.select("id", "symbol")
     f = graph.files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
+    calls = graph.edges.filter(F.col("kind") == CALLS).select(F.col("src_id").alias("id"), "dst_id", "file_id", "line")
+    into = calls.join(depth.filter(F.col("depth") < last[0]["depth"]), "id").join(depth.select(F.col("id").alias("dst_id"), (F.col("depth") - 1).alias("depth")), ["dst_id", "depth"])
+    best = F.min(F.struct("symbol", "file", "line", "id")).alias("r")
+    before = cut(into.join(names, "id").join(f, "file_id", "left").groupBy("dst_id").agg(best).select("dst_id", "r.*"))
     rows, at, at_name = [], two[0], dst
-    for hop in range(last[0]["depth"], 0, -1):  # one small lookup for each hop of the path
-        into = graph.edges.filter((F.col("kind") == CALLS) & (F.col("dst_id") == at)).select(F.col("src_id").alias("id"), "file_id", "line")
-        before = into.join(depth.filter(F.col("depth") == hop - 1), "id").join(names, "id").join(f, "file_id", "left")
-        r = before.agg(F.min(F.struct("symbol", "file", "line", "id")).alias("r")).first()["r"]
+    for hop in range(last[0]["depth"], 0, -1):  # a lookup for each hop of the path
+        r = before.filter(F.col("dst_id") == at).first()
         rows.append((hop, r["symbol"], at_name, r["file"], r["line"]))
         at, at_name = r["id"], r["symbol"]
     return spark.createDataFrame(rows[::-1], schema).orderBy("hop")

@@ -11,7 +11,8 @@ from stellate.functions import paths, symbols, versions
 from stellate.operators import derive, freshness, store
 from stellate.plans import replies, traverse
 from stellate.plans.graph import CodeGraph
-from stellate.sources import compdb, demo, snippets
+from stellate.session import fresh_path
+from stellate.sources import compdb, demo, scip, snippets
 
 INCLUDE, EXCLUDE = ["src/economy", "src/standard"], ["vendor/", "src/promo"]
 TYPE = "cxx . . $ region/ASIA#"
@@ -27,6 +28,25 @@ def types_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     return CodeGraph(demo.files(spark, sf_dir), demo.types(spark, sf_dir), demo.inherits(spark, sf_dir))
 
 
+_STORES: dict[tuple[str, str], tuple[str, str]] = {}
+
+
+def store_of(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """(path of a store of calls_graph, most called symbol), made once for each application and folder of tables."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        path = fresh_path(spark, "store")
+        store.save(calls_graph(spark, sf_dir), path, store.provenance(project_root="/demo", tool="tables", commit="c0ffee"))
+        _STORES[key] = path, hub(store.load(spark, path))
+    return _STORES[key]
+
+
+def stored(spark: SparkSession, sf_dir: str, by: str = "dst") -> tuple[CodeGraph, str]:
+    """The stored graph, edges sorted by one end, and its most called symbol."""
+    path, top = store_of(spark, sf_dir)
+    return store.load(spark, path, by=by), top
+
+
 def hub(graph: CodeGraph) -> str:
     """The most called symbol; of equal ones the least id."""
     top = graph.degrees("fan_in").orderBy(F.desc("n"), "id").limit(1)
@@ -134,23 +154,23 @@ def occurrences(spark, d):
 
 @query(f"WITH {SYM}, {FIL}, {SITE}, {_calls()}, {HUB} SELECT symbol, coalesce(display_name, '') AS display_name, file, line FROM site WHERE id = (SELECT id FROM hub)")
 def get_node(spark, d):
-    g = calls_graph(spark, d)
-    return g.get_node(hub(g))
+    g, top = stored(spark, d)
+    return g.get_node(top)
 
 
 @query(f"WITH {SYM}, {FIL}, {SITE} SELECT symbol, display_name, file, line FROM site WHERE strpos(symbol, 'widget') > 0 OR strpos(display_name, 'widget') > 0")
 def find_token(spark, d):
-    return calls_graph(spark, d).find("widget")
+    return stored(spark, d)[0].find("widget")
 
 
 @query(f"WITH {SYM}, {FIL}, {SITE} SELECT symbol, display_name, file, line FROM site WHERE (strpos(symbol, 'gear') > 0 OR strpos(display_name, 'gear') > 0) AND (strpos(symbol, 'Brand') > 0 OR strpos(display_name, 'Brand') > 0)")
 def find_multi_token(spark, d):
-    return calls_graph(spark, d).find("Brand gear")
+    return stored(spark, d)[0].find("Brand gear")
 
 
 @query(f"WITH {SYM}, {FIL}, {SITE} SELECT symbol, display_name, file, line FROM site WHERE strpos(replace(lower(symbol), '_', ''), 'brand2') > 0 OR strpos(replace(lower(display_name), '_', ''), 'brand2') > 0")
 def find_fuzzy(spark, d):
-    return calls_graph(spark, d).find("BRAND_2", fuzzy=True)
+    return stored(spark, d)[0].find("BRAND_2", fuzzy=True)
 
 
 @query(f"WITH {SYM}, {FIL}, {SITE} SELECT symbol, file, line FROM site WHERE strpos(symbol, 'Brand12#') > 0")
@@ -167,48 +187,48 @@ def _call_sql(near: str, far: str, where: str = "true") -> str:
 
 @query(_call_sql("dst_id", "src_id"))
 def callers(spark, d):
-    g = calls_graph(spark, d)
-    return g.callers(hub(g))
+    g, top = stored(spark, d)
+    return g.callers(top)
 
 
 @query(_call_sql("src_id", "dst_id"))
 def callees(spark, d):
-    g = calls_graph(spark, d)
-    return g.callees(hub(g))
+    g, top = stored(spark, d, "src")
+    return g.callees(top)
 
 
 @query(_call_sql("dst_id", "src_id", f"NOT {_TEST.format('s.file')}"))
 def callers_no_tests(spark, d):
-    g = calls_graph(spark, d)
-    return g.callers(hub(g), exclude_tests=True)
+    g, top = stored(spark, d)
+    return g.callers(top, exclude_tests=True)
 
 
 @query(_call_sql("src_id", "dst_id", f"NOT {_trivial('s.symbol')}"))
 def callees_hide_trivial(spark, d):
-    g = calls_graph(spark, d)
-    return g.callees(hub(g), hide_trivial=True)
+    g, top = stored(spark, d, "src")
+    return g.callees(top, hide_trivial=True)
 
 
 @query(_call_sql("dst_id", "src_id", _under("s.file", INCLUDE)))
 def callers_include_path(spark, d):
-    g = calls_graph(spark, d)
-    return g.callers(hub(g), include_paths=INCLUDE)
+    g, top = stored(spark, d)
+    return g.callers(top, include_paths=INCLUDE)
 
 
 @query(_call_sql("dst_id", "src_id", f"NOT {_under('s.file', EXCLUDE)}"))
 def callers_exclude_path(spark, d):
-    g = calls_graph(spark, d)
-    return g.callers(hub(g), exclude_paths=EXCLUDE)
+    g, top = stored(spark, d)
+    return g.callers(top, exclude_paths=EXCLUDE)
 
 
-@query(f"WITH {TYPES}, {INH} SELECT b.symbol FROM inh JOIN typ a ON a.id = src_id JOIN typ b ON b.id = dst_id WHERE a.symbol = 'cxx . . $ nation/NATION_3#'")
+@query(f"WITH {TYPES}, {INH} SELECT b.symbol, NULL::VARCHAR AS display_name, NULL::VARCHAR AS file, NULL::INT AS line FROM inh JOIN typ a ON a.id = src_id JOIN typ b ON b.id = dst_id WHERE a.symbol = 'cxx . . $ nation/NATION_3#'")
 def bases(spark, d):
-    return types_graph(spark, d).bases("cxx . . $ nation/NATION_3#").select("symbol")
+    return types_graph(spark, d).bases("cxx . . $ nation/NATION_3#")
 
 
-@query(f"WITH {TYPES}, {INH} SELECT a.symbol FROM inh JOIN typ a ON a.id = src_id JOIN typ b ON b.id = dst_id WHERE b.symbol = '{TYPE}'")
+@query(f"WITH {TYPES}, {INH} SELECT a.symbol, NULL::VARCHAR AS display_name, NULL::VARCHAR AS file, NULL::INT AS line FROM inh JOIN typ a ON a.id = src_id JOIN typ b ON b.id = dst_id WHERE b.symbol = '{TYPE}'")
 def subtypes(spark, d):
-    return types_graph(spark, d).subtypes(TYPE).select("symbol")
+    return types_graph(spark, d).subtypes(TYPE)
 
 
 _REF = f"WITH {SYM}, {FIL}, {_calls()}, {HUB}, {REFS}, rx AS (SELECT s.symbol, f.path AS file, r.line, e.symbol AS enclosing FROM refs r JOIN sym s ON s.id = r.symbol_id LEFT JOIN fil f ON f.id = r.file_id LEFT JOIN sym e ON e.id = r.enclosing_id WHERE r.symbol_id = (SELECT id FROM hub))"
@@ -216,14 +236,14 @@ _REF = f"WITH {SYM}, {FIL}, {_calls()}, {HUB}, {REFS}, rx AS (SELECT s.symbol, f
 
 @query(f"{_REF} SELECT * FROM rx")
 def references_of(spark, d):
-    g = calls_graph(spark, d)
-    return g.references(hub(g))
+    g, top = stored(spark, d)
+    return g.references(top)
 
 
 @query(f"{_REF} SELECT * FROM rx WHERE NOT {_TEST.format('file')}")
 def references_no_tests(spark, d):
-    g = calls_graph(spark, d)
-    return g.references(hub(g), exclude_tests=True)
+    g, top = stored(spark, d)
+    return g.references(top, exclude_tests=True)
 
 
 def _hot_sql(ends: list[str], where: str = "true", limit: int = 20) -> str:
@@ -234,39 +254,39 @@ def _hot_sql(ends: list[str], where: str = "true", limit: int = 20) -> str:
 
 @query(_hot_sql(["dst_id"]))
 def hotspots_fan_in(spark, d):
-    return calls_graph(spark, d).hotspots()
+    return stored(spark, d)[0].hotspots()
 
 
 @query(_hot_sql(["src_id"]))
 def hotspots_fan_out(spark, d):
-    return calls_graph(spark, d).hotspots(kind="fan_out")
+    return stored(spark, d)[0].hotspots(kind="fan_out")
 
 
 @query(_hot_sql(["src_id", "dst_id"]))
 def hotspots_edges(spark, d):
-    return calls_graph(spark, d).hotspots(kind="edges")
+    return stored(spark, d)[0].hotspots(kind="edges")
 
 
 @query(_hot_sql(["dst_id"], f"NOT {_TEST.format('a.file')} AND NOT {_TEST.format('b.file')}"))
 def hotspots_no_tests(spark, d):
-    return calls_graph(spark, d).hotspots(exclude_tests=True)
+    return stored(spark, d)[0].hotspots(exclude_tests=True)
 
 
 @query(_hot_sql(["dst_id"], f"NOT {_under('a.file', EXCLUDE)} AND NOT {_under('b.file', EXCLUDE)}"))
 def hotspots_paths(spark, d):
-    return calls_graph(spark, d).hotspots(exclude_paths=EXCLUDE)
+    return stored(spark, d)[0].hotspots(exclude_paths=EXCLUDE)
 
 
-@query(f"WITH RECURSIVE {SYM}, {_calls('R')}, {HUB}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), {_reach('dst_id', 'src_id', 'p', 'hub')} SELECT symbol FROM r JOIN sym USING (id) WHERE id <> (SELECT id FROM hub)")
+@query(f"WITH RECURSIVE {SYM}, {_calls()}, {HUB}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), {_reach('dst_id', 'src_id', 'p', 'hub')} SELECT symbol FROM r JOIN sym USING (id) WHERE id <> (SELECT id FROM hub)")
 def impact_calls(spark, d):
-    g = calls_graph(spark, d, "R")
-    return traverse.impact(g, hub(g)).select("symbol")
+    g, top = stored(spark, d)
+    return traverse.impact(g, top).select("symbol")
 
 
 @query(f"WITH RECURSIVE {SYM}, {_calls()}, {HUB}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), {_reach('dst_id', 'src_id', 'p', 'hub', 2)} SELECT symbol, min(depth)::BIGINT AS depth FROM r JOIN sym USING (id) WHERE id <> (SELECT id FROM hub) GROUP BY symbol")
 def impact_depth2(spark, d):
-    g = calls_graph(spark, d)
-    return traverse.impact(g, hub(g), 2)
+    g, top = stored(spark, d)
+    return traverse.impact(g, top, 2)
 
 
 @query(f"WITH RECURSIVE {TYPES}, {INH}, top AS (SELECT id FROM typ WHERE symbol = '{TYPE}'), {_reach('dst_id', 'src_id', 'inh', 'top')} SELECT symbol FROM r JOIN typ USING (id) WHERE symbol <> '{TYPE}'")
@@ -274,43 +294,75 @@ def impact_inherits(spark, d):
     return traverse.impact(types_graph(spark, d), TYPE, kind="inherits").select("symbol")
 
 
-_ENDS = f"{SYM}, {_calls('R')}, {HUB}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), lo AS (SELECT min(src_id) AS id FROM calls)"
+@query(f"WITH RECURSIVE {SYM}, {_calls()}, {HUB}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), {_reach('dst_id', 'src_id', 'p', 'hub', 3)} SELECT symbol, min(depth)::BIGINT AS depth FROM r JOIN sym USING (id) WHERE id <> (SELECT id FROM hub) GROUP BY symbol")
+def impact_by_joins(spark, d):
+    """As impact, with joins of frontiers and none of it on the driver."""
+    g, top = stored(spark, d)
+    return traverse.impact(g, top, 3, local_pairs=0)
+
 
+#: Paths of up to 12 hops; the tables' paths have about four.
+_ENDS = f"{SYM}, {FIL}, {_calls()}, {HUB}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), lo AS (SELECT min(src_id) AS id FROM calls), {_reach('src_id', 'dst_id', 'p', 'lo', 12)}, dd AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)"
+_WALK = f"""{_ENDS}, pre AS (SELECT dst_id, arg_min(src_id, x) AS src_id, min(x) AS x FROM (SELECT dst_id, src_id, {{'s': sym.symbol, 'f': fil.path, 'l': calls.line}} AS x FROM calls JOIN dd a ON a.id = src_id JOIN dd b ON b.id = dst_id AND b.depth = a.depth + 1 JOIN sym ON sym.id = src_id LEFT JOIN fil ON fil.id = calls.file_id) GROUP BY dst_id),
+ walk(hop, dst_id, src_id, x) AS (SELECT depth, dst_id, src_id, x FROM pre JOIN dd ON dd.id = dst_id WHERE dst_id = (SELECT id FROM hub) UNION ALL SELECT hop - 1, pre.dst_id, pre.src_id, pre.x FROM walk JOIN pre ON pre.dst_id = walk.src_id WHERE hop > 1)"""
 
-def _ends(g: CodeGraph) -> tuple[str, str]:
+
+def _ends(g: CodeGraph, top: str) -> tuple[str, str]:
     first = g.edges.agg(F.min("src_id").alias("id")).join(g.symbols, "id").first()["symbol"]
-    return first, hub(g)
+    return first, top
 
 
-@query(f"WITH RECURSIVE {_ENDS}, {_reach('src_id', 'dst_id', 'p', 'lo', 60)} SELECT min(depth)::BIGINT AS hops FROM r WHERE id = (SELECT id FROM hub)")
+@query(f"WITH RECURSIVE {_ENDS} SELECT depth::BIGINT AS hops FROM dd WHERE id = (SELECT id FROM hub)")
 def path_hops(spark, d):
-    g = calls_graph(spark, d, "R")
-    path = traverse.shortest_call_path(g, *_ends(g))
+    g, top = stored(spark, d)
+    path = traverse.shortest_call_path(g, *_ends(g, top))
     if path is None:
         return spark.range(1).select(F.lit(None).cast("long").alias("hops"))
     return path.agg(F.count(F.lit(1)).alias("hops"))
 
 
-@query()
-def path_edges(spark, d):
-    g = calls_graph(spark, d, "R")
-    path = traverse.shortest_call_path(g, *_ends(g))
+def _path(spark, d, **how):
+    g, top = stored(spark, d)
+    path = traverse.shortest_call_path(g, *_ends(g, top), **how)
     return path if path is not None else spark.createDataFrame([], "hop long, src string, dst string, file string, line int")
 
 
-_SUB = f"WITH RECURSIVE {SYM}, {FIL}, {_calls('R')}, {HUB}, p AS (SELECT src_id, dst_id FROM calls UNION SELECT dst_id, src_id FROM calls), {_reach('src_id', 'dst_id', 'p', 'hub', 2)}, near AS (SELECT DISTINCT id FROM r)"
+_PATH = f"WITH RECURSIVE {_WALK} SELECT hop::BIGINT AS hop, (x).s AS src, sym.symbol AS dst, (x).f AS file, (x).l AS line FROM walk JOIN sym ON sym.id = dst_id"
+
+
+@query(_PATH)
+def path_edges(spark, d):
+    return _path(spark, d)
+
+
+@query(_PATH)
+def path_edges_by_joins(spark, d):
+    return _path(spark, d, local_pairs=0)
+
+
+def _near(depth: int) -> str:
+    return f"WITH RECURSIVE {SYM}, {FIL}, {SITE}, {_calls()}, {HUB}, p AS (SELECT src_id, dst_id FROM calls UNION SELECT dst_id, src_id FROM calls), {_reach('src_id', 'dst_id', 'p', 'hub', depth)}, near AS (SELECT DISTINCT id FROM r)"
 
 
-@query(f"{_SUB} SELECT symbol FROM near JOIN sym USING (id)")
+_INSIDE = "SELECT a.symbol AS src, b.symbol AS dst, f.path AS file, c.line FROM calls c JOIN site a ON a.id = src_id JOIN site b ON b.id = dst_id LEFT JOIN fil f ON f.id = c.file_id WHERE src_id IN (SELECT id FROM near) AND dst_id IN (SELECT id FROM near)"
+
+
+@query(f"{_near(2)} SELECT symbol FROM near JOIN sym USING (id)")
 def subgraph_nodes(spark, d):
-    g = calls_graph(spark, d, "R")
-    return traverse.subgraph(g, hub(g))[0].select("symbol")
+    g, top = stored(spark, d)
+    return traverse.subgraph(g, top)[0].select("symbol")
 
 
-@query(f"{_SUB} SELECT a.symbol AS src, b.symbol AS dst, f.path AS file, c.line FROM calls c JOIN sym a ON a.id = src_id JOIN sym b ON b.id = dst_id LEFT JOIN fil f ON f.id = c.file_id WHERE src_id IN (SELECT id FROM near) AND dst_id IN (SELECT id FROM near)")
+@query(f"{_near(2)} {_INSIDE}")
 def subgraph_edges(spark, d):
-    g = calls_graph(spark, d, "R")
-    return traverse.subgraph(g, hub(g))[1].select("src", "dst", "file", "line")
+    g, top = stored(spark, d)
+    return traverse.subgraph(g, top)[1].select("src", "dst", "file", "line")
+
+
+@query(f"{_near(1)} {_INSIDE}")
+def subgraph_edges_by_joins(spark, d):
+    g, top = stored(spark, d)
+    return traverse.subgraph(g, top, 1, local_pairs=0)[1].select("src", "dst", "file", "line")
 
 
 @query(f"WITH {OCC}, {SPANS}, {INSIDE}, {BEFORE} SELECT DISTINCT src, dst, doc AS file, line FROM (SELECT * FROM inside UNION ALL SELECT * FROM before_) WHERE src IS NOT NULL")
@@ -390,20 +442,20 @@ def overload_groups(spark, d):
 
 @query(f"{_REF} SELECT 'file:' || file AS target, count(*)::BIGINT AS weight FROM rx WHERE file IS NOT NULL GROUP BY file")
 def usage_by_file(spark, d):
-    g = calls_graph(spark, d)
-    return replies.usage_by_file(g, hub(g)).select("target", "weight")
+    g, top = stored(spark, d)
+    return replies.usage_by_file(g, top).select("target", "weight")
 
 
 @query(f"{_REF} SELECT coalesce(enclosing, 'file:' || file) AS target, CASE WHEN enclosing IS NULL THEN 'references' ELSE 'used_by' END AS relation, count(*)::BIGINT AS weight FROM rx GROUP BY 1, 2")
 def usage_by_symbol(spark, d):
-    g = calls_graph(spark, d)
-    return replies.usage_by_symbol(g, hub(g)).select("target", "relation", "weight")
+    g, top = stored(spark, d)
+    return replies.usage_by_symbol(g, top).select("target", "relation", "weight")
 
 
 @query(f"WITH {SYM}, {_calls()}, {HUB} SELECT (SELECT count(*)::BIGINT FROM calls WHERE dst_id = (SELECT id FROM hub)) AS total, (SELECT count(*) > 40 FROM calls WHERE dst_id = (SELECT id FROM hub)) AS truncated, least(40, (SELECT count(*) FROM calls WHERE dst_id = (SELECT id FROM hub)))::INT AS shown")
 def reply_callers(spark, d):
-    g = calls_graph(spark, d)
-    return replies.callers(g, hub(g), exclude_tests=False).select("total", "truncated", F.size("results").alias("shown"))
+    g, top = stored(spark, d)
+    return replies.callers(g, top, exclude_tests=False).select("total", "truncated", F.size("results").alias("shown"))
 
 
 @query(f"WITH {SYM}, {_calls()}, keep AS (SELECT 'calls' AS kind, src_id, dst_id, file_id, line FROM calls WHERE file_id % 10 <> 0), new AS (SELECT 'calls' AS kind, src_id, dst_id, file_id, line + 1 AS line FROM calls WHERE file_id % 10 = 0 AND line % 2 = 0) SELECT * FROM keep UNION ALL SELECT * FROM new")
@@ -420,10 +472,10 @@ def update_replace_files(spark, d):
     return out.edges
 
 
-@query(f"WITH {SYM}, {_calls('R')}, gone AS (SELECT * FROM calls WHERE file_id % 2 = 0), keep AS (SELECT * FROM calls WHERE file_id % 2 <> 0) SELECT id FROM (SELECT src_id AS id FROM calls UNION SELECT dst_id FROM calls) WHERE id IN (SELECT src_id FROM keep UNION SELECT dst_id FROM keep)")
+@query(f"WITH {SYM}, {_calls()}, gone AS (SELECT * FROM calls WHERE file_id % 2 = 0), keep AS (SELECT * FROM calls WHERE file_id % 2 <> 0) SELECT id FROM (SELECT src_id AS id FROM calls UNION SELECT dst_id FROM calls) WHERE id IN (SELECT src_id FROM keep UNION SELECT dst_id FROM keep)")
 def update_gc_orphans(spark, d):
     """Symbols without a definition site: those that only deleted files used are dropped."""
-    g = calls_graph(spark, d, "R")
+    g = calls_graph(spark, d)
     used = g.edges.select(F.col("src_id").alias("id")).union(g.edges.select("dst_id")).distinct()
     bare = g.symbols.join(used, "id", "left_semi").withColumns({"file_id": F.lit(None).cast("long"), "line": F.lit(None).cast("int")})
     lone = CodeGraph(g.files, bare, g.edges)
@@ -458,9 +510,9 @@ def meta_counts(spark, d):
     return spark.range(1).select(*(F.lit(c[k]).alias(k) for k in ("node_count", "edge_count", "ref_count", "attributed_ref_count")))
 
 
-@query("SELECT coalesce(max(CASE p_size % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END), 0)::BIGINT AS rank FROM part WHERE p_size % 10 = 0 AND p_size >= 20 AND p_size < 40")
+@query("SELECT coalesce(max(CASE p_size % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END), 0)::BIGINT AS rank FROM part WHERE p_size >= 20 AND p_size < 40")
 def max_rebuild_level(spark, d):
-    p = demo.table(spark, d, "part").filter("p_size % 10 = 0")
+    p = demo.table(spark, d, "part")
     level = F.when(F.col("p_size") % 3 == 1, "store").when(F.col("p_size") % 3 == 2, "reindex").otherwise("none")
     releases = p.select(F.concat(F.lit("v1."), F.col("p_size").cast("string"), F.lit("."), (F.col("p_partkey") % 7).cast("string")).alias("version"), level.alias("level"))
     return versions.max_rebuild_level(releases, "1.20", "1.40").select("rank")

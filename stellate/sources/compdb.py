@@ -43,12 +43,11 @@ def filter_compdb(entries: DataFrame, src_filter: str | None = None, no_tests: b
     return kept, {"kept": b, "total": n, "dropped_tests": a - b}
 
 
-def changed_units(entries: DataFrame, changed: list[str]) -> DataFrame:
-    """Entries whose file holds one of the changed paths."""
-    hit = F.lit(False)
-    for p in changed:
-        hit = hit | F.col("file").contains(p)
-    return entries.filter(hit)
+def changed_units(entries: DataFrame, changed: list[str] | DataFrame) -> DataFrame:
+    """Entries whose file holds one of the changed paths (a list, or a table with the column path)."""
+    paths = changed if isinstance(changed, DataFrame) else entries.sparkSession.createDataFrame([(p,) for p in changed], "path string")
+    hit = F.col("file").contains(F.col("_changed"))
+    return entries.join(paths.select(F.col("path").alias("_changed")), hit, "left_semi")
 
 
 def common_prefix(files: DataFrame) -> str:
@@ -86,8 +85,15 @@ def summarize(entries: DataFrame, src_filter: str | None = None, depth: int = 2,
 
 
 def write_compdb(entries: DataFrame, path: str) -> None:
-    """The entries as JSON lines, for the front-end's wrapper to join."""
-    entries.write.mode("overwrite").json(path)
+    """A compile_commands.json: one list, written as its entries come in."""
+    spark = entries.sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    out.write(bytearray(b"["))
+    for k, r in enumerate(entries.select(F.to_json(F.struct(*entries.columns)).alias("entry")).toLocalIterator()):
+        out.write(bytearray((",\n" * (k > 0) + r["entry"]).encode()))
+    out.write(bytearray(b"]\n"))
+    out.close()
 
 
 def format_summary(s: dict) -> str:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +134,59 @@ def document(buf: memoryview) -> dict:
     return {"doc": path, "occurrences": occurrences, "symbols": symbols}
 
 
+def _number(n: int) -> bytes:
+    out = bytearray()
+    while n > 0x7F:
+        out.append(n & 0x7F | 0x80)
+        n >>= 7
+    return bytes([*out, n])
+
+
+def _field(n: int, value: int | str | bytes) -> bytes:
+    if isinstance(value, int):
+        return _number(n << 3) + _number(value)
+    value = value.encode() if isinstance(value, str) else value
+    return _number(n << 3 | 2) + _number(len(value)) + value
+
+
+def encoded(path: str, occurrences: list[dict], symbols: list[dict]) -> bytes:
+    """A document as it lies in an index: what `document` reads, with its tag and length before it."""
+    parts = [_field(1, path)]
+    for o in occurrences:
+        one = _field(_SYMBOL, o["symbol"]) + _field(_ROLES, o["symbol_roles"])
+        if o["line"] is not None:
+            one += _field(_RANGE, _number(o["line"]) + _number(0) + _number(1))
+        if o["enc_start"] is not None:
+            one += _field(_ENCLOSING, b"".join(map(_number, (o["enc_start"], 0, o["enc_end"], 1))))
+        parts.append(_field(2, one))
+    for s in symbols:
+        parts.append(_field(3, _field(1, s["symbol"]) + (_field(6, s["display_name"]) if s["display_name"] else b"") + b"".join(_field(4, _field(1, r["symbol"]) + _field(3, int(r["is_implementation"]))) for r in s["relationships"])))
+    return _field(2, b"".join(parts))
+
+
+def write_index(index: dict[str, DataFrame], path: str) -> None:
+    """One index file of occurrences, symbol_info and relationships, documents in order; they are encoded in tasks and
+    written as they come in."""
+    o = index["occurrences"].groupBy("doc_ord", "doc").agg(F.sort_array(F.collect_list(F.struct("occ_ord", "symbol", "symbol_roles", "line", "enc_start", "enc_end"))).alias("o"))
+    r = index["relationships"].groupBy("doc_ord", F.col("src").alias("symbol")).agg(F.sort_array(F.collect_list(F.struct("rel_ord", F.col("dst").alias("symbol"), "is_implementation"))).alias("relationships"))
+    s = index["symbol_info"].join(r, ["doc_ord", "symbol"], "left").groupBy("doc_ord").agg(F.sort_array(F.collect_list(F.struct("sym_ord", "symbol", "display_name", F.coalesce("relationships", F.array().cast("array<struct<rel_ord:bigint,symbol:string,is_implementation:boolean>>")).alias("relationships")))).alias("s"))
+    docs = o.join(s, "doc_ord", "left").orderBy("doc_ord")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            rows = b.to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([encoded(x["doc"], x["o"], x["s"] or []) for x in rows], pa.binary())], ["body"])
+
+    spark = o.sparkSession
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
+    for row in docs.mapInArrow(run, "body binary").toLocalIterator():
+        out.write(bytearray(row["body"]))
+    out.close()
+
+
 def metadata(buf: memoryview) -> dict:
     out = {"project_root": None, "tool": None, "tool_version": None}
     for n, _, v in fields(buf):
@@ -153,7 +207,7 @@ def _messages(df: DataFrame) -> DataFrame:
 
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                whole = memoryview(content.as_buffer())
+                whole = memoryview(content.as_buffer()).cast("B")  # unsigned bytes
                 rows, size = [], 0
                 for k, (n, kind, v) in enumerate(fields(whole)):
                     if kind == 2 and n in (1, 2):
@@ -174,9 +228,12 @@ def _rows(pa, rows):
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each document of the indexes at `path`, decoded where the rows are spread over all tasks."""
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    bodies = _messages(found).filter("kind = 2").repartition(spark.sparkContext.defaultParallelism, "file", "ord")
+    """A row for each document of the indexes at `path`, decoded where the rows are spread over all tasks. Documents are
+    numbered by the path of their index, then by their place in it."""
+    files = spark.read.format("binaryFile").load(path)
+    order = F.broadcast(spark.createDataFrame([(p, k << 40) for k, p in enumerate(sorted(r["path"] for r in files.select("path").collect()))], "path string, base long"))  # a row for each index
+    found = files.select("path", "content")
+    bodies = _messages(found).join(order.withColumnRenamed("path", "file"), "file").withColumn("ord", F.col("ord") + F.col("base")).filter("kind = 2").repartition(spark.sparkContext.defaultParallelism, "file", "ord")
 
     def run(frames):
         import pandas as pd
@@ -201,7 +258,9 @@ def describe(spark: SparkSession, path: str) -> dict:
     """exists, size, modified, tool, version, root and number of documents of one index; error where it can't be read."""
     try:
         row = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime").first()
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            return {"exists": True, "error": str(e).splitlines()[0]}
         return {"exists": False}
     if row is None:
         return {"exists": False}

@@ -55,5 +55,7 @@ def test_registry(tmp_path):
     assert versions.read_registry(str(p)) == {"latest": "1.0"} and versions.read_registry(str(p), -1) is None
     p.write_text("[")
     assert versions.read_registry(str(p)) is None
-    got = versions.indexer_advice("0.3.2", "0.4.0", "0.4.0")
-    assert got["reindex"] and not got["update_indexer"]
+    got = versions.indexer_advice("0.3.2", "0.4.0", "v0.4.0", "reindex")
+    assert got["reindex"] and got["installed_status"] == "ok"
+    assert not versions.indexer_advice("0.3.2", "0.3.2", "0.4.0")["reindex"] and versions.indexer_advice("0.3.2", None, "0.4.0")["installed_status"] == "unknown"
+    assert versions.indexer_advice("0.3.2", "0.3.2", None) == {"checked": False}

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from stellate import schema
 from stellate.functions import paths, symbols, versions
 from stellate.sources import scip
 
@@ -105,3 +106,19 @@ def test_index_as_a_source(spark, tmp_path):
     (tmp_path / "index.scip").write_bytes(index())
     scip.register(spark)
     assert spark.read.format("scip").load(str(tmp_path / "*.scip")).count() == 4
+
+
+def test_written_index_is_read(spark, tmp_path):
+    """Documents of over 127 bytes, two files by a pattern, lines beyond a byte."""
+    occ = [(d, f"src/{d}.cpp", k, f"sym{k}().", k % 2, 200 * k, 200 * k if k % 2 else None, 200 * k + 150 if k % 2 else None) for d in range(4) for k in range(40)]
+    sym = [(d, f"src/{d}.cpp", 0, "sym1().", "é" * 100) for d in range(4)]
+    rel = [(d, f"src/{d}.cpp", 0, "sym1().", "base().", True) for d in range(4)]
+    every = {"occurrences": spark.createDataFrame(occ, schema.OCCURRENCES), "symbol_info": spark.createDataFrame(sym, schema.SYMBOL_INFO), "relationships": spark.createDataFrame(rel, schema.RELATIONSHIPS)}
+    for k in (0, 1):
+        scip.write_index({n: t.filter(f"doc_ord % 2 = {k}") for n, t in every.items()}, f"{tmp_path}/{k}.scip")
+    got = scip.read_index(spark, f"{tmp_path}/*.scip")
+    assert sorted(tuple(r)[1:] for r in got["occurrences"].collect()) == sorted(x[1:] for x in occ)
+    order = {r["doc"]: r["doc_ord"] for r in got["documents"].collect()}
+    assert sorted(order, key=order.get) == [f"src/{d}.cpp" for d in (0, 2, 1, 3)] and len(set(order.values())) == 4
+    assert {r["display_name"] for r in got["symbol_info"].collect()} == {"é" * 100} and got["relationships"].count() == 4
+    assert scip.describe(spark, f"{tmp_path}/none.scip") == {"exists": False}
