@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stellate.llm import golay
-from stellate.llm.common import bounded_batches, by_bytes, cut, row_key, settled
+from stellate.llm.common import bounded_batches, by_bytes, cut, remove_path, row_key, settled, written
 from stellate.llm.components import components
 
 SHINGLE, SEED = 3, 42
 MAX_BUCKET = 32_768
-MAX_GROUP = 4_096
+MAX_GROUP = 512
 SIMILARITY = 0.8
 SMALL_RUN = 16
 SHINGLE_BLOCK = 1 << 16
@@ -242,19 +242,33 @@ def _similar(units: list[int], sets: list[np.ndarray], similarity: float) -> Ite
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
 
 
+def _share(a: np.ndarray, b: np.ndarray) -> float:
+    n = len(np.intersect1d(a, b, assume_unique=True))
+    return n / max(1, len(a) + len(b) - n)
+
+
 def verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, max_group: int = MAX_GROUP) -> DataFrame:
     """groups (unit, group), unit the key of a row of `docs` -> (node, component): the components of the pairs within a group
-    whose shingle sets have a Jaccard similarity of at least `similarity`. A group of more than max_group is dealt out in
-    blocks, each pair of which is compared in one task."""
-    sizes = cut(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").withColumn("n", F.when(F.col("n") > max_group, F.ceil(2 * F.col("n") / max_group)).otherwise(1).cast("int")))
-    blocks = groups.join(sizes, "group").withColumn("b", F.pmod(F.xxhash64("unit"), F.col("n")).cast("int"))
-    dealt = cut(blocks.select("unit", "group", "b", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("unit", F.xxhash64("group", F.least("b", "o"), F.greatest("b", "o")).alias("group")))
-    texts = docs.select(row_key(id_col, text_col).alias("unit"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(dealt, "unit").select("group", "unit", "text")
+    whose shingle sets have a Jaccard similarity of at least `similarity`.
+
+    A group of up to max_group is compared in one task. Of a larger one each text is compared with the group's least unit,
+    in a join that doesn't gather the group; those that are like it are in one component, so that only pairs with one of
+    the others are open: these and all texts of the group are dealt out in blocks, a block of either kind for each task.
+    """
+    groups = groups.select("unit", F.xxhash64("group").alias("group"))  # two groups of one hash would be compared as one
+    sizes = cut(groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min("unit").alias("centre")).filter("n > 1"))
+    wanted = groups.join(sizes, "group").select("unit", "group", "n", (F.col("unit") == F.col("centre")).alias("central"))
+    texts = docs.select(row_key(id_col, text_col).alias("unit"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).join(wanted, "unit").select("group", "unit", "n", "central", "text")
 
     def sets(batches):
         for b in by_bytes(batches, "text"):
-            found = [shingle_set(t, shingle).view(np.int64) for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.int64()))], ["group", "unit", "shingles"])
+            found = [shingle_set(t, shingle).view(np.int64) for t in b.column(4).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.list_(pa.int64()))], ["group", "unit", "n", "central", "shingles"])
+
+    def near(batches):
+        for b in batches:
+            like = [_share(x.values.to_numpy(zero_copy_only=False), y.values.to_numpy(zero_copy_only=False)) + 1e-9 >= similarity for x, y in zip(b.column(3), b.column(4), strict=True)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(like)], ["group", "unit", "centre", "like"])
 
     def solve(batches):
         at, units, held = None, [], []
@@ -271,9 +285,25 @@ def verified(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str, shi
         if units:
             yield from _similar(units, held, similarity)
 
-    hashed = bounded_batches(texts).mapInArrow(sets, "group long, unit long, shingles array<long>")
-    pairs = bounded_batches(hashed.repartition("group").sortWithinPartitions("group", "unit")).mapInArrow(solve, "u long, v long")
-    return components(pairs)
+    hashed, path = written(bounded_batches(texts).mapInArrow(sets, "group long, unit long, n long, central boolean, shingles array<long>"), "shingles")
+    cells, links_ = hashed.filter(F.col("n") <= max_group).select(F.col("group").alias("cell"), "unit", "shingles"), None
+    large = hashed.filter(F.col("n") > max_group)
+    if not large.isEmpty():
+        centre = cut(large.filter("central").dropDuplicates(["group"]).select("group", F.col("unit").alias("centre"), F.col("shingles").alias("with")))
+        compared = cut(bounded_batches(large.join(centre, "group").select("group", "unit", "centre", "shingles", "with")).mapInArrow(near, "group long, unit long, centre long, like boolean"))
+        links_ = compared.filter("like").select(F.col("unit").alias("u"), F.col("centre").alias("v"))
+        rest = cut(compared.filter("not like").select("group", "unit").distinct())
+        counts = cut(rest.groupBy("group").agg(F.ceil(2 * F.count(F.lit(1)) / max_group).cast("int").alias("others")))
+        block = lambda n, seed: F.pmod(F.xxhash64("unit", F.lit(seed)), n).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        open_ = large.join(counts, "group").withColumn("blocks", F.ceil(2 * F.col("n") / max_group).cast("int"))
+        every = open_.select("group", "unit", "shingles", block(F.col("blocks"), 1).alias("b"), upto(F.col("others")).alias("o"))
+        others = open_.join(rest, ["group", "unit"], "left_semi").select("group", "unit", "shingles", block(F.col("others"), 2).alias("o"), upto(F.col("blocks")).alias("b"))
+        cells = cells.union(every.unionByName(others).select(F.xxhash64("group", "b", "o").alias("cell"), "unit", "shingles"))
+    pairs = bounded_batches(cells.repartition("cell").sortWithinPartitions("cell", "unit")).mapInArrow(solve, "u long, v long")
+    found = components(pairs if links_ is None else pairs.union(links_))
+    remove_path(docs.sparkSession, path)
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET, similarity: float | None = None) -> DataFrame:
