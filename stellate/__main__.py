@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stellate.operators import derive, store
+from stellate.operators import derive, freshness, store
 from stellate.plans import replies
 from stellate.sources import compdb, graphjson, scip
 
@@ -27,10 +27,14 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--no-references", action="store_true")
         c.add_argument("--attribute", action="store_true")
         c.add_argument("--deleted", nargs="*", default=[])
+        if name != "enrich":
+            c.add_argument("--source", help="a checkout, whose commit and changed files are recorded")
+            c.add_argument("--scope-filter", help="the filter that the index was made with")
+            c.add_argument("--scope-tests", choices=("include", "exclude"))
     c = sub.add_parser("compdb-summary")
     c.add_argument("file")
     c.add_argument("--filter")
-    for name in ("find", "callers", "callees", "bases", "subtypes", "references", "impact", "explain", "export", "path", "hotspots", "status"):
+    for name in ("find", "callers", "callees", "bases", "subtypes", "references", "impact", "explain", "export", "view", "path", "hotspots", "status"):
         c = sub.add_parser(name)
         c.add_argument("store")
         if name not in ("hotspots", "status"):
@@ -38,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
         if name == "path":
             c.add_argument("target")
         c.add_argument("--limit", type=int)
-        if name in ("callers", "callees", "references", "impact", "explain", "hotspots", "export"):
+        if name in ("callers", "callees", "references", "impact", "explain", "hotspots", "export", "view"):
             c.add_argument("--tests", choices=("include", "exclude"))
         if name in ("find", "callers", "callees", "references", "impact", "hotspots"):
             c.add_argument("--include", dest="include_paths", action="append")
@@ -51,16 +55,28 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--root")
         if name in ("references", "explain"):
             c.add_argument("--context", type=int)
-        if name in ("impact", "export"):
+        if name in ("impact", "export", "view"):
             c.add_argument("--depth", type=int)
         if name in ("impact", "hotspots"):
             c.add_argument("--kind")
-        if name == "export":
+        if name in ("export", "view"):
             c.add_argument("--mode", choices=("deps", "usage"), default="deps")
             c.add_argument("--direction")
     return p
 
 
+def _provenance(spark: SparkSession, a: dict) -> dict[str, str]:
+    """What a store records of its origin: the index's own head, and commit, changed files and scope as they are given."""
+    head = scip.describe(spark, a["index"]) if not set("*?[{") & set(a["index"]) else {}
+    commit = dirty = None
+    if a["source"]:
+        commit = freshness.git(a["source"], "rev-parse", "HEAD")
+        changed = freshness.git_changes(a["source"], "HEAD") or []
+        dirty = {path: freshness.git(a["source"], "hash-object", path) or "" for path, state in changed if state == "changed"}
+    tests = None if a["scope_tests"] is None else a["scope_tests"] == "include"
+    return store.provenance(head.get("project_root"), head.get("tool"), head.get("tool_version"), commit, dirty, a["scope_filter"], tests)
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> str:
     a = vars(parser().parse_args(argv))
     spark = spark or SparkSession.builder.getOrCreate()
@@ -72,7 +88,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         parts = (got["occurrences"], got["symbol_info"], got["relationships"])
         if command == "build":
             built = derive.build(*parts, include_references=not a["no_references"], attribute_references=a["attribute"])
-            return store.save(store.intern(built), a["store"], store.provenance())
+            return store.save(store.intern(built), a["store"], _provenance(spark, a))
         graph = store.load(spark, a["store"])
         if command == "enrich":
             graph, k, n = store.enrich(graph, derive.references(got["occurrences"], True))
@@ -81,7 +97,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
             deleted = spark.createDataFrame([(d,) for d in a["deleted"]], "doc string")
             graph, stats = store.apply_update(graph, derive.build(*parts, attribute_references=a["attribute"]), got["documents"].select("doc"), deleted)
             said = vars(stats)
-        store.save(graph, a["store"], {k: v for k, v in (graph.meta or {}).items() if not k.endswith("_count")})
+        kept = {k: v for k, v in (graph.meta or {}).items() if not k.endswith("_count")}
+        store.save(graph, a["store"], kept | (_provenance(spark, a) if command == "update" else {}))
         return json.dumps(said)
     graph = store.load(spark, a.pop("store"))
     tests, mode = a.pop("tests", None), a.pop("mode", None)
@@ -93,14 +110,17 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     symbol = options.pop("symbol")
     if command == "path":
         return _shown(replies.call_path(graph, symbol, options["target"]))
-    if command in ("explain", "export"):
+    if command in ("explain", "export", "view"):
         known, other = replies.ambiguity(graph, symbol)
         if known is None:
             return _shown(other)
         symbol = known
-    if command == "export":
+    if command in ("export", "view"):
         options.pop("limit", None)
-        return _shown(replies.usage(graph, symbol)) if mode == "usage" else graphjson.node_link(*replies.export(graph, symbol, **options)).first()["json"]
+        if mode == "usage":
+            return _shown(replies.usage(graph, symbol))
+        found = graphjson.node_link(*replies.export(graph, symbol, **options)).first()["json"]
+        return graphjson.viewer_html(found, symbol) if command == "view" else found
     return _shown(getattr(replies, command)(graph, symbol, **options))
 
 

@@ -11,9 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode one of our own where none is
+    set. On a cluster a folder of the driver would be no use to the executors, so that the setting is required."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         own = tempfile.mkdtemp(prefix="stellate-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
         root = "file://" + own

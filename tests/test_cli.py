@@ -25,6 +25,10 @@ def test_commands(spark, tmp_path):
     assert json.loads(run("status", at))["usage_view"] == "file"
     assert json.loads(run("explain", at, "y()."))["callees"]["total"] == 1
     assert len(json.loads(run("export", at, "y().", "--depth", "1"))["links"]) == 1
+    assert "y()." in run("view", at, "y().", "--depth", "1") and run("view", at, "y().").startswith("<!DOCTYPE html>")
+    run("build", f"{at}2", str(tmp_path / "i.scip"), "--source", str(tmp_path), "--scope-filter", "src", "--scope-tests", "exclude")
+    meta = store.load(spark, f"{at}2").meta
+    assert meta["project_root"] == "file:///repo" and meta["index_tool"] == "tool" and meta["index_filter"] == "src" and meta["index_tests"] == "excluded"
     assert json.loads(run("enrich", at, str(tmp_path / "i.scip")))["attributed"] > 0
     assert json.loads(run("status", at))["usage_view"] == "symbol"
     (tmp_path / "p.scip").write_bytes(field(2, field(1, "src/y.cpp")))
