@@ -75,3 +75,23 @@ def test_empty_tables(spark, docs_of):
     assert counts.count_tokens(docs_of([])).count() == 0
     table = token_output.read_tokens(spark, token_output.write_tokens(docs_of([]), fresh_path(spark, "t")))
     assert token_output.with_starts(token_output.with_crc(table), table).count() == 0
+
+
+def test_footers_of_token_files(spark, docs_of, words, monkeypatch):
+    """Encodings, row groups and page indexes are as the layout says, and the file holds no more than it needs."""
+    import glob
+
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(token_output, "ROW_GROUP_BYTES", 1 << 17)
+    data = [(i, words(400, i)) for i in range(600)]
+    path = token_output.write_tokens(docs_of(data).repartition(1), fresh_path(spark, "t"), end_id=0)
+    files = [pq.ParquetFile(p).metadata for p in glob.glob(path.removeprefix("file://") + "/*.parquet")]
+    assert sum(f.num_rows for f in files) == 600 and max(f.num_row_groups for f in files) > 1
+    for f in files:
+        for g in range(f.num_row_groups):
+            columns = {f.row_group(g).column(i).path_in_schema.split(".")[0]: f.row_group(g).column(i) for i in range(f.num_columns)}
+            assert all(c.has_column_index and c.has_offset_index for c in columns.values())
+            assert "RLE_DICTIONARY" in columns["token_ids"].encodings
+            assert all("DELTA_BINARY_PACKED" in columns[c].encodings for c in ("doc_id", "local_start"))
+            assert columns["token_ids"].total_uncompressed_size < 3 * columns["token_ids"].num_values
