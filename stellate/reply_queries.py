@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from stellate.functions import paths, symbols, versions
 from stellate.operators import derive, freshness, store
-from stellate.plans import replies, traverse
+from stellate.plans import replies
 from stellate.plans.graph import CodeGraph
 from stellate.queries import _FN, _INSIDE, _TEST, _TY, BEFORE, FIL, HUB, INH, INSIDE, OCC, REFS, SITE, SPANS, SYM, TYPE, TYPES, _calls, _label, _near, _qualified, _reach, calls_graph, query, stored, types_graph
 from stellate.session import fresh_path
-from stellate.sources import compdb, demo, scip
+from stellate.sources import compdb, demo, graphjson, scip, snippets
 
 CALLED = f"WITH {SYM}, {FIL}, {SITE}, {_calls()}, {HUB}"
 
@@ -330,3 +330,66 @@ def update_advice(spark, d):
     releases = {f"1.{n}": ("none", "store", "reindex")[n % 3] for n in sizes}
     got = versions.update_advice(releases, "1.20", f"1.{max(sizes)}", "1.10")
     return spark.createDataFrame([tuple(got.values())], "current string, latest string, update_available boolean, rebuild_now string, rebuild_after_update string")
+
+
+def _sources(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Source lines of a file for each nation, written and read back, and a site in each."""
+    root = fresh_path(spark, "sources")
+    nations = [r["n_nationkey"] for r in demo.table(spark, d, "nation").select("n_nationkey").collect()]
+    for n in nations:
+        store._write_text(spark, f"{root}/n {n}.cpp", "".join(f"int f{k}(long x{n},\n" if k % 2 == 0 else f"   int y) {{ return {k}; }}\n" for k in range(60)))
+    lines = snippets.source_lines(spark, root, [f"n {n}.cpp" for n in nations] + ["none.cpp"])
+    return lines, spark.createDataFrame([(f"n {n}.cpp", 2 * n) for n in nations], "file string, line int")
+
+
+@query("SELECT 'n ' || n || '.cpp' AS file, (k + 1)::INT AS line1, CASE WHEN k % 2 = 0 THEN 'int f' || k || '(long x' || n || ',' ELSE '   int y) { return ' || k || '; }' END AS text, k = 2 * n AS is_use FROM (SELECT n_nationkey AS n, unnest(range(greatest(2 * n_nationkey - 3, 0), 2 * n_nationkey + 4)) AS k FROM nation)")
+def source_windows(spark, d):
+    lines, sites = _sources(spark, d)
+    return snippets.merged_source(lines, sites, 3)
+
+
+@query("SELECT 'n ' || n_nationkey || '.cpp' AS file, (2 * n_nationkey)::INT AS line, '(long x' || n_nationkey || ', int y)' AS signature FROM nation")
+def source_signatures(spark, d):
+    return snippets.signatures(*_sources(spark, d)).select("file", "line", "signature")
+
+
+def _saved(spark, d) -> dict[str, DataFrame]:
+    """The types and their derivation, saved as JSON and loaded."""
+    g, path = types_graph(spark, d), fresh_path(spark, "json")
+    s = g.symbols.select("id", "symbol")
+    edges = g.edges.join(s.select(F.col("id").alias("src_id"), F.col("symbol").alias("src")), "src_id").join(s.select(F.col("id").alias("dst_id"), F.col("symbol").alias("dst")), "dst_id")
+    graphjson.save_json(g.sites().drop("id"), edges.select("kind", "src", "dst", F.lit(None).cast("string").alias("file"), "line"), path)
+    return graphjson.load_json(spark, path)
+
+
+@query(f"WITH {TYPES} SELECT symbol, NULL::VARCHAR AS display_name, NULL::VARCHAR AS file, NULL::INT AS line FROM typ")
+def json_nodes(spark, d):
+    return _saved(spark, d)["nodes"]
+
+
+@query(f"WITH {TYPES}, {INH} SELECT 'inherits' AS kind, a.symbol AS src, b.symbol AS dst, NULL::VARCHAR AS file, NULL::INT AS line FROM inh JOIN typ a ON a.id = src_id JOIN typ b ON b.id = dst_id")
+def json_edges(spark, d):
+    return _saved(spark, d)["edges"]
+
+
+@query(f"WITH {TYPES}, {INH} SELECT a.symbol AS source, b.symbol AS target, 'inherits' AS relation, (SELECT count(*)::INT FROM inh WHERE dst_id = (SELECT id FROM typ WHERE symbol = '{TYPE}')) + 1 AS nodes FROM inh JOIN typ a ON a.id = src_id JOIN typ b ON b.id = dst_id WHERE b.symbol = '{TYPE}'")
+def export_json(spark, d):
+    """The links of the node-link form of a neighbourhood."""
+    out = graphjson.node_link(*replies.export(types_graph(spark, d), TYPE, 1))
+    got = out.select(F.from_json("json", "nodes array<struct<id string>>, links array<struct<source string, target string, relation string>>").alias("j"))
+    return got.select(F.size("j.nodes").alias("nodes"), F.explode("j.links").alias("l")).select("l.*", "nodes")
+
+
+@query(f"WITH {FIL} SELECT count(*)::BIGINT AS files, 'v2' AS version FROM fil")
+def store_reload(spark, d):
+    """A store that moves on is read anew, and its files are counted."""
+    path = fresh_path(spark, "moving")
+    files = demo.files(spark, d)
+    held = CodeGraph(files.limit(0), demo.symbols(spark, d).limit(0), demo.inherits(spark, d).limit(0))
+    store.save(held, path, {"index_tool": "v1"})
+    live = store.ReloadingStore(spark, path)
+    before = live.get()
+    store.save(CodeGraph(files, held.symbols, held.edges), path, {"index_tool": "v2"})
+    after = live.get()
+    known = "stale" if before is after else after.meta["index_tool"]
+    return spark.createDataFrame([(store.indexed_file_count(after), known)], "files long, version string")

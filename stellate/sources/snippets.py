@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import functools
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 
 def source_lines(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
     """(file, line, text) of files below a root, line 0-based; files that don't exist are left out."""
-    paths = [f"{root.rstrip('/')}/{f}" for f in files]
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    there = [(p, f) for p, f in zip(paths, files, strict=True) if (h := hadoop.Path(p)).getFileSystem(spark._jsc.hadoopConfiguration()).exists(h)]
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    there = []
+    for f in files:
+        path = hadoop.Path(f"{root.rstrip('/')}/{f}")
+        fs = path.getFileSystem(conf)
+        if fs.exists(path):
+            there.append((path.toString(), fs.makeQualified(path).toUri().toString(), f))  # as it is read, and as rows name it
     if not there:
         return spark.createDataFrame([], "file string, line int, text string")
-    texts = [spark.read.text(p, wholetext=True).select(F.lit(f).alias("file"), "value") for p, f in there]
-    return functools.reduce(DataFrame.unionByName, texts).select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line", "text"))
+    known = spark.createDataFrame([(re.sub("^file:/+", "file:/", p), f) for _, p, f in there], "path string, file string")
+    texts = spark.read.text([p for p, _, _ in there], wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("path"), "value")
+    return texts.join(F.broadcast(known), "path").select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line", "text"))
 
 
 def windows(sites: DataFrame, context: int = 3) -> DataFrame:
