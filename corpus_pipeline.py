@@ -14,13 +14,15 @@ SHINGLE_WORDS = 5
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents that fail the base counts or lose most of their lines; the others lose their frequent lines."""
+    """Rejects documents that fail the base counts or lose most of their lines; the others lose their frequent lines. A null
+    or empty text has no words and is rejected; equal rows share their fate; a null source counts as the host ''."""
     return quality.apply_quality(docs)
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the least id of each group of near copies: wide fingerprints of five-word shingles give
-    candidates, of which those that share 0.8 of their shingles are linked."""
+    candidates, of which those that share 0.8 of their shingles are linked. Null and wordless texts are copies of each other;
+    of repeated rows one stays."""
     return simhash.drop_near_duplicates(docs, shingle=SHINGLE_WORDS, mode=simhash.WIDE, similarity=simhash.SIMILARITY)
 
 
@@ -31,12 +33,13 @@ def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that overlap a benchmark item."""
+    """Drops documents that overlap a benchmark item. Null and empty texts overlap nothing; without items all stay."""
     return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all sequences, with their ids."""
+    """The pieces of all sequences, with their ids. A null text is the end id alone; repeated rows are packed each. An empty
+    table gives no rows, here and in the stages before; columns that clash with names used inside keep their values."""
     return packing.pack_documents(docs, ids_too=True)
 
 
