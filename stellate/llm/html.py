@@ -6,16 +6,19 @@ page marks its article (an article or main element, or that role), the blocks in
 else all of them.
 
 Then the host's pages are taken together and what repeats across its different pages goes; the unique runs stay. Each page
-is a stream of tokens, each token begins a suffix, and suffixes are grouped by host and the tokens that they begin with:
+is a stream of tokens, each token begins a suffix, and the suffixes of a host's different pages are sorted into one array.
+Neighbours in it share a beginning; an interval of neighbours that share enough of it holds the pages that repeat it:
 
 * pages without a mark: tokens are the words of the whole page, over the borders of blocks, and a string of DEPTH words or
   more that MIN_PAGES different pages hold is boilerplate;
 * pages with a mark: tokens are blocks, and a block that MIN_PAGES different pages and more than MARKED_SHARE of the host's
   different pages hold is boilerplate. Articles quote each other, so that strings of words would take wanted text.
 
-The suffix array is cut at DEPTH tokens: suffixes with equal beginnings are brought together by aggregation, which a hot
-beginning doesn't bring into one task, and not in the order of the alphabet. Any longer repeated string is a chain of
-such beginnings, so that the words covered are those that the whole array would give.
+A suffix stands in the array by a 64-bit name, a hash of its first tokens (DEPTH words, or a block), so that the order is
+that of the names and not of the alphabet, and neighbours share at least so many tokens or are taken to share none. A
+longer repeated string is a chain of such beginnings, so that the words covered are those that an array of whole suffixes
+would give. The array is dealt by ranges of host, name and page: a hot beginning spans several ranges, whose parts of an
+interval are added up.
 """
 
 from __future__ import annotations
@@ -25,6 +28,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -137,11 +141,62 @@ def parse(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_
     return written(bounded_batches(src).mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, url {src.schema['url'].dataType.simpleString()}, key long, host string, texts array<string>, marked boolean, content long, suffixes array<long>"), "parsed")[0]
 
 
+def suffix_array(parsed: DataFrame) -> DataFrame:
+    """(host, marked, suffix, content): the suffixes of each host, sorted over ranges of rows. Of pages with equal texts one
+    is taken, and of a beginning that a page repeats the first, so that no row comes twice and no range has to be long."""
+    pages = parsed.groupBy("host", "marked", "content").agg(F.first("suffixes").alias("suffixes"))
+    each = pages.select("host", "marked", F.explode(F.array_distinct("suffixes")).alias("suffix"), "content")
+    return each.repartitionByRange(*each.columns).sortWithinPartitions(*each.columns)
+
+
+def _intervals(min_pages: int):
+    """Sorted (host, marked, suffix, content) -> (host, marked, suffix, n): runs of neighbours with an equal beginning, n the
+    pages in them. Short ones are left out, but not the first and the last of a range, which may go on in the next."""
+
+    def run(batches):
+        held = None  # the run at the end of what was read; the first of the range is never short
+        first = True
+        for b in batches:
+            if not b.num_rows:
+                continue
+            host, marked, suffix = (b.column(i) for i in range(3))
+            new = np.ones(b.num_rows, bool)
+            new[1:] = False
+            for c in (host, marked, suffix):
+                new[1:] |= pc.not_equal(c[1:], c[:-1]).to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(new)
+            n = np.diff(np.append(starts, b.num_rows))
+            name = lambda k: tuple(c[int(starts[k])].as_py() for c in (host, marked, suffix))
+            out = []
+            if held and held[0] == name(0):
+                n[0] += held[1]
+            elif held:
+                out.append((*held[0], held[1]))
+                first = False
+            long = n[:-1] >= min_pages
+            if first and len(long):
+                long[0], first = True, False
+            out += [(*name(k), int(n[k])) for k in np.flatnonzero(long)]
+            held = name(len(n) - 1), int(n[-1])
+            if out:
+                yield _run_rows(out)
+        if held:
+            yield _run_rows([(*held[0], held[1])])
+
+    return run
+
+
+def _run_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.bool_(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["host", "marked", "suffix", "n"])
+
+
 def boilerplate(parsed: DataFrame, min_pages: int = MIN_PAGES, marked_share: float = MARKED_SHARE) -> DataFrame:
     """(key, covered): the places of the suffixes whose beginning is boilerplate. Copies of a page count as one."""
-    each = parsed.select("key", "host", "marked", "content", F.posexplode("suffixes").alias("at", "suffix"))
+    each = parsed.select("key", "host", "marked", F.posexplode("suffixes").alias("at", "suffix"))
     hosts = cut(parsed.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages")))
-    often = each.select("host", "marked", "suffix", "content").distinct().groupBy("host", "marked", "suffix").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages)
+    runs = bounded_batches(suffix_array(parsed)).mapInArrow(_intervals(min_pages), "host string, marked boolean, suffix long, n long")
+    often = runs.groupBy("host", "marked", "suffix").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_pages)
     common = cut(often.join(hosts, "host").filter(~F.col("marked") | (F.col("n") > marked_share * F.col("pages"))))
     salted = common.select("host", "marked", "suffix", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     hits = each.withColumn("salt", F.pmod("key", F.lit(SALTS)).cast("int")).join(salted, ["host", "marked", "suffix", "salt"])

@@ -148,6 +148,21 @@ def test_pages_against_whole_strings(spark, words):
     assert sorted((r["page_id"], r["text"]) for r in got) == sorted(slow_extract(rows, html.MIN_PAGES, 0.1))
 
 
+def test_intervals_over_ranges_and_batches():
+    rng = np.random.default_rng(3)
+    rows = sorted({(f"h{rng.integers(0, 3)}", bool(rng.integers(0, 2)), int(rng.zipf(1.3)) % 20, int(rng.integers(0, 60))) for _ in range(700)})
+    want = Counter(r[:3] for r in rows)
+    for ranges, size in [(1, 1000), (1, 1), (3, 7), (40, 5), (len(rows), 1)]:
+        got = Counter()
+        for k in range(ranges):
+            part = rows[k * len(rows) // ranges : (k + 1) * len(rows) // ranges]
+            batches = [pa.RecordBatch.from_arrays([pa.array(list(c)) for c in zip(*part[i : i + size], strict=True)], ["host", "marked", "suffix", "content"]) for i in range(0, len(part), size)]
+            for b in html._intervals(4)(batches):
+                for r in b.to_pylist():
+                    got[r["host"], r["marked"], r["suffix"]] += r["n"]
+        assert {k: n for k, n in got.items() if n >= 4} == {k: n for k, n in want.items() if n >= 4}
+
+
 def test_pages_of_the_test_data(spark):
     d = "/root/testdata/sf0.01"
     got = {r["page_id"]: r["text"] for r in queries.op9_html_extraction(spark, d).collect()}
