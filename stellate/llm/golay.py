@@ -98,3 +98,10 @@ def wide_keys(fps: np.ndarray, word: int = 0) -> tuple[np.ndarray, np.ndarray]:
         rows.append(r)
         out.append((np.int64(13 + 8 * word + k) << 34) | (near[i][r, a] << 12) | near[j][r, b])
     return np.concatenate(rows), np.concatenate(out)
+
+
+def mixtures(first: np.ndarray, second: np.ndarray) -> list[np.ndarray]:
+    """Four words of 64 bits from the two halves of a fingerprint: the halves themselves, and the even bits of one with the
+    odd bits of the other. Where errors are spread so that neither half gives two near segments, a mixture often does."""
+    even = np.uint64(0x5555555555555555)
+    return [first, second, (first & even) | (second & ~even), (first & ~even) | (second & even)]

@@ -2,7 +2,8 @@
 
 Two modes. NARROW: 64 bits (XXH64), links of at most 3 bits, all of which are found. WIDE: 128 bits (XXH3), links of at
 most 30 bits: texts that share 0.8 of their shingles differ in 19.4 by expectation, with a deviation of about 4. Buckets are made of
-each half, and hold all links of which one half differs in 6 bits or fewer and many others.
+each half and of two mixtures of the halves; they hold all links of which one of these differs in 6 bits or fewer and many others:
+of pairs that differ in 19 bits 99.9 %, in 22 bits 98.5 %, in 25 bits 95 %.
 """
 
 from __future__ import annotations
@@ -196,7 +197,7 @@ def links(fps: DataFrame, mode: Mode = NARROW, max_bucket: int = MAX_BUCKET) ->
             f = [b.column(i).to_numpy() for i in (0, 1)]
             for i in range(0, len(f[0]), 2_000):
                 half = [x[i : i + 2_000].view(np.uint64) for x in f]
-                for rows, keys in [golay.keys(half[0])] if mode.words == 1 else (golay.wide_keys(x, w) for w, x in enumerate(half)):
+                for rows, keys in [golay.keys(half[0])] if mode.words == 1 else (golay.wide_keys(x, w) for w, x in enumerate(golay.mixtures(*half))):
                     yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(x[i + rows]) for x in f)], ["key", "fp", "fp2"])
 
     def solved(df, limit):
@@ -316,7 +317,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     With `similarity`, links within the radius give candidates only: components are then those of the pairs within a group
     of linked candidates whose shingle sets have at least that Jaccard similarity.
     """
-    rows = cut(fingerprints(docs, id_col, text_col, shingle, mode))
+    rows = written(fingerprints(docs, id_col, text_col, shingle, mode), "fingerprints")[0]
     first = F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("key"))).alias("first")
     distinct = cut(rows.groupBy("fp", "fp2").agg(first).withColumn("node", node()))
     if similarity is not None:
