@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellate.llm import counts, decontam, html, langid, packing, quality, simhash, sql, suffix, token_output, urls
+from stellate.llm import counts, decontam, html, langid, merkle, negatives, packing, quality, simhash, sql, suffix, token_output, urls, warc
 from stellate.llm.common import fresh_path
 
 
@@ -58,9 +58,24 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_overlaps(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return merkle.manifest(docs, merkle.one_more(docs)).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.hard_negatives(negatives.relabelled(_read(spark, sf_dir, "embeddings")))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = fresh_path(spark, "warc")
+    warc.write_archives(_read(spark, sf_dir, "pages"), path)
+    return warc.page_digests(warc.read_archives(spark, path))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_packing, op4_url_filters, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_token_counts, op8_language_id, op9_html_extraction, op10_decontamination)}
+    return {f.__name__: f for f in (op1_token_output, op2_quality_rules, op3_packing, op4_url_filters, op5_simhash_near_dedup, op6_suffix_array_dedup, op7_token_counts, op8_language_id, op9_html_extraction, op10_decontamination, op11_merkle_manifest, op12_hard_negatives, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": sql.OP2, "op4_url_filters": sql.OP4, "op6_suffix_array_dedup": sql.OP6, "op10_decontamination": sql.OP10}
+    return {"op2_quality_rules": sql.OP2, "op4_url_filters": sql.OP4, "op6_suffix_array_dedup": sql.OP6, "op10_decontamination": sql.OP10, "op11_merkle_manifest": sql.OP11, "op12_hard_negatives": sql.OP12, "op13_warc": sql.OP13}

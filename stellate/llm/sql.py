@@ -1,6 +1,6 @@
 """DuckDB SQL for the queries that SQL can express."""
 
-from stellate.llm import decontam, quality, suffix, urls
+from stellate.llm import decontam, negatives, quality, suffix, urls, warc
 
 _WS = "[\\x20\\x09-\\x0D]+"
 
@@ -87,3 +87,42 @@ OP10 = f"""WITH dw AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(low
  wi AS (SELECT a.rid, a.doc_id, a.item_id, a.o, a.want, a.j AS s, b.j - a.j + 1 AS n, b.eq - a.eq + 1 AS q FROM cu a JOIN cu b ON a.rid = b.rid AND a.item_id = b.item_id AND a.o = b.o AND a.j <= b.j WHERE a.same AND b.same AND b.total >= a.total - {5 - decontam.SAME_OF_FIVE}),
  be AS (SELECT * FROM wi QUALIFY row_number() OVER (PARTITION BY rid, item_id ORDER BY n DESC, q DESC, o, s) = 1)
  SELECT doc_id, item_id, (o + s)::BIGINT AS start, n::BIGINT AS n_words, q::BIGINT AS n_equal, true AS contaminated FROM be WHERE n >= least(want, {decontam.MIN_OVERLAP})"""
+
+
+def _h(*columns: str) -> str:
+    return "sha256(" + " || ".join(f"CASE WHEN {c} IS NULL THEN '-' ELSE strlen(({c})::VARCHAR) || ':' || {c} END" for c in columns) + ")"
+
+
+def _levels(name: str, base: str) -> str:
+    """A recursive CTE (g, level, pos, node): the nodes of `base` (g, pos, node) and all above them."""
+    return f"{name}(g, level, pos, node) AS (SELECT g, 0, pos, node FROM {base} UNION ALL SELECT g, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS c FROM {name}) WHERE c > 1 GROUP BY g, level, pos // 2)"
+
+
+#: The CRC is computed bit by bit, as DuckDB has no function for it.
+_CRC = "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda a, b: xor(list_reduce(list_prepend(xor(a, b) & 255, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END), a >> 8))"
+
+OP11 = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, lang AS g, {_h('doc_id', 'source', 'lang', 'n_chars', 'text')} AS leaf,
+ CASE WHEN xor({_CRC}, 4294967295) % 7 = 0 THEN {_h('doc_id', 'source', 'lang', 'n_chars + 1', 'text')} ELSE {_h('doc_id', 'source', 'lang', 'n_chars', 'text')} END AS h FROM documents),
+ base AS (SELECT *, leaf AS node, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+ {_levels("tree", "base")},
+ sub AS (SELECT g AS lang, level AS height, node, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, 0 AS g FROM (SELECT * FROM tree QUALIFY level = max(level) OVER (PARTITION BY g))),
+ {_levels("over_", "sub")},
+ top AS (SELECT level AS height, node FROM over_ ORDER BY level DESC LIMIT 1),
+ row_ AS (SELECT base.rid, base.g, base.pos, sub.pos AS lpos, sub.height, top.height AS more, sub.node AS subroot, top.node AS root FROM base JOIN sub ON base.g IS NOT DISTINCT FROM sub.lang, top),
+ step AS (SELECT s.rid, s.l AS k, xor(s.pos >> s.l, 1) < s.pos >> s.l AS is_left, t.node AS sib FROM (SELECT *, unnest(range(height)) AS l FROM row_) s LEFT JOIN tree t ON t.g IS NOT DISTINCT FROM s.g AND t.level = s.l AND t.pos = xor(s.pos >> s.l, 1)
+  UNION ALL SELECT s.rid, s.height + s.l, xor(s.lpos >> s.l, 1) < s.lpos >> s.l, t.node FROM (SELECT *, unnest(range(more)) AS l FROM row_) s LEFT JOIN over_ t ON t.level = s.l AND t.pos = xor(s.lpos >> s.l, 1)),
+ fold(rid, k, h) AS (SELECT rid, 0::BIGINT, h FROM d UNION ALL SELECT rid, k + 1, CASE WHEN sib IS NULL THEN sha256(h) WHEN is_left THEN sha256(sib || h) ELSE sha256(h || sib) END FROM fold JOIN step USING (rid, k)),
+ proof AS (SELECT rid, sha256(coalesce(string_agg(sib, '' ORDER BY k), '')) AS p FROM row_ LEFT JOIN step USING (rid) GROUP BY rid)
+ SELECT doc_id, leaf, subroot, root, p AS proof_sha256, fold.h AS folded_root, fold.h = root AS verified FROM d JOIN row_ USING (rid) JOIN proof USING (rid) JOIN fold ON fold.rid = d.rid AND fold.k = height + more"""
+
+OP12 = f"""WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT a.rid AS arid, a.vec_id AS anchor_id, b.vec_id, b.rid, a.label = b.label AS same, list_sum(list_transform(list_zip(a.e, b.e), lambda p: p[1] * p[2]))::BIGINT AS score FROM v a JOIN v b ON a.rid <> b.rid WHERE a.vec_id % {negatives.ANCHOR_EVERY} = 0),
+ pos AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY arid ORDER BY score DESC, vec_id, rid) <= {negatives.POSITIVES}),
+ neg AS (SELECT pos.anchor_id, pos.vec_id AS positive_id, row_number() OVER (PARTITION BY pos.arid, pos.rid ORDER BY s.score DESC, s.vec_id, s.rid) AS rank, s.vec_id AS negative_id, pos.score AS positive_score, s.score AS negative_score
+  FROM pos JOIN s USING (arid) WHERE NOT s.same AND {negatives.LOW} * pos.score <= 100 * s.score AND 100 * s.score <= {negatives.HIGH} * pos.score)
+ SELECT anchor_id, positive_id, rank::INT AS rank, negative_id, positive_score, negative_score FROM neg WHERE rank <= {negatives.NEGATIVES}"""
+
+OP13 = f"""WITH p AS (SELECT row_number() OVER (ORDER BY page_id) AS rid, page_id, strlen(coalesce(html, ''))::BIGINT AS n, sha256(coalesce(html, '')) AS h FROM pages),
+ f AS (SELECT h, arg_min(rid, (page_id, rid)) AS rid, min(page_id) AS page_id FROM p WHERE n >= {warc.MIN_PAYLOAD} GROUP BY h)
+ SELECT p.page_id, n AS payload_bytes, p.h AS payload_digest, CASE WHEN f.rid <> p.rid THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN f.rid <> p.rid THEN f.page_id END AS refers_to FROM p LEFT JOIN f USING (h)"""
