@@ -8,8 +8,6 @@ prediction is the mean of the windows' logits.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +23,6 @@ EMBED = 6
 TRAIN_DOCS, TRAIN_WINDOWS = 500, 4
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 CHUNK = 256
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def windows(text: bytes) -> np.ndarray:
@@ -167,6 +164,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     lang_pred is `und` with score 0 where the text is null or has no letter, and everywhere if there is nothing to
     learn from. Whole texts are read; the language, the source and the id are no inputs. A null id is not held out and
     not learned from. Equal texts get equal predictions; of equally probable languages the first by name is given.
+    Texts of any length are read whole, in windows; an empty table gives no rows; columns that aren't named are not read.
     """
     net = train(docs, id_col, text_col, lang_col, train_docs)
     src = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text_col).alias("text"))
@@ -178,7 +176,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         for b in by_bytes(batches, "text"):
             texts = b.column(2).to_pylist()
             langs, scores = ["und"] * len(texts), np.zeros(len(texts))
-            real = [i for i, t in enumerate(texts) if net is not None and t and _LETTER.search(t)]
+            real = [i for i, t in enumerate(texts) if net is not None and t and any(map(str.isalpha, t))]  # isalpha: the letters of \\p{L}
             if real:
                 found, prob = net.predict([texts[i].encode() for i in real])
                 scores[real] = prob
