@@ -37,21 +37,23 @@ def _q4() -> str:
     fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, a) for a, h, p in sorted(urls.RULES, key=lambda r: (-len(r[1] + r[2]), r[0] == "allow"))]
     case = lambda k: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[k]}'" for f in fits) + " END"
     link = urls.LINK.replace("'", "''")
+    rounds = 150  # more than the operator takes at most
     ctes = [
         "r0 AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages)",
         "r1 AS (SELECT *, regexp_extract(rest, '^([^/?#]*)', 1) AS raw FROM r0)",
         f"r2 AS (SELECT page_id, html, translate(raw, '{urls.UPPER}', '{urls.LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^([^?#]*)', 1) AS path FROM r1)",
         f"r3 AS MATERIALIZED (SELECT page_id, html, host, path, {case(1)} AS rule, {case(2)} AS action FROM r2)",
         "seed AS MATERIALIZED (SELECT 't' AS kind, host, count(*)::DOUBLE AS p FROM r3 WHERE action = 'allow' AND host <> '' GROUP BY host UNION ALL SELECT 'd', host, count(*)::DOUBLE FROM r3 WHERE action = 'block' AND host <> '' GROUP BY host)",
-        f"link AS (SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)), '{urls.UPPER}', '{urls.LOWER}') AS dst FROM r3)",
+        f"link AS (SELECT host AS src, translate(unnest(regexp_extract_all(regexp_replace(coalesce(html, ''), '{urls.UNSEEN}', ' ', 'g'), '{link}', 1)), '{urls.UPPER}', '{urls.LOWER}') AS dst FROM r3)",
         "e0 AS (SELECT src, dst, count(*) AS n FROM link WHERE src <> '' AND src <> dst GROUP BY src, dst)",
         "e1 AS (SELECT 't' AS kind, src, dst, n FROM e0 UNION ALL SELECT 'd', dst, src, n FROM e0)",
         "e AS MATERIALIZED (SELECT kind, src, dst, n / sum(n) OVER (PARTITION BY kind, src) AS w FROM e1)",
         "k0 AS MATERIALIZED (SELECT kind, host, p AS r FROM seed)",
     ]
-    for i in range(urls.ROUNDS):
+    for i in range(rounds):
         ctes.append(f"k{i + 1} AS MATERIALIZED (SELECT kind, host, {1 - urls.DAMPING} * coalesce(p, 0) + coalesce(g, 0) AS r FROM seed FULL JOIN (SELECT kind, dst AS host, {urls.DAMPING} * sum(w * r) AS g FROM e JOIN (SELECT kind, host AS src, r FROM k{i}) USING (kind, src) GROUP BY kind, dst) USING (kind, host))")
-    ctes.append(f"bad AS (SELECT host FROM k{urls.ROUNDS} GROUP BY host HAVING sum(CASE WHEN kind = 'd' THEN r ELSE 0 END) > {urls.THRESHOLD} * sum(r))")
+    ctes.append(f"scaled AS (SELECT kind, host, r * (SELECT sum(p) FROM seed s WHERE s.kind = k.kind) / sum(r) OVER (PARTITION BY kind) AS r FROM k{rounds} k)")
+    ctes.append(f"bad AS (SELECT host FROM scaled GROUP BY host HAVING sum(CASE WHEN kind = 'd' THEN r ELSE 0 END) > {urls.THRESHOLD} * sum(r))")
     return "WITH " + ",\n".join(ctes) + " SELECT page_id, host, path, rule, coalesce(action, CASE WHEN host IN (SELECT host FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM r3"
 
 

@@ -8,16 +8,20 @@ holds more than `threshold` of its mass; a host that neither reaches is allowed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stellate.llm.common import cut
 
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
-DAMPING, ROUNDS, THRESHOLD = 0.85, 10, 0.5
+DAMPING, TOLERANCE, THRESHOLD = 0.85, 1e-6, 0.5
+LOOK = 4  # rounds between looks at what moved
 SALTS = 8
 BROADCAST_HOSTS = 100_000
-LINK = "(?i)<a\\s[^>]*?href\\s*=\\s*[\"']?(?:https?:)?//([^/\"'?#\\s>]+)"
+UNSEEN = "(?is)<!--.*?-->|<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>"
+LINK = "(?i)<a\\s(?:[^>]*?\\s)?href\\s*=\\s*[\"']?(?:https?:)?//([^/\"'?#\\s>]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -39,18 +43,22 @@ def rule_verdict(host: Column, path: Column, rules=None) -> tuple[Column, Column
 
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst, links) between different hosts, from the links of the pages."""
-    links = pages.select(host_and_path(F.col(url_col))[0].alias("src"), F.explode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(LINK), F.lit(1))).alias("dst"))
+    """(src, dst, links) between different hosts, from the links of the pages; those in comments, scripts and styles are none."""
+    seen = F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), UNSEEN, " ")
+    links = pages.select(host_and_path(F.col(url_col))[0].alias("src"), F.explode(F.regexp_extract_all(seen, F.lit(LINK), F.lit(1))).alias("dst"))
     return links.select("src", F.translate("dst", UPPER, LOWER).alias("dst")).filter("src <> '' and src <> dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("links"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, rounds: int = ROUNDS) -> DataFrame:
-    """edges (src, dst, links), seeds (host, trust, distrust) -> (host, trust, distrust) after `rounds` steps.
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
+    """edges (src, dst, links), seeds (host, trust, distrust) -> (host, trust, distrust), where trust and distrust have the
+    mass of their seeds.
 
     Ranks and edges carry a kind: 't' follows links, 'd' follows them backwards. Without edges the seeds are the fixed
-    point. The number of rounds is fixed: what a further round moves is at most damping ** rounds (0.2) of the seeds' mass.
-    Mass at a host without links is not dealt out again, for either kind alike. The edges of a host with many lie under
-    salted keys. Lineage is cut every third round.
+    point. Rounds go on until what is still to move is at most `tolerance` of the seeds' mass, in sum over all hosts: a round
+    moves at most `damping` of what the one before moved, so that the end is reached by log(tolerance) / log(damping) rounds
+    (86), and sooner where a look at the last round says so. Mass at hosts without links goes back to the seeds, which is
+    the same as giving each kind its seeds' mass in the end. The edges of a host with many lie under salted keys. Lineage is
+    cut at each look.
     """
     both = edges.select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), "src", "dst", "links"), F.struct(F.lit("d").alias("kind"), F.col("dst").alias("src"), F.col("src").alias("dst"), "links"))).alias("e")).select("e.*")
     total = both.groupBy("kind", "src").agg(F.sum("links").alias("total"))
@@ -59,27 +67,40 @@ def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, roun
     share = cut(both.select("*", salt).join(total.select("*", salts), ["kind", "src", "salt"]).select("kind", "src", "salt", "dst", (F.col("links") / F.col("total")).alias("w")))
     seed = cut(seeds.select(F.explode(F.array(F.struct(F.lit("t").alias("kind"), F.col("host"), F.col("trust").cast("double").alias("p")), F.struct(F.lit("d").alias("kind"), F.col("host"), F.col("distrust").cast("double").alias("p")))).alias("s")).select("s.*").filter("p > 0"))
     rank = seed.select("kind", "host", F.col("p").alias("r"))
-    for k in range(0 if share.isEmpty() else rounds):
+    linked = not share.isEmpty()
+    most = math.ceil(math.log(tolerance) / math.log(damping))
+    mass = (seed.agg(F.sum("p")).first()[0] or 0.0) if linked else 0.0
+    for k in range(most if linked else 0):
         given = share.join(rank.select("kind", F.col("host").alias("src"), "r", salts), ["kind", "src", "salt"]).groupBy("kind", F.col("dst").alias("host")).agg((damping * F.sum(F.col("w") * F.col("r"))).alias("g"))
-        rank = seed.join(given, ["kind", "host"], "full").select("kind", "host", ((1 - damping) * F.coalesce("p", F.lit(0.0)) + F.coalesce("g", F.lit(0.0))).alias("r"))
-        rank = cut(rank) if k % 3 == 2 else rank
+        new = seed.join(given, ["kind", "host"], "full").select("kind", "host", ((1 - damping) * F.coalesce("p", F.lit(0.0)) + F.coalesce("g", F.lit(0.0))).alias("r"))
+        if k % LOOK == LOOK - 1 or k == most - 1:
+            before, new = rank.withColumnRenamed("r", "was"), cut(new)
+            moved = new.join(before, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("r", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
+            rank = new
+            if moved * damping / (1 - damping) <= tolerance * mass:
+                break
+        else:
+            rank = new
+    sums = rank.groupBy("kind").agg(F.sum("r").alias("held")).join(seed.groupBy("kind").agg(F.sum("p").alias("given")), "kind")
+    rank = rank.join(F.broadcast(sums), "kind").select("kind", "host", (F.col("r") * F.col("given") / F.col("held")).alias("r"))  # sums: a row for each kind
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("r")).otherwise(0.0))
     return rank.groupBy("host").agg(of("t").alias("trust"), of("d").alias("distrust"))
 
 
-def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=None, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", rules=None, damping: float = DAMPING, tolerance: float = TOLERANCE, threshold: float = THRESHOLD) -> DataFrame:
     """One row for each row of `pages`: the id, host, path, rule (null where none fits), verdict (allow or block).
 
     The verdict is the rule's, else the host's by propagation. A null url, or one without ://, has an empty host, fits
     no rule and is allowed. Repeated rows are judged alike, and each counts as a page of its host. A host with as much
-    trust as distrust is allowed. Pages are never dealt out by host: blocked hosts are broadcast up to BROADCAST_HOSTS of
+    trust as distrust is allowed. Urls and pages of any length are read whole; an empty table gives no rows; columns that
+    aren't named are not read. Pages are never dealt out by host: blocked hosts are broadcast up to BROADCAST_HOSTS of
     them (counted first), and joined under salted keys beyond.
     """
     host, path = host_and_path(F.col(url_col))
     rule, action = rule_verdict(F.col("host"), F.col("path"), rules)
     judged = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path")).select("id", "host", "path", rule.alias("rule"), action.alias("action"))
     seeds = judged.filter("host <> '' and action is not null").groupBy("host").agg(F.count_if(F.col("action") == "allow").alias("trust"), F.count_if(F.col("action") == "block").alias("distrust"))
-    ranks = propagate(host_edges(pages, url_col, html_col), seeds, damping, rounds)
+    ranks = propagate(host_edges(pages, url_col, html_col), seeds, damping, tolerance)
     bad = cut(ranks.filter(F.col("distrust") > threshold * (F.col("trust") + F.col("distrust"))).select("host", F.lit("block").alias("spread")))
     if bad.count() <= BROADCAST_HOSTS:
         known = judged.join(F.broadcast(bad), "host", "left")

@@ -23,7 +23,7 @@ def test_language_identification(spark):
     for i in range(400):
         lang = r.choice(list(sets))
         rows.append((i, " ".join(r.choice(sets[lang]) for _ in range(r.randint(3, 120))), lang, "x"))
-    rows += [(900, None, "aa", "x"), (901, "12 34 !", "aa", "x"), (902, "", None, "x"), (903, "  ", "dd", None), (904, rows[0][1] * 200, None, "x"), (None, rows[0][1], "bb", "x")]
+    rows += [(900, None, "aa", "x"), (901, "12 34 !", "aa", "x"), (902, "", None, "x"), (903, "  ", "dd", None), (905, "½ ² Ⅷ ①", "aa", "x"), (906, "½" * 5000 + "_", "aa", "x"), (904, rows[0][1] * 200, None, "x"), (None, rows[0][1], "bb", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, h string")
     got = langid.identify(df).collect()
     assert len(got) == len(rows)
@@ -31,7 +31,7 @@ def test_language_identification(spark):
     out = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
     assert {i for i in range(400) if by[i]["held_out"]} == set(out)
     assert np.mean([by[i]["lang_pred"] == rows[i][2] for i in out]) > 0.95
-    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (900, 901, 902, 903))
+    assert all(by[i]["lang_pred"] == "und" and by[i]["score"] == 0 for i in (900, 901, 902, 903, 905, 906))
     assert by[904]["lang_pred"] == by[0]["lang_pred"] and not by[None]["held_out"]
     assert all(0 <= g["score"] <= 1 for g in got)
     again = {g["doc_id"]: tuple(g) for g in langid.identify(df).collect()}
@@ -41,6 +41,28 @@ def test_language_identification(spark):
     assert langid.identify(df.limit(0)).count() == 0
 
 
+def slow_predict(net, text):
+    """Window by window, filter by filter, place by place."""
+    p, own = net.p, np.repeat(langid.WIDTHS, langid.FILTERS)
+    total, data = np.zeros(len(net.labels)), text.encode()
+    starts = range(0, max(len(data), 1), langid.WINDOW)
+    for s in starts:
+        w = data[s : s + langid.WINDOW].ljust(langid.WINDOW + net.wide - 1, b"\0")
+        act = [max(0.0, max(sum(float(p["embed"][w[i + k]] @ p["conv"][k, :, f]) for k in range(own[f])) for i in range(langid.WINDOW)) + float(p["bias"][f])) for f in range(len(own))]
+        total += np.array(act) @ p["out"] + p["shift"]
+    e = np.exp(total / len(starts) - (total / len(starts)).max())
+    return net.labels[int(e.argmax())], e.max() / e.sum()
+
+
+def test_predictions_against_a_plain_pass(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    net = langid.train(docs, train_docs=40)
+    got = {r["doc_id"]: r for r in langid.identify(docs, train_docs=40).collect()}
+    for r in docs.filter("length(text) between 3 and 700").orderBy("doc_id").limit(12).collect():
+        lang, score = slow_predict(net, r["text"])
+        assert got[r["doc_id"]]["lang_pred"] == lang and abs(got[r["doc_id"]]["score"] - score) < 1e-4
+
+
 def test_gradients_are_right():
     net = langid.ByteCNN(["a", "b"])
     rng = np.random.default_rng(0)
@@ -90,7 +112,36 @@ def test_blocks():
     assert html.blocks("<p title='<b>'>x</p> < 3 <") == (["x", "< 3 <"], False)
 
 
-def test_host_suffix_array(spark, words):
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<article><p>one</p><script>for(i=0;i<n;i++){x="1"}</script><p>two</p></article>', ["one", "two"]),
+        ("<p>a<style>b < c { }</STYLE >d", ["ad"]),
+        ('<article><p class="notice">ad<p>real text one<p>real two</article>', ["real text one", "real two"]),
+        ('<ul><li class="share">x<li>keep a<li>keep b</ul><p>tail</p>', ["keep a", "keep b", "tail"]),
+        ('<table><tr><td class="ad">x<td>y<tr><td>z</table>', ["y", "z"]),
+        ('<p>a</p><div class="ad">buy<p>text</p><p>more</p>', ["a", "text", "more"]),
+        ('<article><div class="ad">buy<p>k</p></article><p>z</p>', ["k"]),
+        ('<div><div class="ad"><p>z</p><div>y</div></div><p>t</p></div>', ["t"]),
+        ('<article><h2 class="social-history">S</h2><p class="notice-of-meeting">N</p><p class="share-buttons">B</p></article>', ["S", "N"]),
+        ('<div class="page with-sidebar"><p>x</p><div id="main-nav">m</div></div>', ["x"]),
+        ('<p>One <span class="ad">x <span>y</span></span> two</p>', ["One two"]),
+        ('<p data-class="ad" aria-role="menu">k</p><nav>m<p>n</nav>q', ["k", "q"]),
+        ("<ul><li>a<ul><li>b</ul><li>c</ul></div></p>d", ["a", "b", "c", "d"]),
+        ("<article><p>x</p><form>y</article></form><p>below", ["x"]),
+    ],
+)
+def test_left_out_elements_end(page, want):
+    assert html.blocks(page)[0] == want
+
+
+def test_rows_that_differ_in_where_the_null_is(spark):
+    rows = [(1, None, "x"), (1, "x", None)]
+    got = html.parse(spark.createDataFrame(rows, "page_id long, url string, html string")).select("key").distinct().count()
+    assert got == 2
+
+
+def test_host_repeats(spark, words):
     line = "share this story with all of your friends and also subscribe today"
     rows = [(i, f"http://a.io/{i}", f"<p>{words(30, i)}</p><p>{words(12, 50 + i)} {line}</p>") for i in range(5)]
     rows += [(10 + i, "http://b.io/x", f"<p>{words(40, 77)}</p>") for i in range(6)]  # copies of one page

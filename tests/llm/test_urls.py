@@ -26,23 +26,40 @@ def test_rules_and_parts(spark):
 
 
 def test_propagation_is_pagerank(spark):
+    """Against the solution of the linear system with mass of hosts without links given back to the seeds."""
     rng = np.random.default_rng(1)
     n = 12
     w = rng.integers(0, 4, (n, n)) * (rng.random((n, n)) < 0.3)
     np.fill_diagonal(w, 0)
+    w[4] = 0
     edges = [(f"h{i}", f"h{j}", int(w[i, j])) for i in range(n) for j in range(n) if w[i, j]]
     seeds = [("h0", 3, 0), ("h1", 1, 2), ("h5", 0, 4)]
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trust long, distrust long"), rounds=7).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in urls.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame(seeds, "host string, trust long, distrust long")).collect()}
     for k, m in ((0, w.astype(float)), (1, w.T.astype(float))):
-        share = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
         p = np.zeros(n)
         for h, *v in seeds:
             p[int(h[1:])] = v[k]
-        r = p.copy()
-        for _ in range(7):
-            r = 0.15 * p + 0.85 * share.T @ r
+        share = m / np.maximum(m.sum(axis=1, keepdims=True), 1)
+        share[m.sum(axis=1) == 0] = p / p.sum()
+        r = np.linalg.solve(np.eye(n) - 0.85 * share.T, 0.15 * p)
+        assert abs(r.sum() - p.sum()) < 1e-9
         for i in range(n):
-            assert abs(got.get(f"h{i}", (0, 0))[k] - r[i]) < 1e-9
+            assert abs(got.get(f"h{i}", (0, 0))[k] - r[i]) < 1e-5
+
+
+def test_a_long_chain_settles(spark):
+    """Trust that a fixed ten rounds would not have brought there yet."""
+    edges = [(f"h{i}", f"h{i + 1}", 1) for i in range(30)]
+    got = {r["host"]: r["trust"] for r in urls.propagate(spark.createDataFrame(edges, "src string, dst string, links long"), spark.createDataFrame([("h0", 1, 0)], "host string, trust long, distrust long")).collect()}
+    want = np.array([0.85**i for i in range(31)])
+    want /= want.sum()
+    assert max(abs(got[f"h{i}"] - want[i]) for i in range(31)) < 1e-5
+
+
+def test_links_that_are_none(spark):
+    html = "<!-- <a href='//c.io/'> --><script>x='<a href=\"//s.io\">'</script><style><a href=//t.io></style><a data-href='//d.io/'>x</a><A\nclass=b\nHREF=//Ok.io/x>"
+    got = urls.host_edges(spark.createDataFrame([("http://a.io/", html)], "url string, html string")).collect()
+    assert [tuple(r) for r in got] == [("a.io", "ok.io", 1)]
 
 
 def test_links_carry_verdicts(spark):
