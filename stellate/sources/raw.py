@@ -11,6 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stellate.session import cut as cut_lineage
+from stellate.session import fresh_path
+
 CHUNK = 1 << 20
 SMALL = 100_000  # splits whose offsets are broadcast at most
 #: Endings of names for which the text source would decompress.
@@ -67,14 +70,19 @@ def _cut(chunk: int):
 
 def _unsplit(spark: SparkSession, paths: list[str], chunk: int) -> DataFrame:
     """(file, split, offset, body) of files whose names ask for decompression, each a value of up to 2 GB first."""
-    whole = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content", F.col("length").alias("size"))
+    whole = spark.read.format("binaryFile").load([escaped(p) for p in paths]).select(F.col("_metadata.file_path").alias("file"), "content", F.col("length").alias("size"))
     at = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(chunk).cast("long"))).alias("offset")
     return whole.select("file", "content", at).select("file", F.lit(0).cast("long").alias("split"), "offset", F.substring("content", (F.col("offset") + 1).cast("int"), F.lit(chunk)).alias("body"))
 
 
 def files_at(spark: SparkSession, path: str) -> list[tuple[str, int]]:
-    """(path, size) of the files at a path or pattern, in order of their paths; a listing, without their bytes."""
-    return sorted((r["path"], r["length"]) for r in spark.read.format("binaryFile").load(path).select("path", "length").collect())
+    """(file, size) of the files at a path or pattern, in order, named as in `chunks`; a listing, without their bytes."""
+    return [(f, n) for f, n, _ in _listed(spark, path)]
+
+
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int, str]]:
+    found = spark.read.format("binaryFile").load(path).select("_metadata.file_path", "length", "path")
+    return sorted(tuple(r) for r in found.collect())
 
 
 def chunks(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
@@ -84,7 +92,7 @@ def chunks(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     Files whose names end as those of compressed files do are read whole, as the source would decompress them. Bytes without
     a single separator (0x0A) in them are one value, of 2 GB at most.
     """
-    files = [p for p, _ in files_at(spark, path)]
+    files = [p for _, _, p in _listed(spark, path)]
     packed = [p for p in files if p.endswith(CODECS)]
     plain = [p for p in files if not p.endswith(CODECS)]
     parts = [_split(spark, plain, chunk)] * bool(plain) + [_unsplit(spark, packed, chunk)] * bool(packed)
@@ -98,15 +106,41 @@ def _split(spark: SparkSession, paths: list[str], chunk: int) -> DataFrame:
     lengths = lines.groupBy("file", "split", "size").agg(F.sum(F.octet_length("v")).alias("n"))
     before = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     starts = lengths.select(F.col("file").alias("_f"), F.col("split").alias("_s"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    starts = starts.persist()
-    starts = F.broadcast(starts) if starts.count() <= SMALL else starts
+    starts = cut_lineage(starts)
+    few = starts.count() <= SMALL
     cut = lines.mapInArrow(_cut(chunk), "file string, split long, size long, at long, body binary")
-    found = cut.join(starts, (F.col("file") == F.col("_f")) & (F.col("split") == F.col("_s")))
+    found = cut.join(F.broadcast(starts) if few else starts, (F.col("file") == F.col("_f")) & (F.col("split") == F.col("_s")))
     offset: Column = F.col("start") + F.col("at")
     body = F.substring("body", F.lit(1), F.least(F.octet_length("body"), F.col("size") - offset).cast("int"))  # without a separator that the file doesn't have
-    return found.select("file", "split", offset.alias("offset"), body.alias("body")).filter(F.octet_length("body") > 0)
+    out = found.select("file", "split", offset.alias("offset"), body.alias("body")).filter(F.octet_length("body") > 0)
+    return out if few else out.sortWithinPartitions("file", "split", "offset")
 
 
 def escaped(path: str) -> str:
     """A path that holds characters of patterns, as a pattern for itself."""
     return "".join("\\" + c if c in "*?[]{}\\" else c for c in path)
+
+
+def write_parts(rows: DataFrame, path: str, last: str) -> None:
+    """The bytes of the column of `rows` one row behind the other in files at `path`, in order of the partitions. `last` is what
+    every row ends with, which is left to the sink as its separator: the rows come without it."""
+    (name,) = rows.columns
+    rows.select(F.col(name).cast("string")).write.mode("overwrite").option("lineSep", last).text(path)
+
+
+def write_file(rows: DataFrame, path: str, last: str) -> None:
+    """As write_parts, one file, written by one task and moved to `path`."""
+    spark = rows.sparkSession
+    at = fresh_path(spark, "file")
+    write_parts(rows, at, last)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    to = hadoop.Path(path)
+    fs, conf = to.getFileSystem(spark._jsc.hadoopConfiguration()), spark._jsc.hadoopConfiguration()
+    parts = hadoop.Path(f"{at}/part-*")
+    here = parts.getFileSystem(conf)
+    found = sorted(x.getPath().toString() for x in here.globStatus(parts))
+    if not found:  # no rows in any partition
+        fs.create(to, True).close()
+    for part in found:
+        hadoop.FileUtil.copy(here, hadoop.Path(part), fs, to, True, True, conf)
+    here.delete(hadoop.Path(at), True)

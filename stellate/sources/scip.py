@@ -1,18 +1,26 @@
 """SCIP indexes: a reader of the protobuf wire format and a Spark data source.
 
-Documents are cut out of a file by their length prefixes, without decoding a whole index at once; each becomes rows of
-occurrences, symbol_info and relationships.
+An index is a row of messages, each with its length before it, that can only be followed from the first on. To read one
+large index in many tasks it is framed first, without decoding: each task takes every byte of its chunk that could begin a
+message for a beginning, and follows all these chains at once to where they leave the chunk; a chain that meets no message
+is dropped. Of the few that are left the driver follows the one that begins the file, from chunk to chunk. Then each task
+knows where the first message of its chunk begins, cuts out those that lie in it whole, and decodes them; only messages
+over the border of chunks are put together by a shuffle.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellate import schema
+from stellate.session import cut
+from stellate.sources import raw
 
 _DOCUMENT = "doc_ord long, doc string, occurrences array<struct<symbol string, symbol_roles int, line int, enc_start int, enc_end int, occ_ord long>>, symbols array<struct<symbol string, display_name string, sym_ord long, relationships array<struct<symbol string, is_implementation boolean>>>>"
 
@@ -80,6 +88,7 @@ def _lines(buf: memoryview, single: bool) -> tuple[int, int]:
 
 #: Field numbers of the format.
 _RANGE, _SYMBOL, _ROLES, _ENCLOSING = 1, 2, 3, 7
+_POSITIONS = 6
 _SINGLE, _MULTI, _SINGLE_ENCLOSING, _MULTI_ENCLOSING = 8, 9, 10, 11
 
 
@@ -150,7 +159,8 @@ def _field(n: int, value: int | str | bytes) -> bytes:
 
 
 def encoded(path: str, occurrences: list[dict], symbols: list[dict]) -> bytes:
-    """A document as it lies in an index: what `document` reads, with its tag and length before it."""
+    """A document as it lies in an index: what `document` reads, with its tag and length before it. Its last byte is
+    always the encoding of positions."""
     parts = [_field(1, path)]
     for o in occurrences:
         one = _field(_SYMBOL, o["symbol"]) + _field(_ROLES, o["symbol_roles"])
@@ -161,12 +171,12 @@ def encoded(path: str, occurrences: list[dict], symbols: list[dict]) -> bytes:
         parts.append(_field(2, one))
     for s in symbols:
         parts.append(_field(3, _field(1, s["symbol"]) + (_field(6, s["display_name"]) if s["display_name"] else b"") + b"".join(_field(4, _field(1, r["symbol"]) + _field(3, int(r["is_implementation"]))) for r in s["relationships"])))
-    return _field(2, b"".join(parts))
+    return _field(2, b"".join(parts) + _field(_POSITIONS, 1))
 
 
 def write_index(index: dict[str, DataFrame], path: str) -> None:
-    """One index file of occurrences, symbol_info and relationships, documents in order; they are encoded in tasks and
-    written as they come in."""
+    """An index of occurrences, symbol_info and relationships: a folder of files, documents in order over them. They are
+    encoded and written in tasks."""
     o = index["occurrences"].groupBy("doc_ord", "doc").agg(F.sort_array(F.collect_list(F.struct("occ_ord", "symbol", "symbol_roles", "line", "enc_start", "enc_end"))).alias("o"))
     r = index["relationships"].groupBy("doc_ord", F.col("src").alias("symbol")).agg(F.sort_array(F.collect_list(F.struct("rel_ord", F.col("dst").alias("symbol"), "is_implementation"))).alias("relationships"))
     s = index["symbol_info"].join(r, ["doc_ord", "symbol"], "left").groupBy("doc_ord").agg(F.sort_array(F.collect_list(F.struct("sym_ord", "symbol", "display_name", F.coalesce("relationships", F.array().cast("array<struct<rel_ord:bigint,symbol:string,is_implementation:boolean>>")).alias("relationships")))).alias("s"))
@@ -177,14 +187,9 @@ def write_index(index: dict[str, DataFrame], path: str) -> None:
 
         for b in batches:
             rows = b.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([encoded(x["doc"], x["o"], x["s"] or []) for x in rows], pa.binary())], ["body"])
+            yield pa.RecordBatch.from_arrays([pa.array([encoded(x["doc"], x["o"], x["s"] or [])[:-1] for x in rows], pa.binary())], ["body"])
 
-    spark = o.sparkSession
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
-    for row in docs.mapInArrow(run, "body binary").toLocalIterator():
-        out.write(bytearray(row["body"]))
-    out.close()
+    raw.write_parts(docs.mapInArrow(run, "body binary"), path, "\x01")
 
 
 def metadata(buf: memoryview) -> dict:
@@ -199,47 +204,256 @@ def metadata(buf: memoryview) -> dict:
     return out
 
 
-def _messages(df: DataFrame) -> DataFrame:
-    """(file, ord, kind, body): the top-level messages of each file."""
+#: Tags of an index's own fields, and the longest header of a message.
+_TAGS, _HEADER = (0x0A, 0x12, 0x1A), 11
+CHUNK = 4 << 20
+CHAINS = 2_000_000  # beginnings that are left by all chunks together and come to the driver at most
+
+
+def chains(body: bytes, offset: int, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(beginning, end, messages, documents): for each place of a chunk where messages could begin, where a chain of them
+    from there leaves the chunk, or comes so near to its end that a header may not be in it whole."""
+    a = np.frombuffer(body, np.uint8)
+    core = max(0, len(a) - _HEADER)
+    tag = np.zeros(256, bool)
+    tag[list(_TAGS)] = True
+    at = np.flatnonzero(tag[a[:core]])
+    length, more, n = np.zeros(len(at), np.int64), np.ones(len(at), bool), np.zeros(len(at), np.int64)
+    for k in range(1, 6):
+        byte = a[at + k].astype(np.int64)
+        length += np.where(more, (byte & 0x7F) << 7 * (k - 1), 0)
+        n += more
+        more &= byte >= 0x80
+    end = at + 1 + n + length
+    alive = ~more & (end + offset <= size)
+    place = np.full(core + 1, -1, np.int32)
+    place[at] = np.arange(len(at))
+    count, docs = np.ones(len(at), np.int64), (a[at] == 0x12).astype(np.int64)
+    while True:
+        inside = np.flatnonzero(alive & (end < core))
+        if not len(inside):
+            break
+        j = place[end[inside]]
+        alive[inside[j < 0]] = False
+        i, j = inside[j >= 0], j[j >= 0]
+        end[i], count[i], docs[i], alive[i] = end[j], count[i] + count[j], docs[i] + docs[j], alive[j]
+    return at[alive] + offset, end[alive] + offset, count[alive], docs[alive]
+
+
+def header(head: bytes) -> tuple[int, int] | None:
+    """(tag, bytes of the whole message) from its first bytes; None for what isn't a message of an index."""
+    if not head or head[0] not in _TAGS:
+        return None
+    try:
+        n, at = _varint(memoryview(head), 1)
+    except (IndexError, ValueError):
+        return None
+    return head[0], at + n
+
+
+def _chained(chunks: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """(file, offset, length, head, tail, begins, ends, counts, docs): a row for each chunk."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                whole = memoryview(content.as_buffer()).cast("B")  # unsigned bytes
-                rows, size = [], 0
-                for k, (n, kind, v) in enumerate(fields(whole)):
-                    if kind == 2 and n in (1, 2):
-                        rows.append((path, k, n, bytes(v)))
-                        size += len(v)
-                    if size > 4 << 20:
-                        yield _rows(pa, rows)
-                        rows, size = [], 0
-                if rows:
-                    yield _rows(pa, rows)
-
-    return df.mapInArrow(run, "file string, ord long, kind int, body binary")
-
-
-def _rows(pa, rows):
-    a, b, c, d = zip(*rows, strict=True)
-    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(c, pa.int32()), pa.array(d, pa.binary())], ["file", "ord", "kind", "body"])
-
-
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each document of the indexes at `path`, decoded where the rows are spread over all tasks. Documents are
-    numbered by the path of their index, then by their place in it."""
-    files = spark.read.format("binaryFile").load(path)
-    order = F.broadcast(spark.createDataFrame([(p, k << 40) for k, p in enumerate(sorted(r["path"] for r in files.select("path").collect()))], "path string, base long"))  # a row for each index
-    found = files.select("path", "content")
-    bodies = _messages(found).join(order.withColumnRenamed("path", "file"), "file").withColumn("ord", F.col("ord") + F.col("base")).filter("kind = 2").repartition(spark.sparkContext.defaultParallelism, "file", "ord")
+            for file, offset, body in zip(b["file"].to_pylist(), b["offset"].to_pylist(), b["body"].to_pylist(), strict=True):
+                got = chains(body, offset, sizes[file])
+                cols = [pa.array([file]), pa.array([offset], pa.int64()), pa.array([len(body)], pa.int64()), pa.array([body[:_HEADER]], pa.binary()), pa.array([body[-_HEADER:]], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in got)]
+                yield pa.RecordBatch.from_arrays(cols, ["file", "offset", "length", "head", "tail", "begins", "ends", "counts", "docs"])
+
+    return chunks.select("file", "offset", "body").mapInArrow(run, "file string, offset long, length long, head binary, tail binary, begins array<long>, ends array<long>, counts array<long>, docs array<long>")
+
+
+def _followed(rows: list, size: int) -> tuple[list[tuple[int, int | None, int]], int] | None:
+    """Chunks of one file in order -> ([(offset, first message or None, its number)], documents), None where the chain breaks."""
+    offsets = [r["offset"] for r in rows]
+    ways = {p: x for r in rows for p, *x in zip(r["begins"], r["ends"], r["counts"], r["docs"], strict=True)}
+    out, at, n, docs, done = [], 0, 0, 0, 0
+
+    def reach(to: int):
+        """Chunks up to the one that holds `to`, whose first message from outside is there."""
+        nonlocal done
+        while done < len(rows) and offsets[done] + rows[done]["length"] <= to:
+            out.append((offsets[done], None, n))
+            done += 1
+        if done < len(rows):
+            out.append((offsets[done], to, n))
+            done += 1
+
+    reach(0)
+    while at < size:
+        k = bisect.bisect_right(offsets, at) - 1
+        if at in ways:
+            at, m, d = ways[at]
+        else:  # near the end of a chunk, where the header may go on in the next
+            r = rows[k]
+            near = at - (r["offset"] + r["length"] - len(r["tail"]))
+            head = bytes(r["tail"])[near:] if near >= 0 else b""
+            for later in rows[k + 1 :]:
+                if len(head) >= _HEADER:
+                    break
+                head += bytes(later["head"])
+            got = header(head)
+            if got is None or at + got[1] > size:
+                return None
+            at, m, d = at + got[1], 1, int(got[0] == 0x12)
+        n, docs = n + m, docs + d
+        if at < size and (done == 0 or at >= offsets[done - 1] + rows[done - 1]["length"]):
+            reach(at)
+    while done < len(rows):
+        out.append((offsets[done], None, n))
+        done += 1
+    return out, docs
+
+
+def frame(spark: SparkSession, path: str, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame | None, list[str], dict[str, int]]:
+    """(chunks, plan of the chunks of well-formed files, files that have to be read in order, documents of each file)."""
+    sizes = dict(raw.files_at(spark, path))
+    chunks = raw.chunks(spark, path, chunk)
+    found = cut(_chained(chunks, sizes))
+    left = found.agg(F.sum(F.size("begins"))).first()[0] or 0
+    files: dict[str, list] = {}
+    for r in found.orderBy("file", "offset").collect() if left <= CHAINS else []:
+        files.setdefault(r["file"], []).append(r)
+    plan, slow, docs = [], [f for f, size in sizes.items() if size and f not in files], {f: 0 for f in sizes}
+    for f, rows in files.items():
+        got = _followed(rows, sizes[f])
+        if got is None:
+            slow.append(f)
+        else:
+            plan += [(f, *x) for x in got[0]]
+            docs[f] = got[1]
+    return chunks, spark.createDataFrame(plan, "file string, offset long, first long, number long") if plan else None, slow, docs
+
+
+def _in_order(batches):
+    """Chunks of whole files in order -> (file, number, at, whole, message), however their messages are numbered; for files
+    with fields of their own at the top."""
+    import pyarrow as pa
+
+    name, held, number, start = None, b"", 0, 0
+
+    def messages(buf: bytes, last: bool):
+        nonlocal held, number, start
+        at = 0
+        while at < len(buf):
+            try:
+                got = next(_framed(memoryview(buf)[at : at + (1 << 20)] if not last else memoryview(buf)[at:]))
+            except (IndexError, ValueError):
+                if last or len(buf) - at > 1 << 31:
+                    raise ValueError("a message ends too early") from None
+                break
+            kind, wire, body, n = got
+            if n > len(buf) - at:
+                if last:
+                    raise ValueError("a message ends too early")
+                break
+            if wire == 2 and kind in (1, 2):
+                yield name, number, start + at, True, buf[at : at + n]
+            number, at = number + 1, at + n
+        held, start = buf[at:], start + at
+
+    for b in batches:
+        rows = []
+        for file, body in zip(b["file"].to_pylist(), b["body"].to_pylist(), strict=True):
+            if file != name:
+                if held:
+                    raise ValueError("a message ends too early")
+                name, held, number, start = file, b"", 0, 0
+            rows += messages(held + body, False)
+        if rows:
+            yield _pieces(pa, rows)
+    if held:
+        raise ValueError("a message ends too early")
+
+
+def _framed(buf: memoryview) -> Iterator[tuple[int, int, int, int]]:
+    """(field, wire type, where the body begins, bytes of the whole field) of the first field of a buffer that may be cut off."""
+    tag, at = _varint(buf, 0)
+    kind, wire = tag >> 3, tag & 7
+    if wire == 0:
+        yield kind, wire, at, _varint(buf, at)[1]
+    elif wire == 2:
+        n, at = _varint(buf, at)
+        yield kind, wire, at, at + n
+    elif wire in (1, 5):
+        yield kind, wire, at, at + (8 if wire == 1 else 4)
+    else:
+        raise ValueError(f"wire type {wire}")
+
+
+def _cut_out(batches):
+    """Chunks with the place and number of their first message -> (file, number, at, whole, message or a part of it)"""
+    import pyarrow as pa
+
+    for b in batches:
+        for file, offset, body, first, number in zip(*(b[c].to_pylist() for c in ("file", "offset", "body", "first", "number")), strict=True):
+            end = offset + len(body)
+            at = end if first is None else first
+            rows, held = [], 0
+            if at > offset:
+                rows.append((file, number - 1, offset, False, body[: at - offset]))
+            while at < end:
+                got = header(body[at - offset : at - offset + _HEADER])
+                n = got[1] if got and at + got[1] <= end else None
+                rows.append((file, number, at, n is not None, body[at - offset : at - offset + n] if n else body[at - offset :]))
+                number, at = number + 1, at + n if n else end
+                held += len(rows[-1][4])
+                if held > 4 << 20:
+                    yield _pieces(pa, rows)
+                    rows, held = [], 0
+            if rows:
+                yield _pieces(pa, rows)
+
+
+_PIECES = "file string, number long, at long, whole boolean, body binary"
+
+
+def _pieces(pa, rows):
+    a, b, c, d, e = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, pa.int64()), pa.array(c, pa.int64()), pa.array(d), pa.array(e, pa.binary())], ["file", "number", "at", "whole", "body"])
+
+
+def messages(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """(file, number, body): the top-level messages of the indexes at `path` that are documents or metadata, header and all,
+    numbered in their file."""
+    chunks, plan, slow, _ = frame(spark, path, chunk)
+    out = spark.createDataFrame([], "file string, number long, body binary")
+    if plan is not None:
+        plan = cut(plan)
+        few = plan.count() <= raw.SMALL
+        placed = chunks.join(F.broadcast(plan) if few else plan, ["file", "offset"])
+        pieces = placed.select("file", "offset", "body", "first", "number").mapInArrow(_cut_out, _PIECES)
+        # parts of messages over the border of chunks; a chunk gives two of them at most
+        parts = pieces.filter("not whole").groupBy("file", "number").agg(F.sort_array(F.collect_list(F.struct("at", "body"))).alias("p"))
+        joined = parts.select("file", "number", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["body"])).alias("body"))
+        out = pieces.filter("whole").select("file", "number", "body").union(joined)
+    if slow:
+        ordered = chunks.filter(F.col("file").isin(slow)).select("file", "offset", "body").repartition("file").sortWithinPartitions("file", "offset")
+        out = out.union(ordered.mapInArrow(_in_order, _PIECES).select("file", "number", "body"))
+    return out.filter(F.substring("body", 1, 1).isin(F.lit(b"\x0a"), F.lit(b"\x12")))
+
+
+def body_of(message: bytes) -> memoryview:
+    """A message without its tag and length."""
+    _, at = _varint(memoryview(message), 1)
+    return memoryview(message)[at:]
+
+
+def read_documents(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
+    """A row for each document of the indexes at `path`, decoded where its bytes were read. Documents are numbered by the
+    path of their index, then by their place in it."""
+    order = spark.createDataFrame([(p, k << 40) for k, (p, _) in enumerate(raw.files_at(spark, path))], "file string, base long")
+    order = F.broadcast(order) if order.count() <= raw.SMALL else order
+    bodies = messages(spark, path, chunk).filter(F.substring("body", 1, 1) == F.lit(b"\x12")).join(order, "file").select((F.col("base") + F.col("number")).alias("ord"), "body")
 
     def run(frames):
         import pandas as pd
 
         for f in frames:
-            rows = [document(memoryview(b)) | {"doc_ord": o} for o, b in zip(f["ord"], f["body"], strict=True)]
+            rows = [document(body_of(b)) | {"doc_ord": o} for o, b in zip(f["ord"], f["body"], strict=True)]
             yield pd.DataFrame(rows, columns=["doc_ord", "doc", "occurrences", "symbols"])
 
     return bodies.mapInPandas(run, _DOCUMENT)
@@ -266,35 +480,95 @@ def describe(spark: SparkSession, path: str) -> dict:
         return {"exists": False}
     out = {"exists": True, "size": row["length"], "modified": row["modificationTime"].isoformat()}
     try:
-        m = _messages(spark.read.format("binaryFile").load(path).select("path", "content"))
-        out["documents"] = m.filter("kind = 2").count()
-        head = m.filter("kind = 1").select("body").first()
-        return out | (metadata(memoryview(head["body"])) if head else {})
+        m = messages(spark, path)
+        kind = F.substring("body", 1, 1)
+        out["documents"] = m.filter(kind == F.lit(b"\x12")).count()
+        head = m.filter(kind == F.lit(b"\x0a")).orderBy("number").select("body").first()
+        return out | (metadata(body_of(bytes(head["body"]))) if head else {})
     except Exception as e:
         return out | {"error": str(e).splitlines()[0]}
 
 
+RANGE = 64 << 20  # bytes of documents in a task of the source
+
+
+def _ranges(f, size: int, most: int) -> Iterator[tuple[int, int, int]]:
+    """(offset, end, number of its first message) of runs of messages of about `most` bytes of an open file; only headers are
+    read."""
+    at = start = number = first = 0
+    while at < size:
+        f.seek(at)
+        head = f.read(2 * _HEADER)
+        try:
+            n = next(_framed(memoryview(head)))[3]
+        except (IndexError, ValueError):
+            raise ValueError("a message ends too early") from None
+        if at + n > size:
+            raise ValueError("a message ends too early")
+        if at > start and at + n - start > most:
+            yield start, at, first
+            start, first = at, number
+        at, number = at + n, number + 1
+    if at > start:
+        yield start, at, first
+
+
+def _store_of(path: str):
+    """(file system, path in it) of a path or address that Arrow knows (local, hdfs, s3, gs and others)."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def _matching(pattern: str) -> list[str]:
+    """The files that a path or pattern names, and those in folders that it names, by their paths."""
+    import fnmatch
+
+    from pyarrow import fs
+
+    store, path = _store_of(pattern)
+    base = path
+    while any(c in base for c in "*?["):
+        base = base.rpartition("/")[0]
+    one = store.get_file_info(base or "/")
+    found = [one] if one.type == fs.FileType.File else store.get_file_info(fs.FileSelector(base or "/", recursive=True)) if one.type == fs.FileType.Directory else []
+    hit = lambda p: p == path.rstrip("/") or fnmatch.fnmatchcase(p, path)
+    files = [x.path for x in found if x.type == fs.FileType.File and not x.base_name.startswith((".", "_"))]
+    return sorted(p for p in files if any(hit("/".join(p.split("/")[:k])) for k in range(1, p.count("/") + 2)))
+
+
 def register(spark: SparkSession) -> None:
-    """Makes spark.read.format("scip").load(path) give occurrences."""
+    """Makes spark.read.format("scip").load(path) give occurrences, numbered as by read_index. The source runs without a
+    session, so that it reads the stores that Arrow knows; read_index reads all that Spark does."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
     class Reader(DataSourceReader):
-        def __init__(self, path):
-            self.path = path
+        def __init__(self, path, most):
+            self.path, self.most = path, most
 
         def partitions(self):
-            import glob
-
-            return [InputPartition(p) for p in sorted(glob.glob(self.path))]
+            out = []
+            store, _ = _store_of(self.path)
+            for k, p in enumerate(_matching(self.path)):
+                with store.open_input_file(p) as f:
+                    out += [InputPartition((p, k << 40, *r)) for r in _ranges(f, f.size(), self.most)]
+            return out or [InputPartition(None)]
 
         def read(self, partition):
-            with open(partition.value, "rb") as f:
-                whole = memoryview(f.read())
-            for k, (n, kind, v) in enumerate(fields(whole)):
-                if n == 2 and kind == 2:
-                    d = document(v)
-                    for o in d["occurrences"]:
-                        yield (k, d["doc"], o["occ_ord"], o["symbol"], o["symbol_roles"], o["line"], o["enc_start"], o["enc_end"])
+            if partition.value is None:
+                return
+            path, base, start, end, number = partition.value
+            store, _ = _store_of(self.path)
+            with store.open_input_file(path) as f:
+                while start < end:
+                    f.seek(start)
+                    kind, wire, at, n = next(_framed(memoryview(f.read(2 * _HEADER))))
+                    if kind == 2 and wire == 2:
+                        f.seek(start + at)
+                        d = document(memoryview(f.read(n - at)))
+                        for o in d["occurrences"]:
+                            yield (base + number, d["doc"], o["occ_ord"], o["symbol"], o["symbol_roles"], o["line"], o["enc_start"], o["enc_end"])
+                    start, number = start + n, number + 1
 
     class Scip(DataSource):
         @classmethod
@@ -305,6 +579,6 @@ def register(spark: SparkSession) -> None:
             return schema.OCCURRENCES
 
         def reader(self, schema):
-            return Reader(self.options["path"])
+            return Reader(self.options["path"], int(self.options.get("range", RANGE)))
 
     spark.dataSource.register(Scip)

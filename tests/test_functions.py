@@ -1,3 +1,4 @@
+import random
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,9 +104,71 @@ def test_index_reader(spark, tmp_path):
 
 
 def test_index_as_a_source(spark, tmp_path):
-    (tmp_path / "index.scip").write_bytes(index())
+    """Several indexes, in folders too, read by ranges of few bytes: rows and numbers are those of read_index."""
+    (tmp_path / "b.scip").mkdir()
+    for name in ("a.scip", "b.scip/part-0", "c.scip", "d.txt"):
+        (tmp_path / name).write_bytes(index() if name != "d.txt" else b"?")
     scip.register(spark)
-    assert spark.read.format("scip").load(str(tmp_path / "*.scip")).count() == 4
+    want = sorted(map(tuple, scip.read_index(spark, f"{tmp_path}/*.scip")["occurrences"].collect()))
+    for most in (1, 1 << 20):
+        got = spark.read.format("scip").option("range", most).load(f"{tmp_path}/*.scip")
+        assert sorted(map(tuple, got.select("doc_ord", "doc", "occ_ord", "symbol", "symbol_roles", "line", "enc_start", "enc_end").collect())) == want
+    assert len(want) == 12 and got.rdd.getNumPartitions() == 3
+
+
+def _chunked(whole, cuts):
+    """What _chained gives for chunks that end at the cuts."""
+    ends = sorted({c for c in cuts if 0 < c < len(whole)} | {len(whole)})
+    rows, at = [], 0
+    for e in ends:
+        begins, outs, counts, docs = (x.tolist() for x in scip.chains(whole[at:e], at, len(whole)))
+        rows.append({"offset": at, "length": e - at, "head": whole[at:e][: scip._HEADER], "tail": whole[at:e][-scip._HEADER :], "begins": begins, "ends": outs, "counts": counts, "docs": docs})
+        at = e
+    return rows
+
+
+def test_framing_finds_all_messages():
+    """Against following the lengths from the first byte, for chunks of any size, down to less than a header."""
+    r = random.Random(9)
+    for trial in range(150):
+        made = [field(r.choice([1, 2, 2, 2, 3]), r.choice([r.randbytes(r.choice([0, 1, 5, 130, 3000])), b"\x0a\x12\x1a" * r.randint(0, 60)])) for _ in range(r.randint(1, 30))]
+        whole = b"".join(made)
+        starts = [sum(map(len, made[:k])) for k in range(len(made))]
+        rows = _chunked(whole, [r.randrange(len(whole)) for _ in range(r.choice([0, 1, 5, 40]))] if trial % 5 else range(0, len(whole), r.choice([3, 40, 500])))
+        got, docs = scip._followed(rows, len(whole))
+        assert docs == sum(m[0] == 0x12 for m in made)
+        assert [o for o, _, _ in got] == [x["offset"] for x in rows]
+        for (offset, first, number), x in zip(got, rows, strict=True):
+            inside = [k for k, s in enumerate(starts) if offset <= s < offset + x["length"]]
+            assert (first, number) == ((starts[inside[0]], inside[0]) if inside else (None, sum(s < offset for s in starts)))
+    assert scip._followed(_chunked(field(2, b"a") + field(9, b"b"), []), 6) is None
+    assert scip._followed(_chunked(field(2, b"a") + b"\x12\x09a", []), 6) is None
+
+
+def test_one_index_in_many_tasks(spark, tmp_path):
+    """Split small, with documents longer than a chunk, an index that has other fields at its top, an empty one, and rows and
+    numbers as from one value."""
+    r = random.Random(4)
+    for name, extra in (("a", b""), ("b", field(9, b"own") + field(12, 7)), ("c d [1]", b"")):
+        docs = [scip.encoded(f"{name}/{k}.cpp", [{"symbol": f"s{r.randrange(99)}().", "symbol_roles": 1, "line": i, "enc_start": None, "enc_end": None} for i in range(r.choice([0, 3, 40, 900]))], []) for k in range(60)]
+        (tmp_path / f"{name}.scip").write_bytes(field(1, field(2, field(1, "tool"))) + b"".join(docs[:30]) + extra + b"".join(docs[30:]))
+    (tmp_path / "e.scip").write_bytes(b"")
+    want = []
+    for k, name in enumerate(sorted(p.name for p in tmp_path.glob("*.scip"))):
+        for n, (f, wire, v) in enumerate(scip.fields(memoryview((tmp_path / name).read_bytes()))):
+            if f == 2:
+                d = scip.document(v)
+                want.append(((k << 40) + n, d["doc"], len(d["occurrences"])))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+    try:
+        _, plan, slow, _ = scip.frame(spark, f"{tmp_path}/*.scip", 4000)
+        assert len(slow) == 1 and plan.count() > 30
+        got = scip.read_documents(spark, f"{tmp_path}/*.scip", 4000)
+        assert sorted((x["doc_ord"], x["doc"], len(x["occurrences"])) for x in got.collect()) == want
+        assert scip.describe(spark, f"{tmp_path}/a.scip")["documents"] == 60
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_written_index_is_read(spark, tmp_path):
