@@ -89,16 +89,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
         if command == "build":
             built = derive.build(*parts, include_references=not a["no_references"], attribute_references=a["attribute"])
             return store.save(store.intern(built), a["store"], _provenance(spark, a))
-        graph = store.load(spark, a["store"])
         if command == "enrich":
-            graph, k, n = store.enrich(graph, derive.references(got["occurrences"], True))
-            said = {"attributed": k, "references": n}
-        else:
-            deleted = spark.createDataFrame([(d,) for d in a["deleted"]], "doc string")
-            graph, stats = store.apply_update(graph, derive.build(*parts, attribute_references=a["attribute"]), got["documents"].select("doc"), deleted)
-            said = vars(stats)
-        kept = {k: v for k, v in (graph.meta or {}).items() if not k.endswith("_count")}
-        store.save(graph, a["store"], kept | (_provenance(spark, a) if command == "update" else {}))
+            k, n = store.enrich_store(spark, a["store"], derive.references(got["occurrences"], True))
+            return json.dumps({"attributed": k, "references": n})
+        deleted = spark.createDataFrame([(d,) for d in a["deleted"]], "doc string")
+        said = vars(store.update(spark, a["store"], derive.build(*parts, attribute_references=a["attribute"]), got["documents"].select("doc"), deleted, _provenance(spark, a)))
         return json.dumps(said)
     graph = store.load(spark, a.pop("store"))
     tests, mode = a.pop("tests", None), a.pop("mode", None)

@@ -1,9 +1,14 @@
 """The stored graph: interned tables in versioned folders, and their maintenance.
 
-A store is a folder with a folder for each version (files, symbols, edges_by_src, edges_by_dst, refs, meta) and a file
-CURRENT that names the one to read; a version is written whole before CURRENT moves to it, so that readers never see half
-of an update and a job that dies leaves the old version in place. Edges are laid out twice, sorted by either end, so that a
-filter on an end prunes row groups.
+A store is a folder with a folder for each version and a file CURRENT that names the one to read; a version is written whole
+before CURRENT moves to it, so that readers never see half of an update and a job that dies leaves the old version in place.
+Edges are laid out twice, sorted by either end, so that a filter on an end prunes row groups.
+
+A version holds only what it changed. Its MANIFEST lists for each table the folders that make it up, its own and those of
+earlier versions, each with a number. An update writes rows of the changed files alone, and which files these are: a row of an
+edge or reference holds if its file wasn't replaced under a later number, a row of a symbol if no later one has its id.
+Readers join the few replaced files and symbols away. When there are many, `compact` writes a version of whole tables;
+`vacuum` removes the folders that no kept version lists.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ import datetime
 import json
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -21,6 +27,13 @@ from stellate import __version__, schema
 from stellate.plans.graph import CodeGraph
 from stellate.session import cut
 
+SMALL = 1_000_000  # replaced ids that are broadcast at most
+SEGMENTS, CHANGED_SHARE = 16, 0.25  # folders of a table, and part of its rows that were replaced, up to which updates go on top
+
+
+class ConcurrentUpdateError(RuntimeError):
+    """Another writer moved the store on: load it and update again."""
+
 
 class IncompatibleStoreError(RuntimeError):
     """The store was written in a newer format."""
@@ -103,34 +116,128 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replaces a small file at once: readers see the old text or the new one."""
     fs, p = _fs(spark, path)
-    out = fs.create(p, True)
+    new = f"{path}.{uuid.uuid4().hex}.new"
+    out = fs.create(_fs(spark, new)[1], False)
     out.write(bytearray(text.encode()))
     out.close()
+    jvm = spark._jvm
+    options = spark._sc._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.makeQualified(p).toUri(), spark._jsc.hadoopConfiguration())
+    context.rename(fs.makeQualified(_fs(spark, new)[1]), fs.makeQualified(p), options)
+
+
+TABLES = ("files", "symbols", "edges_by_src", "edges_by_dst", "refs")
+
+
+def _new_version() -> str:
+    return f"v-{datetime.datetime.now(datetime.UTC):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+
 
+def _write_edges(edges: DataFrame, at: str, small: bool = False) -> None:
+    e = edges.select("kind", "src_id", "dst_id", "file_id", "line")
+    for end in ("src", "dst"):
+        ranged = e.coalesce(1) if small else e.repartitionByRange(f"{end}_id")
+        ranged.sortWithinPartitions(f"{end}_id").write.partitionBy("kind").parquet(f"{at}/edges_by_{end}")
 
-def save(graph: CodeGraph, path: str, meta: dict[str, str] | None = None) -> str:
-    """Write a new version and make it the current one. Counts in `meta` win over counted ones."""
+
+def _write_refs(refs: DataFrame, at: str, small: bool = False) -> None:
+    r = refs.select("symbol_id", "file_id", "line", "enclosing_id")
+    (r.coalesce(1) if small else r.repartitionByRange("symbol_id")).sortWithinPartitions("symbol_id", "file_id", "line").write.parquet(f"{at}/refs")
+
+
+def _write_symbols(symbols: DataFrame, at: str, small: bool = False) -> None:
+    s = symbols.select("id", "symbol", "display_name", "file_id", "line", *(["gone"] if "gone" in symbols.columns else []))
+    (s.coalesce(1) if small else s.repartitionByRange("symbol")).sortWithinPartitions("symbol").write.parquet(f"{at}/symbols")
+
+
+def _write_head(spark: SparkSession, path: str, version: str, manifest: dict, meta: dict[str, str]) -> None:
+    at = f"{path.rstrip('/')}/{version}"
+    spark.createDataFrame(sorted(meta.items()), schema.META).coalesce(1).write.parquet(f"{at}/meta")
+    _write_text(spark, f"{at}/MANIFEST", json.dumps(manifest))
+
+
+def publish(spark: SparkSession, path: str, version: str, parent: str | None = None) -> str:
+    """Makes a whole version the current one; with a parent only if no other version follows that."""
+    if parent is not None:
+        claim = f"{path.rstrip('/')}/{parent}/NEXT"
+        fs, p = _fs(spark, claim)
+        try:
+            out = fs.create(p, False)  # one writer only can make it
+            out.write(bytearray(version.encode()))
+            out.close()
+        except Exception as e:
+            other = (_read_text(spark, claim) or "").strip()
+            if other and current_version(spark, path) == parent and fs.exists(_fs(spark, f"{path.rstrip('/')}/{other}/MANIFEST")[1]):
+                _write_text(spark, f"{path.rstrip('/')}/CURRENT", other)  # its writer died on the last step
+            raise ConcurrentUpdateError(f"version {other or '?'} follows {parent}") from e
+    _write_text(spark, f"{path.rstrip('/')}/CURRENT", version)
+    return version
+
+
+def save(graph: CodeGraph, path: str, meta: dict[str, str] | None = None, parent: str | None = None) -> str:
+    """Write a new version of whole tables and make it the current one, with a parent only as publish does. Counts in `meta`
+    win over counted ones."""
     spark = graph.symbols.sparkSession
-    version = f"v-{datetime.datetime.now(datetime.UTC):%Y%m%d%H%M%S}-{uuid.uuid4().hex[:8]}"
+    version = _new_version()
     at = f"{path.rstrip('/')}/{version}"
+    edges = cut(graph.edges.select("kind", "src_id", "dst_id", "file_id", "line"))  # laid out twice and counted
     graph.files.select("id", "path").write.parquet(f"{at}/files")
-    graph.symbols.select("id", "symbol", "display_name", "file_id", "line").repartitionByRange("symbol").sortWithinPartitions("symbol").write.parquet(f"{at}/symbols")
-    e = graph.edges.select("kind", "src_id", "dst_id", "file_id", "line")
-    e.repartitionByRange("src_id").sortWithinPartitions("src_id").write.partitionBy("kind").parquet(f"{at}/edges_by_src")
-    e.repartitionByRange("dst_id").sortWithinPartitions("dst_id").write.partitionBy("kind").parquet(f"{at}/edges_by_dst")
+    _write_symbols(graph.symbols, at)
+    _write_edges(edges, at)
     if graph.refs is not None:
-        graph.refs.select("symbol_id", "file_id", "line", "enclosing_id").repartitionByRange("symbol_id").sortWithinPartitions("symbol_id", "file_id", "line").write.parquet(f"{at}/refs")
-    written = _tables(spark, at, graph.refs is not None)
-    all_ = counts(written) | (meta or {})
-    spark.createDataFrame(sorted(all_.items()), schema.META).coalesce(1).write.parquet(f"{at}/meta")
-    _write_text(spark, f"{path.rstrip('/')}/CURRENT", version)
-    return version
+        _write_refs(graph.refs, at)
+    tables = {t: [[version, 0]] for t in TABLES if t != "refs" or graph.refs is not None}
+    manifest = {"number": 0, "tables": tables, "replaced": [], "replaced_rows": 0, "changed_symbols": 0}
+    written = _tables(spark, path, manifest)
+    written.edges = edges
+    _write_head(spark, path, version, manifest, counts(written) | (meta or {}))
+    return publish(spark, path, version, parent)
+
+
+_STORED = {"files": schema.FILES, "symbols": schema.SYMBOLS + ", gone boolean", "edges_by_src": "src_id long, dst_id long, file_id long, line int, kind string", "edges_by_dst": "src_id long, dst_id long, file_id long, line int, kind string", "refs": schema.REFS, "replaced": "file_id long"}
 
 
-def _tables(spark: SparkSession, at: str, refs: bool, by: str = "dst") -> CodeGraph:
-    e = spark.read.schema("src_id long, dst_id long, file_id long, line int, kind string").parquet(f"{at}/edges_by_{by}")
-    return CodeGraph(spark.read.schema(schema.FILES).parquet(f"{at}/files"), spark.read.schema(schema.SYMBOLS).parquet(f"{at}/symbols"), e.select("kind", "src_id", "dst_id", "file_id", "line"), spark.read.schema(schema.REFS).parquet(f"{at}/refs") if refs else None)
+def _parts(spark: SparkSession, path: str, manifest: dict, table: str) -> list[tuple[int, DataFrame]]:
+    found = manifest["replaced"] if table == "replaced" else manifest["tables"].get(table, [])
+    return [(n, spark.read.schema(_STORED[table]).parquet(f"{path.rstrip('/')}/{v}/{table}")) for v, n in found]
+
+
+def _stacked(parts: list[tuple[int, DataFrame]]) -> DataFrame:
+    return reduce(DataFrame.unionByName, [df.withColumn("_n", F.lit(n)) for n, df in parts])
+
+
+def _without(rows: DataFrame, later: DataFrame, key: str, small: bool) -> DataFrame:
+    """Rows that no later row (key, number) replaces."""
+    last = later.groupBy(F.col(key).alias("_key")).agg(F.max("_n").alias("_last"))
+    last = F.broadcast(last) if small else last
+    return rows.join(last, (F.col(key) == F.col("_key")) & (F.col("_n") < F.col("_last")), "left_anti")
+
+
+def _table(spark: SparkSession, path: str, manifest: dict, table: str) -> DataFrame | None:
+    parts = _parts(spark, path, manifest, table)
+    if not parts:
+        return None
+    if table == "files":
+        return _stacked(parts).drop("_n")
+    if table == "symbols":
+        if len(parts) == 1:
+            return parts[0][1].drop("gone")
+        rows = _without(_stacked(parts), _stacked(parts[1:]).select("id", "_n"), "id", manifest["changed_symbols"] <= SMALL)
+        return rows.filter(~F.coalesce("gone", F.lit(False))).drop("gone", "_n")
+    least = parts[0][0]
+    later = [(n, df) for n, df in _parts(spark, path, manifest, "replaced") if n > least]
+    rows = _stacked(parts)
+    if later:
+        rows = _without(rows, _stacked(later), "file_id", manifest["replaced_rows"] <= SMALL)
+    return rows.drop("_n")
+
+
+def _tables(spark: SparkSession, path: str, manifest: dict, by: str = "dst") -> CodeGraph:
+    files, symbols, edges, refs = (_table(spark, path, manifest, t) for t in ("files", "symbols", f"edges_by_{by}", "refs"))
+    return CodeGraph(files, symbols, edges.select("kind", "src_id", "dst_id", "file_id", "line"), refs)
 
 
 def current_version(spark: SparkSession, path: str) -> str | None:
@@ -138,22 +245,29 @@ def current_version(spark: SparkSession, path: str) -> str | None:
     return text.strip() if text else None
 
 
+def _manifest(spark: SparkSession, path: str, version: str) -> dict:
+    """A version's manifest; one without a manifest is made of its own folders."""
+    text = _read_text(spark, f"{path.rstrip('/')}/{version}/MANIFEST")
+    if text:
+        return json.loads(text)
+    fs, p = _fs(spark, f"{path.rstrip('/')}/{version}/refs")
+    return {"number": 0, "tables": {t: [[version, 0]] for t in TABLES if t != "refs" or fs.exists(p)}, "replaced": [], "replaced_rows": 0, "changed_symbols": 0}
+
+
 def load(spark: SparkSession, path: str, version: str | None = None, by: str = "dst") -> CodeGraph:
     """The current (or named) version, with edges sorted by dst or src. A newer format is refused; a missing or
     unreadable format number is taken for an old one."""
     version = version or current_version(spark, path)
     if version is None:
         raise FileNotFoundError(f"no store at {path}")
-    at = f"{path.rstrip('/')}/{version}"
-    meta = {r["key"]: r["value"] for r in spark.read.schema(schema.META).parquet(f"{at}/meta").collect()}
+    meta = {r["key"]: r["value"] for r in spark.read.schema(schema.META).parquet(f"{path.rstrip('/')}/{version}/meta").collect()}
     try:
         number = int(meta.get("schema_version", "1"))
     except ValueError:
         number = 1
     if number > schema.SCHEMA_VERSION:
         raise IncompatibleStoreError(f"the store has format {number}; this version reads {schema.SCHEMA_VERSION} and older ones")
-    fs, p = _fs(spark, f"{at}/refs")
-    graph = _tables(spark, at, fs.exists(p), by)
+    graph = _tables(spark, path, _manifest(spark, path, version), by)
     graph.meta = meta
     return graph
 
@@ -185,55 +299,181 @@ def indexed_file_count(graph: CodeGraph) -> int:
     return graph.files.count()
 
 
-def _allocate(known: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
-    """`known` (id, key, ...) reduced to (id, key), with ids past the largest for the wanted keys that it lacks."""
-    old = known.select("id", key)
-    base = old.agg(F.max("id")).first()[0] or 0
-    new = wanted.filter(F.col(key).isNotNull()).select(key).distinct().join(old, key, "left_anti").withColumn("o", F.lit(0))
-    return cut(old.unionByName(dense_ids(new, key, "o", base).select("id", key)))
-
+def _ids_of(known: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """((key, id) of the wanted keys, those of them that `known` (id, key, ...) lacks): new ids are past the largest."""
+    wanted = cut(wanted.filter(F.col(key).isNotNull()).select(key).distinct())
+    found = cut(known.select("id", key).join(wanted, key, "left_semi"))
+    missing = wanted.join(found, key, "left_anti").withColumn("o", F.lit(0))
+    if missing.isEmpty():
+        return found.select(key, "id"), found.limit(0).select(key, "id")
+    base = known.agg(F.max("id")).first()[0] or 0
+    new = cut(dense_ids(missing, key, "o", base).select(key, "id"))
+    return found.select(key, "id").unionByName(new), new
 
-def apply_update(graph: CodeGraph, built: dict[str, DataFrame], documents: DataFrame, deleted: DataFrame | None = None) -> tuple[CodeGraph, UpdateStats]:
-    """Replace what the changed files hold: `documents` (doc) lists the files of a partial index, `built` what was
-    derived from it, `deleted` (doc) files that are gone.
 
-    Edges and references of changed files go and the new ones come; sites in changed files are forgotten and new sites
-    win over old ones, new names over old ones if they aren't empty; symbols that this touched, without a site, an edge
-    or a reference, are dropped. Ids stay; new ones follow the largest.
-    """
+@dataclass
+class Delta:
+    """What an update changes: the replaced files (file_id), new files, symbols with their new rows or `gone`, added edges and
+    references, and what counts become."""
+
+    replaced: DataFrame
+    files: DataFrame
+    symbols: DataFrame
+    edges: DataFrame
+    refs: DataFrame
+    meta: dict[str, str]
+    stats: UpdateStats
+
+
+def delta(graph: CodeGraph, built: dict[str, DataFrame], documents: DataFrame, deleted: DataFrame | None = None) -> Delta:
+    """What apply_update changes in the graph. Only rows of changed files, and symbols that they touch, are shuffled or
+    written; of the rest id columns are read."""
+    spark = graph.edges.sparkSession
     changed = documents.select(F.col("doc").alias("path"))
     if deleted is not None:
         changed = changed.union(deleted.select(F.col("doc").alias("path")))
     changed = cut(changed.distinct())
     hit = cut(graph.files.join(changed, "path", "left_semi").select(F.col("id").alias("file_id")))
-    refs = graph.refs if graph.refs is not None else graph.edges.sparkSession.createDataFrame([], schema.REFS)
-    gone = cut(graph.edges.join(hit, "file_id", "left_semi"))
-    gone_refs = refs.join(hit, "file_id", "left_semi")
+    n_changed = changed.count()
+    near = F.broadcast if n_changed <= SMALL else (lambda df: df)
+    refs = graph.refs if graph.refs is not None else spark.createDataFrame([], schema.REFS)
+    gone = cut(graph.edges.join(near(hit), "file_id", "left_semi").select("src_id", "dst_id"))
+    gone_refs = cut(refs.join(near(hit), "file_id", "left_semi").select("symbol_id", "enclosing_id"))
     nodes, edges, new_refs = built["nodes"], built["edges"], built["refs"]
-    files = _allocate(graph.files, "path", nodes.select(F.col("file").alias("path")).union(edges.select("file")).union(new_refs.select("file")).union(documents.select("doc")))
-    ids = _allocate(graph.symbols, "symbol", nodes.select("symbol"))
-    fid = files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
+    fids, new_files = _ids_of(graph.files, "path", nodes.select(F.col("file").alias("path")).union(edges.select("file")).union(new_refs.select("file")).union(documents.select("doc")))
+    ids, new_ids = _ids_of(graph.symbols, "symbol", nodes.select("symbol"))
+    n_ids = ids.count()
+    fid = fids.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
 
     def end(df, name, out):
         return df.join(ids.select(F.col("id").alias(out), F.col("symbol").alias(name)), name, "left")
 
     added = cut(end(end(edges, "src", "src_id"), "dst", "dst_id").join(fid, "file", "left").select("kind", "src_id", "dst_id", "file_id", "line"))
-    added_refs = end(end(new_refs, "symbol", "symbol_id"), "enclosing", "enclosing_id").join(fid, "file", "left").select("symbol_id", "file_id", "line", "enclosing_id")
-    marked = graph.symbols.join(hit.withColumn("hit", F.lit(True)), "file_id", "left")
-    old = marked.select("id", "symbol", F.col("display_name").alias("old_name"), F.when(F.col("hit").isNull(), F.col("file_id")).alias("old_file"), F.when(F.col("hit").isNull(), F.col("line")).alias("old_line"), F.coalesce("hit", F.lit(False)).alias("was_here"))
-    fresh = end(nodes, "symbol", "id").join(fid, "file", "left").select("id", F.col("display_name").alias("new_name"), F.col("file_id").alias("new_file"), F.col("line").alias("new_line"))
-    merged = ids.join(old.drop("symbol"), "id", "left").join(fresh, "id", "left").select("id", "symbol", F.coalesce(F.nullif("new_name", F.lit("")), "old_name").alias("display_name"), F.coalesce("new_file", "old_file").alias("file_id"), F.coalesce("new_line", "old_line").alias("line"), F.coalesce("was_here", F.lit(False)).alias("was_here"))
-    merged = cut(merged)
-    all_edges = cut(graph.edges.join(hit, "file_id", "left_anti").select("kind", "src_id", "dst_id", "file_id", "line").unionByName(added))
-    all_refs = cut(refs.join(hit, "file_id", "left_anti").select("symbol_id", "file_id", "line", "enclosing_id").unionByName(added_refs))
-    touched = merged.filter("was_here").select("id").union(gone.select("src_id")).union(gone.select("dst_id")).union(gone_refs.select("symbol_id")).distinct()
-    used = all_edges.select(F.col("src_id").alias("id")).union(all_edges.select("dst_id")).union(all_refs.select("symbol_id")).distinct()
-    orphans = cut(merged.filter("file_id is null").select("id").join(touched, "id", "left_semi").join(used, "id", "left_anti"))
-    symbols = merged.join(orphans, "id", "left_anti").select("id", "symbol", "display_name", "file_id", "line")
-    out = CodeGraph(files.select("id", "path"), symbols, all_edges, all_refs if graph.refs is not None else None)
-    stats = UpdateStats(changed.count(), gone.count(), added.count(), orphans.count(), symbols.count(), all_edges.count())
-    out.meta = (graph.meta or {}) | counts(out)
-    return out, stats
+    added_refs = cut(end(end(new_refs, "symbol", "symbol_id"), "enclosing", "enclosing_id").join(fid, "file", "left").select("symbol_id", "file_id", "line", "enclosing_id"))
+    there = graph.symbols.join(near(hit), "file_id", "left_semi").select("id")  # defined in a changed file
+    touched = cut(there.union(gone.select("src_id")).union(gone.select("dst_id")).union(gone_refs.select("symbol_id")).distinct())
+    wanted = ids.select("id").union(touched).distinct()
+    old = graph.symbols.join(F.broadcast(wanted) if touched.count() + n_ids <= SMALL else wanted, "id", "left_semi").join(hit.withColumn("hit", F.lit(True)), "file_id", "left")
+    old = old.select("id", F.col("symbol").alias("old_symbol"), F.col("display_name").alias("old_name"), F.when(F.col("hit").isNull(), F.col("file_id")).alias("old_file"), F.when(F.col("hit").isNull(), F.col("line")).alias("old_line"))
+    fresh = end(nodes, "symbol", "id").join(fid, "file", "left").select("id", F.col("symbol").alias("new_symbol"), F.col("display_name").alias("new_name"), F.col("file_id").alias("new_file"), F.col("line").alias("new_line"))
+    merged = cut(old.join(fresh, "id", "full").select("id", F.coalesce("old_symbol", "new_symbol").alias("symbol"), F.coalesce(F.nullif("new_name", F.lit("")), "old_name").alias("display_name"), F.coalesce("new_file", "old_file").alias("file_id"), F.coalesce("new_line", "old_line").alias("line")))
+    bare = cut(merged.filter("file_id is null").select("id").join(touched, "id", "left_semi"))
+    few = near(bare) if bare.count() <= SMALL else bare
+    kept_edges = graph.edges.join(near(hit), "file_id", "left_anti")
+
+    def uses(df, column):
+        return df.select(F.col(column).alias("id")).join(few, "id", "left_semi")
+
+    used = uses(kept_edges, "src_id").union(uses(kept_edges, "dst_id")).union(uses(refs.join(near(hit), "file_id", "left_anti"), "symbol_id"))
+    used = used.union(uses(added, "src_id")).union(uses(added, "dst_id")).union(uses(added_refs, "symbol_id")).distinct()
+    orphans = bare.join(used, "id", "left_anti").withColumn("gone", F.lit(True))
+    rows = cut(merged.join(orphans, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False))))
+    before = graph.meta if {"node_count", "edge_count"} <= set(graph.meta or {}) else counts(graph)
+    n_gone, n_added, n_orphans = gone.count(), added.count(), rows.filter("gone").count()
+    node_count = int(before["node_count"]) + new_ids.count() - n_orphans
+    edge_count = int(before["edge_count"]) - n_gone + n_added
+    meta = dict(graph.meta or {}) | {"schema_version": str(schema.SCHEMA_VERSION), "node_count": str(node_count), "edge_count": str(edge_count)}
+    if graph.refs is not None:
+        lost, got = (df.agg(F.count(F.lit(1)), F.count("enclosing_id")).first() for df in (gone_refs, added_refs))
+        for key, flag, k in (("ref_count", "has_references", 0), ("attributed_ref_count", "has_attributed_refs", 1)):
+            n = int(before.get(key, 0)) - lost[k] + got[k]
+            meta = {x: v for x, v in meta.items() if x not in (key, flag)} | ({key: str(n), flag: "true"} if n else {})
+    return Delta(hit, new_files.select("id", "path"), rows, added, added_refs, meta, UpdateStats(n_changed, n_gone, n_added, n_orphans, node_count, edge_count))
+
+
+def apply_update(graph: CodeGraph, built: dict[str, DataFrame], documents: DataFrame, deleted: DataFrame | None = None) -> tuple[CodeGraph, UpdateStats]:
+    """Replace what the changed files hold: `documents` (doc) lists the files of a partial index, `built` what was
+    derived from it, `deleted` (doc) files that are gone.
+
+    Edges and references of changed files go and the new ones come; sites in changed files are forgotten and new sites
+    win over old ones, new names over old ones if they aren't empty; symbols that this touched, without a site, an edge
+    or a reference, are dropped. Ids stay; new ones follow the largest.
+    """
+    d = delta(graph, built, documents, deleted)
+    files = graph.files.select("id", "path").unionByName(d.files)
+    symbols = graph.symbols.select("id", "symbol", "display_name", "file_id", "line").join(d.symbols.select("id"), "id", "left_anti").unionByName(d.symbols.filter("not gone").drop("gone"))
+    edges = graph.edges.join(d.replaced, "file_id", "left_anti").select("kind", "src_id", "dst_id", "file_id", "line").unionByName(d.edges)
+    refs = None
+    if graph.refs is not None:
+        refs = graph.refs.join(d.replaced, "file_id", "left_anti").select("symbol_id", "file_id", "line", "enclosing_id").unionByName(d.refs)
+    return CodeGraph(files, symbols, edges, refs, d.meta), d.stats
+
+
+def stage(spark: SparkSession, path: str, onto: str, built: dict[str, DataFrame], documents: DataFrame, deleted: DataFrame | None = None, meta: dict[str, str] | None = None) -> tuple[str, UpdateStats]:
+    """Writes a version on top of `onto` that holds what an update changes and nothing else; `publish` makes it current."""
+    graph, old = load(spark, path, onto), _manifest(spark, path, onto)
+    d = delta(graph, built, documents, deleted)
+    version, n = _new_version(), old["number"] + 1
+    at = f"{path.rstrip('/')}/{version}"
+    rows = {"files": d.files, "symbols": d.symbols, "edges_by_src": d.edges, "refs": d.refs, "replaced": d.replaced}
+    size = {t: df.count() for t, df in rows.items()}
+    small = {t: k <= SMALL for t, k in size.items()}
+    tables = {t: list(x) for t, x in old["tables"].items()}
+    if size["files"]:
+        (d.files.coalesce(1) if small["files"] else d.files).write.parquet(f"{at}/files")
+    if size["symbols"]:
+        _write_symbols(d.symbols, at, small["symbols"])
+    if size["edges_by_src"]:
+        _write_edges(d.edges, at, small["edges_by_src"])
+    if graph.refs is not None and size["refs"]:
+        _write_refs(d.refs, at, small["refs"])
+    if size["replaced"]:
+        (d.replaced.coalesce(1) if small["replaced"] else d.replaced).write.parquet(f"{at}/replaced")
+    for t in tables:
+        if size["edges_by_src" if t == "edges_by_dst" else t]:
+            tables[t].append([version, n])
+    replaced = old["replaced"] + ([[version, n]] if size["replaced"] else [])
+    _write_head(spark, path, version, {"number": n, "tables": tables, "replaced": replaced, "replaced_rows": old["replaced_rows"] + size["replaced"], "changed_symbols": old["changed_symbols"] + size["symbols"]}, d.meta | (meta or {}))
+    return version, d.stats
+
+
+def update(spark: SparkSession, path: str, built: dict[str, DataFrame], documents: DataFrame, deleted: DataFrame | None = None, meta: dict[str, str] | None = None) -> UpdateStats:
+    """As apply_update on the store at `path`. After many updates, or when much of a table was replaced, a version of whole tables
+    follows. A writer that another one overtook gets ConcurrentUpdateError."""
+    parent = current_version(spark, path)
+    version, stats = stage(spark, path, parent, built, documents, deleted, meta)
+    publish(spark, path, version, parent)
+    m = _manifest(spark, path, version)
+    if max(map(len, m["tables"].values())) > SEGMENTS or max(m["changed_symbols"], m["replaced_rows"]) > CHANGED_SHARE * stats.node_count + 1000:
+        compact(spark, path)
+    return stats
+
+
+def compact(spark: SparkSession, path: str) -> str:
+    """A version of whole tables with the rows of the current one."""
+    parent = current_version(spark, path)
+    graph = load(spark, path, parent)
+    return save(graph, path, graph.meta, parent)
+
+
+def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:
+    """Removes the folders that the current version and the `keep - 1` newest before it don't need; gives their names. For
+    when no reader of older versions is left."""
+    fs, p = _fs(spark, path)
+    now = current_version(spark, path)
+    found = sorted((x.getModificationTime(), x.getPath().getName()) for x in fs.listStatus(p) if x.getPath().getName().startswith("v-"))
+    done = [v for _, v in found if fs.exists(_fs(spark, f"{path.rstrip('/')}/{v}/MANIFEST")[1])]
+    kept = {now, *[v for v in done if v != now][::-1][: keep - 1]}
+    needed = set(kept)
+    for v in kept:
+        m = _manifest(spark, path, v)
+        needed |= {x for parts in [*m["tables"].values(), m["replaced"]] for x, _ in parts}
+    gone = [v for _, v in found if v not in needed]
+    for v in gone:
+        fs.delete(_fs(spark, f"{path.rstrip('/')}/{v}")[1], True)
+    return gone
+
+
+def enrich_store(spark: SparkSession, path: str, refs: DataFrame) -> tuple[int, int]:
+    """As enrich, on the store at `path`; only its references are written."""
+    parent = current_version(spark, path)
+    old = _manifest(spark, path, parent)
+    graph, k, n = enrich(load(spark, path, parent), refs)
+    version, number = _new_version(), old["number"] + 1
+    _write_refs(graph.refs, f"{path.rstrip('/')}/{version}")
+    _write_head(spark, path, version, old | {"number": number, "tables": old["tables"] | {"refs": [[version, number]]}}, graph.meta)
+    publish(spark, path, version, parent)
+    return k, n
 
 
 def enrich(graph: CodeGraph, refs: DataFrame) -> tuple[CodeGraph, int, int]:

@@ -41,6 +41,19 @@ def store_of(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     return _STORES[key]
 
 
+def _base(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """(path, version) of the store of store_of."""
+    path, _ = store_of(spark, sf_dir)
+    return path, store.current_version(spark, path)
+
+
+def updated(spark: SparkSession, sf_dir: str, built: dict[str, DataFrame], documents: DataFrame, deleted: DataFrame | None = None) -> tuple[CodeGraph, store.UpdateStats]:
+    """The stored graph after an update on top of it, reopened; the store's current version stays."""
+    path, onto = _base(spark, sf_dir)
+    version, stats = store.stage(spark, path, onto, built, documents, deleted)
+    return store.load(spark, path, version), stats
+
+
 def stored(spark: SparkSession, sf_dir: str, by: str = "dst") -> tuple[CodeGraph, str]:
     """The stored graph, edges sorted by one end, and its most called symbol."""
     path, top = store_of(spark, sf_dir)
@@ -460,16 +473,14 @@ def reply_callers(spark, d):
 
 @query(f"WITH {SYM}, {_calls()}, keep AS (SELECT 'calls' AS kind, src_id, dst_id, file_id, line FROM calls WHERE file_id % 10 <> 0), new AS (SELECT 'calls' AS kind, src_id, dst_id, file_id, line + 1 AS line FROM calls WHERE file_id % 10 = 0 AND line % 2 = 0) SELECT * FROM keep UNION ALL SELECT * FROM new")
 def update_replace_files(spark, d):
-    g = calls_graph(spark, d)
+    g, _ = stored(spark, d)
     changed = g.files.filter("id >= 1000000000 and id % 10 = 0")
     s = g.symbols.select("id", "symbol")
     part = g.edges.filter("file_id % 10 = 0 and line % 2 = 0").withColumn("line", (F.col("line") + 1).cast("int"))
     e = part.join(s.select(F.col("id").alias("src_id"), F.col("symbol").alias("src")), "src_id").join(s.select(F.col("id").alias("dst_id"), F.col("symbol").alias("dst")), "dst_id").join(g.files.select(F.col("id").alias("file_id"), F.col("path").alias("file")), "file_id").select("kind", "src", "dst", "file", "line")
     nodes = e.select(F.col("src").alias("symbol")).union(e.select("dst")).distinct().select("symbol", F.lit(None).cast("string").alias("display_name"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))
     none = spark.createDataFrame([], "symbol string, file string, line int, enclosing string")
-    g.refs = None
-    out, _ = store.apply_update(g, {"nodes": nodes, "edges": e, "refs": none}, changed.select(F.col("path").alias("doc")))
-    return out.edges
+    return updated(spark, d, {"nodes": nodes, "edges": e, "refs": none}, changed.select(F.col("path").alias("doc")))[0].edges
 
 
 @query(f"WITH {SYM}, {_calls()}, gone AS (SELECT * FROM calls WHERE file_id % 2 = 0), keep AS (SELECT * FROM calls WHERE file_id % 2 <> 0) SELECT id FROM (SELECT src_id AS id FROM calls UNION SELECT dst_id FROM calls) WHERE id IN (SELECT src_id FROM keep UNION SELECT dst_id FROM keep)")
@@ -481,8 +492,10 @@ def update_gc_orphans(spark, d):
     lone = CodeGraph(g.files, bare, g.edges)
     none = {"nodes": spark.createDataFrame([], "symbol string, display_name string, file string, line int"), "edges": spark.createDataFrame([], "kind string, src string, dst string, file string, line int"), "refs": spark.createDataFrame([], "symbol string, file string, line int, enclosing string")}
     deleted = g.files.filter("id >= 1000000000 and id % 2 = 0").select(F.col("path").alias("doc"))
-    out, _ = store.apply_update(lone, none, spark.createDataFrame([], "doc string"), deleted)
-    return out.symbols.select("id")
+    path = fresh_path(spark, "lone")
+    store.save(lone, path)
+    store.update(spark, path, none, spark.createDataFrame([], "doc string"), deleted)
+    return store.load(spark, path).symbols.select("id")
 
 
 @query(f"WITH {REFS} SELECT symbol_id, file_id, line, CASE WHEN symbol_id % 3 = 0 THEN symbol_id ELSE enclosing_id END AS enclosing_id FROM refs")

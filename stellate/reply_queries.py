@@ -9,7 +9,7 @@ from stellate.functions import paths, symbols, versions
 from stellate.operators import derive, freshness, store
 from stellate.plans import replies
 from stellate.plans.graph import CodeGraph
-from stellate.queries import _FN, _INSIDE, _TEST, _TY, BEFORE, FIL, HUB, INH, INSIDE, OCC, REFS, SITE, SPANS, SYM, TYPE, TYPES, _calls, _label, _near, _qualified, _reach, calls_graph, query, stored, types_graph
+from stellate.queries import _FN, _INSIDE, _TEST, _TY, BEFORE, FIL, HUB, INH, INSIDE, OCC, REFS, SITE, SPANS, SYM, TYPE, TYPES, _calls, _label, _near, _qualified, _reach, calls_graph, query, stored, types_graph, updated
 from stellate.session import fresh_path
 from stellate.sources import compdb, demo, graphjson, scip, snippets
 
@@ -245,7 +245,7 @@ def update_symbols(spark, d):
 
 
 def _updated(spark, d):
-    g = calls_graph(spark, d)
+    g, _ = stored(spark, d)
     s, f = g.symbols, F.col
     one = s.filter("id % 50 = 0").select("symbol", F.concat("display_name", F.lit("!")).alias("display_name"), F.concat(F.lit("src/new/x"), (f("id") % 9).cast("string"), F.lit(".cpp")).alias("file"), F.lit(7).alias("line"))
     two = s.filter("id % 40 = 0").select(F.concat(F.lit("cxx . . $ new/n"), (f("id") % 7).cast("string"), F.lit("("), f("id").cast("string"), F.lit(").")).alias("symbol"), F.lit("new").alias("display_name"), F.lit("src/new/y.cpp").alias("file"), (f("id") % 100).cast("int").alias("line"))
@@ -253,7 +253,7 @@ def _updated(spark, d):
     edges = two.select(F.lit("calls").alias("kind"), f("symbol").alias("src"), f("symbol").alias("dst"), "file", "line")
     none = spark.createDataFrame([], "symbol string, file string, line int, enclosing string")
     docs = one.select(f("file").alias("doc")).union(two.select("file")).distinct()
-    out, stats = store.apply_update(g, {"nodes": one.union(two).union(three), "edges": edges, "refs": none}, docs)
+    out, stats = updated(spark, d, {"nodes": one.union(two).union(three), "edges": edges, "refs": none}, docs)
     files = out.files.select(f("id").alias("file_id"), f("path").alias("file"))
     return out.symbols.join(files, "file_id", "left").select("symbol", "display_name", "file", "line"), stats
 

@@ -1,5 +1,6 @@
 """Derivation, point queries, traversals, stores and replies on small graphs."""
 
+import datetime
 import json
 import random
 
@@ -10,7 +11,7 @@ from stellate import schema
 from stellate.operators import derive, freshness, store
 from stellate.plans import replies, traverse
 from stellate.plans.graph import CodeGraph
-from stellate.sources import compdb, graphjson, snippets
+from stellate.sources import compdb, graphjson, scip, snippets
 from stellate.streaming import updates
 
 P = "cxx . . $ "
@@ -239,6 +240,65 @@ def test_update(spark):
     assert all(kept[r["symbol"]] == r["id"] for r in out.symbols.collect() if r["symbol"] in kept)
 
 
+def _size(path):
+    return sum(p.stat().st_size for p in path.rglob("*.parquet"))
+
+
+def test_updates_of_a_store_write_what_changed(spark, tmp_path):
+    """Random updates on top of each other, reopened each time, against apply_update in memory; each writes little, the old
+    version stays readable, and compaction and vacuum change nothing."""
+    rng = random.Random(6)
+    path = f"file://{tmp_path}/g"
+    syms = [M(f"f{k}") for k in range(40)]
+    edges = [("calls", rng.choice(syms), rng.choice(syms), f"d{rng.randrange(200)}", k) for k in range(4000)] + [("inherits", T("A"), T("B"), None, None)]
+    refs = [(rng.choice(syms), f"d{rng.randrange(200)}", k, rng.choice([None, *syms])) for k in range(3000)]
+    g = graph(spark, edges, {s: (f"d{k}", k) for k, s in enumerate(syms)}, refs)
+    store.save(g, path, {"commit": "x"})
+    first = store.current_version(spark, path)
+    whole = _size(tmp_path / "g")
+    seen = lambda x: tuple(sorted(map(str, t.select(*sorted(t.columns)).collect())) for t in (x.symbols, x.files, x.edges, x.refs))
+    at_first = seen(store.load(spark, path))
+    for step in range(2):
+        docs = [(f"d{rng.randrange(200)}", [D(M(f"f{rng.randrange(44)}"), 1, 1, 50), *(U(M(f"f{rng.randrange(50)}"), rng.randrange(60)) for _ in range(4))]) for _ in range(2)]
+        gone = spark.createDataFrame([(f"d{rng.randrange(200)}",)], "doc string")
+        built = derive.build(occ(spark, *docs), *no_info(spark), attribute_references=True)
+        documents = spark.createDataFrame([(p,) for p, _ in docs] + [(f"empty{step}",)], "doc string")
+        g, stats = store.apply_update(g, built, documents, gone)
+        g = store.CodeGraph(*(t.checkpoint() for t in (g.files, g.symbols, g.edges, g.refs)), g.meta)
+        before = _size(tmp_path / "g")
+        assert store.update(spark, path, built, documents, gone, {"commit": f"y{step}"}) == stats
+        assert _size(tmp_path / "g") - before < whole / 4
+        back = store.load(spark, path, by=("src", "dst")[step % 2])
+        assert seen(back) == seen(g) and back.meta["commit"] == f"y{step}"
+        assert {k: v for k, v in back.meta.items() if k.endswith("_count") or k.startswith("has")} == {k: v for k, v in store.counts(back).items() if k != "schema_version"}
+    assert seen(store.load(spark, path, first)) == at_first
+    new = derive.references(occ(spark, *docs), True)
+    enriched, k, n = store.enrich(back, new)
+    want = seen(enriched)
+    assert store.enrich_store(spark, path, new) == (k, n) and seen(store.load(spark, path)) == want
+    assert store.vacuum(spark, path) == []  # all is still needed
+    store.compact(spark, path)
+    assert len(store.vacuum(spark, path)) == 4 and seen(store.load(spark, path)) == want
+
+
+def test_two_writers(spark, tmp_path):
+    path = f"file://{tmp_path}/g"
+    store.save(graph(spark, [C("a", "b")]), path)
+    parent = store.current_version(spark, path)
+    docs = spark.createDataFrame([("f.cpp",)], "doc string")
+    built = derive.build(occ(spark, ("f.cpp", [D(M("a"), 1, 1, 9), U(M("c"), 3)])), *no_info(spark))
+    one, _ = store.stage(spark, path, parent, built, docs)
+    two, _ = store.stage(spark, path, parent, built, docs)
+    store.publish(spark, path, one, parent)
+    with pytest.raises(store.ConcurrentUpdateError):
+        store.publish(spark, path, two, parent)
+    assert store.current_version(spark, path) == one
+    store._write_text(spark, f"{path}/CURRENT", parent)  # as if the first writer had died on its last step
+    with pytest.raises(store.ConcurrentUpdateError):
+        store.publish(spark, path, two, parent)
+    assert store.current_version(spark, path) == one
+
+
 def test_enrich(spark):
     g = graph(spark, [], {M("render"): ("a.cpp", 5)}, [(T("W"), "a.cpp", 8, None), (T("W"), "a.cpp", 90, None)])
     new = derive.references(occ(spark, ("a.cpp", [D(M("render"), 5, 5, 20), U(T("W"), 8)])), True)
@@ -250,12 +310,52 @@ def test_enrich(spark):
 
 
 def test_streamed_updates(spark, tmp_path):
-    path = f"file://{tmp_path}/g"
-    store.save(graph(spark, [C("a", "old", "foo.cpp")], {M("a"): ("foo.cpp", 1)}), path)
-    occ(spark, ("foo.cpp", [D(M("a"), 1, 1, 9), U(M("new"), 3)])).coalesce(1).write.parquet(f"{tmp_path}/in")
+    """Tables of documents that come in different batches and orders; hierarchy and names survive, the latest revision holds,
+    a document without rows empties its file, and a batch run again changes nothing."""
+    path, at = f"file://{tmp_path}/g", tmp_path / "in"
+    store.save(graph(spark, [C("a", "old", "foo.cpp"), ("inherits", T("D"), T("B"), "foo.cpp", None), C("p", "q", "bar.cpp")], {M("a"): ("foo.cpp", 1)}), path)
+    when = lambda k: datetime.datetime(2024, 1, 1, 0, k)
+
+    def send(name, rows, s):
+        spark.createDataFrame(rows, f"{s}, revision timestamp").coalesce(1).write.mode("append").parquet(f"{at}/{name}")
+
+    def lines(k, *docs):
+        send("occurrences", [(i, p, j, *x, when(k)) for i, (p, items) in enumerate(docs) for j, x in enumerate(items)], schema.OCCURRENCES)
+
+    def follow():
+        updates.follow(spark, f"file://{at}", path, f"file://{tmp_path}/ck").awaitTermination()
+
+    for name, s in updates.TABLES.items():
+        send(name, [], s)
+    lines(0, ("foo.cpp", [D(M("a"), 1, 1, 9), U(M("stale"), 3)]))
+    lines(1, ("foo.cpp", [D(M("a"), 1, 1, 9), U(M("new"), 3)]))
+    send("documents", [(0, "foo.cpp", when(0)), (0, "foo.cpp", when(1)), (0, "bar.cpp", when(1))], schema.DOCUMENTS)
+    follow()
+    send("relationships", [(0, "foo.cpp", 0, T("D"), T("E"), True, when(1)), (0, "foo.cpp", 1, M("D#f"), M("E#f"), True, when(1))], schema.RELATIONSHIPS)
+    send("symbol_info", [(0, "foo.cpp", 0, M("a"), "A!", when(1))], schema.SYMBOL_INFO)
+    follow()
+    assert store.load(spark, path).callees(M("a")).first()["dst"] in (M("old"), M("stale"))  # the revision isn't over yet
+    send("documents", [(0, "later.cpp", when(9))], schema.DOCUMENTS)
+    for _ in range(2):
+        follow()
+        g = store.load(spark, path)
+        assert {r["dst"] for r in g.callees(M("a")).collect()} == {M("new")} and g.callers(M("q")).count() == 0
+        assert names(g.bases(T("D"))) == {T("E")} and g.edges.filter("kind = 'implements'").count() == 1
+        assert g.get_node(M("a")).first()["display_name"] == "A!"
+
+
+def test_streamed_indexes(spark, tmp_path):
+    path, at = f"file://{tmp_path}/g", tmp_path / "in"
+    at.mkdir()
+    store.save(graph(spark, [C("a", "old", "foo.cpp"), ("inherits", T("D"), T("B"), "foo.cpp", None)], {M("a"): ("foo.cpp", 1)}), path)
+    one = [{"symbol": M("a"), "symbol_roles": 1, "line": 1, "enc_start": 1, "enc_end": 9}, {"symbol": M("new"), "symbol_roles": 0, "line": 3, "enc_start": None, "enc_end": None}]
+    info = [{"symbol": T("D"), "display_name": "Dee", "relationships": [{"symbol": T("E"), "is_implementation": True}]}]
+    (at / "p.scip").write_bytes(scip.encoded("foo.cpp", one, info))
     for _ in range(2):
-        updates.follow(spark, f"file://{tmp_path}/in", path, f"file://{tmp_path}/ck").awaitTermination()
-        assert {r["dst"] for r in store.load(spark, path).callees(M("a")).collect()} == {M("new")}
+        updates.follow_indexes(spark, f"file://{at}", path, f"file://{tmp_path}/ck").awaitTermination()
+        g = store.load(spark, path)
+        assert {r["dst"] for r in g.callees(M("a")).collect()} == {M("new")} and names(g.bases(T("D"))) == {T("E")}
+        assert g.get_node(T("D")).first()["display_name"] == "Dee"
 
 
 def test_freshness(spark):
