@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from stellate.functions.paths import is_test_file, path_ok
 from stellate.functions.symbols import is_trivial_callee, matches
 from stellate.schema import CALLS, INHERITS
+from stellate.session import cut
 
 HOTSPOT_KINDS = ("fan_in", "fan_out", "edges")
 
@@ -17,13 +18,14 @@ HOTSPOT_KINDS = ("fan_in", "fan_out", "edges")
 @dataclass
 class CodeGraph:
     """files (id, path), symbols (id, symbol, display_name, file_id, line), edges (kind, src_id, dst_id, file_id, line),
-    refs (symbol_id, file_id, line, enclosing_id), meta."""
+    refs (symbol_id, file_id, line, enclosing_id), meta. `laid` keeps edges as traversals have laid them out."""
 
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
     refs: DataFrame | None = None
     meta: dict[str, str] | None = None
+    laid: dict = field(default_factory=dict, repr=False, compare=False)
 
     def sites(self) -> DataFrame:
         """Symbols with the path of their definition."""
@@ -115,10 +117,14 @@ class CodeGraph:
         """The `limit` symbols with most calls, equal ones by symbol, and total, the number of symbols with any."""
         if limit < 0:
             raise ValueError("limit must not be negative")
-        d = self.degrees(kind, exclude_tests, include_paths, exclude_paths)
-        total = d.agg(F.count(F.lit(1)).alias("total"))
-        named = d.join(self.symbols.select("id", "symbol"), "id").select("symbol", "n")
-        return named.orderBy(F.desc("n"), "symbol").limit(limit).crossJoin(F.broadcast(total)).orderBy(F.desc("n"), "symbol")  # total is one row
+        d = cut(self.degrees(kind, exclude_tests, include_paths, exclude_paths))
+        total = F.lit(d.count()).cast("long").alias("total")
+        if not limit:
+            return self.symbols.limit(0).select("symbol", F.lit(0).cast("long").alias("n"), total)
+        # only symbols that reach the count of the last one shown are joined to their names
+        least = d.orderBy(F.desc("n")).limit(limit).agg(F.min("n")).first()[0] or 0
+        named = d.filter(F.col("n") >= least).join(self.symbols.select("id", "symbol"), "id")
+        return named.select("symbol", "n", total).orderBy(F.desc("n"), "symbol").limit(limit)
 
 
 def filtered(edges: DataFrame, exclude_tests: bool = False, include_paths=None, exclude_paths=None) -> DataFrame:

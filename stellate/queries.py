@@ -314,6 +314,13 @@ def impact_by_joins(spark, d):
     return traverse.impact(g, top, 3, local_pairs=0)
 
 
+@query(f"WITH RECURSIVE {SYM}, {_calls()}, {HUB}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), {_reach('dst_id', 'src_id', 'p', 'hub')} SELECT symbol FROM r JOIN sym USING (id) WHERE id <> (SELECT id FROM hub)")
+def impact_all_by_joins(spark, d):
+    """As impact_calls, without a bound of depth and with none of it on the driver."""
+    g, top = stored(spark, d)
+    return traverse.impact(g, top, local_pairs=0).select("symbol")
+
+
 #: Paths of up to 12 hops; the tables' paths have about four.
 _ENDS = f"{SYM}, {FIL}, {_calls()}, {HUB}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), lo AS (SELECT min(src_id) AS id FROM calls), {_reach('src_id', 'dst_id', 'p', 'lo', 12)}, dd AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)"
 _WALK = f"""{_ENDS}, pre AS (SELECT dst_id, arg_min(src_id, x) AS src_id, min(x) AS x FROM (SELECT dst_id, src_id, {{'s': sym.symbol, 'f': fil.path, 'l': calls.line}} AS x FROM calls JOIN dd a ON a.id = src_id JOIN dd b ON b.id = dst_id AND b.depth = a.depth + 1 JOIN sym ON sym.id = src_id LEFT JOIN fil ON fil.id = calls.file_id) GROUP BY dst_id),
@@ -378,6 +385,13 @@ def subgraph_edges_by_joins(spark, d):
     return traverse.subgraph(g, top, 1, local_pairs=0)[1].select("src", "dst", "file", "line")
 
 
+@query(f"{_near(2)} {_INSIDE}")
+def subgraph_edges_all_by_joins(spark, d):
+    """As subgraph_edges, with none of the search on the driver."""
+    g, top = stored(spark, d)
+    return traverse.subgraph(g, top, local_pairs=0)[1].select("src", "dst", "file", "line")
+
+
 @query(f"WITH {OCC}, {SPANS}, {INSIDE}, {BEFORE} SELECT DISTINCT src, dst, doc AS file, line FROM (SELECT * FROM inside UNION ALL SELECT * FROM before_) WHERE src IS NOT NULL")
 def build_calls(spark, d):
     return derive.call_edges(demo.occurrences(spark, d)).select("src", "dst", "file", "line")

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +36,24 @@ def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+@contextmanager
+def settings(spark: SparkSession, **conf: str):
+    """Settings of the session for a while; a name's dots are written as two underscores."""
+    keys = {k.replace("__", "."): v for k, v in conf.items()}
+    before = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def cut_as_laid(df: DataFrame) -> DataFrame:
+    """A cut that keeps the partitioning and order of the rows known to later plans, so that joins and aggregations by the same
+    keys need no exchange. The plan isn't adapted at run time, which would hide both."""
+    with settings(df.sparkSession, spark__sql__adaptive__enabled="false"):
+        return cut(df.select("*"))

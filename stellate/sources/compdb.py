@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellate.functions.paths import is_test_file
+from stellate.session import cut
+from stellate.sources.raw import write_file
 
 
 class PipelineError(RuntimeError):
@@ -43,11 +45,49 @@ def filter_compdb(entries: DataFrame, src_filter: str | None = None, no_tests: b
     return kept, {"kept": b, "total": n, "dropped_tests": a - b}
 
 
+PATTERNS = 500_000  # changed paths in one automaton
+
+
 def changed_units(entries: DataFrame, changed: list[str] | DataFrame) -> DataFrame:
-    """Entries whose file holds one of the changed paths (a list, or a table with the column path)."""
-    paths = changed if isinstance(changed, DataFrame) else entries.sparkSession.createDataFrame([(p,) for p in changed], "path string")
-    hit = F.col("file").contains(F.col("_changed"))
-    return entries.join(paths.select(F.col("path").alias("_changed")), hit, "left_semi")
+    """Entries whose file holds one of the changed paths (a list, or a table with the column path), null ones apart; an empty
+    path is in every file.
+
+    The paths are looked for all at once, by an automaton that reads each file's path once. Beyond PATTERNS of them they are
+    dealt over several automatons, each a pass over the entries, so that none outgrows a task.
+    """
+    spark = entries.sparkSession
+    paths = changed.select("path") if isinstance(changed, DataFrame) else spark.createDataFrame([(p,) for p in changed], "path string")
+    paths = cut(paths.filter("path is not null").distinct())
+    blocks = max(1, -(-paths.count() // PATTERNS))
+    file = F.col("file")
+    hit = F.lit(False)
+    for k in range(blocks):
+        own = [r["path"] for r in paths.filter(F.pmod(F.xxhash64("path"), F.lit(blocks)) == k).collect()]
+        hit = hit | _holds_one(spark, own)(file)
+    return entries.filter(hit)
+
+
+def _holds_one(spark: SparkSession, patterns: list[str]):
+    """A column function: whether a text holds one of the patterns."""
+    sent = spark.sparkContext.broadcast(patterns)
+    built = {}
+
+    @F.pandas_udf("boolean")
+    def holds(texts):
+        import ahocorasick
+
+        if "it" not in built:
+            it = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+            for p in sent.value:
+                if p:
+                    it.add_word(p)
+            if len(it):
+                it.make_automaton()
+            built["it"] = it
+        it, every = built["it"], "" in sent.value
+        return texts.map(lambda t: t is not None and (every or bool(len(it)) and next(it.iter(t), None) is not None)).astype(bool)
+
+    return holds
 
 
 def common_prefix(files: DataFrame) -> str:
@@ -85,15 +125,20 @@ def summarize(entries: DataFrame, src_filter: str | None = None, depth: int = 2,
 
 
 def write_compdb(entries: DataFrame, path: str) -> None:
-    """A compile_commands.json: one list, written as its entries come in."""
-    spark = entries.sparkSession
-    to = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = to.getFileSystem(spark._jsc.hadoopConfiguration()).create(to, True)
-    out.write(bytearray(b"["))
-    for k, r in enumerate(entries.select(F.to_json(F.struct(*entries.columns)).alias("entry")).toLocalIterator()):
-        out.write(bytearray((",\n" * (k > 0) + r["entry"]).encode()))
-    out.write(bytearray(b"]\n"))
-    out.close()
+    """A compile_commands.json: one list in one file, written by one task; rows don't pass the driver."""
+    rows = entries.select(F.to_json(F.struct(*entries.columns)).alias("entry")).repartition(1)
+
+    def run(batches):
+        import pyarrow as pa
+
+        begun = False
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([("," if begun or i else "[") + e for i, e in enumerate(b.column(0).to_pylist())])], ["line"])
+                begun = True
+        yield pa.RecordBatch.from_arrays([pa.array(["]" if begun else "[]"])], ["line"])
+
+    write_file(rows.mapInArrow(run, "line string"), path, "\n")
 
 
 def format_summary(s: dict) -> str:

@@ -11,6 +11,7 @@ from stellate import schema
 from stellate.operators import derive, freshness, store
 from stellate.plans import replies, traverse
 from stellate.plans.graph import CodeGraph
+from stellate.session import settings
 from stellate.sources import compdb, graphjson, scip, snippets
 from stellate.streaming import updates
 
@@ -158,6 +159,52 @@ def test_paths_and_subgraphs(spark, pairs):
     assert traverse.subgraph(g, "no", 2, "out", pairs)[0].count() == 0
 
 
+def slow_path(edges, one, two):
+    """The shortest path that from the end backwards has the least symbol, file and line; by trying all edges."""
+    depth, front = {one: 0}, [one]
+    while front:
+        new = sorted({e[2] for e in edges if e[1] in front} - set(depth))
+        depth |= {x: max(depth.values()) + 1 for x in new}
+        front = new
+    if two not in depth:
+        return None
+    out, at = [], two
+    while at != one:
+        e = min((e for e in edges if e[2] == at and depth.get(e[1]) == depth[at] - 1), key=lambda e: (e[1], e[3], e[4]))
+        out.append((depth[at], *e[1:]))
+        at = e[1]
+    return out[::-1]
+
+
+@pytest.mark.parametrize("hot", [traverse.HOT, 3])
+def test_both_ways_agree_on_random_graphs(spark, monkeypatch, hot):
+    """Also with symbols whose edges are dealt over salted keys, and more levels than are kept apart."""
+    monkeypatch.setattr(traverse, "HOT", hot)
+    monkeypatch.setattr(traverse, "COMPACT", 2)
+    rng = random.Random(hot)
+    edges = [C(f"n{k:02}", f"n{rng.choice([k + 1, k + 1, k + 2, rng.randrange(30)]) % 30:02}", f"f{rng.randrange(3)}", rng.randrange(9)) for k in [*range(30), 5, 5, 5, 7, 9, 11]]
+    g = graph(spark, edges)
+    for a, b in (("n00", "n17"), ("n20", "n03")):
+        want = slow_path(edges, M(a), M(b))
+        for pairs in (traverse.LOCAL_PAIRS, 0):
+            path = traverse.shortest_call_path(g, M(a), M(b), pairs)
+            assert (path and [tuple(r) for r in path.collect()]) == want
+    most = max(M(f"n{k:02}") for k in range(30) if slow_path(edges, M("n00"), M(f"n{k:02}")))
+    one, two = ({tuple(r) for r in traverse.impact(g, most, local_pairs=n).collect()} for n in (traverse.LOCAL_PAIRS, 0))
+    assert one == two and len(one) > 5
+    assert (traverse.laid(g, "calls", "out").hot is None) == (hot > 3)
+
+
+def test_rounds_move_no_edges(spark):
+    """A round's plan has one exchange, of the ends found; neither edges nor the frontier are dealt anew."""
+    with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
+        ball = traverse.Ball(1, traverse.laid(graph(spark, [C("a", "b"), C("b", "c")]), "calls", "out"))
+        ball.grow()
+        new = ball.edges.ends(ball.levels[-1]).join(ball.levels[0], "id", "left_anti")
+        plan = new._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
 def test_hotspots(spark):
     e = [C(f"c{i}", "hot") for i in range(1, 6)] + [C(f"c{i}", "warm") for i in range(1, 4)] + [C("c1", "cold"), C("rec", "rec")]
     g = graph(spark, e, {M("c1"): ("src/foo_test.cpp", 0), M("c2"): ("vendor/x.cpp", 0)})
