@@ -32,11 +32,15 @@ def is_local(symbol: Column) -> Column:
     return symbol.startswith("local ")
 
 
+#: What a label leaves out, anonymous namespaces and overload hashes.
+ANONYMOUS_NAMESPACE, OVERLOAD = r"`\$anonymous_namespace_[^`]*`/", r"\([0-9a-f]{6,}\)"
+
+
 def short_label(symbol: Column) -> Column:
     """The descriptors without scheme, anonymous namespaces, overload hashes and back-ticks."""
     at = F.instr(symbol, " $ ")
     tail = F.when(at > 0, F.substring(symbol, at + 3, F.length(symbol))).otherwise(symbol)
-    plain = F.regexp_replace(F.regexp_replace(tail, r"`\$anonymous_namespace_[^`]*`/", ""), r"\([0-9a-f]{6,}\)", "")
+    plain = F.regexp_replace(F.regexp_replace(tail, ANONYMOUS_NAMESPACE, ""), OVERLOAD, "")
     return F.replace(plain, F.lit("`"), F.lit(""))
 
 
@@ -72,6 +76,13 @@ def folded(text: Column) -> Column:
     return F.replace(F.translate(text, UPPER, LOWER), F.lit("_"), F.lit(""))
 
 
+def folded_words(query: str, fuzzy: bool) -> list[str]:
+    """The words of a query as `matches` looks for them in folded text, or, if it looks in the plain text, as they are folded."""
+    if fuzzy:
+        return [w.lower().replace("_", "") for w in query.split()]
+    return [w.translate(str.maketrans(UPPER, LOWER)).replace("_", "") for w in query.split()]
+
+
 def matches(symbol: Column, display_name: Column, query: str, fuzzy: bool = False) -> Column:
     """Each word of the query is in the symbol or in the display name. An empty query matches nothing; a fuzzy word of
     underscores only folds to the empty string, which is in everything."""

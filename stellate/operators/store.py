@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stellate import __version__, schema
+from stellate.operators.names import POSTINGS, postings
 from stellate.plans.graph import CodeGraph
 from stellate.session import cut
 
@@ -153,6 +154,11 @@ def _write_symbols(symbols: DataFrame, at: str, small: bool = False) -> None:
     (s.coalesce(1) if small else s.repartitionByRange("symbol")).sortWithinPartitions("symbol").write.parquet(f"{at}/symbols")
 
 
+def _write_names(symbols: DataFrame, at: str, small: bool = False) -> None:
+    p = postings(symbols)
+    (p.coalesce(1) if small else p.repartitionByRange("gram", "part")).sortWithinPartitions("gram", "part").write.parquet(f"{at}/names")
+
+
 def _write_head(spark: SparkSession, path: str, version: str, manifest: dict, meta: dict[str, str]) -> None:
     at = f"{path.rstrip('/')}/{version}"
     spark.createDataFrame(sorted(meta.items()), schema.META).coalesce(1).write.parquet(f"{at}/meta")
@@ -197,7 +203,7 @@ def save(graph: CodeGraph, path: str, meta: dict[str, str] | None = None, parent
     return publish(spark, path, version, parent)
 
 
-_STORED = {"files": schema.FILES, "symbols": schema.SYMBOLS + ", gone boolean", "edges_by_src": "src_id long, dst_id long, file_id long, line int, kind string", "edges_by_dst": "src_id long, dst_id long, file_id long, line int, kind string", "refs": schema.REFS, "replaced": "file_id long"}
+_STORED = {"files": schema.FILES, "symbols": schema.SYMBOLS + ", gone boolean", "edges_by_src": "src_id long, dst_id long, file_id long, line int, kind string", "edges_by_dst": "src_id long, dst_id long, file_id long, line int, kind string", "refs": schema.REFS, "replaced": "file_id long", "names": POSTINGS}
 
 
 def _parts(spark: SparkSession, path: str, manifest: dict, table: str) -> list[tuple[int, DataFrame]]:
@@ -220,7 +226,7 @@ def _table(spark: SparkSession, path: str, manifest: dict, table: str) -> DataFr
     parts = _parts(spark, path, manifest, table)
     if not parts:
         return None
-    if table == "files":
+    if table in ("files", "names"):
         return _stacked(parts).drop("_n")
     if table == "symbols":
         if len(parts) == 1:
@@ -267,8 +273,9 @@ def load(spark: SparkSession, path: str, version: str | None = None, by: str = "
         number = 1
     if number > schema.SCHEMA_VERSION:
         raise IncompatibleStoreError(f"the store has format {number}; this version reads {schema.SCHEMA_VERSION} and older ones")
-    graph = _tables(spark, path, _manifest(spark, path, version), by)
-    graph.meta = meta
+    manifest = _manifest(spark, path, version)
+    graph = _tables(spark, path, manifest, by)
+    graph.meta, graph.names = meta, _table(spark, path, manifest, "names")
     return graph
 
 
@@ -419,8 +426,10 @@ def stage(spark: SparkSession, path: str, onto: str, built: dict[str, DataFrame]
         _write_refs(d.refs, at, small["refs"])
     if size["replaced"]:
         (d.replaced.coalesce(1) if small["replaced"] else d.replaced).write.parquet(f"{at}/replaced")
+    if "names" in tables and size["symbols"]:
+        _write_names(d.symbols.filter("not gone"), at, small["symbols"])
     for t in tables:
-        if size["edges_by_src" if t == "edges_by_dst" else t]:
+        if size[{"edges_by_dst": "edges_by_src", "names": "symbols"}.get(t, t)]:
             tables[t].append([version, n])
     replaced = old["replaced"] + ([[version, n]] if size["replaced"] else [])
     _write_head(spark, path, version, {"number": n, "tables": tables, "replaced": replaced, "replaced_rows": old["replaced_rows"] + size["replaced"], "changed_symbols": old["changed_symbols"] + size["symbols"]}, d.meta | (meta or {}))
@@ -443,7 +452,19 @@ def compact(spark: SparkSession, path: str) -> str:
     """A version of whole tables with the rows of the current one."""
     parent = current_version(spark, path)
     graph = load(spark, path, parent)
-    return save(graph, path, graph.meta, parent)
+    version = save(graph, path, graph.meta, parent)
+    return version if graph.names is None else index_names(spark, path)
+
+
+def index_names(spark: SparkSession, path: str) -> str:
+    """A version with an index of names, which find and resolve use from then on and updates keep up."""
+    parent = current_version(spark, path)
+    old = _manifest(spark, path, parent)
+    graph = load(spark, path, parent)
+    version, number = _new_version(), old["number"] + 1
+    _write_names(graph.symbols, f"{path.rstrip('/')}/{version}")
+    _write_head(spark, path, version, old | {"number": number, "tables": old["tables"] | {"names": [[version, number]]}}, graph.meta)
+    return publish(spark, path, version, parent)
 
 
 def vacuum(spark: SparkSession, path: str, keep: int = 1) -> list[str]:

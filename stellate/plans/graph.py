@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stellate.functions.paths import is_test_file, path_ok
 from stellate.functions.symbols import is_trivial_callee, matches
+from stellate.operators.names import candidates
 from stellate.schema import CALLS, INHERITS
 from stellate.session import cut
 
@@ -18,13 +19,14 @@ HOTSPOT_KINDS = ("fan_in", "fan_out", "edges")
 @dataclass
 class CodeGraph:
     """files (id, path), symbols (id, symbol, display_name, file_id, line), edges (kind, src_id, dst_id, file_id, line),
-    refs (symbol_id, file_id, line, enclosing_id), meta. `laid` keeps edges as traversals have laid them out."""
+    refs (symbol_id, file_id, line, enclosing_id), meta. `laid` keeps edges as traversals have laid them out, `names` is an index of names, if there is one."""
 
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
     refs: DataFrame | None = None
     meta: dict[str, str] | None = None
+    names: DataFrame | None = None
     laid: dict = field(default_factory=dict, repr=False, compare=False)
 
     def sites(self) -> DataFrame:
@@ -45,7 +47,8 @@ class CodeGraph:
 
     def find(self, query: str, fuzzy: bool = False) -> DataFrame:
         """Symbols that match every word of the query, in id order."""
-        one = CodeGraph(self.files, self.symbols.filter(matches(F.col("symbol"), F.col("display_name"), query, fuzzy)), self.edges)
+        near = self.symbols if self.names is None else candidates(self.names, self.symbols, query, fuzzy)
+        one = CodeGraph(self.files, near.filter(matches(F.col("symbol"), F.col("display_name"), query, fuzzy)), self.edges)
         return one.sites().orderBy("id").select("symbol", "display_name", "file", "line")
 
     def resolve(self, query: str) -> tuple[str | None, DataFrame | None]:

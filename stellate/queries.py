@@ -18,10 +18,10 @@ INCLUDE, EXCLUDE = ["src/economy", "src/standard"], ["vendor/", "src/promo"]
 TYPE = "cxx . . $ region/ASIA#"
 
 
-def calls_graph(spark: SparkSession, sf_dir: str, flag: str | None = None) -> CodeGraph:
+def calls_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """Parts that call each other; each use of a type-like event is a reference to the part of its number."""
     refs = demo.table(spark, sf_dir, "lineitem").filter("l_linenumber = 2").select(F.col("l_partkey").alias("symbol_id"), (F.col("l_orderkey") + demo.UNIT_BASE).alias("file_id"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("enclosing_id")).distinct()
-    return CodeGraph(demo.files(spark, sf_dir), demo.symbols(spark, sf_dir), demo.calls(spark, sf_dir, flag), refs)
+    return CodeGraph(demo.files(spark, sf_dir), demo.symbols(spark, sf_dir), demo.calls(spark, sf_dir), refs)
 
 
 def types_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
@@ -37,6 +37,7 @@ def store_of(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     if key not in _STORES:
         path = fresh_path(spark, "store")
         store.save(calls_graph(spark, sf_dir), path, store.provenance(project_root="/demo", tool="tables", commit="c0ffee"))
+        store.index_names(spark, path)
         _STORES[key] = path, hub(store.load(spark, path))
     return _STORES[key]
 
@@ -71,9 +72,8 @@ _TEST = "coalesce(lower(replace({0}, '\\', '/')) LIKE '%/test/%' OR lower(replac
 FIL = "fil AS (SELECT p_partkey AS id, (CASE WHEN p_size % 5 = 0 THEN 'vendor/' ELSE 'src/' END) || lower(p_type) || '/' || replace(p_name, ' ', '_') || (CASE WHEN p_size % 7 = 0 THEN '_test.cpp' ELSE '.cpp' END) AS path FROM part UNION ALL SELECT o_orderkey + 1000000000, 'src/unit/o' || o_orderkey || '.cpp' FROM orders)"
 
 
-def _calls(flag: str = "") -> str:
-    where = f" AND a.l_returnflag = '{flag}' AND b.l_returnflag = '{flag}'" if flag else ""
-    return f"calls AS (SELECT DISTINCT a.l_partkey AS src_id, b.l_partkey AS dst_id, a.l_orderkey + 1000000000 AS file_id, a.l_linenumber AS line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1{where})"
+def _calls() -> str:
+    return "calls AS (SELECT DISTINCT a.l_partkey AS src_id, b.l_partkey AS dst_id, a.l_orderkey + 1000000000 AS file_id, a.l_linenumber AS line FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1)"
 
 
 SITE = "site AS (SELECT sym.id, symbol, display_name, path AS file, line FROM sym LEFT JOIN fil ON fil.id = sym.file_id)"
@@ -188,9 +188,10 @@ def find_fuzzy(spark, d):
 
 @query(f"WITH {SYM}, {FIL}, {SITE} SELECT symbol, file, line FROM site WHERE strpos(symbol, 'Brand12#') > 0")
 def resolve_candidates(spark, d):
-    symbol, found = calls_graph(spark, d).resolve("Brand12::")
-    found = calls_graph(spark, d).get_node(symbol) if found is None and symbol else found
-    return (found if found is not None else calls_graph(spark, d).find("")).select("symbol", "file", "line")
+    g, _ = stored(spark, d)
+    symbol, found = g.resolve("Brand12::")
+    found = g.get_node(symbol) if found is None and symbol else found
+    return (found if found is not None else g.find("")).select("symbol", "file", "line")
 
 
 def _call_sql(near: str, far: str, where: str = "true") -> str:

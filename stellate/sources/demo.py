@@ -31,11 +31,9 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("id"), path.alias("path")).unionByName(units).withColumn("is_test", is_test_file(F.col("path")))
 
 
-def calls(spark: SparkSession, sf_dir: str, flag: str | None = None) -> DataFrame:
-    """flag: only lines with this return flag on both sides."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag")
-    if flag:
-        li = li.filter(F.col("l_returnflag") == flag)
+def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Consecutive lines of an order call each other."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     a = li.select("l_orderkey", F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("src_id"))
     b = li.select("l_orderkey", (F.col("l_linenumber") - 1).alias("line"), F.col("l_partkey").alias("dst_id"))
     return a.join(b, ["l_orderkey", "line"]).select(F.lit("calls").alias("kind"), "src_id", "dst_id", (F.col("l_orderkey") + UNIT_BASE).alias("file_id"), "line").distinct()

@@ -328,6 +328,26 @@ def test_updates_of_a_store_write_what_changed(spark, tmp_path):
     assert len(store.vacuum(spark, path)) == 4 and seen(store.load(spark, path)) == want
 
 
+def test_names_index(spark, tmp_path):
+    """Finds with an index are those of a scan, also after an update that adds and renames symbols."""
+    path = f"file://{tmp_path}/g"
+    made = [M("Foo#buildPipeline"), M("foo/build_Pipe"), T("Größe"), M("ab"), T("$anonymous_type_7"), M("x" * 300)]
+    store.save(graph(spark, [("calls", a, b, "f.cpp", 1) for a in made for b in made[:2]]), path)
+    store.index_names(spark, path)
+    docs = spark.createDataFrame([("n.cpp",)], "doc string")
+    info = spark.createDataFrame([(0, "n.cpp", 0, made[3], "Late name")], schema.SYMBOL_INFO)
+    built = derive.build(occ(spark, ("n.cpp", [D(M("buildMore"), 1, 1, 9), U(made[3], 3)])), info, spark.createDataFrame([], schema.RELATIONSHIPS))
+    for step in range(2):
+        g = store.load(spark, path)
+        plain = CodeGraph(g.files, g.symbols, g.edges)
+        for q in ("BUILD", "build_Pipe", "Pipe build", "GRÖSSE", "ö", "ab build", "late", "nothing", "__ build"):
+            for fuzzy in (False, True):
+                assert names(g.find(q, fuzzy)) == names(plain.find(q, fuzzy)), q
+        if not step:
+            store.update(spark, path, built, docs)
+    assert names(g.find("late", True)) == {made[3]} and M("buildMore") in names(g.find("build"))
+
+
 def test_two_writers(spark, tmp_path):
     path = f"file://{tmp_path}/g"
     store.save(graph(spark, [C("a", "b")]), path)
