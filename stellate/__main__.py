@@ -119,5 +119,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> st
     return _shown(getattr(replies, command)(graph, symbol, **options))
 
 
-if __name__ == "__main__":
+def run() -> None:
     print(main())
+
+
+if __name__ == "__main__":
+    run()

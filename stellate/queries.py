@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stellate.functions import paths, symbols, versions
 from stellate.operators import derive, freshness, store
-from stellate.plans import replies, traverse
+from stellate.plans import components, replies, traverse
 from stellate.plans.graph import CodeGraph
 from stellate.session import fresh_path
 from stellate.sources import compdb, demo, scip, snippets
@@ -368,6 +368,11 @@ def _near(depth: int) -> str:
 _INSIDE = "SELECT a.symbol AS src, b.symbol AS dst, f.path AS file, c.line FROM calls c JOIN site a ON a.id = src_id JOIN site b ON b.id = dst_id LEFT JOIN fil f ON f.id = c.file_id WHERE src_id IN (SELECT id FROM near) AND dst_id IN (SELECT id FROM near)"
 
 
+@query(f"WITH RECURSIVE {SYM}, {_calls()}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), r(id, far) AS (SELECT id, id FROM sym UNION SELECT id, dst_id FROM r JOIN p ON src_id = far), both_ AS (SELECT a.id, min(a.far) AS component, count(*)::BIGINT AS size FROM r a JOIN r b ON a.id = b.far AND a.far = b.id GROUP BY a.id) SELECT id, component, size FROM both_")
+def strong_components(spark, d):
+    return components.strong_components(stored(spark, d, "src")[0])
+
+
 @query(f"{_near(2)} SELECT symbol FROM near JOIN sym USING (id)")
 def subgraph_nodes(spark, d):
     g, top = stored(spark, d)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stellate import schema
 from stellate.functions import paths, symbols, versions
 from stellate.operators import derive, freshness, store
 from stellate.plans import replies
@@ -12,6 +13,7 @@ from stellate.plans.graph import CodeGraph
 from stellate.queries import _FN, _INSIDE, _TEST, _TY, BEFORE, FIL, HUB, INH, INSIDE, OCC, REFS, SITE, SPANS, SYM, TYPE, TYPES, _calls, _label, _near, _qualified, _reach, calls_graph, query, stored, types_graph, updated
 from stellate.session import fresh_path
 from stellate.sources import compdb, demo, graphjson, scip, snippets
+from stellate.streaming import updates
 
 CALLED = f"WITH {SYM}, {FIL}, {SITE}, {_calls()}, {HUB}"
 
@@ -273,6 +275,40 @@ def dirty_fingerprints(spark, d):
     return freshness.correct_changes(diff, was, now)
 
 
+@query(f"WITH {BUILT} SELECT * FROM edge")
+def stream_edges(spark, d):
+    """The edges of a store that followed streams of the index's tables, over an empty store: calls, and inherits and implements."""
+    return _streamed(spark, d)[0]
+
+
+@query(f"WITH {BUILT} SELECT * FROM node")
+def stream_nodes(spark, d):
+    """Its symbols, with names and sites."""
+    return _streamed(spark, d)[1]
+
+
+def _streamed(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Two runs of the stream: occurrences and documents first, then the other tables and a later revision that ends the first."""
+    at = fresh_path(spark, "stream")
+    o = demo.occurrences(spark, d)
+    tables = {"occurrences": o, "symbol_info": demo.symbol_info(spark, d), "relationships": demo.relationships(spark, d), "documents": o.select("doc_ord", "doc").distinct()}
+    empty = {k: spark.createDataFrame([], f"{s}, revision timestamp") for k, s in updates.TABLES.items()}
+    stamp = F.timestamp_seconds(F.lit(0)).alias("revision")
+    none = {"nodes": "symbol string, display_name string, file string, line int", "edges": "kind string, src string, dst string, file string, line int", "refs": "symbol string, file string, line int, enclosing string"}
+    store.save(store.intern({k: spark.createDataFrame([], s) for k, s in none.items()}), f"{at}/store")
+    for names in (("occurrences", "documents"), ("symbol_info", "relationships")):
+        for k, df in empty.items():
+            rows = tables[k].select(*(c.split()[0] for c in updates.TABLES[k].split(", ")), stamp) if k in names else df
+            if k == "documents" and k not in names:  # something later, which ends the revision
+                rows = spark.createDataFrame([(-1, "src/later.cpp")], schema.DOCUMENTS).select("doc_ord", "doc", F.timestamp_seconds(F.lit(3600)).alias("revision"))
+            rows.write.mode("append").parquet(f"{at}/in/{k}")
+        updates.follow(spark, f"{at}/in", f"{at}/store", f"{at}/checkpoint").awaitTermination()
+    g = store.load(spark, f"{at}/store")
+    s, f = g.symbols, g.files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
+    edges = g.edges.join(s.select(F.col("id").alias("src_id"), F.col("symbol").alias("src")), "src_id").join(s.select(F.col("id").alias("dst_id"), F.col("symbol").alias("dst")), "dst_id")
+    return edges.join(f, "file_id", "left").select("kind", "src", "dst", "file", "line"), g.sites().select("symbol", "display_name", "file", "line")
+
+
 def _entries(spark, d) -> DataFrame:
     """A compilation database of the demo's files, written and read back."""
     path = f"{fresh_path(spark, 'compdb')}/compile_commands.json"

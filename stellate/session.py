@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import pathlib
 import shutil
 import tempfile
 import uuid
@@ -28,14 +29,42 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+_OPEN: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _OPEN:
+        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            _OPEN[-1].append(file.get())
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes in the end the shared tables and cuts that were made inside. For work whose result is written to a path of before:
+    what was made inside can't be read afterwards."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            remove_path(spark, path)
 
 
 @contextmanager
@@ -57,3 +86,11 @@ def cut_as_laid(df: DataFrame) -> DataFrame:
     keys need no exchange. The plan isn't adapted at run time, which would hide both."""
     with settings(df.sparkSession, spark__sql__adaptive__enabled="false"):
         return cut(df.select("*"))
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, for clusters where it isn't installed: as a zip that Spark adds to their path."""
+    package = pathlib.Path(__file__).resolve().parent
+    at = pathlib.Path(tempfile.mkdtemp(prefix="stellate-"))  # on the driver, from where Spark serves it
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(str(at / "stellate"), "zip", package.parent, package.name))

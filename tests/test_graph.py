@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stellate import schema
 from stellate.operators import derive, freshness, store
-from stellate.plans import replies, traverse
+from stellate.plans import components, replies, traverse
 from stellate.plans.graph import CodeGraph
 from stellate.session import settings
 from stellate.sources import compdb, graphjson, scip, snippets
@@ -195,6 +195,27 @@ def test_both_ways_agree_on_random_graphs(spark, monkeypatch, hot):
     assert (traverse.laid(g, "calls", "out").hot is None) == (hot > 3)
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_strong_components(spark, monkeypatch, seed):
+    """Against mutual reachability; chains, cycles side by side and within each other, and self-calls."""
+    monkeypatch.setattr(components, "COMPACT", 1)
+    rng = random.Random(seed)
+    edges = [C(f"c{k}", f"c{(k + 1) % 5}") for k in range(5)] + [C(f"d{k}", f"d{k + 1}") for k in range(6)] + [C("d6", "c0"), C("s", "s")]
+    edges += [C(f"r{rng.randrange(25)}", f"r{rng.randrange(25)}") for _ in range(30)]
+    g = graph(spark, edges)
+    ids = {r["symbol"]: r["id"] for r in g.symbols.collect()}
+    far = {s: {s} for s in ids}
+    for _ in ids:
+        for e in edges:
+            far[e[1]] |= far[e[2]]
+    want = set()
+    for s in ids:
+        own = [ids[t] for t in far[s] if s in far[t]]
+        want.add((ids[s], min(own), len(own)))
+    assert {tuple(r) for r in components.strong_components(g).collect()} == want
+    assert components.strong_components(CodeGraph(g.files, g.symbols, g.edges.limit(0))).count() == len(ids)
+
+
 def test_rounds_move_no_edges(spark):
     """A round's plan has one exchange, of the ends found; neither edges nor the frontier are dealt anew."""
     with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
