@@ -8,8 +8,9 @@ Seed hashes of the benchmark are looked up at every word of every text; each hit
 whose words are compared one by one: an overlap is a longest stretch of aligned words of which 80 % or more are equal, that
 begins and ends with equal words, and it counts if it has 13 words or the whole item. Items without a word match nothing.
 
-The benchmark is the query set. It is read in blocks of a bounded number of words, each of which is broadcast; more
-blocks mean more passes over the texts. (A join of all seeds of the texts would shuffle three hashes for each word of the
+The benchmark is the query set. It is dealt into blocks of a bounded size; one block at a time comes to the driver and is
+broadcast, and with several each pass over the texts is written before the next block is read, so that no more than one is
+held anywhere. More blocks mean more passes over the texts. (A join of all seeds of the texts would shuffle three hashes for each word of the
 corpus, many times the corpus, to find what a lookup in some megabytes finds.)
 """
 
@@ -21,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stellate.llm.common import bounded_batches, by_bytes
+from stellate.llm.common import bounded_batches, by_bytes, remove_path, written
 
 #: Word positions of the masks.
 MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 3, 6, 7))
@@ -146,21 +147,26 @@ def longest(same: np.ndarray) -> tuple[int, int, int]:
     return i, k + 1 - i, int(same[i : k + 1].sum())
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int):
-    """(ids, index) of blocks of items, read one partition at a time."""
-    ids, words, held = [], [], 0
-    for r in benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).toLocalIterator():
+WORD_BYTES = 6  # of a benchmark's text for each of BLOCK_WORDS
+
+
+def _blocks(benchmark: DataFrame, id_col: str, text_col: str, block_words: int) -> list[DataFrame]:
+    """(id, text) of the benchmark in blocks of about block_words words, by a hash of the items."""
+    items = benchmark.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-size // (WORD_BYTES * block_words))
+    return [items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k) for k in range(n)]
+
+
+def _index(block: DataFrame) -> tuple[list, SeedIndex]:
+    """The ids and the index of one block's items."""
+    ids, words = [], []
+    for r in block.collect():
         w, _ = words_of(pa.array([r["text"]], pa.string()))
-        if not len(w):
-            continue
-        ids.append(r["id"])
-        words.append(w)
-        held += len(w)
-        if held >= block_words:
-            yield ids, SeedIndex(words)
-            ids, words, held = [], [], 0
-    if ids:
-        yield ids, SeedIndex(words)
+        if len(w):
+            ids.append(r["id"])
+            words.append(w)
+    return ids, SeedIndex(words)
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
@@ -172,9 +178,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, item_kind = src.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     schema = f"id {kind}, item {item_kind}, start long, n_words long, n_equal long"
-    out = None
-    for ids, index in _blocks(benchmark, item_col, item_text_col, block_words):
-        sent = docs.sparkSession.sparkContext.broadcast((ids, index))
+    spark = docs.sparkSession
+    blocks = _blocks(benchmark, item_col, item_text_col, block_words)
+    paths = []
+    out = src.limit(0).select("id", F.lit(None).cast(item_kind).alias("item"), *(F.lit(0).cast("long").alias(c) for c in ("start", "n_words", "n_equal")))
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(_index(block))
 
         def run(batches, sent=sent):
             ids, index = sent.value
@@ -184,21 +193,24 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     text, item, *rest = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(text)), pa.array([ids[i] for i in item]), *(pa.array(x, pa.int64()) for x in rest)], ["id", "item", "start", "n_words", "n_equal"])
 
-        part = bounded_batches(src).mapInArrow(run, schema)
-        out = part if out is None else out.union(part)
-    if out is None:
-        out = src.limit(0).select("id", F.lit(None).cast(item_kind).alias("item"), *(F.lit(0).cast("long").alias(c) for c in ("start", "n_words", "n_equal")))
+        out = bounded_batches(src).mapInArrow(run, schema)
+        if len(blocks) > 1:
+            paths.append(written(out, "overlaps")[1])
+            sent.destroy()
+    if paths:
+        out = spark.read.parquet(*paths)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col if item_col != id_col else "item"), "start", "n_words", "n_equal", F.lit(True).alias("contaminated"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows of `docs` whose text overlaps no item, as they are, whatever their columns are called. Null and empty texts
     stay, repeated rows share their fate."""
-    out, schema = docs, docs.schema
+    spark, out, schema = docs.sparkSession, docs, docs.schema
     place = docs.columns.index(text_col)
     numbered = benchmark.select(F.col(item_text_col).alias("text"), F.lit(0).alias("item"))
-    for _, index in _blocks(numbered, "item", "text", block_words):
-        sent = docs.sparkSession.sparkContext.broadcast(index)
+    blocks, path = _blocks(numbered, "item", "text", block_words), None
+    for block in blocks:
+        sent = spark.sparkContext.broadcast(_index(block)[1])
 
         def run(batches, sent=sent):
             for b in by_bytes(batches, text_col):
@@ -207,4 +219,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
                 yield b if keep.all() else b.filter(pa.array(keep))
 
         out = bounded_batches(out).mapInArrow(run, schema)
+        if len(blocks) > 1:
+            before = path
+            out, path = written(out, "clean")
+            sent.destroy()
+            if before:
+                remove_path(spark, before)
     return out
