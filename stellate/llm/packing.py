@@ -180,13 +180,16 @@ def _schema(kind: str, id_col: str, ids_too: bool) -> str:
     return f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", token_ids array<int>" * ids_too
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int | None = 2, capacity: int = 4096, max_segments: int = 256, max_loss: int | None = None, ids_too: bool = False, path: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "word_bpe_49k.json", end_id: int | None = 2, capacity: int = 4096, max_segments: int | None = None, max_loss: int | None = None, ids_too: bool = False, path: str | None = None) -> DataFrame:
     """Encode whole texts, close each with `end_id`, and pack them; texts may be cut. One row for each piece.
 
     Columns: the id, start and length (its ids in the document), ids_crc32, doc_tokens, sequence_id, offset (in the
     sequence), with `ids_too` also token_ids. A null text is empty; a document without any id (empty, end_id None) has
-    no piece. Repeated rows are packed each. Every token bears loss here. Extra columns are not read.
+    no piece. Repeated rows are packed each. Every token bears loss here, and segments are limited only if max_segments
+    says so. Long texts are cut over sequences; equally good places go to the first; an empty table gives no rows. Extra
+    columns are not read.
     """
+    max_segments = capacity if max_segments is None else max_segments
     path = path or tokenizer_path(tokenizer)
     tail = b"" if end_id is None else int(end_id).to_bytes(4, "little")
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
