@@ -22,13 +22,15 @@ from stellate.llm.tokens import encoder, tokenizer_path
 
 ROW_GROUP_BYTES = 16 << 20
 PAGE_BYTES = 64 << 10
+BEGINNING = 32  # characters of a text by which rows of one id are dealt
 
 
 def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = "byte_bpe_50k.json", end_id: int | None = 0, path: str | None = None) -> str:
     """Encode every whole text and write the ids, in ascending id order, to the folder `out`.
 
-    A null text is empty: only `end_id`, which closes each document. Rows that share an id are ordered by their text;
-    a null id comes first. Extra columns are not read.
+    A null text is empty: only `end_id`, which closes each document. Rows that share an id are ordered by their text, by whose
+    beginnings many of them are dealt over tasks; a null id comes first. Texts of any length are encoded whole; an empty table
+    gives a folder without rows. Extra columns are not read.
     """
     path = path or tokenizer_path(tokenizer)
 
@@ -46,7 +48,7 @@ def write_tokens(docs: DataFrame, out: str, id_col: str = "doc_id", text_col: st
 
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["id"].dataType.simpleString()
-    coded = src.repartitionByRange("id").sortWithinPartitions("id", "text").transform(bounded_batches).mapInArrow(run, f"id {kind}, part int, local_start long, n_tokens long, token_ids array<int>")
+    coded = src.repartitionByRange(F.col("id"), F.substring("text", 1, BEGINNING)).sortWithinPartitions("id", "text").transform(bounded_batches).mapInArrow(run, f"id {kind}, part int, local_start long, n_tokens long, token_ids array<int>")
     (
         coded.withColumnRenamed("id", id_col)
         .write.option("compression", "snappy")
