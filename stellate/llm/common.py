@@ -10,7 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stellate.session import fresh_path, shared_root
+from stellate.session import cut as session_cut
+from stellate.session import fresh_path, remove_path, shared_root
 
 __all__ = ["bounded_batches", "by_bytes", "cut", "fresh_path", "int_lists", "remove_path", "row_key", "settled", "shared_root", "tidy", "written"]
 
@@ -27,11 +28,6 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def remove_path(spark: SparkSession, path: str) -> None:
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
-
-
 def settled(df: DataFrame, per_core: int = 8, merged: int = 4) -> DataFrame:
     """At most `per_core` tasks, and so files, for each core of the cluster, but never more than `merged` partitions of a
     shuffle in a task: small results of wide shuffles don't become thousands of tiny files, and tasks don't grow with
@@ -55,9 +51,8 @@ def tidy(spark: SparkSession):
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_root(df.sparkSession)
     with tidy(df.sparkSession):
-        return settled(df).checkpoint(eager=True)
+        return session_cut(settled(df))
 
 
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:

@@ -1,7 +1,9 @@
+import pathlib
 import re
 from collections import Counter
 
 import corpus_pipeline
+from stellate import session
 from stellate.llm.common import fresh_path
 
 
@@ -44,7 +46,11 @@ def test_stages_take_effect(spark, docs_of, words, tmp_path):
 
 def test_run_on_the_smallest_tables(spark):
     d = "/root/testdata/sf0.001"
+    shared = pathlib.Path(session.shared_root(spark).removeprefix("file://"))
+    lying = lambda: {p for k in ("*-*", "*/rdd-*") for p in shared.glob(k) if not (p / "rdd-0").exists() and p.parent.name != "_temporary"}
+    before = {p for p in lying() if p.name.startswith("rdd-") or len(p.name) > 36}
     rows = corpus_pipeline.run(spark, d).collect()
+    assert [p.name.rsplit("-", 1)[0] for p in lying() - before if p.name.startswith("rdd-") or len(p.name.rsplit("-", 1)[1]) == 32] == ["sequence_packing"]  # all else is cleared
     kept = {r["doc_id"] for r in rows}
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     assert kept and kept < set(texts)
