@@ -49,6 +49,13 @@ def intervals(occurrences: DataFrame, kinds: Column) -> DataFrame:
     return d.select("doc", F.col("enc_start").alias("start"), F.col("enc_end").alias("end"), F.struct("doc_ord", "occ_ord").alias("ord"), F.col("symbol").alias("container"))
 
 
+def bodies(occurrences: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(file, bucket, start, end, doc_ord, occ_ord, symbol): callable and type bodies, a row for each line bucket that they touch."""
+    d = intervals(occurrences, is_callable(F.col("symbol")) | is_type(F.col("symbol"))).filter(F.col("end") >= F.col("start"))
+    touched = F.explode(F.sequence(F.floor(F.col("start") / bucket), F.floor(F.col("end") / bucket))).alias("bucket")
+    return d.select(F.col("doc").alias("file"), touched, "start", "end", "ord.doc_ord", "ord.occ_ord", F.col("container").alias("symbol"))
+
+
 def innermost(sites: DataFrame, spans: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Adds container to sites (doc, line, ...): of the spans that hold the line, ends included, the one with the
     greatest start, the later one of equal starts; null where there is none.
@@ -109,9 +116,9 @@ def references(occurrences: DataFrame, attribute: bool = False) -> DataFrame:
     return first.select("symbol", F.col("doc").alias("file"), "line", F.col("container").alias("enclosing"))
 
 
-def build(occurrences: DataFrame, symbol_info: DataFrame, relationships: DataFrame, include_references: bool = True, attribute_references: bool = False, drop_locals: bool = False) -> dict[str, DataFrame]:
+def build(occurrences: DataFrame, symbol_info: DataFrame, relationships: DataFrame, include_references: bool = True, attribute_references: bool = False, drop_locals: bool = False, spans: bool = False) -> dict[str, DataFrame]:
     """nodes (symbol, display_name, file, line), edges (kind, src, dst, file, line), refs (symbol, file, line,
-    enclosing), by name. Every end of an edge and every referenced symbol is a node."""
+    enclosing), and with `spans` those of bodies, by name. Every end of an edge and every referenced symbol is a node."""
     edges = relationship_edges(relationships).unionByName(call_edges(occurrences))
     refs = references(occurrences, attribute_references)
     if not include_references:
@@ -122,4 +129,4 @@ def build(occurrences: DataFrame, symbol_info: DataFrame, relationships: DataFra
     nodes = every.join(names, "symbol", "left").join(sites, "symbol", "left").select("symbol", "display_name", "file", "line")
     if drop_locals:
         nodes = nodes.filter(~is_local(F.col("symbol")))
-    return {"nodes": nodes, "edges": edges, "refs": refs}
+    return {"nodes": nodes, "edges": edges, "refs": refs} | ({"spans": bodies(occurrences)} if spans else {})

@@ -74,7 +74,14 @@ def intern(built: dict[str, DataFrame]) -> CodeGraph:
 
     e = end(end(edges, "src", "src_id"), "dst", "dst_id").join(fid, "file", "left").select("kind", "src_id", "dst_id", "file_id", "line")
     r = end(end(refs, "symbol", "symbol_id"), "enclosing", "enclosing_id").join(fid, "file", "left").select("symbol_id", "file_id", "line", "enclosing_id")
-    return CodeGraph(files.select("id", "path"), symbols, e, r)
+    return CodeGraph(files.select("id", "path"), symbols, e, r, spans=_span_ids(built, ids, fid))
+
+
+def _span_ids(built: dict[str, DataFrame], ids: DataFrame, fid: DataFrame) -> DataFrame | None:
+    if "spans" not in built:
+        return None
+    named = built["spans"].join(ids.select(F.col("id").alias("symbol_id"), "symbol"), "symbol").join(fid, "file")
+    return named.select(*(c.split()[0] for c in schema.SPANS.split(", ")))
 
 
 def counts(graph: CodeGraph) -> dict[str, str]:
@@ -130,7 +137,7 @@ def _write_text(spark: SparkSession, path: str, text: str) -> None:
     context.rename(fs.makeQualified(_fs(spark, new)[1]), fs.makeQualified(p), options)
 
 
-TABLES = ("files", "symbols", "edges_by_src", "edges_by_dst", "refs")
+TABLES = ("files", "symbols", "edges_by_src", "edges_by_dst", "refs", "spans")
 
 
 def _new_version() -> str:
@@ -154,6 +161,10 @@ def _write_symbols(symbols: DataFrame, at: str, small: bool = False) -> None:
     (s.coalesce(1) if small else s.repartitionByRange("symbol")).sortWithinPartitions("symbol").write.parquet(f"{at}/symbols")
 
 
+def _write_spans(spans: DataFrame, at: str, small: bool = False) -> None:
+    (spans.coalesce(1) if small else spans.repartitionByRange("file_id", "bucket")).sortWithinPartitions("file_id", "bucket").write.parquet(f"{at}/spans")
+
+
 def _write_names(symbols: DataFrame, at: str, small: bool = False) -> None:
     p = postings(symbols)
     (p.coalesce(1) if small else p.repartitionByRange("gram", "part")).sortWithinPartitions("gram", "part").write.parquet(f"{at}/names")
@@ -195,7 +206,9 @@ def save(graph: CodeGraph, path: str, meta: dict[str, str] | None = None, parent
     _write_edges(edges, at)
     if graph.refs is not None:
         _write_refs(graph.refs, at)
-    tables = {t: [[version, 0]] for t in TABLES if t != "refs" or graph.refs is not None}
+    if graph.spans is not None:
+        _write_spans(graph.spans, at)
+    tables = {t: [[version, 0]] for t in TABLES if t not in ("refs", "spans") or getattr(graph, t) is not None}
     manifest = {"number": 0, "tables": tables, "replaced": [], "replaced_rows": 0, "changed_symbols": 0}
     written = _tables(spark, path, manifest)
     written.edges = edges
@@ -203,7 +216,7 @@ def save(graph: CodeGraph, path: str, meta: dict[str, str] | None = None, parent
     return publish(spark, path, version, parent)
 
 
-_STORED = {"files": schema.FILES, "symbols": schema.SYMBOLS + ", gone boolean", "edges_by_src": "src_id long, dst_id long, file_id long, line int, kind string", "edges_by_dst": "src_id long, dst_id long, file_id long, line int, kind string", "refs": schema.REFS, "replaced": "file_id long", "names": POSTINGS}
+_STORED = {"files": schema.FILES, "symbols": schema.SYMBOLS + ", gone boolean", "edges_by_src": "src_id long, dst_id long, file_id long, line int, kind string", "edges_by_dst": "src_id long, dst_id long, file_id long, line int, kind string", "refs": schema.REFS, "replaced": "file_id long", "names": POSTINGS, "spans": schema.SPANS}
 
 
 def _parts(spark: SparkSession, path: str, manifest: dict, table: str) -> list[tuple[int, DataFrame]]:
@@ -257,7 +270,7 @@ def _manifest(spark: SparkSession, path: str, version: str) -> dict:
     if text:
         return json.loads(text)
     fs, p = _fs(spark, f"{path.rstrip('/')}/{version}/refs")
-    return {"number": 0, "tables": {t: [[version, 0]] for t in TABLES if t != "refs" or fs.exists(p)}, "replaced": [], "replaced_rows": 0, "changed_symbols": 0}
+    return {"number": 0, "tables": {t: [[version, 0]] for t in TABLES if t != "spans" and (t != "refs" or fs.exists(p))}, "replaced": [], "replaced_rows": 0, "changed_symbols": 0}
 
 
 def load(spark: SparkSession, path: str, version: str | None = None, by: str = "dst") -> CodeGraph:
@@ -275,7 +288,7 @@ def load(spark: SparkSession, path: str, version: str | None = None, by: str = "
         raise IncompatibleStoreError(f"the store has format {number}; this version reads {schema.SCHEMA_VERSION} and older ones")
     manifest = _manifest(spark, path, version)
     graph = _tables(spark, path, manifest, by)
-    graph.meta, graph.names = meta, _table(spark, path, manifest, "names")
+    graph.meta, graph.names, graph.spans = meta, *(_table(spark, path, manifest, t) for t in ("names", "spans"))
     return graph
 
 
@@ -320,14 +333,15 @@ def _ids_of(known: DataFrame, key: str, wanted: DataFrame) -> tuple[DataFrame, D
 
 @dataclass
 class Delta:
-    """What an update changes: the replaced files (file_id), new files, symbols with their new rows or `gone`, added edges and
-    references, and what counts become."""
+    """What an update changes: the replaced files (file_id), new files, symbols with their new rows or `gone`, added edges,
+    references and bodies, and what counts become."""
 
     replaced: DataFrame
     files: DataFrame
     symbols: DataFrame
     edges: DataFrame
     refs: DataFrame
+    spans: DataFrame
     meta: dict[str, str]
     stats: UpdateStats
 
@@ -385,7 +399,9 @@ def delta(graph: CodeGraph, built: dict[str, DataFrame], documents: DataFrame, d
         for key, flag, k in (("ref_count", "has_references", 0), ("attributed_ref_count", "has_attributed_refs", 1)):
             n = int(before.get(key, 0)) - lost[k] + got[k]
             meta = {x: v for x, v in meta.items() if x not in (key, flag)} | ({key: str(n), flag: "true"} if n else {})
-    return Delta(hit, new_files.select("id", "path"), rows, added, added_refs, meta, UpdateStats(n_changed, n_gone, n_added, n_orphans, node_count, edge_count))
+    spans = _span_ids(built, ids, fid) if graph.spans is not None else None
+    spans = spark.createDataFrame([], schema.SPANS) if spans is None else cut(spans)
+    return Delta(hit, new_files.select("id", "path"), rows, added, added_refs, spans, meta, UpdateStats(n_changed, n_gone, n_added, n_orphans, node_count, edge_count))
 
 
 def apply_update(graph: CodeGraph, built: dict[str, DataFrame], documents: DataFrame, deleted: DataFrame | None = None) -> tuple[CodeGraph, UpdateStats]:
@@ -403,7 +419,8 @@ def apply_update(graph: CodeGraph, built: dict[str, DataFrame], documents: DataF
     refs = None
     if graph.refs is not None:
         refs = graph.refs.join(d.replaced, "file_id", "left_anti").select("symbol_id", "file_id", "line", "enclosing_id").unionByName(d.refs)
-    return CodeGraph(files, symbols, edges, refs, d.meta), d.stats
+    spans = None if graph.spans is None else graph.spans.join(d.replaced, "file_id", "left_anti").select(*d.spans.columns).unionByName(d.spans)
+    return CodeGraph(files, symbols, edges, refs, d.meta, spans=spans), d.stats
 
 
 def stage(spark: SparkSession, path: str, onto: str, built: dict[str, DataFrame], documents: DataFrame, deleted: DataFrame | None = None, meta: dict[str, str] | None = None) -> tuple[str, UpdateStats]:
@@ -412,7 +429,7 @@ def stage(spark: SparkSession, path: str, onto: str, built: dict[str, DataFrame]
     d = delta(graph, built, documents, deleted)
     version, n = _new_version(), old["number"] + 1
     at = f"{path.rstrip('/')}/{version}"
-    rows = {"files": d.files, "symbols": d.symbols, "edges_by_src": d.edges, "refs": d.refs, "replaced": d.replaced}
+    rows = {"files": d.files, "symbols": d.symbols, "edges_by_src": d.edges, "refs": d.refs, "spans": d.spans, "replaced": d.replaced}
     size = {t: df.count() for t, df in rows.items()}
     small = {t: k <= SMALL for t, k in size.items()}
     tables = {t: list(x) for t, x in old["tables"].items()}
@@ -426,6 +443,8 @@ def stage(spark: SparkSession, path: str, onto: str, built: dict[str, DataFrame]
         _write_refs(d.refs, at, small["refs"])
     if size["replaced"]:
         (d.replaced.coalesce(1) if small["replaced"] else d.replaced).write.parquet(f"{at}/replaced")
+    if "spans" in tables and size["spans"]:
+        _write_spans(d.spans, at, small["spans"])
     if "names" in tables and size["symbols"]:
         _write_names(d.symbols.filter("not gone"), at, small["symbols"])
     for t in tables:
@@ -511,4 +530,4 @@ def enrich(graph: CodeGraph, refs: DataFrame) -> tuple[CodeGraph, int, int]:
     meta = dict(graph.meta or {})
     if k:
         meta |= {"has_attributed_refs": "true", "attributed_ref_count": str(k)}
-    return CodeGraph(graph.files, graph.symbols, graph.edges, out, meta), k, n
+    return CodeGraph(graph.files, graph.symbols, graph.edges, out, meta, graph.names, graph.spans), k, n

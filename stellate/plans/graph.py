@@ -19,7 +19,8 @@ HOTSPOT_KINDS = ("fan_in", "fan_out", "edges")
 @dataclass
 class CodeGraph:
     """files (id, path), symbols (id, symbol, display_name, file_id, line), edges (kind, src_id, dst_id, file_id, line),
-    refs (symbol_id, file_id, line, enclosing_id), meta. `laid` keeps edges as traversals have laid them out, `names` is an index of names, if there is one."""
+    refs (symbol_id, file_id, line, enclosing_id), meta. `laid` keeps edges as traversals have laid them out, `names` is an index of names,
+    `spans` (file_id, bucket, start, end, doc_ord, occ_ord, symbol_id) are bodies by line buckets, if there are any."""
 
     files: DataFrame
     symbols: DataFrame
@@ -27,6 +28,7 @@ class CodeGraph:
     refs: DataFrame | None = None
     meta: dict[str, str] | None = None
     names: DataFrame | None = None
+    spans: DataFrame | None = None
     laid: dict = field(default_factory=dict, repr=False, compare=False)
 
     def sites(self) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stellate import schema
 from stellate.functions import paths, symbols, versions
 from stellate.operators import derive, freshness, store
-from stellate.plans import replies
+from stellate.plans import layers, locate, replies
 from stellate.plans.graph import CodeGraph
 from stellate.queries import _FN, _INSIDE, _TEST, _TY, BEFORE, FIL, HUB, INH, INSIDE, OCC, REFS, SITE, SPANS, SYM, TYPE, TYPES, _calls, _label, _near, _qualified, _reach, calls_graph, query, stored, types_graph, updated
 from stellate.session import fresh_path
@@ -167,6 +167,29 @@ def export_edges(spark, d):
     return replies.export(g, top, 1, exclude_tests=True)[1].select("src", "dst", "file", "line")
 
 
+@query(f"WITH {OCC}, span AS (SELECT doc, symbol AS container, enc_start AS s, enc_end AS e, doc_ord, occ_ord FROM occ WHERE symbol_roles & 1 <> 0 AND enc_start IS NOT NULL AND ({_FN} OR {_TY})), at_ AS (SELECT DISTINCT doc, line FROM occ) SELECT doc AS file, line, (SELECT arg_max(container, (s, doc_ord, occ_ord)) FROM span WHERE span.doc = at_.doc AND s <= line AND line <= e) AS symbol FROM at_")
+def symbols_at_lines(spark, d):
+    """The innermost body at each line that occurs, from a store that keeps bodies."""
+    path = fresh_path(spark, "spans")
+    store.save(store.intern(_built(spark, d, spans=True)), path)
+    return locate.symbols_at(store.load(spark, path), demo.occurrences(spark, d).select(F.col("doc").alias("file"), "line").distinct())
+
+
+_LAYERS = [("src/economy", "economy", 1), ("src", "core", 2), ("vendor/", "vendor", 3), ("vendor/standard anodized brass", "brass", 0)]
+_LAYER = "(SELECT arg_max((l, r), length(p)) FROM (VALUES " + ", ".join(f"('{p.rstrip('/')}', '{x}', {r})" for p, x, r in _LAYERS) + ") AS y(p, l, r) WHERE {0}.file = p OR starts_with({0}.file, p || '/'))"
+
+
+@query(f"WITH {SYM}, {FIL}, {SITE}, {_calls()}, placed AS (SELECT id, symbol, {_LAYER.format('site')} AS x FROM site) SELECT a.symbol AS src, b.symbol AS dst, a.x[1] AS src_layer, b.x[1] AS dst_layer, f.path AS file, c.line FROM calls c JOIN placed a ON a.id = src_id JOIN placed b ON b.id = dst_id LEFT JOIN fil f ON f.id = c.file_id WHERE a.x[2] < b.x[2]")
+def boundary_violations(spark, d):
+    return layers.boundary_violations(stored(spark, d)[0], spark.createDataFrame(_LAYERS, "prefix string, layer string, rank int"))
+
+
+@query(f"WITH RECURSIVE {TYPES}, {INH}, r(id, far) AS (SELECT id, id FROM typ UNION SELECT id, dst_id FROM r JOIN inh ON src_id = far) SELECT id, count(*)::BIGINT - 1 AS n, true AS is_exact FROM r GROUP BY id")
+def dependency_cost(spark, d):
+    """How many types each type derives from, directly or not: small sets, which are exact."""
+    return layers.dependency_cost(types_graph(spark, d), "inherits")
+
+
 INFO = "info AS (SELECT doc_ord, doc, min(occ_ord) AS sym_ord, symbol, CASE WHEN min(occ_ord) % 3 = 0 THEN '' ELSE 'n' || min(occ_ord) % 5 END AS display_name FROM occ GROUP BY doc_ord, doc, symbol)"
 REL = "rel AS (SELECT doc, symbol AS src, CASE WHEN sym_ord % 4 < 3 THEN 'cxx . . $ ty/T' || sym_ord % 40 || '#' ELSE 'cxx . . $ fn/f' || sym_ord % 40 || '().' END AS dst FROM info WHERE sym_ord % 2 = 1)"
 CALL = "call_ AS (SELECT DISTINCT src, dst, doc AS file, line FROM (SELECT * FROM inside UNION ALL SELECT * FROM before_) WHERE src IS NOT NULL)"
@@ -287,23 +310,35 @@ def stream_nodes(spark, d):
     return _streamed(spark, d)[1]
 
 
-def _streamed(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Two runs of the stream: occurrences and documents first, then the other tables and a later revision that ends the first."""
+_FOLLOWED: dict[tuple[str, str], str] = {}
+
+
+def _followed(spark, d) -> str:
+    """A store after two runs of the stream, made once for each application and folder of tables: occurrences and documents
+    first, then the other tables and a later revision that ends the first."""
+    key = (spark.sparkContext.applicationId, d)
+    if key in _FOLLOWED:
+        return _FOLLOWED[key]
     at = fresh_path(spark, "stream")
     o = demo.occurrences(spark, d)
     tables = {"occurrences": o, "symbol_info": demo.symbol_info(spark, d), "relationships": demo.relationships(spark, d), "documents": o.select("doc_ord", "doc").distinct()}
     empty = {k: spark.createDataFrame([], f"{s}, revision timestamp") for k, s in updates.TABLES.items()}
-    stamp = F.timestamp_seconds(F.lit(0)).alias("revision")
+    stamp = F.timestamp_seconds(F.lit(86_400)).alias("revision")
     none = {"nodes": "symbol string, display_name string, file string, line int", "edges": "kind string, src string, dst string, file string, line int", "refs": "symbol string, file string, line int, enclosing string"}
     store.save(store.intern({k: spark.createDataFrame([], s) for k, s in none.items()}), f"{at}/store")
     for names in (("occurrences", "documents"), ("symbol_info", "relationships")):
         for k, df in empty.items():
             rows = tables[k].select(*(c.split()[0] for c in updates.TABLES[k].split(", ")), stamp) if k in names else df
             if k == "documents" and k not in names:  # something later, which ends the revision
-                rows = spark.createDataFrame([(-1, "src/later.cpp")], schema.DOCUMENTS).select("doc_ord", "doc", F.timestamp_seconds(F.lit(3600)).alias("revision"))
+                rows = spark.createDataFrame([(-1, "src/later.cpp")], schema.DOCUMENTS).select("doc_ord", "doc", F.timestamp_seconds(F.lit(90_000)).alias("revision"))
             rows.write.mode("append").parquet(f"{at}/in/{k}")
         updates.follow(spark, f"{at}/in", f"{at}/store", f"{at}/checkpoint").awaitTermination()
-    g = store.load(spark, f"{at}/store")
+    _FOLLOWED[key] = f"{at}/store"
+    return _FOLLOWED[key]
+
+
+def _streamed(spark, d) -> tuple[DataFrame, DataFrame]:
+    g = store.load(spark, _followed(spark, d))
     s, f = g.symbols, g.files.select(F.col("id").alias("file_id"), F.col("path").alias("file"))
     edges = g.edges.join(s.select(F.col("id").alias("src_id"), F.col("symbol").alias("src")), "src_id").join(s.select(F.col("id").alias("dst_id"), F.col("symbol").alias("dst")), "dst_id")
     return edges.join(f, "file_id", "left").select("kind", "src", "dst", "file", "line"), g.sites().select("symbol", "display_name", "file", "line")

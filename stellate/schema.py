@@ -14,6 +14,7 @@ FILES = "id long, path string"
 SYMBOLS = "id long, symbol string, display_name string, file_id long, line int"
 EDGES = "kind string, src_id long, dst_id long, file_id long, line int"
 REFS = "symbol_id long, file_id long, line int, enclosing_id long"
+SPANS = "file_id long, bucket long, start int, end int, doc_ord long, occ_ord long, symbol_id long"
 META = "key string, value string"
 
 CALLS, IMPLEMENTS, INHERITS = "calls", "implements", "inherits"

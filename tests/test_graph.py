@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from stellate import schema
 from stellate.operators import derive, freshness, store
-from stellate.plans import components, replies, traverse
+from stellate.plans import components, layers, locate, replies, traverse
 from stellate.plans.graph import CodeGraph
 from stellate.session import settings
 from stellate.sources import compdb, graphjson, scip, snippets
@@ -216,6 +216,38 @@ def test_strong_components(spark, monkeypatch, seed):
     assert components.strong_components(CodeGraph(g.files, g.symbols, g.edges.limit(0))).count() == len(ids)
 
 
+def test_symbols_at_lines(spark, tmp_path):
+    """Also after an update, a reopening and a compaction, and where nothing is known."""
+    path = f"file://{tmp_path}/g"
+    build = lambda *docs: derive.build(occ(spark, *docs), *no_info(spark), spans=True)
+    store.save(store.intern(build(("a", [D(T("C"), 1, 1, 900), D(M("m"), 10, 10, 700), D(M("n"), 10, 10, 20)]), ("b", [D(M("x"), 3, 3, 5)]))), path)
+    sites = spark.createDataFrame([("a", 0), ("a", 1), ("a", 15), ("a", 699), ("a", 900), ("b", 4), ("none", 4), ("b", None)], "file string, line int")
+    at = lambda: {(r["file"], r["line"]): r["symbol"] for r in locate.symbols_at(store.load(spark, path), sites).collect()}
+    want = {("a", 0): None, ("a", 1): T("C"), ("a", 15): M("n"), ("a", 699): M("m"), ("a", 900): T("C"), ("b", 4): M("x"), ("none", 4): None, ("b", None): None}
+    assert at() == want
+    store.update(spark, path, build(("b", [D(M("y"), 4, 4, 4)])), spark.createDataFrame([("b",)], "doc string"))
+    assert at() == want | {("b", 4): M("y")}
+    store.compact(spark, path)
+    assert at() == want | {("b", 4): M("y")}
+    with pytest.raises(ValueError):
+        locate.symbols_at(graph(spark, [C("a", "b")]), sites)
+
+
+def test_layers_and_costs(spark):
+    g = graph(spark, [C("a", "b"), C("b", "c"), C("c", "a"), C("d", "a"), C("a", "e")], {M("a"): ("x/low/a.cpp", 1), M("b"): ("x/high/b.cpp", 1), M("c"): ("x/lowest", 1), M("d"): ("y.cpp", 1)})
+    layer = spark.createDataFrame([("x/low", "low", 1), ("x/high/", "high", 3), ("x", "mid", 2)], "prefix string, layer string, rank int")
+    got = layers.boundary_violations(g, layer)
+    assert {(r["src"], r["dst"], r["src_layer"], r["dst_layer"]) for r in got.collect()} == {(M("a"), M("b"), "low", "high")}
+    ids = {r["id"]: r["symbol"] for r in g.symbols.collect()}
+    cost = lambda **how: {ids[r["id"]]: (r["n"], r["is_exact"]) for r in layers.dependency_cost(g, **how).collect()}
+    assert cost() == {M("a"): (3, True), M("b"): (3, True), M("c"): (3, True), M("d"): (4, True), M("e"): (0, True)}
+    assert cost(exact=3) == {M("a"): (3, False), M("b"): (3, False), M("c"): (3, False), M("d"): (4, False), M("e"): (0, True)}
+    g = graph(spark, [C("top", f"n{k:04}") for k in range(3000)] + [C("n0000", "n0001")])
+    top = next(r["id"] for r in g.symbols.filter(F.col("symbol") == M("top")).collect())
+    n = layers.dependency_cost(g).filter(F.col("id") == top).first()["n"]
+    assert abs(n - 3000) < 3000 * 3 * 1.04 / 2 ** (layers.LG_K / 2)
+
+
 def test_rounds_move_no_edges(spark):
     """A round's plan has one exchange, of the ends found; neither edges nor the frontier are dealt anew."""
     with settings(spark, spark__sql__adaptive__enabled="false", spark__sql__autoBroadcastJoinThreshold="-1"):
