@@ -451,6 +451,19 @@ def export_json(spark, d):
     return got.select(F.size("j.nodes").alias("nodes"), F.explode("j.links").alias("l")).select("l.*", "nodes")
 
 
+@query(f"WITH {TYPES}, {INH}, near AS (SELECT id FROM typ WHERE symbol = '{TYPE}' UNION SELECT src_id FROM inh WHERE dst_id = (SELECT id FROM typ WHERE symbol = '{TYPE}')) SELECT 'inherits' AS kind, a.symbol AS src, b.symbol AS dst FROM inh JOIN typ a ON a.id = src_id JOIN typ b ON b.id = dst_id WHERE src_id IN (SELECT id FROM near) AND dst_id IN (SELECT id FROM near)")
+def node_link_edges(spark, d):
+    """A neighbourhood exported in the node-link form, written and loaded."""
+    path = fresh_path(spark, "links")
+    graphjson.node_link(*replies.export(types_graph(spark, d), TYPE, 1)).select("json").write.text(path)
+    return graphjson.load_node_link(spark, path)["edges"].select("kind", "src", "dst")
+
+
+@query(f"WITH {FIL} SELECT '/repo/' || path AS path FROM fil")
+def project_paths(spark, d):
+    return demo.files(spark, d).select(paths.project_root_path(F.concat(F.lit("file:///repo/"), F.col("path"))).alias("path"))
+
+
 @query(f"WITH {FIL} SELECT count(*)::BIGINT AS files, 'v2' AS version FROM fil")
 def store_reload(spark, d):
     """A store that moves on is read anew, and its files are counted."""

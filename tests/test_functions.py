@@ -35,6 +35,10 @@ def test_path_prefixes(spark, include, exclude, want):
     assert over(spark, files, lambda c: paths.path_ok(c, include, exclude)) == want
 
 
+def test_project_roots(spark):
+    assert over(spark, ["file:///repo", "/repo", "", None, "http://file://x"], paths.project_root_path) == ["/repo", "/repo", "", None, "http://file://x"]
+
+
 def test_labels(spark):
     anonymous = "cxx . . $ `$anonymous_namespace_src/acme/x.cpp`/acme/Odd_Case#~Odd_Case(0a1b2c3d)."
     plain = "cxx . . $ acme/Foo#bar(abc)."

@@ -295,7 +295,8 @@ def test_replies(spark):
     assert nodes.count() == 2 and edges.count() == 1
     data = json.loads(graphjson.node_link(nodes, edges).first()["json"])
     assert len(data["nodes"]) == 2 and data["links"][0]["source_location"] == "L2"
-    assert "</script>" in graphjson.viewer_html(json.dumps(data))
+    page = graphjson.viewer_html(json.dumps(data), "<t>")
+    assert page.count("</script>") == 1 and "<title>&lt;t&gt;</title>" in page and json.dumps(data["nodes"])[1:-1].replace("</", "<\\/") in page
     over = graph(spark, [("calls", P + "N#parse(aaaaaa).", P + "N#parse(bbbbbb).", "f", 1)])
     r = replies.find(over, "parse").first()
     assert r["total"] == 2 and r["groups"] == 1 and r["results"][0]["overloads"] == 2
@@ -527,5 +528,9 @@ def test_graph_json(spark, tmp_path):
     g = graph(spark, [C("a", "b")])
     nodes, edges = traverse.subgraph(g, M("a"))
     graphjson.save_json(nodes, edges, str(tmp_path / "j"))
+    (tmp_path / "n.json").write_text(graphjson.node_link(*replies.export(g, M("a"), 1)).first()["json"])
+    again = graphjson.load_node_link(spark, str(tmp_path / "n.json"))
+    assert {tuple(r) for r in again["edges"].collect()} == {tuple(r) for r in replies.export(g, M("a"), 1)[1].select("kind", "src", "dst", "file", "line").collect()}
+    assert {r["symbol"] for r in again["nodes"].collect()} == {r["symbol"] for r in replies.export(g, M("a"), 1)[0].collect()}
     back = graphjson.load_json(spark, str(tmp_path / "j"))
     assert back["nodes"].count() == 2 and back["edges"].first()["src"] == M("a")
