@@ -16,7 +16,8 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows give repeated rows; a null id is kept. Columns other
     than the id and the text are not read. Tokens are those of the whole text without added special tokens; a special
-    string inside a text is one token, as the library has it by default. `path` names a vocabulary file of one's own.
+    string inside a text is one token, as the library has it by default. Texts of any length are counted whole; an empty table
+    gives no rows. `path` names a vocabulary file of one's own.
     """
     path = path or tokenizer_path(tokenizer)
 

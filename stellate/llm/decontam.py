@@ -173,7 +173,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """A row for each text and item that overlap: the id, the item's id, start (first word of the overlap in the text),
     n_words, n_equal, contaminated (true). Null and empty texts overlap nothing; repeated rows are reported each;
     without an item, or without a document, there are no rows. Of equally long overlaps of a text and an item the one with
-    more equal words is given, then the first. Extra columns are not read.
+    more equal words is given, then the first. Texts of any length are read whole. Extra columns are not read.
     """
     src = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind, item_kind = src.schema["id"].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()

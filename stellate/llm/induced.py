@@ -1,7 +1,7 @@
-"""External induced sorting of the strings of one shard.
+"""Induced sorting of the strings of one shard, in memory, or on disk where the shard is larger than `memory`.
 
 A shard holds families of strings: spans of text around an anchor. The suffixes at the anchors are sorted by the text
-after them, in runs that lie on disk and are merged by a heap; the common prefix of neighbours comes with them. Then the
+after them, beyond `memory` in runs that lie on disk and are merged by a heap; the common prefix of neighbours comes with them. Then the
 order of the suffixes one byte further left is induced from it, again and again: each suffix tuple (preceding byte, rank,
 least common prefix since the last tuple of that byte) passes a queue that gives tuples back by byte, then rank. The
 common prefix of new neighbours is one more than the least between their old ranks, and 0 at a new byte.

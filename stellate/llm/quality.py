@@ -121,7 +121,8 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each row of `docs`: the id, the base counts, base_failed, removed_chars and kept.
 
     A null text has no words and fails; a null host counts as the host ''; equal rows get equal verdicts; a line that
-    exactly as many documents hold as the limit says stays; an empty table gives no rows; other columns are not read.
+    exactly as many documents hold as the limit says stays; texts of any length are read whole; an empty table gives no rows;
+    other columns are not read.
     """
     rows = measured(docs, id_col, text_col, host_col)
     lost = removed_lines(rows, min_docs, max_share).select("key", "lost", F.col("total").alias("all_chars"))

@@ -312,7 +312,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     within the mode's radius) and rep_key (the key of that document).
 
     A null or wordless text has the fingerprint 0 and is linked like any other; equal rows share a component; an empty
-    table gives no rows; a null id never names a component that has another id. Extra columns are not read.
+    table gives no rows; a null id never names a component that has another id. Texts of any length are read
+    whole; a bit that exactly half the shingles set is 0. Extra columns are not read.
 
     With `similarity`, links within the radius give candidates only: components are then those of the pairs within a group
     of linked candidates whose shingle sets have at least that Jaccard similarity.

@@ -4,9 +4,10 @@ Suffixes are induced, not sorted one by one. Anchors are positions that hold the
 last of equal ones), so that equal windows of text have equal anchors at equal places; each string of `floor` bytes
 belongs to the anchor among its first `window` positions. The strings of one anchor form a family: a span of text
 around the anchor, whose core all of them hold. Only families whose core occurs twice can hold a repeat; of those, equal
-families are repeated as a whole, and different families of one core are compared in a shard by external induced sorting
-(see induced.py): the suffixes at the anchors are sorted in runs on disk, merged by a heap, and from these the suffixes to
-the left are induced byte by byte by tuples that pass a queue and carry common prefixes along.
+families are repeated as a whole, and different families of one core are compared in a shard by induced sorting (see
+induced.py): the suffixes at the anchors are sorted, and from these the suffixes to the left are induced byte by byte by
+tuples that pass a queue and carry common prefixes along. With the limits below a shard fits into memory; only with a smaller
+MEMORY are its runs on disk, merged by a heap.
 
 A core with more than `hot` different families would be one task's work. Its families are divided by recursion: into
 families of an eighth of the window, whose cores are longer, grouped and compared in the same way, down to a window
@@ -348,7 +349,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     `digest` their kept_sha256.
 
     Texts are UTF-8 bytes; a null text is empty and matches nothing. Repeated rows repeat each other, so that all their
-    strings go. A text shorter than `length` loses nothing. Extra columns are not read.
+    strings go. A text shorter than `length` loses nothing; texts of any length are read whole, in blocks; an empty table
+    gives no rows. Which of equal strings came first plays no part, as all go. Extra columns are not read.
     """
     keyed = _keyed(docs, id_col, text_col)
     spans = repeated_intervals(keyed, length, floor, **limits)
