@@ -551,9 +551,9 @@ def max_rebuild_level(spark, d):
     return versions.max_rebuild_level(releases, "1.20", "1.40").select("rank")
 
 
-@query("WITH s AS (SELECT DISTINCT user_id AS u, (event_id % 50)::INT AS line FROM events WHERE event_type = 'error') SELECT DISTINCT 'u' || u AS file, greatest(line + o, 0)::INT AS line FROM s, (SELECT unnest([-2, -1, 0, 1, 2]) AS o) WHERE line + o >= 0")
+@query("WITH s AS (SELECT DISTINCT user_id AS u, (event_id % 50)::INT AS line FROM events) SELECT DISTINCT 'u' || u AS file, greatest(line + o, 0)::INT AS line FROM s, (SELECT unnest([-2, -1, 0, 1, 2]) AS o) WHERE line + o >= 0")
 def merged_windows(spark, d):
-    e = demo.table(spark, d, "events").filter("event_type = 'error'")
+    e = demo.table(spark, d, "events")
     return snippets.windows(e.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("file"), (F.col("event_id") % 50).cast("int").alias("line")), 2)
 
 
@@ -563,7 +563,7 @@ def refs_by_file(spark, d):
     return snippets.lines_by_file(e).select("file", F.size("lines").alias("n_lines"), F.get("lines", F.lit(0)).alias("first"))
 
 
-@query(f"WITH {SYM}, {FIL}, w AS (SELECT DISTINCT path FROM fil WHERE id < 1000000000) SELECT path, (row_number() OVER (ORDER BY path))::BIGINT AS id FROM w")
+@query(f"WITH {SYM}, {FIL}, w AS (SELECT DISTINCT path FROM fil) SELECT path, (row_number() OVER (ORDER BY path))::BIGINT AS id FROM w")
 def intern_files(spark, d):
-    f = demo.files(spark, d).filter("id < 1000000000").select("path").distinct().withColumn("o", F.lit(0))
+    f = demo.files(spark, d).select("path").distinct().withColumn("o", F.lit(0))
     return store.dense_ids(f, "path", "o")

@@ -373,10 +373,10 @@ def compdb_changed(spark, d):
     return compdb.changed_units(f.select(F.concat(F.lit("/repo/"), F.col("path")).alias("file")), f.filter("id % 400 = 0").select("path")).select("file")
 
 
-@query(f"WITH {FIL}, v AS (SELECT unnest([path, upper(path), path || '.h', path || '.txt', replace(path, '.cpp', '.cuh')]) AS path FROM fil WHERE id < 1000000000) SELECT DISTINCT path, regexp_matches(lower(path), '\\.(cpp|cc|cxx|c|cu|h|hpp|hh|hxx|ipp|inl|cuh)$') AS is_source FROM v")
+@query(f"WITH {FIL}, v AS (SELECT unnest([path, upper(path), path || '.h', path || '.txt', replace(path, '.cpp', '.cuh')]) AS path FROM fil) SELECT DISTINCT path, regexp_matches(lower(path), '\\.(cpp|cc|cxx|c|cu|h|hpp|hh|hxx|ipp|inl|cuh)$') AS is_source FROM v")
 def source_files(spark, d):
     p = F.col("path")
-    f = demo.files(spark, d).filter("id < 1000000000").select(F.explode(F.array(p, F.upper(p), F.concat(p, F.lit(".h")), F.concat(p, F.lit(".txt")), F.replace(p, F.lit(".cpp"), F.lit(".cuh")))).alias("path")).distinct()
+    f = demo.files(spark, d).select(F.explode(F.array(p, F.upper(p), F.concat(p, F.lit(".h")), F.concat(p, F.lit(".txt")), F.replace(p, F.lit(".cpp"), F.lit(".cuh")))).alias("path")).distinct()
     return f.select("path", paths.is_source_file(p).alias("is_source"))
 
 
