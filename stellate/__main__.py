@@ -12,6 +12,10 @@ from stellate.plans import replies
 from stellate.sources import compdb, graphjson, scip
 
 
+#: How many rows commands show at most.
+_LIMITS = {"references": 50, "hotspots": 20, "explain": 10}
+
+
 def _shown(out) -> str:
     rows = out.toJSON().collect() if isinstance(out, DataFrame) else [json.dumps(out)]  # replies are one row
     return "\n".join(rows)
@@ -41,7 +45,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("symbol")
         if name == "path":
             c.add_argument("target")
-        c.add_argument("--limit", type=int)
+        c.add_argument("--limit", type=int, default=_LIMITS.get(name))
         if name in ("callers", "callees", "references", "impact", "explain", "hotspots", "export", "view"):
             c.add_argument("--tests", choices=("include", "exclude"))
         if name in ("find", "callers", "callees", "references", "impact", "hotspots"):

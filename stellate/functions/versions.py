@@ -70,6 +70,31 @@ def update_advice(releases: dict[str, str], current: str | None, latest: str | N
     return {"current": current, "latest": latest, "update_available": bool(last) and last > have, "rebuild_now": level(made, have) if made else "none", "rebuild_after_update": level(made or have, last) if last else "none"}
 
 
+def advise(releases: DataFrame, current: str | None, latest: str | None = None, built_with: str | None = None) -> DataFrame:
+    """As update_advice over a table of releases (version, level), in one pass and as one row; without `latest` the newest of
+    them. A level that isn't known asks for nothing."""
+    v, have, made = parse_version(F.col("version")), parse_version(F.lit(current)), parse_version(F.lit(built_with))
+    last = F.max(v) if latest is None else parse_version(F.lit(latest))
+    reached = F.lit(True) if latest is None else v <= last
+    rank = lambda low, high: F.coalesce(F.max(F.when((v > low) & high, level_rank(F.col("level")))), F.lit(0)).cast("int")
+    known = version_tuple(built_with) != ()
+    got = releases.agg(
+        (F.max_by("version", v) if latest is None else F.lit(latest)).alias("latest"),
+        last.alias("last"),
+        (rank(made, v <= have) if known else F.lit(0)).alias("now"),
+        rank(made if known else have, reached).alias("after"),
+    )
+    some = F.coalesce(F.size("last") > 0, F.lit(False))
+    level = lambda n: F.get(F.array(*map(F.lit, LEVELS)), n)
+    return got.select(
+        F.lit(current).cast("string").alias("current"),
+        "latest",
+        (some & F.coalesce(F.col("last") > have, F.lit(False))).alias("update_available"),
+        level(F.col("now")).alias("rebuild_now"),
+        level(F.when(some, F.col("after")).otherwise(0)).alias("rebuild_after_update"),
+    )
+
+
 def indexer_advice(made_by: str | None, installed: str | None, pinned: str | None, rebuild: str = "none") -> dict:
     """Whether the installed indexer is the pinned one, and whether to index again: where the index was made by another
     version than the pinned one and that asks for a rebuild. Without a pin nothing is checked."""

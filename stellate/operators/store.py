@@ -294,7 +294,7 @@ def load(spark: SparkSession, path: str, version: str | None = None, by: str = "
 
 def discover(start: str = ".") -> str | None:
     """The newest store in a .stellate folder of the folder or of one above it; a driver-side search."""
-    here = Path(start).resolve()
+    here = Path(start.removeprefix("file://")).resolve()
     for d in (here, *here.parents):
         found = sorted((d / ".stellate").glob("*/CURRENT"), key=lambda p: p.stat().st_mtime)
         if found:

@@ -20,7 +20,7 @@ TYPE = "cxx . . $ region/ASIA#"
 
 def calls_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """Parts that call each other; each use of a type-like event is a reference to the part of its number."""
-    refs = demo.table(spark, sf_dir, "lineitem").filter("l_linenumber = 2").select(F.col("l_partkey").alias("symbol_id"), (F.col("l_orderkey") + demo.UNIT_BASE).alias("file_id"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("enclosing_id")).distinct()
+    refs = demo.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("symbol_id"), (F.col("l_orderkey") + demo.UNIT_BASE).alias("file_id"), F.col("l_linenumber").alias("line"), F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")).alias("enclosing_id")).distinct()
     return CodeGraph(demo.files(spark, sf_dir), demo.symbols(spark, sf_dir), demo.calls(spark, sf_dir), refs)
 
 
@@ -78,7 +78,7 @@ def _calls() -> str:
 
 SITE = "site AS (SELECT sym.id, symbol, display_name, path AS file, line FROM sym LEFT JOIN fil ON fil.id = sym.file_id)"
 HUB = "hub AS (SELECT dst_id AS id FROM calls GROUP BY dst_id ORDER BY count(*) DESC, dst_id LIMIT 1)"
-REFS = "refs AS (SELECT DISTINCT l_partkey AS symbol_id, l_orderkey + 1000000000 AS file_id, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS enclosing_id FROM lineitem WHERE l_linenumber = 2)"
+REFS = "refs AS (SELECT DISTINCT l_partkey AS symbol_id, l_orderkey + 1000000000 AS file_id, l_linenumber AS line, CASE WHEN l_returnflag = 'R' THEN l_suppkey END AS enclosing_id FROM lineitem)"
 TYPES = "typ AS (SELECT c_custkey AS id, 'cxx . . $ cust/C' || c_custkey || '#' AS symbol FROM customer UNION ALL SELECT n_nationkey + 1000000000, 'cxx . . $ nation/' || n_name || '#' FROM nation UNION ALL SELECT r_regionkey + 2000000000, 'cxx . . $ region/' || r_name || '#' FROM region)"
 INH = "inh AS (SELECT c_custkey AS src_id, c_nationkey + 1000000000 AS dst_id FROM customer UNION ALL SELECT n_nationkey + 1000000000, n_regionkey + 2000000000 FROM nation)"
 OCC = """occ AS (SELECT doc_ord, doc, occ_ord, CASE WHEN event_type IN ('signup', 'purchase', 'error') THEN 'cxx . . $ fn/f' || k % 40 || '().' ELSE 'cxx . . $ ty/T' || k % 40 || '#' END AS symbol,
@@ -155,7 +155,7 @@ def edges_inherits(spark, d):
     return demo.inherits(spark, d).select("kind", "src_id", "dst_id")
 
 
-@query("SELECT DISTINCT 'implements' AS kind, l_suppkey AS src_id, l_partkey AS dst_id FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'")
+@query("SELECT DISTINCT 'implements' AS kind, l_suppkey AS src_id, l_partkey AS dst_id FROM lineitem")
 def edges_implements(spark, d):
     return demo.implements(spark, d).select("kind", "src_id", "dst_id")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stellate import schema
@@ -10,9 +12,9 @@ from stellate.functions import paths, symbols, versions
 from stellate.operators import derive, freshness, store
 from stellate.plans import layers, locate, replies
 from stellate.plans.graph import CodeGraph
-from stellate.queries import _FN, _INSIDE, _TEST, _TY, BEFORE, FIL, HUB, INH, INSIDE, OCC, REFS, SITE, SPANS, SYM, TYPE, TYPES, _calls, _label, _near, _qualified, _reach, calls_graph, query, stored, types_graph, updated
+from stellate.queries import _FN, _INSIDE, _TEST, _TY, BEFORE, FIL, HUB, INH, INSIDE, OCC, REFS, SITE, SPANS, SYM, TYPE, TYPES, _calls, _label, _near, _qualified, _reach, calls_graph, query, store_of, stored, types_graph, updated
 from stellate.session import fresh_path
-from stellate.sources import compdb, demo, graphjson, scip, snippets
+from stellate.sources import compdb, demo, graphjson, raw, scip, snippets
 from stellate.streaming import updates
 
 CALLED = f"WITH {SYM}, {FIL}, {SITE}, {_calls()}, {HUB}"
@@ -255,6 +257,39 @@ def index_build_calls(spark, d):
     return derive.build(got["occurrences"], got["symbol_info"], got["relationships"])["edges"].filter("kind = 'calls'")
 
 
+@query(f"WITH {OCC} SELECT doc, symbol, symbol_roles, line, enc_start, enc_end, (row_number() OVER (PARTITION BY doc ORDER BY occ_ord) - 1)::BIGINT AS occ_ord FROM occ")
+def index_source(spark, d):
+    """The same by the registered source, in ranges of 64 KB."""
+    at = fresh_path(spark, "index")
+    scip.write_index({"occurrences": demo.occurrences(spark, d), "symbol_info": demo.symbol_info(spark, d), "relationships": demo.relationships(spark, d)}, f"{at}/0.scip")
+    scip.register(spark)
+    return spark.read.format("scip").option("range", 1 << 16).load(f"{at}/*.scip").drop("doc_ord")
+
+
+@query("SELECT 'index' AS what, true AS exists, count(DISTINCT user_id)::BIGINT AS documents, false AS failed FROM events UNION ALL SELECT 'other', true, NULL, true UNION ALL SELECT 'missing', false, NULL, false")
+def index_head(spark, d):
+    """What is said of an index, of a file that is none, and of no file."""
+    at = fresh_path(spark, "index")
+    o = demo.occurrences(spark, d)
+    scip.write_index({"occurrences": o, "symbol_info": demo.symbol_info(spark, d), "relationships": demo.relationships(spark, d)}, f"{at}/index")
+    raw.write_file(o.select("doc").distinct(), f"{at}/other", "\n")
+    said = {what: scip.describe(spark, f"{at}/{what}") for what in ("index", "other", "missing")}
+    rows = [(what, s["exists"], None if "error" in s else s.get("documents"), "error" in s) for what, s in said.items()]
+    return spark.createDataFrame(rows, "what string, exists boolean, documents long, failed boolean")
+
+
+@query(f"WITH {BUILT}, u AS (SELECT DISTINCT symbol, doc, line FROM occ WHERE symbol_roles & 65 = 0), w AS (SELECT count(*) FILTER (WHERE EXISTS (SELECT 1 FROM occ s WHERE s.symbol_roles & 1 <> 0 AND s.enc_start IS NOT NULL AND ({_FN} OR {_TY}) AND s.doc = u.doc AND s.enc_start <= u.line AND u.line <= s.enc_end))::BIGINT AS attributed FROM u), n AS (SELECT (SELECT count(*)::BIGINT FROM edge) AS edges, (SELECT count(*)::BIGINT FROM u) AS refs) SELECT include_references, attribute_references, edges, CASE WHEN include_references THEN refs ELSE 0 END AS refs, CASE WHEN include_references AND attribute_references THEN attributed ELSE 0 END AS attributed FROM n, w, (VALUES (false, false), (false, true), (true, false), (true, true)) AS f(include_references, attribute_references)")
+def build_flags(spark, d):
+    """What a build holds by its flags; attribution alone changes nothing."""
+    out = []
+    for refs in (False, True):
+        for attributed in (False, True):
+            got = _built(spark, d, include_references=refs, attribute_references=attributed)
+            counted = got["refs"].agg(F.count(F.lit(1)).alias("refs"), F.count("enclosing").alias("attributed"))
+            out.append(got["edges"].agg(F.count(F.lit(1)).alias("edges")).crossJoin(counted).select(F.lit(refs).alias("include_references"), F.lit(attributed).alias("attribute_references"), "edges", "refs", "attributed"))  # one row each
+    return reduce(DataFrame.unionByName, out)
+
+
 @query(f"WITH {OCC}, {INFO}, {REL} SELECT doc, src, dst FROM rel")
 def index_relationships(spark, d):
     return _indexed(spark, d)["relationships"].filter("is_implementation").select("doc", "src", "dst")
@@ -396,30 +431,39 @@ def parsed_versions(spark, d):
 
 @query("WITH v AS (SELECT p_size AS n, max(CASE p_size % 3 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END) AS lev FROM part GROUP BY p_size) SELECT '1.20' AS current, '1.' || max(n) AS latest, max(n) > 20 AS update_available, CASE coalesce(max(lev) FILTER (WHERE n > 10 AND n <= 20), 0) WHEN 2 THEN 'reindex' WHEN 1 THEN 'store' ELSE 'none' END AS rebuild_now, CASE coalesce(max(lev) FILTER (WHERE n > 10), 0) WHEN 2 THEN 'reindex' WHEN 1 THEN 'store' ELSE 'none' END AS rebuild_after_update FROM v")
 def update_advice(spark, d):
-    """Advice from a registry of releases, for version 1.20 and a store that 1.10 made."""
-    sizes = [r["p_size"] for r in demo.table(spark, d, "part").select("p_size").distinct().collect()]
-    releases = {f"1.{n}": ("none", "store", "reindex")[n % 3] for n in sizes}
-    got = versions.update_advice(releases, "1.20", f"1.{max(sizes)}", "1.10")
-    return spark.createDataFrame([tuple(got.values())], "current string, latest string, update_available boolean, rebuild_now string, rebuild_after_update string")
+    """Advice from a table of releases, for version 1.20 and a store that 1.10 made."""
+    level = F.get(F.array(*map(F.lit, versions.LEVELS)), (F.col("p_size") % 3).cast("int"))
+    releases = demo.table(spark, d, "part").select(F.concat(F.lit("1."), F.col("p_size").cast("string")).alias("version"), level.alias("level"))
+    return versions.advise(releases, "1.20", built_with="1.10")
 
 
 def _sources(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Source lines of a file for each nation, written and read back, and a site in each."""
+    """The lines of a source tree, written and read back: a file for every hundred parts, two lines for each part, in order
+    of the parts. And the parts with their places in it (file, line, p_size)."""
     root = fresh_path(spark, "sources")
-    nations = [r["n_nationkey"] for r in demo.table(spark, d, "nation").select("n_nationkey").collect()]
-    for n in nations:
-        store._write_text(spark, f"{root}/n {n}.cpp", "".join(f"int f{k}(long x{n},\n" if k % 2 == 0 else f"   int y) {{ return {k}; }}\n" for k in range(60)))
-    lines = snippets.source_lines(spark, root, [f"n {n}.cpp" for n in nations] + ["none.cpp"])
-    return lines, spark.createDataFrame([(f"n {n}.cpp", 2 * n) for n in nations], "file string, line int")
+    unit = F.floor(F.col("p_partkey") / 100)
+    p = demo.table(spark, d, "part").select(unit.alias("unit"), "p_partkey", "p_size")
+    key = F.col("p_partkey").cast("string")
+    text = F.concat(F.lit("int f"), key, F.lit("(long x"), key, F.lit(",\n   int y) { return "), key, F.lit("; }"))
+    rows = p.repartition("unit").sortWithinPartitions("unit", "p_partkey").select("unit", text.alias("text"))
+    rows.write.partitionBy("unit").text(root)
+    unit_of = F.concat(F.lit("u"), F.regexp_extract("file", "^unit=([^/]*)/", 1), F.lit(".cpp"))
+    place = F.row_number().over(Window.partitionBy("unit").orderBy("p_partkey"))
+    sites = p.select(F.concat(F.lit("u"), F.col("unit").cast("string"), F.lit(".cpp")).alias("file"), (2 * place - 2).cast("int").alias("line"), "p_size")
+    return snippets.tree_lines(spark, root).withColumn("file", unit_of), sites
+
+
+TREE = "tree AS (SELECT 'u' || p_partkey // 100 || '.cpp' AS file, p_partkey AS k, p_size, (2 * row_number() OVER (PARTITION BY p_partkey // 100 ORDER BY p_partkey) - 2)::INT AS line FROM part)"
 
 
-@query("SELECT 'n ' || n || '.cpp' AS file, (k + 1)::INT AS line1, CASE WHEN k % 2 = 0 THEN 'int f' || k || '(long x' || n || ',' ELSE '   int y) { return ' || k || '; }' END AS text, k = 2 * n AS is_use FROM (SELECT n_nationkey AS n, unnest(range(greatest(2 * n_nationkey - 3, 0), 2 * n_nationkey + 4)) AS k FROM nation)")
+@query(f"WITH {TREE}, l AS (SELECT file, line + o AS line, CASE o WHEN 0 THEN 'int f' || k || '(long x' || k || ',' ELSE '   int y) {{ return ' || k || '; }}' END AS text, p_size > 40 AND o = 0 AS is_use FROM tree, (SELECT unnest([0, 1]) AS o)) SELECT file, (line + 1)::INT AS line1, text, is_use FROM l WHERE EXISTS (SELECT 1 FROM l u WHERE u.is_use AND u.file = l.file AND abs(u.line - l.line) <= 3)")
 def source_windows(spark, d):
+    """The source around the definitions of large parts."""
     lines, sites = _sources(spark, d)
-    return snippets.merged_source(lines, sites, 3)
+    return snippets.merged_source(lines, sites.filter("p_size > 40"), 3)
 
 
-@query("SELECT 'n ' || n_nationkey || '.cpp' AS file, (2 * n_nationkey)::INT AS line, '(long x' || n_nationkey || ', int y)' AS signature FROM nation")
+@query(f"WITH {TREE} SELECT file, line, '(long x' || k || ', int y)' AS signature FROM tree")
 def source_signatures(spark, d):
     return snippets.signatures(*_sources(spark, d)).select("file", "line", "signature")
 
@@ -477,3 +521,57 @@ def store_reload(spark, d):
     after = live.get()
     known = "stale" if before is after else after.meta["index_tool"]
     return spark.createDataFrame([(store.indexed_file_count(after), known)], "files long, version string")
+
+
+@query(f"WITH {TYPES} SELECT count(*)::BIGINT AS nodes, (SELECT count(*) FROM customer)::BIGINT + (SELECT count(*) FROM nation) AS edges, true AS found, true AS nothing_else FROM typ")
+def store_discovery(spark, d):
+    """A store is found from a folder below its own, and none where there is none."""
+    at = fresh_path(spark, "project")
+    g = types_graph(spark, d)
+    store.save(CodeGraph(g.files.limit(0), g.symbols, g.edges), f"{at}/.stellate/types", {"index_tool": "tables"})
+    store._write_text(spark, f"{at}/src/deep/a.cpp", "")
+    found = store.discover(f"{at}/src/deep")
+    live = store.load(spark, found)
+    none = store.discover(fresh_path(spark, "elsewhere"))
+    counted = live.edges.agg(F.count(F.lit(1)).alias("edges"))
+    return live.symbols.agg(F.count(F.lit(1)).alias("nodes")).crossJoin(counted).select("nodes", "edges", F.lit(found.endswith("/.stellate/types")).alias("found"), F.lit(none is None).alias("nothing_else"))  # one row each
+
+
+@query(f"WITH {FIL} SELECT true AS found, count(*)::BIGINT AS entries FROM fil")
+def compdb_discovery(spark, d):
+    """A compilation database in the build folder of a project is found from below."""
+    at = fresh_path(spark, "project")
+    compdb.write_compdb(demo.files(spark, d).select(F.concat(F.lit("/repo/"), F.col("path")).alias("file")), f"{at}/build/compile_commands.json")
+    store._write_text(spark, f"{at}/src/deep/a.cpp", "")
+    found = compdb.find_compdb(f"{at}/src/deep")
+    return compdb.load_compdb(spark, found).agg(F.lit(found.endswith("/build/compile_commands.json")).alias("found"), F.count(F.lit(1)).alias("entries"))
+
+
+def _said(spark, d, *argv: str) -> DataFrame:
+    """What a command prints about the stored graph, a row for each result."""
+    from stellate import __main__ as command_line
+
+    text = command_line.main([argv[0], store_of(spark, d)[0], *argv[1:]], spark)
+    row = "struct<total:bigint,truncated:boolean,results:array<struct<key:string,symbol:string,file:string,line:int,n:bigint,used_by:string>>>"
+    return flat(spark.createDataFrame([(text,)], "said string").select(F.from_json("said", row).alias("r")).select("r.*"), "total", "truncated")
+
+
+@query(f"{CALLED}, x AS (SELECT symbol AS key, coalesce(nullif(display_name, ''), {_label('symbol')}) AS symbol, file, line + 1 AS line, n FROM (SELECT dst_id AS id, count(*)::BIGINT AS n FROM calls GROUP BY dst_id) JOIN site USING (id)) {_shown('n DESC, key', 'x', 'key, symbol, file, line, n', 20)}")
+def command_hotspots(spark, d):
+    """The command shows 20."""
+    return _said(spark, d, "hotspots", "--tests", "include").drop("used_by")
+
+
+@query(f"{CALLED}, {REFS}, x AS (SELECT f.path AS file, r.line + 1 AS line FROM refs r LEFT JOIN fil f ON f.id = r.file_id WHERE r.symbol_id = (SELECT id FROM hub) AND NOT {_TEST.format('f.path')}) {_shown('file, line', 'x', 'file, line', 50)}")
+def command_references(spark, d):
+    """The command shows 50."""
+    return _said(spark, d, "references", store_of(spark, d)[1]).select("total", "truncated", "place", "file", "line")
+
+
+@query(f"WITH {TYPES}, {INH} SELECT a.symbol AS source, b.symbol AS target, 'inherits' AS relation FROM inh JOIN typ a ON a.id = src_id JOIN typ b ON b.id = dst_id WHERE b.symbol = '{TYPE}'")
+def viewer_links(spark, d):
+    """The links in the page that draws a neighbourhood."""
+    found = graphjson.node_link(*replies.export(types_graph(spark, d), TYPE, 1)).first()["json"]
+    page = spark.createDataFrame([(graphjson.viewer_html(found, TYPE),)], "page string")
+    links = F.from_json(graphjson.viewer_graph(F.col("page")), "links array<struct<source string, target string, relation string>>")["links"]
+    return page.select(F.explode(links).alias("l")).select("l.*")

@@ -26,7 +26,7 @@ def load_compdb(spark: SparkSession, path: str) -> DataFrame:
 
 def find_compdb(start: str) -> str | None:
     """compile_commands.json in the folder, its build folder, or those of the folders above."""
-    here = Path(start).resolve()
+    here = Path(start.removeprefix("file://")).resolve()
     for d in (here, *here.parents):
         for p in (d / "compile_commands.json", d / "build" / "compile_commands.json"):
             if p.is_file():

@@ -40,7 +40,7 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def implements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 and l_returnflag = 'R'")
+    li = table(spark, sf_dir, "lineitem")
     return li.select(F.lit("implements").alias("kind"), F.col("l_suppkey").alias("src_id"), F.col("l_partkey").alias("dst_id"), F.lit(None).cast("long").alias("file_id"), F.lit(None).cast("int").alias("line")).distinct()
 
 

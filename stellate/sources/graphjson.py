@@ -5,7 +5,7 @@ from __future__ import annotations
 import html
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellate.functions.symbols import location
@@ -82,6 +82,11 @@ for (const l of g.links) { const i = document.createElement("li"); i.textContent
 </script>"""
 
 
+def viewer_graph(page: Column) -> Column:
+    """The node-link graph in a page of viewer_html, as JSON."""
+    return F.replace(F.regexp_extract(page, r"(?m)^const g = (.*), c = document\.getElementById", 1), F.lit("<\\/"), F.lit("</"))
+
+
 def viewer_html(graph: str, title: str = "graph") -> str:
     """A page of its own that draws a node-link graph, by forces between its nodes, and lists its links. Nodes can be
     dragged, the wheel zooms."""

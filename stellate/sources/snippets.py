@@ -24,6 +24,20 @@ def source_lines(spark: SparkSession, root: str, files: list[str]) -> DataFrame:
     return texts.join(F.broadcast(known), "path").select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line", "text"))
 
 
+def tree_lines(spark: SparkSession, root: str, files: DataFrame | None = None) -> DataFrame:
+    """(file, line, text) of all files below a root, or of those that a table (column file) names, found in the scan itself and
+    not one by one on the driver; lines 0-based, none in an empty file. Files are split into lines where they were read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    at = hadoop.Path(root)
+    base = re.sub("^file:/+", "file:/", at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toUri().toString()).rstrip("/")
+    texts = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    here = F.substring(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/"), len(base) + 2, 1 << 20)
+    texts = texts.select(F.url_decode(F.replace(here, F.lit("+"), F.lit("%2B"))).alias("file"), "value")
+    if files is not None:
+        texts = texts.join(files.select("file").distinct(), "file", "left_semi")
+    return texts.select("file", F.posexplode(F.split(F.regexp_replace("value", "\r?\n$", ""), "\r?\n")).alias("line", "text"))
+
+
 def windows(sites: DataFrame, context: int = 3) -> DataFrame:
     """(file, line): the lines within `context` of the sites (file, line), each once."""
     return sites.filter("file is not null and line is not null").select("file", F.explode(F.sequence(F.greatest(F.col("line") - context, F.lit(0)), F.col("line") + context)).alias("line")).distinct()

@@ -1,10 +1,12 @@
 import json
 
+from pyspark.sql import functions as F
 from test_functions import field, index, number
 
 from stellate import __main__ as cli
 from stellate.functions import versions
 from stellate.operators import store
+from stellate.sources import graphjson
 
 
 def test_commands(spark, tmp_path):
@@ -22,6 +24,9 @@ def test_commands(spark, tmp_path):
     assert json.loads(run("path", at, "y().", "base()."))["hops"] == 1
     assert json.loads(run("impact", at, "base().", "--depth", "1"))["total"] == 1
     assert json.loads(run("hotspots", at, "--kind", "fan_out", "--limit", "1"))["truncated"] in (True, False)
+    assert cli.parser().parse_args(["references", at, "c#"]).limit == 50 and cli.parser().parse_args(["hotspots", at]).limit == 20
+    page = spark.createDataFrame([(run("view", at, "y().", "--depth", "1"),)], "page string").select(graphjson.viewer_graph(F.col("page")))
+    assert json.loads(page.first()[0]) == json.loads(run("export", at, "y().", "--depth", "1"))
     assert json.loads(run("status", at))["usage_view"] == "file"
     assert json.loads(run("explain", at, "y()."))["callees"]["total"] == 1
     assert len(json.loads(run("export", at, "y().", "--depth", "1"))["links"]) == 1

@@ -65,6 +65,19 @@ def test_versions(spark):
     assert got["update_available"] and got["rebuild_now"] == "store" and got["rebuild_after_update"] == "reindex"
 
 
+@pytest.mark.parametrize("current, latest, built", [("0.3.0", "0.5.0", "0.2.0"), ("0.3.0", "0.3.0", None), ("v0.4.0", "0.5.0", "0.4.0"), (None, "0.4.0", None), ("0.5.0", "0.4.0", "0.2.0"), ("0.2.0", "x", "0.2.0")])
+def test_advice_over_a_table(spark, current, latest, built):
+    releases = {"0.2.0": "none", "0.3.0": "store", "0.4.0": "reindex", "0.5.0": "none", "x": "reindex", "0.4.5": "odd"}
+    df = spark.createDataFrame(list(releases.items()), "version string, level string")
+    assert versions.advise(df, current, latest, built).first().asDict() == versions.update_advice(releases, current, latest, built)
+
+
+def test_advice_without_a_latest_version(spark):
+    df = spark.createDataFrame([("0.9.0", "none"), ("0.10.0", "store")], "version string, level string")
+    assert tuple(versions.advise(df, "0.9.0").first()) == ("0.9.0", "0.10.0", True, "none", "store")
+    assert tuple(versions.advise(df.limit(0), "0.9.0").first()) == ("0.9.0", None, False, "none", "none")
+
+
 def number(n):
     out = b""
     while True:

@@ -524,6 +524,18 @@ def test_snippets(spark, tmp_path):
     assert {r["line"]: r["signature"] for r in one.collect()} == {8: "(int a, g(b))", 10: None}
 
 
+def test_lines_of_a_tree(spark, tmp_path):
+    root = tmp_path / "s r+c"
+    (root / "in%20ner").mkdir(parents=True)
+    (root / "a b.cpp").write_text("one\r\ntwo\n")
+    (root / "in%20ner" / "c+d.h").write_text("\nthree")
+    (root / "none.h").write_text("")
+    every = {tuple(r) for r in snippets.tree_lines(spark, str(root)).collect()}
+    assert every == {("a b.cpp", 0, "one"), ("a b.cpp", 1, "two"), ("in%20ner/c+d.h", 0, ""), ("in%20ner/c+d.h", 1, "three")}
+    asked = spark.createDataFrame([("in%20ner/c+d.h",), ("in%20ner/c+d.h",), ("gone.h",), (None,)], "file string")
+    assert {r["text"] for r in snippets.tree_lines(spark, f"file://{root}", asked).collect()} == {"", "three"}
+
+
 def test_graph_json(spark, tmp_path):
     g = graph(spark, [C("a", "b")])
     nodes, edges = traverse.subgraph(g, M("a"))
