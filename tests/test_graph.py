@@ -494,6 +494,15 @@ def test_freshness(spark):
     assert got["usage_view"] == "file" and got["changed"] == 1 and got["verdict"] == "rebuild" and got["files"] == {"changed": ["x.cpp"]}
 
 
+def test_changes_of_repeated_paths(spark):
+    one = spark.range(100_000)
+    diff = one.select(F.lit("a").alias("path"), F.lit("changed").alias("state"))
+    was, now = (one.select(F.lit("a").alias("path"), (F.col("id") % k).cast("string").alias("hash")) for k in (2, 4))
+    assert [tuple(r) for r in freshness.counted_changes(diff, was, now).collect()] == [("a", "changed", 100_000 * (100_000**2 - 2 * 50_000 * 25_000))]
+    few = [df.limit(n) for df, n in ((diff, 3), (was, 4), (now, 500))]
+    assert [tuple(r) for r in freshness.correct_changes(*few).groupBy("path", "state").count().collect()] == [("a", "changed", 3 * (4 * 500 - 2 * 2 * 125))]
+
+
 def test_compdb(spark, tmp_path):
     files = ["/repo/src/acme/db/a.cpp", "/repo/src/acme/db/a_test.cpp", "/repo/src/acme/s/b.cpp", "/repo/src/third_party/x.c", "/repo/src/top.cpp"]
     p = tmp_path / "compile_commands.json"
