@@ -174,6 +174,34 @@ def encoded(path: str, occurrences: list[dict], symbols: list[dict]) -> bytes:
     return _field(2, b"".join(parts) + _field(_POSITIONS, 1))
 
 
+HELD = 1 << 20  # bytes of documents whose objects a task holds at once, and always one document
+
+
+def _one_by_one(batch) -> Iterator[dict]:
+    """The rows of a batch, of which one at a time is made of Python's objects: a batch holds thousands of documents."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
+def _encoded(batches):
+    """Rows of documents (doc, o, s) -> (body): each as it lies in an index, without its last byte."""
+    import pyarrow as pa
+
+    def written(bodies):
+        return pa.RecordBatch.from_arrays([pa.array(bodies, pa.binary())], ["body"])
+
+    for b in batches:
+        bodies, held = [], 0
+        for x in _one_by_one(b):
+            bodies.append(encoded(x["doc"], x["o"], x["s"] or [])[:-1])
+            held += len(bodies[-1])
+            if held > HELD:
+                yield written(bodies)
+                bodies, held = [], 0
+        if bodies:
+            yield written(bodies)
+
+
 def write_index(index: dict[str, DataFrame], path: str) -> None:
     """An index of occurrences, symbol_info and relationships: a folder of files, documents in order over them. They are
     encoded and written in tasks."""
@@ -182,14 +210,7 @@ def write_index(index: dict[str, DataFrame], path: str) -> None:
     s = index["symbol_info"].join(r, ["doc_ord", "symbol"], "left").groupBy("doc_ord").agg(F.sort_array(F.collect_list(F.struct("sym_ord", "symbol", "display_name", F.coalesce("relationships", F.array().cast("array<struct<rel_ord:bigint,symbol:string,is_implementation:boolean>>")).alias("relationships")))).alias("s"))
     docs = o.join(s, "doc_ord", "left").orderBy("doc_ord")
 
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            rows = b.to_pylist()
-            yield pa.RecordBatch.from_arrays([pa.array([encoded(x["doc"], x["o"], x["s"] or [])[:-1] for x in rows], pa.binary())], ["body"])
-
-    raw.write_parts(docs.mapInArrow(run, "body binary"), path, "\x01")
+    raw.write_parts(docs.mapInArrow(_encoded, "body binary"), path, "\x01")
 
 
 def metadata(buf: memoryview) -> dict:
@@ -258,7 +279,7 @@ def _chained(chunks: DataFrame, sizes: dict[str, int]) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            for file, offset, body in zip(b["file"].to_pylist(), b["offset"].to_pylist(), b["body"].to_pylist(), strict=True):
+            for file, offset, body in (x.values() for x in _one_by_one(b.select(["file", "offset", "body"]))):
                 got = chains(body, offset, sizes[file])
                 cols = [pa.array([file]), pa.array([offset], pa.int64()), pa.array([len(body)], pa.int64()), pa.array([body[:_HEADER]], pa.binary()), pa.array([body[-_HEADER:]], pa.binary()), *(pa.array([x], pa.list_(pa.int64())) for x in got)]
                 yield pa.RecordBatch.from_arrays(cols, ["file", "offset", "length", "head", "tail", "begins", "ends", "counts", "docs"])
@@ -389,7 +410,7 @@ def _cut_out(batches):
     import pyarrow as pa
 
     for b in batches:
-        for file, offset, body, first, number in zip(*(b[c].to_pylist() for c in ("file", "offset", "body", "first", "number")), strict=True):
+        for file, offset, body, first, number in (x.values() for x in _one_by_one(b.select(["file", "offset", "body", "first", "number"]))):
             end = offset + len(body)
             at = end if first is None else first
             rows, held = [], 0
@@ -442,6 +463,30 @@ def body_of(message: bytes) -> memoryview:
     return memoryview(message)[at:]
 
 
+def _decoded(batches):
+    """(ord, body) of messages of documents -> _DOCUMENT."""
+    import pyarrow as pa
+
+    relationship = pa.struct([("symbol", pa.string()), ("is_implementation", pa.bool_())])
+    occurrences = pa.list_(pa.struct([("symbol", pa.string()), ("symbol_roles", pa.int32()), ("line", pa.int32()), ("enc_start", pa.int32()), ("enc_end", pa.int32()), ("occ_ord", pa.int64())]))
+    symbols = pa.list_(pa.struct([("symbol", pa.string()), ("display_name", pa.string()), ("sym_ord", pa.int64()), ("relationships", pa.list_(relationship))]))
+    columns = {"doc_ord": pa.int64(), "doc": pa.string(), "occurrences": occurrences, "symbols": symbols}
+
+    def decoded(rows):
+        return pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in columns.items()], list(columns))
+
+    for b in batches:
+        rows, held = [], 0
+        for x in _one_by_one(b):
+            rows.append(document(body_of(x["body"])) | {"doc_ord": x["ord"]})
+            held += len(x["body"])
+            if held > HELD:
+                yield decoded(rows)
+                rows, held = [], 0
+        if rows:
+            yield decoded(rows)
+
+
 def read_documents(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """A row for each document of the indexes at `path`, decoded where its bytes were read. Documents are numbered by the
     path of their index, then by their place in it."""
@@ -449,14 +494,7 @@ def read_documents(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFr
     order = F.broadcast(order) if order.count() <= raw.SMALL else order
     bodies = messages(spark, path, chunk).filter(F.substring("body", 1, 1) == F.lit(b"\x12")).join(order, "file").select((F.col("base") + F.col("number")).alias("ord"), "body")
 
-    def run(frames):
-        import pandas as pd
-
-        for f in frames:
-            rows = [document(body_of(b)) | {"doc_ord": o} for o, b in zip(f["ord"], f["body"], strict=True)]
-            yield pd.DataFrame(rows, columns=["doc_ord", "doc", "occurrences", "symbols"])
-
-    return bodies.mapInPandas(run, _DOCUMENT)
+    return bodies.mapInArrow(_decoded, _DOCUMENT)
 
 
 def read_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:

@@ -494,6 +494,22 @@ def test_freshness(spark):
     assert got["usage_view"] == "file" and got["changed"] == 1 and got["verdict"] == "rebuild" and got["files"] == {"changed": ["x.cpp"]}
 
 
+def test_index_batches_are_bounded():
+    """A task makes Python objects of a bounded part of a batch, whatever the batch holds."""
+    pa = pytest.importorskip("pyarrow")
+    o = {"occ_ord": 0, "symbol": "cxx . . $ f().", "symbol_roles": 1, "line": 3, "enc_start": 3, "enc_end": 9}
+    s = {"sym_ord": 0, "symbol": "cxx . . $ f().", "display_name": "f", "relationships": [{"rel_ord": 0, "symbol": "cxx . . $ g().", "is_implementation": True}]}
+    docs = [{"doc": f"d{i}.cpp", "o": [o] * 500, "s": [s] if i % 2 else None} for i in range(300)]
+    made = list(scip._encoded([pa.RecordBatch.from_pylist(docs)]))
+    bodies = [bytes(x) + b"\x01" for b in made for x in b.column(0).to_pylist()]
+    assert len(made) > 2 and all(b.nbytes < 2 * scip.HELD for b in made) and len(bodies) == 300
+    back = list(scip._decoded([pa.RecordBatch.from_pydict({"ord": list(range(300)), "body": bodies})]))
+    rows = [r for b in back for r in b.to_pylist()]
+    assert len(back) > 2 and [r["doc_ord"] for r in rows] == list(range(300)) and [r["doc"] for r in rows] == [d["doc"] for d in docs]
+    assert [len(r["occurrences"]) for r in rows] == [500] * 300 and rows[1]["occurrences"][2] == o | {"occ_ord": 2}
+    assert [len(r["symbols"]) for r in rows] == [i % 2 for i in range(300)] and rows[1]["symbols"][0]["relationships"] == [{"symbol": "cxx . . $ g().", "is_implementation": True}]
+
+
 def test_changes_of_repeated_paths(spark):
     one = spark.range(100_000)
     diff = one.select(F.lit("a").alias("path"), F.lit("changed").alias("state"))
