@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stellate.functions.paths import is_test_file
-from stellate.session import cut
-from stellate.sources.raw import write_file
+from stellate.session import cut, remove_path
+from stellate.sources.raw import write_file, write_parts
 
 
 class PipelineError(RuntimeError):
@@ -17,7 +18,8 @@ class PipelineError(RuntimeError):
 
 
 def load_compdb(spark: SparkSession, path: str) -> DataFrame:
-    """The entries of a compile_commands.json, which has to be a list of objects."""
+    """The entries of a compile_commands.json, which has to be a list of objects, or of a folder of such lists. A list is read by
+    one task."""
     text = spark.read.text(path, wholetext=True).select(F.trim("value").alias("value"))
     if text.filter(~F.col("value").startswith("[")).limit(1).count():
         raise ValueError(f"{path}: not a list")
@@ -29,7 +31,7 @@ def find_compdb(start: str) -> str | None:
     here = Path(start.removeprefix("file://")).resolve()
     for d in (here, *here.parents):
         for p in (d / "compile_commands.json", d / "build" / "compile_commands.json"):
-            if p.is_file():
+            if p.is_file() or (p / "_SUCCESS").is_file():
                 return str(p)
     return None
 
@@ -124,9 +126,17 @@ def summarize(entries: DataFrame, src_filter: str | None = None, depth: int = 2,
     return out
 
 
-def write_compdb(entries: DataFrame, path: str) -> None:
-    """A compile_commands.json: one list in one file, written by one task; rows don't pass the driver."""
-    rows = entries.select(F.to_json(F.struct(*entries.columns)).alias("entry")).repartition(1)
+ONE_FILE = 128 << 20  # bytes of entries in a file, which one task writes and reads
+
+
+def write_compdb(entries: DataFrame, path: str, most: int = ONE_FILE) -> None:
+    """A compile_commands.json: one list in one file. Entries of more than about `most` bytes become a folder of that name
+    with as many lists, which load_compdb and find_compdb take as one; no task holds more than one list, and no rows pass the
+    driver. What was at `path` is replaced when all is written, so that it may be what the entries come from."""
+    spark = entries.sparkSession
+    rows = entries.select(F.to_json(F.struct(*entries.columns)).alias("entry"))
+    size = rows.agg(F.sum(F.octet_length("entry") + 2)).first()[0] or 0
+    files = max(1, -(-size // most))
 
     def run(batches):
         import pyarrow as pa
@@ -138,7 +148,13 @@ def write_compdb(entries: DataFrame, path: str) -> None:
                 begun = True
         yield pa.RecordBatch.from_arrays([pa.array(["]" if begun else "[]"])], ["line"])
 
-    write_file(rows.mapInArrow(run, "line string"), path, "\n")
+    new = f"{path}.{uuid.uuid4().hex}.new"
+    lines = rows.repartition(files).mapInArrow(run, "line string") if size else spark.range(0, 1, 1, 1).select(F.lit("[]").alias("line"))
+    (write_file if files == 1 else write_parts)(lines, new, "\n")
+    remove_path(spark, path)
+    to = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not to.getFileSystem(spark._jsc.hadoopConfiguration()).rename(spark._jvm.org.apache.hadoop.fs.Path(new), to):
+        raise OSError(f"{new} could not be moved to {path}")
 
 
 def format_summary(s: dict) -> str:

@@ -539,6 +539,21 @@ def test_compdb(spark, tmp_path):
         compdb.load_compdb(spark, str(p))
 
 
+def test_large_compdb_is_a_folder_of_lists(spark, tmp_path):
+    path = tmp_path / "build" / "compile_commands.json"
+    entries = spark.range(2000).select(F.lit("/b").alias("directory"), F.format_string("/repo/%d.cpp", "id").alias("file"))
+    compdb.write_compdb(entries, str(path), 20_000)
+    lists = [json.loads(f.read_text()) for f in path.glob("part-*")]
+    assert len(lists) > 2 and max(map(len, lists)) < 1000 and sum(map(len, lists)) == 2000
+    (tmp_path / "src").mkdir()
+    back = compdb.load_compdb(spark, compdb.find_compdb(str(tmp_path / "src")))
+    assert back.select("file").distinct().count() == back.count() == 2000
+    compdb.write_compdb(back.filter("file < '/repo/2'").select("directory", "file"), str(path))  # over what it is read from
+    assert path.is_file() and len(json.loads(path.read_text())) == compdb.load_compdb(spark, str(path)).count() == 1112
+    compdb.write_compdb(entries.limit(0), str(path))
+    assert json.loads(path.read_text()) == []
+
+
 def test_snippets(spark, tmp_path):
     (tmp_path / "a.cpp").write_text("\n".join(f"line {i}" for i in range(8)) + "\nvoid f(int a,\n  g(b)) {\n}\n")
     lines = snippets.source_lines(spark, str(tmp_path), ["a.cpp", "none.cpp"])
