@@ -12,7 +12,7 @@ from stellate.operators import derive, freshness, store
 from stellate.plans import components, layers, locate, replies, traverse
 from stellate.plans.graph import CodeGraph
 from stellate.session import settings
-from stellate.sources import compdb, graphjson, scip, snippets
+from stellate.sources import compdb, demo, graphjson, scip, snippets
 from stellate.streaming import updates
 
 P = "cxx . . $ "
@@ -510,6 +510,16 @@ def test_index_batches_are_bounded():
     assert [len(r["symbols"]) for r in rows] == [i % 2 for i in range(300)] and rows[1]["symbols"][0]["relationships"] == [{"symbol": "cxx . . $ g().", "is_implementation": True}]
 
 
+def test_demo_calls_move_lines_once(spark, tmp_path):
+    rows = [(1, 1, 10), (1, 1, 10), (1, 2, 20), (1, 2, 30), (1, 4, 40), (2, 3, 50), (None, 1, 60), (None, 2, 70)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1"):
+        got = demo.calls(spark, str(tmp_path))
+        assert sorted(tuple(r) for r in got.collect()) == [("calls", 10, k, demo.UNIT_BASE + 1, 1) for k in (20, 30)]
+        first = got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert first.count("Exchange hashpartitioning") == 2  # of one of which the other is a reuse; none behind the join
+
+
 def test_changes_of_repeated_paths(spark):
     one = spark.range(100_000)
     diff = one.select(F.lit("a").alias("path"), F.lit("changed").alias("state"))
