@@ -1,7 +1,7 @@
 """Traversals: impact, shortest paths and subgraphs by frontiers.
 
 A traversal that needs few pairs (counted first, at most `local_pairs`) is done on the driver over the adjacency, which
-one job brings in as Arrow. Beyond that bound edges are laid out once by the end that a traversal starts from, in the shared
+one job brings in as Arrow. Beyond that bound up to SHALLOW levels are a scan of the edges each; for more, edges are laid out once by the end that a traversal starts from, in the shared
 folder, and each round joins the frontier with them and drops what was seen: frontiers and what was seen lie by their ids
 in as many partitions, so that a round moves the ends that it found and no edges. A symbol with over HOT edges is dealt over
 SALTS keys. Both ways give the same rows; `local_pairs` 0 always takes the second.
@@ -23,6 +23,7 @@ from stellate.schema import CALLS
 from stellate.session import cut, cut_as_laid
 
 LOCAL_PAIRS, COMPACT = 200_000, 8
+SHALLOW = 2  # levels up to which edges are scanned for each and not laid out
 HOT, SALTS = 100_000, 16
 SMALL = 1_000_000  # ids that are broadcast at most
 
@@ -117,12 +118,31 @@ def reach(graph: CodeGraph, start: int, kind: str | None, direction: str, max_de
         nexts = [_adjacency(small["src_id"], small["dst_id"])] * (direction != "in") + [_adjacency(small["dst_id"], small["src_id"])] * (direction != "out")
         depth = _levels(nexts, start, max_depth)
         return spark.createDataFrame(pa.table({"id": pa.array(depth.keys(), pa.int64()), "depth": pa.array(depth.values(), pa.int64())}))
+    if max_depth is not None and max_depth <= SHALLOW and (kind, direction) not in graph.laid:
+        return _scanned(graph, start, kind, direction, max_depth)
     ball = Ball(start, laid(graph, kind, direction))
     while (max_depth is None or len(ball.levels) <= max_depth) and ball.grow():
         pass
     return reduce(DataFrame.union, [x.select("id", F.lit(d).cast("long").alias("depth")) for d, x in enumerate(ball.levels)])
 
 
+def _scanned(graph: CodeGraph, start: int, kind: str | None, direction: str, max_depth: int) -> DataFrame:
+    """As reach, by a scan of the edges for each of a few levels: laying them out would move and sort all of them for that."""
+    e = graph.edges if kind is None else graph.edges.filter(F.col("kind") == kind)
+    levels = [cut(graph.edges.sparkSession.createDataFrame([(start,)], "id long"))]
+    for _ in range(max_depth):
+        n = levels[-1].count()
+        if not n:
+            break
+        near = F.broadcast(levels[-1]) if n <= SMALL else levels[-1]
+        ways = [("src_id", "dst_id")] * (direction != "in") + [("dst_id", "src_id")] * (direction != "out")
+        new = reduce(DataFrame.union, [e.join(near.withColumnRenamed("id", a), a, "left_semi").select(F.col(b).alias("id")) for a, b in ways]).distinct()
+        for seen in levels:
+            new = new.join(seen, "id", "left_anti")
+        levels.append(cut(new))
+    return reduce(DataFrame.union, [x.select("id", F.lit(d).cast("long").alias("depth")) for d, x in enumerate(levels)])
+
+
 def _levels(nexts: list[dict[int, list[int]]], start: int, max_depth: int | None, stop: int | None = None) -> dict[int, int]:
     """Depths on the driver; with `stop` up to the level that holds it."""
     depth, front = {start: 0}, [start]
@@ -212,7 +232,10 @@ def subgraph(graph: CodeGraph, symbol: str, depth: int = 2, direction: str = "bo
         near = graph.symbols.limit(0).select("id")
     nodes = graph.sites().join(near, "id", "left_semi").orderBy("symbol").select("symbol", "display_name", "file", "line")
     few = F.broadcast(near) if near.count() <= SMALL else near
-    inside = graph.edges.join(few.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(few.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi")
-    names = graph.symbols.select("id", "symbol")
+    # names and files of what was found alone, so that no join behind the search moves the whole tables
+    inside = cut(graph.edges.join(few.withColumnRenamed("id", "src_id"), "src_id", "left_semi").join(few.withColumnRenamed("id", "dst_id"), "dst_id", "left_semi"))
+    names = cut(graph.symbols.select("id", "symbol").join(few, "id", "left_semi"))
+    used = cut(inside.select("file_id").distinct())
+    f = f.join(F.broadcast(used) if used.count() <= SMALL else used, "file_id", "left_semi")
     edges = inside.join(names.select(F.col("id").alias("src_id"), F.col("symbol").alias("src")), "src_id").join(names.select(F.col("id").alias("dst_id"), F.col("symbol").alias("dst")), "dst_id").join(f, "file_id", "left")
     return nodes, edges.select("kind", "src", "dst", "file", "line").orderBy("kind", "src", "dst", "file", "line")

@@ -195,6 +195,18 @@ def test_both_ways_agree_on_random_graphs(spark, monkeypatch, hot):
     assert (traverse.laid(g, "calls", "out").hot is None) == (hot > 3)
 
 
+def test_subgraph_moves_what_it_found(spark):
+    """Names and paths come from the symbols and files of the subgraph; the whole tables aren't sorted for it."""
+    g = graph(spark, [C("a", "b"), C("b", "c"), C("x", "y", "other.cpp")])
+    with settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false"):
+        edges = traverse.subgraph(g, M("a"), local_pairs=0)[1]
+        plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 1  # of files; symbols and edges were cut
+    assert [(r["src"], r["dst"]) for r in edges.collect()] == [(M("a"), M("b")), (M("b"), M("c"))]
+    assert not g.laid  # two edges far: edges are scanned, not laid out
+    assert traverse.reach(g, 1, None, "both", 9, 0).count() > 1 and g.laid
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_strong_components(spark, monkeypatch, seed):
     """Against mutual reachability; chains, cycles side by side and within each other, and self-calls."""
