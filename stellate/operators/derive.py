@@ -7,6 +7,8 @@ join and the search for the nearest definition are both by document and line buc
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -116,17 +118,17 @@ def references(occurrences: DataFrame, attribute: bool = False) -> DataFrame:
     return first.select("symbol", F.col("doc").alias("file"), "line", F.col("container").alias("enclosing"))
 
 
-def build(occurrences: DataFrame, symbol_info: DataFrame, relationships: DataFrame, include_references: bool = True, attribute_references: bool = False, drop_locals: bool = False, spans: bool = False) -> dict[str, DataFrame]:
+def build(occurrences: DataFrame, symbol_info: DataFrame, relationships: DataFrame, include_references: bool = True, attribute_references: bool = False, drop_locals: bool = False, spans: bool = False, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> dict[str, DataFrame]:
     """nodes (symbol, display_name, file, line), edges (kind, src, dst, file, line), refs (symbol, file, line,
-    enclosing), and with `spans` those of bodies, by name. Every end of an edge and every referenced symbol is a node."""
-    edges = relationship_edges(relationships).unionByName(call_edges(occurrences))
+    enclosing), and with `spans` those of bodies, by name. Every end of an edge and every referenced symbol is a node. `keep` (such as session.cut) is applied to the
+    tables, so that edges and references are derived once for all that reads them."""
+    edges = keep(relationship_edges(relationships).unionByName(call_edges(occurrences)))
     refs = references(occurrences, attribute_references)
-    if not include_references:
-        refs = refs.limit(0)
+    refs = keep(refs) if include_references else refs.limit(0)
     sites = definition_sites(occurrences)
     names = display_names(symbol_info)
     every = names.select("symbol").union(sites.select("symbol")).union(edges.select("src")).union(edges.select("dst")).union(refs.select("symbol")).distinct()
     nodes = every.join(names, "symbol", "left").join(sites, "symbol", "left").select("symbol", "display_name", "file", "line")
     if drop_locals:
         nodes = nodes.filter(~is_local(F.col("symbol")))
-    return {"nodes": nodes, "edges": edges, "refs": refs} | ({"spans": bodies(occurrences)} if spans else {})
+    return {"nodes": keep(nodes), "edges": edges, "refs": refs} | ({"spans": bodies(occurrences)} if spans else {})

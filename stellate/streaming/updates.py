@@ -16,10 +16,14 @@ from pyspark.sql.streaming import StreamingQuery
 
 from stellate import schema
 from stellate.operators import derive, store
+from stellate.session import cut, settings
 from stellate.sources import scip
 
 TABLES = {"occurrences": schema.OCCURRENCES, "symbol_info": schema.SYMBOL_INFO, "relationships": schema.RELATIONSHIPS, "documents": schema.DOCUMENTS}
 DELAY = "1 minute"
+#: Rows of a stream have no size that plans know, and a batch's session plans nothing anew: joins would broadcast whole tables. Only
+#: what was counted as small is, where a join says so.
+JOINS = {"spark__sql__adaptive__enabled": "true", "spark__sql__autoBroadcastJoinThreshold": "-1", "spark__sql__adaptive__autoBroadcastJoinThreshold": "-1"}
 
 
 def take(spark: SparkSession, path: str, index: dict[str, DataFrame], **how) -> store.UpdateStats | None:
@@ -27,12 +31,16 @@ def take(spark: SparkSession, path: str, index: dict[str, DataFrame], **how) ->
     docs = index["documents"].select("doc").distinct()
     if docs.isEmpty():
         return None
-    built = derive.build(index["occurrences"], index["symbol_info"], index["relationships"], **how)
+    built = derive.build(index["occurrences"], index["symbol_info"], index["relationships"], keep=cut, **how)
     return store.update(spark, path, built, docs)
 
 
 def _start(rows: DataFrame, one: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
-    stream = rows.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint)
+    def planned(batch: DataFrame, k: int) -> None:
+        with settings(batch.sparkSession, **JOINS):
+            one(batch, k)
+
+    stream = rows.writeStream.foreachBatch(planned).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if available_now else stream).start()
 
 

@@ -488,6 +488,24 @@ def test_streamed_updates(spark, tmp_path):
         assert g.get_node(M("a")).first()["display_name"] == "A!"
 
 
+def test_joins_of_a_batch(spark, tmp_path):
+    """The rows of a batch seem small to plans however many there are: no join broadcasts them before they were measured."""
+    for k in (100, 200):
+        spark.range(50_000 if k == 100 else 1).select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("doc"), F.timestamp_seconds(F.lit(k)).alias("revision")).write.mode("append").parquet(f"{tmp_path}/in")
+    rows = spark.readStream.schema("doc string, revision timestamp").parquet(f"file://{tmp_path}/in").withWatermark("revision", "1 second").groupBy("doc", "revision").count()
+    plans = []
+
+    def one(batch, _):
+        kept = batch.checkpoint()
+        both = kept.join(kept.select("doc", F.col("count").alias("again")), "doc")
+        n = both.count()
+        plans.append((n, both.sparkSession.conf.get("spark.sql.adaptive.enabled"), both._jdf.queryExecution().sparkPlan().toString()))
+
+    updates._start(rows, one, f"file://{tmp_path}/ck", True).awaitTermination()
+    assert max(n for n, *_ in plans) >= 50_000
+    assert all("BroadcastHashJoin" not in p and adaptive == "true" for _, adaptive, p in plans)
+
+
 def test_streamed_indexes(spark, tmp_path):
     path, at = f"file://{tmp_path}/g", tmp_path / "in"
     at.mkdir()
