@@ -13,7 +13,7 @@ from stellate.operators import derive, freshness, store
 from stellate.plans import layers, locate, replies
 from stellate.plans.graph import CodeGraph
 from stellate.queries import _FN, _INSIDE, _TEST, _TY, BEFORE, FIL, HUB, INH, INSIDE, OCC, REFS, SITE, SPANS, SYM, TYPE, TYPES, _calls, _label, _near, _qualified, _reach, calls_graph, query, store_of, stored, types_graph, updated
-from stellate.session import fresh_path
+from stellate.session import cut, fresh_path
 from stellate.sources import compdb, demo, graphjson, raw, scip, snippets
 from stellate.streaming import updates
 
@@ -173,8 +173,10 @@ def export_edges(spark, d):
 def symbols_at_lines(spark, d):
     """The innermost body at each line that occurs, from a store that keeps bodies."""
     path = fresh_path(spark, "spans")
-    store.save(store.intern(_built(spark, d, spans=True)), path)
-    return locate.symbols_at(store.load(spark, path), demo.occurrences(spark, d).select(F.col("doc").alias("file"), "line").distinct())
+    o = cut(demo.occurrences(spark, d))
+    i = cut(demo.symbol_info(spark, d, o))
+    store.save(store.intern(derive.build(o, i, demo.relationships(spark, d, i), spans=True, keep=cut)), path)
+    return locate.symbols_at(store.load(spark, path), o.select(F.col("doc").alias("file"), "line").distinct())
 
 
 _LAYERS = [("src/economy", "economy", 1), ("src", "core", 2), ("vendor/", "vendor", 3), ("vendor/standard anodized brass", "brass", 0)]

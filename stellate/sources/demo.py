@@ -74,14 +74,14 @@ def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("doc_ord"), F.concat(F.lit("src/u"), F.col("user_id").cast("string"), F.lit(".cpp")).alias("doc"), F.col("event_id").alias("occ_ord"), F.rtrim(name).alias("symbol"), roles.cast("int").alias("symbol_roles"), line.cast("int").alias("line"), F.when(body.isNotNull(), line).cast("int").alias("enc_start"), (line + body).cast("int").alias("enc_end"))
 
 
-def symbol_info(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row for each document and symbol; some names are empty."""
-    o = occurrences(spark, sf_dir).groupBy("doc_ord", "doc", "symbol").agg(F.min("occ_ord").alias("sym_ord"))
+def symbol_info(spark: SparkSession, sf_dir: str, occ: DataFrame | None = None) -> DataFrame:
+    """A row for each document and symbol; some names are empty. `occ`: the occurrences, where they were made before."""
+    o = (occurrences(spark, sf_dir) if occ is None else occ).groupBy("doc_ord", "doc", "symbol").agg(F.min("occ_ord").alias("sym_ord"))
     return o.select("doc_ord", "doc", "sym_ord", "symbol", F.when(F.col("sym_ord") % 3 == 0, "").otherwise(F.concat(F.lit("n"), (F.col("sym_ord") % 5).cast("string"))).alias("display_name"))
 
 
-def relationships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From each symbol of a document to one of the demo's types or functions."""
-    i = symbol_info(spark, sf_dir)
+def relationships(spark: SparkSession, sf_dir: str, info: DataFrame | None = None) -> DataFrame:
+    """From each symbol of a document to one of the demo's types or functions. `info`: symbol_info, where it was made before."""
+    i = symbol_info(spark, sf_dir) if info is None else info
     dst = F.when(F.col("sym_ord") % 4 < 3, F.concat(F.lit("cxx . . $ ty/T"), (F.col("sym_ord") % 40).cast("string"), F.lit("#"))).otherwise(F.concat(F.lit("cxx . . $ fn/f"), (F.col("sym_ord") % 40).cast("string"), F.lit("().")))
     return i.select("doc_ord", "doc", F.col("sym_ord").alias("rel_ord"), F.col("symbol").alias("src"), dst.alias("dst"), (F.col("sym_ord") % 2 == 1).alias("is_implementation"))

@@ -245,6 +245,16 @@ def test_symbols_at_lines(spark, tmp_path):
         locate.symbols_at(graph(spark, [C("a", "b")]), sites)
 
 
+def test_tables_are_derived_once(spark):
+    """With `keep` no table of a build derives the others anew: nodes join what was kept of edges and references."""
+    o = occ(spark, ("a", [D(M("x"), 1, 1, 9), U(M("y"), 3), D(M("y"), 20)]))
+    kept = []
+    built = derive.build(o, *no_info(spark), keep=lambda df: kept.append(df.checkpoint()) or kept[-1])
+    assert kept == [built["edges"], built["refs"], built["nodes"]] and "Exchange" not in built["nodes"]._jdf.queryExecution().sparkPlan().toString()
+    plain = derive.build(o, *no_info(spark))
+    assert all(sorted(built[k].collect(), key=str) == sorted(plain[k].collect(), key=str) for k in plain)
+
+
 def test_a_layer_of_many_files(spark):
     """Files aren't dealt by what their paths begin with, which all may share; layers of several lengths, and one told twice."""
     files = spark.createDataFrame([(1, "src/a/x.cpp"), (2, "src"), (3, "srcs/a"), (4, "/abs/x"), (5, None), (6, "src/b/c/d")], "id long, path string")
