@@ -29,16 +29,20 @@ def types_graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
 
 
 _STORES: dict[tuple[str, str], tuple[str, str]] = {}
+_NAMED: set[tuple[str, str]] = set()  # stores with an index of names
 
 
-def store_of(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
-    """(path of a store of calls_graph, most called symbol), made once for each application and folder of tables."""
+def store_of(spark: SparkSession, sf_dir: str, names: bool = True) -> tuple[str, str]:
+    """(path of a store of calls_graph, most called symbol), made once for each application and folder of tables; its index of
+    names when it is first asked for with names."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _STORES:
         path = fresh_path(spark, "store")
         store.save(calls_graph(spark, sf_dir), path, store.provenance(project_root="/demo", tool="tables", commit="c0ffee"))
-        store.index_names(spark, path)
         _STORES[key] = path, hub(store.load(spark, path))
+    if names and key not in _NAMED:
+        store.index_names(spark, _STORES[key][0])
+        _NAMED.add(key)
     return _STORES[key]
 
 
@@ -55,9 +59,9 @@ def updated(spark: SparkSession, sf_dir: str, built: dict[str, DataFrame], docum
     return store.load(spark, path, version), stats
 
 
-def stored(spark: SparkSession, sf_dir: str, by: str = "dst") -> tuple[CodeGraph, str]:
-    """The stored graph, edges sorted by one end, and its most called symbol."""
-    path, top = store_of(spark, sf_dir)
+def stored(spark: SparkSession, sf_dir: str, by: str = "dst", names: bool = True) -> tuple[CodeGraph, str]:
+    """The stored graph, edges sorted by one end, and its most called symbol. Without names it may lack their index."""
+    path, top = store_of(spark, sf_dir, names)
     return store.load(spark, path, by=by), top
 
 
@@ -370,7 +374,7 @@ _INSIDE = "SELECT a.symbol AS src, b.symbol AS dst, f.path AS file, c.line FROM
 
 @query(f"WITH RECURSIVE {SYM}, {_calls()}, p AS (SELECT DISTINCT src_id, dst_id FROM calls), r(id, far) AS (SELECT id, id FROM sym UNION SELECT id, dst_id FROM r JOIN p ON src_id = far), both_ AS (SELECT a.id, min(a.far) AS component, count(*)::BIGINT AS size FROM r a JOIN r b ON a.id = b.far AND a.far = b.id GROUP BY a.id) SELECT id, component, size FROM both_")
 def strong_components(spark, d):
-    return components.strong_components(stored(spark, d, "src")[0])
+    return components.strong_components(stored(spark, d, "src", names=False)[0])
 
 
 @query(f"{_near(2)} SELECT symbol FROM near JOIN sym USING (id)")

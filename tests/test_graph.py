@@ -8,7 +8,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from stellate import schema
+from stellate import queries, schema
 from stellate.operators import derive, freshness, store
 from stellate.plans import components, layers, locate, replies, traverse
 from stellate.plans.graph import CodeGraph
@@ -250,6 +250,18 @@ def test_strong_components_of_a_dense_graph(spark, monkeypatch, rounds):
         assert seen and seen[0] < len(edges) / 10
 
 
+def test_store_without_names(spark, monkeypatch):
+    """Components are found in a store that has no index of names yet; who searches names gets one on the same store."""
+    indexed, index = [], store.index_names
+    monkeypatch.setattr(store, "index_names", lambda *a: indexed.append(a) or index(*a))
+    monkeypatch.setattr(queries, "_STORES", {})
+    monkeypatch.setattr(queries, "_NAMED", set(), raising=False)
+    d = "/root/testdata/sf0.001"
+    assert queries.QUERIES["strong_components"](spark, d).count() == demo.symbols(spark, d).count() and not indexed
+    path, _ = queries.store_of(spark, d)
+    assert queries.stored(spark, d)[0].names is not None and queries.store_of(spark, d)[0] == path and len(indexed) == 1
+
+
 def test_symbols_at_lines(spark, tmp_path):
     """Also after an update, a reopening and a compaction, and where nothing is known."""
     path = f"file://{tmp_path}/g"
